@@ -115,7 +115,7 @@ def char_spans(text: bytes, hit: np.ndarray) -> list[dict]:
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All of ``docs`` with ``bench`` = (n_words, n_hit, items, spans, hits) added.
+    """All of ``docs`` with ``_bench`` = (n_words, n_hit, items, spans, hits) added.
 
     ``items`` are the sorted item ids as strings, ``spans`` the hit code-point
     ranges, ``hits`` the hit ranges in words.
@@ -128,7 +128,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block) if n > 1 else benchmark
         items = [(r[0] or "", (r[1] or "").encode()) for r in part.select(F.col("item_id").cast("string"), F.col("text")).collect()]
         out = _stage(out, docs.sparkSession.sparkContext.broadcast((items, window)), block == n - 1)
-    return out.select("row.*", F.struct("n_words", "n_hit", "items", "spans", "hits").alias("bench"))
+    return out.select("row.*", F.struct("n_words", "n_hit", "items", "spans", "hits").alias("_bench"))
 
 
 def _stage(df: DataFrame, shared, last: bool) -> DataFrame:
@@ -164,14 +164,14 @@ def _stage(df: DataFrame, shared, last: bool) -> DataFrame:
 
 
 def contaminated() -> "F.Column":
-    """The contract's rule on ``bench``: some hit, and at least 5 % of the words."""
-    return (F.col("bench.n_hit") > 0) & (20 * F.col("bench.n_hit") >= F.col("bench.n_words"))
+    """The contract's rule on ``_bench``: some hit, and at least 5 % of the words."""
+    return (F.col("_bench.n_hit") > 0) & (20 * F.col("_bench.n_hit") >= F.col("_bench.n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the rule leaves, columns as they came."""
     found = find_passages(docs, benchmark)
-    return found.where(~contaminated()).drop("bench")
+    return found.where(~contaminated()).drop("_bench")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -179,10 +179,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_passages(docs.select("doc_id", "text"), benchmark)
     return found.select(
         "doc_id",
-        F.col("bench.n_words").alias("n_words"),
-        F.col("bench.n_hit").alias("n_hit"),
-        F.size("bench.items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "bench.items"), 256).alias("items_sha256"),
+        F.col("_bench.n_words").alias("n_words"),
+        F.col("_bench.n_hit").alias("n_hit"),
+        F.size("_bench.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "_bench.items"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, lines, packing, quality, tokens
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -14,6 +14,18 @@ def op1_quality_rules(spark, sf_dir):
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return tokens.token_counts(_read(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    return lines.report(_read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
