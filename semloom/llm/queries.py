@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, packing, quality, tokens
+from . import decontaminate, jaccard, lines, packing, quality, tokens, toxicity
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -14,6 +14,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.report(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -30,9 +34,14 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_jaccard_join": jaccard.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
