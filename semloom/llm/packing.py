@@ -12,8 +12,8 @@ end to end and cut into full ones; the rest, under one window, is cut into
 sequences whose lengths are powers of two. So no sequence needs padding.
 
 Tokens are the library's: its rules never join text across ASCII white space, so
-words are encoded once, remembered by each worker up to ``REMEMBER`` entries, and
-their ids are strung together.
+words are encoded once, remembered by each worker up to ``REMEMBER`` entries (by a
+64-bit hash), and their ids are strung together.
 
 Defined cases: null text is empty and packs as its end id alone; a null doc_id
 stays null; sequence ids hold the task's number in their upper half.
@@ -30,17 +30,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .text import slices, texts
+from .text import LOWER, raw, slices, word_hashes, words
 
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 4096
-REMEMBER = 1_000_000
+REMEMBER = 3_000_000
+_MARK = "<|endoftext|>"  # the library cuts a text at it before all else
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts, as one array with row offsets, by remembered units.
+
+    A unit is a word, ASCII lower-cased as the library does, without a full stop or
+    comma that follows an ASCII letter; that is a unit of its own. The library
+    always cuts there and at white space. Units are remembered as sorted hashes
+    with ranges of one array of ids; a slice's distinct units are looked up and
+    its ids gathered in numpy.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,22 +56,68 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory: dict[bytes, bytes] = {}
-
-    def learn(self, wanted: set[bytes]) -> None:
-        if len(self.memory) > REMEMBER:
-            self.memory.clear()
-        new = [w for w in wanted if w not in self.memory]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-
-    def encode(self, many: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in many]
-        self.learn(set().union(*cut))
-        get = self.memory.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        self.mark = self.tokenizer.token_to_id(_MARK)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode(self, units: list[str]) -> list[np.ndarray]:
+        """The library's ids of each unit; many go in one call, with a special token between them."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(units)
+        plain = [i for i, u in enumerate(units) if "<|" not in u or self.mark is None]
+        odd = sorted(set(range(len(units))) - set(plain))
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([units[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([_MARK.join(units[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            for i, a, b in zip(group, np.append(0, at + 1).tolist(), np.append(at, len(ids)).tolist(), strict=True):
+                out[i] = ids[a:b]
+        return out
+
+    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
+        found = self._encode([u.decode("utf-8", "replace") for u in units])
+        size = np.array([len(x) for x in found], np.int64)
+        flat = np.concatenate(found)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        start = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and each row's offsets in them."""
+        buf = LOWER[buf]
+        starts, ends, row = words(buf, offs)
+        last = buf[np.maximum(ends - 1, 0)] if len(ends) else np.zeros(0, np.uint8)
+        before = buf[np.maximum(ends - 2, 0)] if len(ends) else last
+        tail = ((last == 44) | (last == 46)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
+        if tail.any():
+            place = np.repeat(np.arange(len(starts)), 1 + tail)
+            second = np.append(False, place[1:] == place[:-1])
+            starts, ends = np.where(second, ends[place] - 1, starts[place]), np.where(tail[place] & ~second, ends[place] - 1, ends[place])
+            row = row[place]
+        h = word_hashes(buf, starts, ends, lower=False)
+        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > REMEMBER:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            pick = first[new]
+            self._learn(keys[new], [buf[a:b].tobytes() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        size = self.size[at][back] if len(keys) else np.zeros(0, np.int64)
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        from_ = self.start[at][back] - (to - size) if len(keys) else size
+        ids = self.ids[np.repeat(from_, size) + np.arange(total)]
+        return ids, np.append(0, to)[np.searchsorted(row, np.arange(len(offs)))]
 
 
 @lru_cache(maxsize=1)
@@ -163,8 +217,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
         for batch in batches:
             for part in slices(batch):
                 found = []
-                for doc, seq in zip(part.column(0).to_pylist(), ids.encode(texts(part.column(1))), strict=True):
-                    found += packer.add(doc, seq + end)
+                flat, at = ids.encode(*raw(part.column(1)))
+                flat, at = flat.astype("<u4").tobytes(), (4 * at).tolist()
+                for i, doc in enumerate(part.column(0).to_pylist()):
+                    found += packer.add(doc, flat[at[i] : at[i + 1]] + end)
                 yield rows(found)
         yield rows(list(packer.flush()))
 
