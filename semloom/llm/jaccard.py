@@ -8,8 +8,10 @@ Documents with the same set form one class, and only classes are compared.
    shingle of each bucket. The sketch only orders shingles, rare ones first; any
    order all tasks share keeps the prefix filter exact.
 2. Each class posts the first ``n - ceil(t * n) + 1`` shingles of its set in that
-   order. Two sets over the threshold share a posted shingle.
-3. All classes of an index list go to the list's hub (its least class). Lists of
+   order, with their positions. Two sets over the threshold share a posted
+   shingle; in the list of their first one, their sizes and positions leave room
+   for the overlap, so members without such a partner leave the list.
+3. The other classes of an index list go to the list's hub (its least class). Lists of
    near copies have the same hub, so a class goes there once, whatever the number
    of lists. Lists that the sketch marks as long are handled by a partial minimum
    and a skew join, never as one window.
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -47,7 +49,7 @@ from .text import mix, raw, signed, slices, spans, windows, word_hashes, words
 
 SKETCH_BITS = 20
 _SEGMENTS = 16
-#: A list longer than this (over the sketch's mean load) isn't handled as one window.
+#: A list longer than this (over the sketch's mean load) isn't handled as one stream.
 HOT = 2000
 #: Bounds of a block of a group: shingles and classes.
 BLOCK_SHINGLES = 1 << 20
@@ -131,14 +133,14 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _postings(keyed: DataFrame, k: int, percent: int, shared, hot: bool) -> DataFrame:
-    """(token, hi, lo, n) of the posted shingles, those of long lists or the others."""
+    """(token, hi, at) of the posted shingles, those of long lists or the others; ``at`` packs set size and position."""
 
     def run(batches):
         level, long_list = shared.value
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                token, hi, lo, size = [], [], [], []
+                token, hi, at = [], [], []
                 for s in shingle_sets(part.column(2), k):
                     if len(s) < 2:
                         continue  # only an equal set reaches a single shingle's
@@ -147,34 +149,80 @@ def _postings(keyed: DataFrame, k: int, percent: int, shared, hot: bool) -> Data
                         continue
                     if len(seen) < _SEEN:
                         seen.add(ids[0])
-                    bucket = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                     p = prefix_size(len(s), percent)
-                    key = (level[bucket].astype(np.uint64) << np.uint64(56)) | (s & np.uint64(2**56 - 1))
-                    chosen = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                    chosen = chosen[long_list[bucket[chosen]] == hot]
-                    token.append(key[chosen])
-                    hi.append(np.full(len(chosen), ids[0], np.int64))
-                    lo.append(np.full(len(chosen), ids[1], np.int64))
-                    size.append(np.full(len(chosen), len(s), np.int64))
+                    key = (level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s & np.uint64(2**56 - 1))
+                    order = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                    order = order[np.argsort(key[order])]
+                    chosen = long_list[(s[order] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] == hot
+                    token.append(key[order][chosen])
+                    hi.append(np.full(len(token[-1]), ids[0], np.int64))
+                    at.append((len(s) << 32) + np.flatnonzero(chosen))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo)), pa.array(np.concatenate(size))], ["token", "hi", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(token))), pa.array(np.concatenate(hi)), pa.array(np.concatenate(at))], ["token", "hi", "at"])
+
+    return keyed.mapInArrow(run, "token long, hi long, at long")
+
+
+def _may_link(hi: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of one list have a partner by size and position (the list's token being the first in common)."""
+    if len(hi) > 64:  # by size alone, against the neighbours in size
+        new = np.append(True, (n[1:] != n[:-1]) | (hi[1:] != hi[:-1]))
+        near = np.append(False, 100 * n[:-1] >= percent * n[1:]) & new
+        return near | np.append(near[1:], False) | ~new
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+    room = np.minimum((n - pos)[:, None], (n - pos)[None, :])
+    return ((room >= need) & (hi[:, None] != hi[None, :])).any(1)
+
+
+def _lists(postings: DataFrame, percent: int) -> DataFrame:
+    """(hub, hi) of the members that may link, list by list; rows come sorted by token and size, in one stream."""
+
+    def pick(token, hi, at):
+        n, pos = at >> 32, at & (2**32 - 1)
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(first, len(token)))
+        two = first[size == 2]
+        if len(two):
+            need = -(-percent * (n[two] + n[two + 1]) // (100 + percent))
+            good = (np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= need) & (hi[two] != hi[two + 1])
+            two = two[good]
+            hub = np.minimum(hi[two], hi[two + 1])
+            out = [(np.repeat(hub, 2), np.stack([hi[two], hi[two + 1]], 1).reshape(-1))]
+        else:
+            out = []
+        for a, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            members = np.unique(hi[a : a + m][_may_link(hi[a : a + m], n[a : a + m], pos[a : a + m], percent)])
+            if len(members) > 1:
+                out.append((np.full(len(members), members[0]), members))
+        hub = np.concatenate([x[0] for x in out]) if out else np.zeros(0, np.int64)
+        member = np.concatenate([x[1] for x in out]) if out else hub
+        return pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(member, pa.int64())], ["hub", "hi"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, batch.columns, strict=True)]
+            if len(held[0]):
+                whole = int(np.searchsorted(held[0], held[0][-1], "left"))  # the last list may go on
+                yield pick(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+        if len(held[0]):
+            yield pick(*held)
 
-    return keyed.mapInArrow(run, "token long, hi long, lo long, n long")
+    return postings.repartition("token").sortWithinPartitions("token", "at").mapInArrow(run, "hub long, hi long")
 
 
 def _to_hubs(keyed: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(hub, hi, lo, n): the classes of each hub's lists, the hub itself among them."""
+    """(hub, hi): the classes of each hub's lists, the hub itself among them."""
     mean = float(counts.mean())
     level = np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
     long_list = counts > mean + 6 * mean**0.5 + HOT
     shared = keyed.sparkSession.sparkContext.broadcast((level, long_list))
-    token = Window.partitionBy("token")
-    found = _postings(keyed, k, percent, shared, False).select(F.min("hi").over(token).alias("hub"), F.max("hi").over(token).alias("top"), "hi", "lo", "n")
-    out = found.where("hub != top").select("hub", "hi", "lo", "n")
+    out = _lists(_postings(keyed, k, percent, shared, False), percent)
     if long_list.any():
         posted = written(_postings(keyed, k, percent, shared, True), "postings")
         least = posted.groupBy("token").agg(F.min("hi").alias("hub"), F.max("hi").alias("top")).where("hub != top").drop("top")
-        out = out.union(posted.join(least, "token").select("hub", "hi", "lo", "n"))
+        out = out.union(posted.join(least, "token").select("hub", "hi"))
     return out.distinct()
 
 
@@ -268,8 +316,8 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     keyed = _keyed(docs)
     rows = written(_first_pass(keyed, k), "classes")
     docs_by_class = rows.where("seg is null").select("doc", "version", "hi", "lo", "n")
-    classes = docs_by_class.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
-    members = written(_to_hubs(keyed, k, percent, _sketch(rows)).join(classes, ["hi", "lo"]), "members")
+    classes = docs_by_class.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.min("n").alias("n"))
+    members = written(_to_hubs(keyed, k, percent, _sketch(rows)).join(classes, "hi"), "members")
     sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("m"))
     pieces = members.join(sizes, "hub").withColumn("own", F.pmod("lo", F.col("m")))
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other"))
