@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, lines, packing, quality, tokens, toxicity
+from . import ctw, decontaminate, jaccard, lines, packing, quality, tokens, toxicity
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -39,6 +39,10 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return ctw.score(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
