@@ -53,7 +53,7 @@ _SEGMENTS = 16
 HOT = 2000
 #: Bounds of a block of a group: shingles and classes.
 BLOCK_SHINGLES = 1 << 20
-BLOCK_CLASSES = 1024
+BLOCK_CLASSES = 256
 _SEEN = 200_000
 
 
