@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, jaccard, lines, packing, quality, tokens, toxicity
+from . import ctw, decontaminate, html_pages, jaccard, lines, packing, quality, tokens, toxicity
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -26,6 +26,10 @@ def op5_token_counts(spark, sf_dir):
     return tokens.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark, sf_dir):
+    return html_pages.extract(_read(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark, sf_dir):
     return lines.report(_read(spark, sf_dir, "documents"))
 
