@@ -1,25 +1,56 @@
-"""The training-corpus pipeline: five stages over ``documents``."""
+"""The training-corpus pipeline: five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps,
+with their columns; the last one returns packed pieces. ``run`` writes each
+stage's result as Parquet in the shared folder and reads it again for the next,
+so a lost executor repeats one stage's work at most.
+"""
 
 from __future__ import annotations
 
-from semloom.llm import decontaminate, quality
+from semloom.llm import decontaminate, jaccard, lines, packing, quality
+from semloom.llm.store import written
 
 
 def quality_rules(spark, docs, sf_dir):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_good(docs, quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels))
+    """Documents that pass the base rules and the quality model; the others go."""
+    return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Repeated multi-line chunks leave the texts."""
+    return lines.dedup_stage(docs)
+
+
+def jaccard_join(spark, docs, sf_dir):
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8)."""
+    return jaccard.dedup_stage(docs, 5, 80)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents that hold too much of the benchmark go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality_rules), ("benchmark_decontamination", benchmark_decontamination)]
+def packed(spark, docs, sf_dir):
+    """Pieces of training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs

@@ -30,14 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bit_of, bitmap
 from .text import slices, texts
 
 WINDOW = 2
 MIN_LINES = 2
 MAX_LINES = 16
 MODULUS = 4
-BITMAP_BITS = 23
-_SEGMENTS = 64
 _LAST = 2**63 - 1
 _MASK = 2**64 - 1
 
@@ -72,10 +71,6 @@ def _hash(chunk: bytes) -> int:
     return xxhash.xxh3_64_intdigest(chunk, seed=7) - 2**63
 
 
-def _bit(h: int) -> int:
-    return (h + 2**63) >> (64 - BITMAP_BITS)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(docs["text"]).alias("version"), docs["text"].alias("text"))
 
@@ -94,36 +89,6 @@ def _hashes(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "h long, doc long")
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the top bits of ``h``, joined over the partitions in segments."""
-    width = (1 << BITMAP_BITS) // 8 // _SEGMENTS
-
-    def run(batches):
-        bits = None
-        for batch in batches:
-            if batch.num_rows:
-                bits = np.zeros(1 << BITMAP_BITS, bool) if bits is None else bits
-                h = batch.column(0).to_numpy().view(np.uint64) + np.uint64(2**63)
-                bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
-        if bits is not None:
-            packed = np.packbits(bits).reshape(_SEGMENTS, width)
-            used = [i for i in range(_SEGMENTS) if packed[i].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["seg", "bits"])
-
-    def union(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.uint8)
-        for batch in batches:
-            for x in batch.column(1).to_pylist():
-                total |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["seg", "bits"])
-
-    rows = hashes.select("h").mapInArrow(run, "seg int, bits binary").groupBy("seg").applyInArrow(union, "seg int, bits binary").collect()
-    out = np.zeros((_SEGMENTS, width), np.uint8)
-    for r in rows:
-        out[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 def _candidates(keyed: DataFrame, shared, with_bytes: bool) -> DataFrame:
     """Chunks whose bit is set: (h, digest, doc, version, number, again) or (h, doc, chunk)."""
 
@@ -136,7 +101,7 @@ def _candidates(keyed: DataFrame, shared, with_bytes: bool) -> DataFrame:
                     seen = set()
                     for _, number, chunk in repeatable(t):
                         h = _hash(chunk)
-                        at = _bit(h)
+                        at = bit_of(h)
                         if bits[at >> 3] >> (7 - (at & 7)) & 1:
                             if with_bytes:
                                 rows.append((h, d, chunk))

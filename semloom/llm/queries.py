@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, html_pages, jaccard, lines, packing, quality, tokens, toxicity
+from . import ctw, decontaminate, html_pages, jaccard, lines, packing, quality, substring, tokens, toxicity
 
 
 def _read(spark, sf_dir: str, name: str):
@@ -18,6 +18,10 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.report(_read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring.passages(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
 

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BITMAP_BITS = 23
+_SEGMENTS = 64
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
@@ -25,3 +31,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def bit_of(h: int) -> int:
+    """A 64-bit hash's place in the bitmap."""
+    return (h + 2**63) >> (64 - BITMAP_BITS)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the top bits of ``h``, joined over the partitions in segments."""
+    width = (1 << BITMAP_BITS) // 8 // _SEGMENTS
+
+    def run(batches):
+        bits = None
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.zeros(1 << BITMAP_BITS, bool) if bits is None else bits
+                h = batch.column(0).to_numpy().view(np.uint64) + np.uint64(2**63)
+                bits[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
+        if bits is not None:
+            packed = np.packbits(bits).reshape(_SEGMENTS, width)
+            used = [i for i in range(_SEGMENTS) if packed[i].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["seg", "bits"])
+
+    def union(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.uint8)
+        for batch in batches:
+            for x in batch.column(1).to_pylist():
+                total |= np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["seg", "bits"])
+
+    rows = hashes.select("h").mapInArrow(run, "seg int, bits binary").groupBy("seg").applyInArrow(union, "seg int, bits binary").collect()
+    out = np.zeros((_SEGMENTS, width), np.uint8)
+    for r in rows:
+        out[r["seg"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
