@@ -35,7 +35,7 @@ from .text import LOWER, raw, slices, word_hashes, words
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 4096
-REMEMBER = 3_000_000
+REMEMBER = 1_500_000
 _MARK = "<|endoftext|>"  # the library cuts a text at it before all else
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

@@ -8,6 +8,7 @@ the temporary arrays stay bounded whatever the row sizes are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,18 @@ LOWER[65:91] += 32
 _MIX = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LONG_WORD = 48
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def release() -> None:
+    """Hand freed memory back to the system: a worker is reused, and its executor counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,7 +70,10 @@ def texts(column: pa.Array) -> list[bytes]:
 
 
 def slices(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices of a batch with at most ``limit`` bytes of text each, or one row."""
+    """Row slices of a batch with at most ``limit`` bytes of text each, or one row.
+
+    Memory that the slices' arrays took goes back to the system after the batch.
+    """
     if not batch.num_rows:
         return
     _, offs = raw(batch.column(batch.schema.get_field_index(name)))
@@ -66,6 +82,7 @@ def slices(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTES)
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def map_text(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
