@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_text, mix, raw, spans, texts, windows, word_hashes, words
+from .text import map_text, mix, raw, slices, spans, texts, windows, word_hashes, words
 
 #: Labelled rows of either class that the fit may use.
 PER_CLASS = 1500
@@ -207,13 +207,12 @@ def keep_good(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame
     """The documents that the rules keep, columns as they came; decided where they are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        part = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
-        base = base_counts(part)
-        failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-        return pd.Series(~failed & (probabilities(part.column(0), shared.value) >= threshold))
+    def good(text: pa.Array) -> pa.Array:
+        keep = [np.zeros(0, bool)]
+        for part in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+            base = base_counts(part)
+            failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
+            keep.append(~failed & (probabilities(part.column(0), shared.value) >= threshold))
+        return pa.array(np.concatenate(keep))
 
-    return docs.where(good(docs["text"]))
+    return docs.where(F.arrow_udf(good, "boolean")(docs["text"]))
