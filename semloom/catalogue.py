@@ -1,26 +1,371 @@
-"""The queries registered for this library's own operators, and their SQL."""
+"""The queries registered for this library's own operators, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .dataset import Dataset
+from .functions.chunks import chunk_column, split_column
+from .functions.groupby import GroupBySig
+from .operators.provider import LocalProvider
+from .operators.semantic import sem_filter, sem_join
+from .operators.topk import VectorIndex
+from .plans.physical import Implementation
+from .plans.policy import MaxQuality, MaxQualityAtFixedCost, MinCost, MinCostAtFixedQuality, MinTime
+from .session import QueryProcessorConfig
+from .sources import FrameDataset, table
 
-def flagship(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_totalprice") > 1000)
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    joined = orders.join(customer, orders["o_custkey"].eqNullSafe(customer["c_custkey"]))
-    return joined.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_orders"))
+PLAIN = QueryProcessorConfig(optimizer_strategy="none")
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
 
 
-FLAGSHIP_SQL = """
-SELECT c_mktsegment, count(*) AS n_orders FROM orders JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey
-WHERE o_totalprice > 1000 GROUP BY c_mktsegment
-"""
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf: str, name: str, *cols: str) -> Dataset:
+    data = table(spark, sf, name)
+    return data.project(list(cols)) if cols else data
+
+
+def _run(data: Dataset, config: QueryProcessorConfig = PLAIN) -> DataFrame:
+    return data.run(config).df
 
 
 def queries() -> dict:
-    return {"flagship": flagship}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": FLAGSHIP_SQL}
+    return dict(_SQL)
+
+
+# -- scans, filters, maps -------------------------------------------------------
+
+
+@query("""SELECT c_mktsegment, count(*) AS "count(o_orderkey)", CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS "sum(cents)"
+FROM (SELECT * FROM orders WHERE o_totalprice > 1000) o JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey GROUP BY c_mktsegment""")
+def flagship(spark, sf):
+    orders = _t(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice").filter(F.col("o_totalprice") > 1000, ["o_totalprice"])
+    orders = orders.map({"cents": F.floor("o_totalprice").cast("long"), "c_custkey": F.col("o_custkey")}, [{"name": "cents", "type": int, "desc": ""}, {"name": "c_custkey", "type": int, "desc": ""}])
+    joined = orders.join(_t(spark, sf, "customer", "c_custkey", "c_mktsegment"), "c_custkey")
+    return _run(joined.groupby(GroupBySig(["c_mktsegment"], ["count", "sum"], ["o_orderkey", "cents"])))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def scan_project(spark, sf):
+    return _run(_t(spark, sf, "customer").project(["c_mktsegment", "c_custkey", "c_name"]))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 7 = 3")
+def filter_udf(spark, sf):
+    return _run(_t(spark, sf, "orders", "o_orderkey", "o_orderpriority").filter(lambda r: r["o_orderkey"] % 7 == 3, "o_orderkey"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'O'")
+def filter_column(spark, sf):
+    return _run(_t(spark, sf, "orders").filter((F.col("o_totalprice") > 150000) & (F.col("o_orderstatus") == "O"), ["o_totalprice", "o_orderstatus"]).project(["o_orderkey", "o_totalprice"]))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 10 AS BIGINT) AS ten, l_returnflag || '-' || l_linestatus AS flags FROM lineitem")
+def map_udf(spark, sf):
+    cols = [{"name": "ten", "type": int, "desc": "ten times the line"}, {"name": "flags", "type": str, "desc": "both flags"}]
+    made = _t(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").map(lambda r: {"ten": r["l_linenumber"] * 10, "flags": f"{r['l_returnflag']}-{r['l_linestatus']}"}, cols)
+    return _run(made.project(["l_orderkey", "l_linenumber", "ten", "flags"]))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber * 10 AS BIGINT) AS ten FROM lineitem")
+def map_column(spark, sf):
+    return _run(_t(spark, sf, "lineitem", "l_orderkey", "l_linenumber").map({"ten": F.col("l_linenumber") * 10}, [{"name": "ten", "type": int, "desc": ""}]))
+
+
+@query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
+def flat_map_udf(spark, sf):
+    return _run(_t(spark, sf, "documents", "doc_id", "text").flat_map(lambda r: [{"line": x} for x in r["text"].split("\n")], [{"name": "line", "type": str, "desc": ""}]).project(["doc_id", "line"]))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn * 2 END AS twice FROM conversations")
+def flat_map_empty(spark, sf):
+    return _run(_t(spark, sf, "conversations", "conv_id", "turn", "role").flat_map(lambda r: [{"twice": r["turn"] * 2}] if r["role"] == "user" else [], [{"name": "twice", "type": int, "desc": ""}]).project(["conv_id", "turn", "twice"]))
+
+
+# -- joins -----------------------------------------------------------------------
+
+_JOIN = """SELECT {key} AS doc_id, d.lang, d.source, l.quality, l.toxic FROM (SELECT doc_id, lang, source FROM documents) d {how} JOIN (SELECT doc_id, quality, toxic FROM labels) l ON d.doc_id IS NOT DISTINCT FROM l.doc_id"""
+
+
+def _documents_labels(spark, sf, how):
+    return _run(_t(spark, sf, "documents", "doc_id", "lang", "source").join(_t(spark, sf, "labels"), "doc_id", how))
+
+
+@query(_JOIN.format(key="d.doc_id", how="INNER"))
+def join_inner(spark, sf):
+    return _documents_labels(spark, sf, "inner")
+
+
+@query(_JOIN.format(key="d.doc_id", how="LEFT"))
+def join_left(spark, sf):
+    return _documents_labels(spark, sf, "left")
+
+
+@query(_JOIN.format(key="l.doc_id", how="RIGHT"))
+def join_right(spark, sf):
+    return _documents_labels(spark, sf, "right")
+
+
+@query(_JOIN.format(key="coalesce(d.doc_id, l.doc_id)", how="FULL"))
+def join_outer(spark, sf):
+    return _documents_labels(spark, sf, "outer")
+
+
+@query("SELECT a.nk AS nk, a.n AS n, b.n AS n_right FROM (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS nk, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS nk, count(*) AS n FROM customer GROUP BY 1) b ON a.nk IS NOT DISTINCT FROM b.nk")
+def join_null_keys(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_custkey")).alias("nk")).groupBy("nk").agg(F.count(F.lit(1)).alias("n"))
+    customers = spark.read.parquet(f"{sf}/customer.parquet").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("nk")).groupBy("nk").agg(F.count(F.lit(1)).alias("n"))
+    return _run(FrameDataset(orders, "o").join(FrameDataset(customers, "c"), "nk"))
+
+
+# -- aggregates --------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS count FROM lineitem")
+def agg_count(spark, sf):
+    return _run(_t(spark, sf, "lineitem").count())
+
+
+@query("SELECT round(avg(l_linenumber), 6) AS average FROM lineitem")
+def agg_average(spark, sf):
+    return _run(_t(spark, sf, "lineitem", "l_linenumber").average()).select(F.round("average", 6).alias("average"))
+
+
+@query("SELECT CAST(sum(l_partkey) AS BIGINT) AS sum FROM lineitem")
+def agg_sum(spark, sf):
+    return _run(_t(spark, sf, "lineitem", "l_partkey").sum())
+
+
+@query("SELECT min(o_totalprice) AS min FROM orders")
+def agg_min(spark, sf):
+    return _run(_t(spark, sf, "orders", "o_totalprice").min())
+
+
+@query("SELECT max(o_totalprice) AS max FROM orders")
+def agg_max(spark, sf):
+    return _run(_t(spark, sf, "orders", "o_totalprice").max())
+
+
+@query('SELECT l_returnflag, l_linestatus, count(*) AS "count(l_orderkey)" FROM lineitem GROUP BY 1, 2')
+def groupby_count(spark, sf):
+    return _run(_t(spark, sf, "lineitem").groupby(GroupBySig(["l_returnflag", "l_linestatus"], ["count"], ["l_orderkey"])))
+
+
+@query('SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS "sum(l_linenumber)" FROM lineitem GROUP BY 1')
+def groupby_sum(spark, sf):
+    return _run(_t(spark, sf, "lineitem").groupby(GroupBySig(["l_suppkey"], ["sum"], ["l_linenumber"])))
+
+
+@query('SELECT l_suppkey, round(avg(l_linenumber), 6) AS "average(l_linenumber)" FROM lineitem GROUP BY 1')
+def groupby_average(spark, sf):
+    df = _run(_t(spark, sf, "lineitem").groupby(GroupBySig(["l_suppkey"], ["average"], ["l_linenumber"])))
+    return df.select("l_suppkey", F.round(F.col("`average(l_linenumber)`"), 6).alias("average(l_linenumber)"))
+
+
+@query('SELECT event_type, min(value) AS "min(value)", max(user_id) AS "MAX(user_id)" FROM events GROUP BY 1')
+def groupby_min_max(spark, sf):
+    return _run(_t(spark, sf, "events").groupby(GroupBySig(["event_type"], ["min", "MAX"], ["value", "user_id"])))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list(coalesce(turn_or_null::VARCHAR, '-'))), ',') AS turns FROM (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN turn END AS turn_or_null FROM conversations) GROUP BY 1")
+def groupby_list(spark, sf):
+    data = _t(spark, sf, "conversations", "conv_id", "turn").map({"half": F.when(F.col("turn") % 2 == 0, F.col("turn"))}, [{"name": "half", "type": int, "desc": ""}])
+    df = _run(data.groupby(GroupBySig(["conv_id"], ["list"], ["half"])))
+    return df.select("conv_id", F.array_join(F.array_sort(F.transform(F.col("`list(half)`"), lambda x: F.coalesce(x.cast("string"), F.lit("-")))), ",").alias("turns"))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM conversations GROUP BY 1")
+def groupby_set(spark, sf):
+    df = _run(_t(spark, sf, "conversations").groupby(GroupBySig(["conv_id"], ["set"], ["role"])))
+    return df.select("conv_id", F.array_join(F.col("`set(role)`"), ",").alias("roles"))
+
+
+@query('SELECT count(*) AS "count(o_orderkey)", max(o_custkey) AS "max(o_custkey)" FROM orders')
+def groupby_nokey(spark, sf):
+    return _run(_t(spark, sf, "orders").groupby(GroupBySig([], ["count", "max"], ["o_orderkey", "o_custkey"])))
+
+
+@query('SELECT n AS "count(o_orderkey)", count(*) AS "count(o_custkey)" FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1')
+def groupby_nested(spark, sf):
+    inner = _t(spark, sf, "orders").groupby(GroupBySig(["o_custkey"], ["count"], ["o_orderkey"]))
+    return _run(inner.groupby(GroupBySig(["count(o_orderkey)"], ["count"], ["o_custkey"])))
+
+
+@query('SELECT l_orderkey, CAST(sum(q) AS BIGINT) AS "sum(parts)" FROM (SELECT l_orderkey, list_sum(list_value(l_partkey, l_suppkey)) AS q FROM lineitem) GROUP BY 1')
+def groupby_sum_of_lists(spark, sf):
+    data = FrameDataset(spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", F.array("l_partkey", "l_suppkey").alias("parts")), "lists")
+    return _run(data.groupby(GroupBySig(["l_orderkey"], ["sum"], ["parts"])))
+
+
+@query("SELECT l_suppkey FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) WHERE n > 5")
+def groupby_having(spark, sf):
+    return _run(_t(spark, sf, "lineitem").groupby(GroupBySig(["l_suppkey"], ["count"], ["l_orderkey"])).filter(F.col("`count(l_orderkey)`") > 5).project(["l_suppkey"]))
+
+
+@query("SELECT DISTINCT text, lang FROM documents")
+def distinct_all(spark, sf):
+    return _run(_t(spark, sf, "documents", "text", "lang").distinct())
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_cols(spark, sf):
+    return _run(_t(spark, sf, "documents", "doc_id", "lang", "source").distinct(["lang", "source"]).project(["lang", "source"]))
+
+
+@query("SELECT least(count(*), 137) AS count FROM orders")
+def limit_total(spark, sf):
+    return _run(_t(spark, sf, "orders").limit(137).count())
+
+
+# -- semantic verbs with rules of a local provider -----------------------------------
+
+
+def _contains(word):
+    return lambda r: word in r["text"].lower()
+
+
+_RULES = LocalProvider({
+    "the text speaks of the ing": _contains("thing"),
+    "long text": lambda r: len(r["text"]) > 1000,
+    "first word": lambda r: r["text"].split(" ")[0],
+    "length": lambda r: len(r["text"]),
+    "lines": lambda r: [{"line_no": i, "line": x} for i, x in enumerate(r["text"].split("\n"))],
+    "same language": lambda r: r["lang"] == r["lang_right"],
+    "total": lambda r: sum(x["turn"] for x in r["records"]) if "records" in r else sum(int(x) for x in r["partial"]),
+})
+
+
+def _semantic(**changes):
+    return QueryProcessorConfig.of(PLAIN, provider=_RULES, **changes)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'thing')")
+def sem_filter_contains(spark, sf):
+    return _run(_t(spark, sf, "documents").sem_filter("the text speaks of the ing", depends_on="text").project(["doc_id", "lang"]), _semantic())
+
+
+@query("SELECT page_id FROM pages WHERE contains(lower(html), 'casino')")
+def sem_filter_quoted(spark, sf):
+    return _run(_t(spark, sf, "pages").sem_filter("the page names 'casino'", depends_on="html").project(["page_id"]), _semantic())
+
+
+@query("SELECT doc_id, string_split(text, ' ')[1] AS first, length(text) AS size FROM documents")
+def sem_map_fields(spark, sf):
+    made = _t(spark, sf, "documents").sem_map([{"name": "first", "type": str, "desc": "first word"}, {"name": "size", "type": int, "desc": "length"}], depends_on="text")
+    return _run(made.project(["doc_id", "first", "size"]), _semantic())
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(html, '<html lang=\"(\w+)\"', 1), '') AS lang FROM pages")
+def sem_map_regex(spark, sf):
+    return _run(_t(spark, sf, "pages").sem_map([{"name": "lang", "type": str, "desc": 'regex: <html lang="(\\w+)"'}], depends_on="html").project(["page_id", "lang"]), _semantic())
+
+
+@query("SELECT conv_id, turn, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM conversations")
+def sem_flat_map_lines(spark, sf):
+    made = _t(spark, sf, "conversations").sem_flat_map([{"name": "line_no", "type": int, "desc": ""}, {"name": "line", "type": str, "desc": ""}], desc="lines", depends_on="text")
+    return _run(made.project(["conv_id", "turn", "line_no", "line"]), _semantic())
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'thing') AND length(text) > 1000")
+def sem_filter_pushed(spark, sf):
+    """Two semantic filters and a join: the optimizer moves both filters to the documents' side."""
+    data = _t(spark, sf, "documents", "doc_id", "text", "lang").join(_t(spark, sf, "documents", "doc_id", "source"), "doc_id")
+    data = data.sem_filter("the text speaks of the ing", depends_on="text").sem_filter("long text", depends_on="text")
+    config = QueryProcessorConfig(policy=MinCost(), provider=_RULES, available_models=["local-small"], allow_rag_reduction=False, allow_critic=False, allow_mixtures=False)
+    return _run(data.project(["doc_id", "lang"]), config)
+
+
+@query("SELECT doc_id, len(range(0, greatest(length(text), 1), 1000)) AS n_fixed, list_last(list_transform(range(0, greatest(length(text), 1), 1000), lambda i: substring(text, i + 1, 1000))) AS last_fixed, len(range(0, greatest(length(text), 1), greatest(CAST(ceil(length(text) / 4.0) AS BIGINT), 1))) AS n_even FROM documents")
+def split_chunks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    fixed = chunk_column(F.col("text"), 1000)
+    return docs.select("doc_id", F.size(fixed).cast("long").alias("n_fixed"), F.element_at(fixed, -1).alias("last_fixed"), F.size(split_column(F.col("text"), 4)).cast("long").alias("n_even"))
+
+
+@query("""SELECT doc_id FROM (SELECT doc_id, lower(text) AS t, CASE WHEN length(text) < 100 THEN greatest(length(text), 1) ELSE CAST(ceil(length(text) / 4.0) AS BIGINT) END AS size FROM documents)
+WHERE len(list_filter(list_transform(range(0, greatest(length(t), 1), size), lambda i: substring(t, i + 1, size)), lambda c: contains(c, 'thing'))) > 0""")
+def sem_filter_split(spark, sf):
+    """The split strategy: a quarter of a text at a time is judged, and the answers are merged."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    done = sem_filter(docs, "the text has 'thing'", LocalProvider(), Implementation("split", ("local-large",), (("chunks", 4), ("least", 100))), ["text"])
+    return done.where("__passed").select("doc_id")
+
+
+@query("SELECT n_name, n_regionkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sem_join_nested(spark, sf):
+    rule = LocalProvider({"the nation is in the region": lambda r: r["n_regionkey"] == r["r_regionkey"]})
+    return _run(_t(spark, sf, "nation", "n_name", "n_regionkey").sem_join(_t(spark, sf, "region"), "the nation is in the region"), QueryProcessorConfig.of(PLAIN, provider=rule))
+
+
+@query("SELECT n_name, n_regionkey, r_regionkey, r_name FROM nation FULL JOIN region ON n_regionkey + 1 = r_regionkey")
+def sem_join_outer(spark, sf):
+    rule = LocalProvider({"the region comes next": lambda r: r["n_regionkey"] + 1 == r["r_regionkey"]})
+    return _run(_t(spark, sf, "nation", "n_name", "n_regionkey").sem_join(_t(spark, sf, "region"), "the region comes next", how="outer"), QueryProcessorConfig.of(PLAIN, provider=rule))
+
+
+@query("SELECT a.doc_id AS doc_id, b.item_id AS item_id FROM documents a JOIN benchmark b ON a.doc_id % 40 = b.item_id % 40 AND (length(a.text) + length(b.text)) % 3 = 0")
+def sem_join_blocked(spark, sf):
+    """A blocking key makes the semantic join an equi-join; only pairs of a block are judged."""
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rule = LocalProvider({"sizes": lambda r: (len(r["text"]) + len(r["text_right"])) % 3 == 0})
+    out, _ = sem_join(docs, items, "sizes", "inner", rule, Implementation("nested", ("local-large",)), ["text"], block=lambda a, b: a["doc_id"] % 40 == b["item_id"] % 40)
+    return out.select("doc_id", "item_id")
+
+
+@query()
+def sem_join_embedding(spark, sf):
+    rule = LocalProvider({"same word": lambda r: bool(set(r["p_type"].split()) & set(r["word"].split()))})
+    kinds = FrameDataset(spark.read.parquet(f"{sf}/part.parquet").select("p_type").distinct(), "kinds")
+    words = FrameDataset(spark.read.parquet(f"{sf}/part.parquet").select(F.explode(F.split("p_type", " ")).alias("word")).distinct(), "words")
+    config = QueryProcessorConfig(policy=MinCost(), provider=rule, available_models=["local-small", "local-embed"])
+    return _run(kinds.sem_join(words, "same word"), config)
+
+
+@query("""SELECT q.vec_id AS vec_id, array_to_string(list(i.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, i.vec_id)[1:3], ',') AS nearest
+FROM embeddings q, embeddings i GROUP BY q.vec_id""")
+def sem_topk(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    index = VectorIndex(vectors, "vec_id", "vec_id", "embedding")
+    df = _run(FrameDataset(vectors, "v").sem_topk(index, "embedding", [{"name": "near", "type": list[str], "desc": ""}], k=3))
+    return df.select("vec_id", F.array_join("near", ",").alias("nearest"))
+
+
+@query("SELECT CAST(sum(turn) AS BIGINT) AS total FROM conversations")
+def sem_agg(spark, sf):
+    return _run(_t(spark, sf, "conversations", "turn").sem_agg({"name": "total", "type": int, "desc": "total"}, "sum of the turns"), _semantic())
+
+
+@query("SELECT l_returnflag, array_to_string(list_sort(list(DISTINCT l_linestatus)), '') AS statuses FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
+def relational_chain(spark, sf):
+    data = _t(spark, sf, "lineitem").filter(F.col("l_quantity") > 10, "l_quantity").distinct(["l_returnflag", "l_linestatus"])
+    df = _run(data.groupby(GroupBySig(["l_returnflag"], ["set"], ["l_linestatus"])))
+    return df.select("l_returnflag", F.array_join(F.col("`set(l_linestatus)`"), "").alias("statuses"))
+
+
+@query()
+def optimizer_choice(spark, sf):
+    """The plan chosen for a fixed workload under each policy."""
+    docs = _t(spark, sf, "documents").sem_map([{"name": "topic", "type": str, "desc": "topic"}], depends_on="text").sem_filter("long text", depends_on="text").filter(lambda r: r["lang"] == "en", "lang")
+    rows = []
+    for name, policy in (("max_quality", MaxQuality()), ("min_cost", MinCost()), ("min_time", MinTime()), ("max_quality_at_cost", MaxQualityAtFixedCost(0.01)), ("min_cost_at_quality", MinCostAtFixedQuality(0.5))):
+        plan = docs.plan(policy=policy)
+        rows.append((name, " > ".join(plan.describe()), plan.cost.cost, plan.cost.time, plan.cost.quality))
+    return spark.createDataFrame(rows, T.StructType([T.StructField("policy", T.StringType()), T.StructField("plan", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("cost", "time", "quality")]]))
