@@ -9,31 +9,36 @@ so a lost executor repeats one stage's work at most.
 from __future__ import annotations
 
 from semloom.llm import decontaminate, jaccard, lines, packing, quality
-from semloom.llm.store import written
+from semloom.llm.store import bounded_batches, written
 
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that pass the base rules and the quality model; the others go."""
+    bounded_batches(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark, docs, sf_dir):
     """Repeated multi-line chunks leave the texts."""
+    bounded_batches(spark)
     return lines.dedup_stage(docs)
 
 
 def jaccard_join(spark, docs, sf_dir):
     """One document of each group of near duplicates (5-word shingles, similarity 0.8)."""
+    bounded_batches(spark)
     return jaccard.dedup_stage(docs, 5, 80)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
     """Documents that hold too much of the benchmark go."""
+    bounded_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark, docs, sf_dir):
     """Pieces of training sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -223,5 +223,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                     found += packer.add(doc, flat[at[i] : at[i + 1]] + end)
                 yield rows(found)
         yield rows(list(packer.flush()))
+        word_ids.cache_clear()  # a reused worker keeps no vocabulary for what comes next
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import ctw, decontaminate, html_pages, jaccard, lines, packing, quality, substring, tokens, toxicity
+from .store import bounded_batches
 
 
 def _read(spark, sf_dir: str, name: str):
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

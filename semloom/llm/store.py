@@ -24,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, megabytes: int = 8, rows: int = 4000) -> None:
+    """Hold the session's Arrow batches to a size that suits long texts, where they may be larger.
+
+    A batch is held by the JVM and its Python worker at once, twice each while it is copied.
+    """
+    kept = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m"))
+    if kept > megabytes << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lost executors recompute nothing above it."""
     spark = df.sparkSession
