@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import map_text, mix, raw, slices, spans, texts, windows, word_hashes, words
+from .text import map_text, mix, raw, release, slices, spans, texts, windows, word_hashes, words
 
 #: Labelled rows of either class that the fit may use.
-PER_CLASS = 1500
+PER_CLASS = 1000
 THRESHOLD = 0.5
 MIN_WORDS = 50
 BITS = 15
@@ -101,11 +101,8 @@ def _sparse(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(ids), np.concatenate(values)) if ids else (np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit_logistic(ids: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, rounds: int = 120, l2: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression with Adam steps on sparse rows."""
-    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    col = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    val = np.concatenate(values) if values else np.zeros(0)
+def fit_logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, rounds: int = 120, l2: float = 1e-7) -> tuple[np.ndarray, float]:
+    """Full-batch logistic regression with Adam steps on sparse entries (row, col, val)."""
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, rounds + 1):
@@ -152,19 +149,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["doc_id", "y", "ids", "vals"])
 
     got = sample.mapInArrow(features, "doc_id long, y int, ids binary, vals binary").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    y = got["y"].to_numpy()[order].astype(float)
+    doc, y = got["doc_id"].to_numpy(), got["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    ids = [np.frombuffer(got["ids"][int(i)].as_buffer(), np.int32).astype(np.int64) for i in order]
-    values = [np.frombuffer(got["vals"][int(i)].as_buffer(), np.float32).astype(float) for i in order]
-    back = mix(got["doc_id"].to_numpy()[order].astype(np.uint64)) % np.uint64(5) == 0
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x.as_buffer()) // 4 for x in got["ids"]])
+    col = np.frombuffer(b"".join(x.as_buffer() for x in got["ids"]), np.int32)
+    val = np.frombuffer(b"".join(x.as_buffer() for x in got["vals"]), np.float32)
+    del got
+    back = mix(doc.astype(np.uint64)) % np.uint64(5) == 0
     if min(y[~back].sum(), (1 - y[~back]).sum(), y[back].sum(), (1 - y[back]).sum()) < 1:
-        back = np.arange(len(y)) >= len(y)  # too few rows to hold any back
-    take = lambda x, m: [a for a, keep in zip(x, m, strict=True) if keep]
-    w, b = fit_logistic(take(ids, ~back), take(values, ~back), y[~back], TYPES << BITS)
+        back = np.zeros(len(y), bool)  # too few rows to hold any back
+    used = ~back[row]
+    place = np.cumsum(~back) - 1
+    w, b = fit_logistic(place[row[used]].astype(np.int32), col[used], val[used], y[~back], TYPES << BITS)
     cal = back if back.any() else ~back
-    z = np.array([v @ w[i] + b for i, v in zip(take(ids, cal), take(values, cal), strict=True)])
+    z = (np.bincount(row, val * w[col], len(y)) + b)[cal]
+    del row, col, val, used
+    release()
     yc = y[cal]
     share = {c: shares[c] / sum(shares.values()) / max(1e-9, (yc == c).mean()) for c in (0, 1)}
     slope, offset = platt(z, yc, np.where(yc == 1, share[1], share[0]))
