@@ -21,6 +21,7 @@ stays null; sequence ids hold the task's number in their upper half.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .text import LOWER, raw, slices, word_hashes, words
+from .text import LOWER, raw, release, slices, word_hashes, words
 
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 4096
-REMEMBER = 1_500_000
+REMEMBER = 1_000_000
 _MARK = "<|endoftext|>"  # the library cuts a text at it before all else
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -53,6 +54,7 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would hold memory of their own
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -79,7 +81,8 @@ class WordIds:
         return out
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        found = self._encode([u.decode("utf-8", "replace") for u in units])
+        text = [u.decode("utf-8", "replace") for u in units]
+        found = [x for i in range(0, len(text), 4096) for x in self._encode(text[i : i + 4096])]  # the library's encodings are large
         size = np.array([len(x) for x in found], np.int64)
         flat = np.concatenate(found)
         while self.used + len(flat) > len(self.ids):
@@ -221,6 +224,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                 flat, at = flat.astype("<u4").tobytes(), (4 * at).tolist()
                 for i, doc in enumerate(part.column(0).to_pylist()):
                     found += packer.add(doc, flat[at[i] : at[i + 1]] + end)
+                del flat
+                release()
                 yield rows(found)
         yield rows(list(packer.flush()))
         word_ids.cache_clear()  # a reused worker keeps no vocabulary for what comes next
