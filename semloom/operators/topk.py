@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import cosine
 from .provider import ModelProvider
 from .relational import col
 
@@ -77,11 +77,43 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
     return df.withColumn(name, made(col(search_attr)))
 
 
-def _joined(df: DataFrame, index: VectorIndex, search_attr: str, name: str, k: int) -> DataFrame:
-    """A large index: each partition of it gives each query its k best (map side), then the best k of those are kept."""
+def _joined(df: DataFrame, index: VectorIndex, search_attr: str, name: str, k: int, block: int = 4096) -> DataFrame:
+    """A large index: blocks of queries meet blocks of the index, each pair gives every query its best k, and those are merged.
+
+    Both sides are packed into rows of ``block`` vectors first, so a pair of rows is one
+    matrix product and no task holds more than two blocks.
+    """
     queries = df.withColumn("__q", F.monotonically_increasing_id()).persist()
-    sim = cosine(F.col("__v"), F.col("vector"))
-    scored = index.df.join(queries.select("__q", col(search_attr).alias("__v"))).select("__q", F.struct((-sim).alias("d"), F.col("id").alias("id"), F.col("value").alias("value")).alias("hit"))
-    part = scored.groupBy("__q", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("hits"))
-    best = part.groupBy("__q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
-    return queries.join(best.select("__q", F.transform("hits", lambda h: h["value"]).alias(name)), "__q", "left").drop("__q")
+    left = _packed(queries.select(F.col("__q").alias("id"), F.lit("").alias("value"), col(search_attr).cast("array<double>").alias("vector")), block).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors")])
+    right = _packed(index.df.select(F.col("id").cast("string").alias("id"), "value", "vector"), block)
+
+    def best(batches):
+        for b in batches:
+            for q_ids, q_vectors, ids, values, vectors in zip(*(b.column(n).to_pylist() for n in ("q_ids", "q_vectors", "ids", "values", "vectors")), strict=True):
+                q, v = _matrix(q_vectors, len(q_ids)), _matrix(vectors, len(ids))
+                sim = q @ v.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-12)
+                order = np.lexsort((np.broadcast_to(np.array(ids), sim.shape), -sim))[:, :k]
+                rows = [(int(i), float(sim[r, c]), ids[c], values[c]) for r, i in enumerate(q_ids) for c in order[r].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([-x[1] for x in rows]), pa.array([x[2] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.string())], ["__q", "d", "id", "value"])
+
+    hits = left.crossJoin(right).mapInArrow(best, "__q long, d double, id string, value string")
+    merged = hits.groupBy("__q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "value"))), 1, k).alias("hits"))
+    return queries.join(merged.select("__q", F.transform("hits", lambda h: h["value"]).alias(name)), "__q", "left").drop("__q")
+
+
+def _matrix(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(rows, -1)
+
+
+def _packed(df: DataFrame, block: int) -> DataFrame:
+    """Rows (id, value, vector) as rows of up to ``block`` of them; rows without a vector are left out."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                rows = [r for r in b.slice(at, block).to_pylist() if r["vector"]]
+                if rows:
+                    data = np.array([r["vector"] for r in rows], np.float64).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([[str(r["id"]) for r in rows]], pa.list_(pa.string())), pa.array([[r["value"] for r in rows]], pa.list_(pa.string())), pa.array([data], pa.binary())], ["ids", "values", "vectors"])
+
+    return df.mapInArrow(run, "ids array<string>, values array<string>, vectors binary")

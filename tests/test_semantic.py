@@ -95,7 +95,7 @@ def test_thresholds(sample):
 
 
 def test_strategies():
-    requests = [Request("filter", "has 'lion'", {"text": "x" * 30 + " lion " + "y" * 30}), Request("filter", "has 'lion'", {"text": "short"})]
+    requests = [Request("filter", "has 'lion'", {"text": "x" * 10 + " lion " + "grass " * 6}), Request("filter", "has 'lion'", {"text": "short"})]
     for impl in (SINGLE, Implementation("rag", ("local-large",), (("embedder", "local-embed"), ("keep", 1), ("size", 40))), Implementation("split", ("local-large",), (("chunks", 2), ("least", 20))), Implementation("mixture", ("local-large", "local-small", "local-large"), (("temperature", 0.0),)), Implementation("critique", ("local-large", "local-small", "local-large"))):
         answers, spent = judged(LocalProvider(), impl, requests)
         assert answers == [True, False], impl
@@ -135,6 +135,17 @@ def test_topk(spark):
     assert own.run(config(LocalProvider())).df.first()["near"] == []
 
 
+def test_large_index_gives_the_same(spark, sf, monkeypatch):
+    from semloom.operators import topk
+
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("concat('v', vec_id) as vec_id", "embedding")
+    index = sl.VectorIndex(vectors, "vec_id", "vec_id", "embedding")
+    near = sl.FrameDataset(vectors).sem_topk(index, "embedding", [{"name": "near", "type": list[str], "desc": ""}], k=3)
+    small = {r["vec_id"]: r["near"] for r in near.run(config(LocalProvider())).df.collect()}
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
+    assert {r["vec_id"]: r["near"] for r in near.run(config(LocalProvider())).df.collect()} == small
+
+
 def test_context_trim_and_cache():
     r = Request("filter", "x", {"a": "y" * 40_000, "b": "z"}, model="local-short")
     assert len(r.prompt()) < 25_000
