@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if mark[0] == 0 or mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
-        now = written(_small_star(_large_star(now)), name)
+        old, now = now, written(_small_star(_large_star(now)), name)
+        discard(old)

@@ -48,7 +48,7 @@ from .store import written
 from .text import mix, raw, signed, slices, spans, windows, word_hashes, words
 
 SKETCH_BITS = 20
-_SEGMENTS = 16
+_SEGMENTS = 64
 #: A list longer than this (over the sketch's mean load) isn't handled as one stream.
 HOT = 2000
 #: Bounds of a block of a group: shingles and classes.
@@ -119,16 +119,21 @@ def _first_pass(keyed: DataFrame, k: int) -> DataFrame:
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
+    """The tasks' sketches summed: by groups of partitions first, then over the groups, a segment at a time."""
+
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << SKETCH_BITS) // _SEGMENTS, np.uint64)
         for batch in batches:
-            for x in batch.column(1).to_pylist():
-                total += np.frombuffer(zlib.decompress(x), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["seg", "counts"])
+            for x in batch.column(batch.num_columns - 1).to_pylist():
+                data = np.frombuffer(zlib.decompress(x), "u1")
+                total += data.view("<u4" if len(data) == 4 * len(total) else "<u8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["seg", "counts"])
 
     out = np.zeros((_SEGMENTS, (1 << SKETCH_BITS) // _SEGMENTS), np.uint64)
-    for r in rows.where("seg is not null").select("seg", "counts").groupBy("seg").applyInArrow(add, "seg int, counts binary").collect():
-        out[r["seg"]] = np.frombuffer(r["counts"], np.uint64)
+    parts = rows.where("seg is not null").select("seg", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"), "counts")
+    parts = parts.groupBy("seg", "part").applyInArrow(add, "seg int, counts binary").groupBy("seg").applyInArrow(add, "seg int, counts binary")
+    for r in parts.collect():
+        out[r["seg"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     return out.reshape(-1)
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import least_by_hash
 from .text import map_text, mix, raw, release, slices, spans, texts, windows, word_hashes, words
 
 #: Labelled rows of either class that the fit may use.
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     shares = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(shares) < 2:
         return None
-    picked = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    picked = [least_by_hash(known.where(F.col("y") == c), "doc_id", per_class, shares[c]) for c in (0, 1)]
     picked = picked[0].union(picked[1])
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BITMAP_BITS = 23
 _SEGMENTS = 64
@@ -42,7 +43,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/semloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def least_by_hash(df: DataFrame, column: str, n: int, total: int) -> DataFrame:
+    """The ``n`` rows with the least hash of a column, of ``total`` rows.
+
+    Rows far over the share asked for are passed over before the ordered limit, so
+    that tasks don't each send ``n`` rows.
+    """
+    share = min(1.0, (2 * n + 100) / max(1, total))
+    near = df.where(F.pmod(F.xxhash64(column), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    return near.orderBy(F.pmod(F.xxhash64(column), F.lit(1 << 20)), column).limit(n)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``written`` made; nothing lazy may read it any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def bit_of(h: int) -> int:

@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import least_by_hash
 from .text import map_text, slices, texts
 
 TOXIC_ROWS = 4000
@@ -187,7 +188,8 @@ def held_out(doc_id: "F.Column") -> "F.Column":
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS)) -> DataFrame:
     """(doc_id, y, text) of the bounded sample of training rows."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
-    picked = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[c]) for c in (0, 1)]
+    total = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    picked = [least_by_hash(known.where(F.col("y") == c), "doc_id", rows[c], total.get(c, 0)) for c in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "y", "text")
 
 
