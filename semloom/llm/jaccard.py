@@ -20,8 +20,8 @@ Documents with the same set form one class, and only classes are compared.
    sizes can't reach the threshold are skipped by their position. A set's
    intersections are derived from a pivot's: with the pivot's shared part as bits,
    |x & y| = |x & y & p| + |x & y - p|, where both terms come from the sets'
-   differences from the pivot. Each piece gives a spanning forest of its links,
-   not all pairs.
+   differences from the pivot. Each piece gives a spanning forest of its links and
+   each class's number of links, not all pairs.
 5. Components of the links are found on small tables of class ids.
 
 Texts go once to the groups they belong to; nothing is dropped or capped.
@@ -231,13 +231,14 @@ def _to_hubs(keyed: DataFrame, k: int, percent: int, counts: np.ndarray) -> Data
     return out.distinct()
 
 
-def _links_in(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Labels of the sets' components by their links; sets are in order of size."""
+def _links_in(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the sets' components by their links, and the matrix of links; sets are in order of size."""
     g = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     if g == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.zeros(2, np.int64) if 100 * both >= percent * (size.sum() - both) else np.arange(2)
+        linked = 100 * both >= percent * (size.sum() - both)
+        return np.zeros(2, np.int64) if linked else np.arange(2), np.array([[False, linked], [linked, False]])
     pivot = sets[g // 2]
     inside, extras = [], []
     for s in sets:
@@ -276,66 +277,97 @@ def _links_in(sets: list[np.ndarray], percent: int) -> np.ndarray:
                 new = np.flatnonzero(link[front].any(0) & (label < 0))
                 label[new] = i
                 front = new
-    return label
+    return label, link
+
+
+def _elsewhere(hub: int, hubs: list[list[int]]) -> np.ndarray:
+    """Pairs that meet in the group of a lesser hub too: their links are counted there."""
+    lesser: dict[int, list[int]] = {}
+    for i, own in enumerate(hubs):
+        for h in own:
+            if h < hub:
+                lesser.setdefault(h, []).append(i)
+    out = np.zeros((len(hubs), len(hubs)), bool)
+    for members in lesser.values():
+        if len(members) > 1:
+            out[np.ix_(members, members)] = True
+    return out
 
 
 def _links(groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links in each piece of work; rows come sorted by piece."""
-
-    def forest(members: list[tuple[int, int, str]]) -> Iterator[tuple[bytes, bytes]]:
-        sets = {}
-        for hi, lo, text in members:
-            if (hi, lo) not in sets:
+    """For each piece of work, from rows sorted by piece: a spanning forest of its links (a, b), and how many
+    documents each class is linked with by them (a, links). A pair of classes that meets in several pieces
+    is counted in one: under its least hub, and of two blocks not inside either."""
+
+    def work(key: tuple[int, int, int], members: list[tuple]) -> Iterator[tuple]:
+        found = {}
+        for own, hi, lo, size, hubs, text in members:
+            if (hi, lo) not in found:
                 s = shingle_sets(pa.array([text], pa.string()), k)[0]
                 if class_of(s) == (hi, lo):  # rows that share a doc_id may have other texts
-                    sets[hi, lo] = s
-        if len(sets) < 2:
+                    found[hi, lo] = (s, own, size, hubs)
+        if len(found) < 2:
             return
-        order = sorted(sets, key=lambda x: len(sets[x]))
-        label = _links_in([sets[x] for x in order], percent)
+        order = sorted(found, key=lambda x: len(found[x][0]))
+        sets, own, size, hubs = zip(*(found[x] for x in order), strict=True)
+        label, link = _links_in(list(sets), percent)
         node = [hi.to_bytes(8, "big", signed=True) + lo.to_bytes(8, "big", signed=True) for hi, lo in order]
         for i, j in enumerate(label.tolist()):
             if i != j:
-                yield node[i], node[j]
+                yield node[i], node[j], None
+        counted = link & ~_elsewhere(key[0], list(hubs))
+        if key[1] != key[2]:
+            block = np.array(own)
+            counted &= block[:, None] != block[None, :]
+        total = counted @ np.array(size, np.int64)
+        for i in np.flatnonzero(total).tolist():
+            yield node[i], None, int(total[i])
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.int64())], ["a", "b", "links"])
 
     def run(batches):
         key, members = None, []
         for batch in batches:
             out = []
-            for hub, i, j, hi, lo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hub, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (hub, i, j) != key:
-                    out += forest(members)
+                    out += work(key, members) if members else []
                     key, members = (hub, i, j), []
-                members.append((hi, lo, text))
-            yield _edge_rows(out)
-        yield _edge_rows(list(forest(members)))
-
-    def _edge_rows(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+                members.append(member)
+            yield rows(out)
+        yield rows(list(work(key, members)) if members else [])
 
-    return groups.select("hub", "i", "j", "hi", "lo", "text").mapInArrow(run, "a binary, b binary")
+    return groups.select("hub", "i", "j", "own", "hi", "lo", "size", "hubs", "text").mapInArrow(run, "a binary, b binary, links long")
 
 
 def linked_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, version, n_shingles, component_id) of every document; ``version`` is the text's hash."""
+    """(doc_id, version, n_shingles, component_id, n_links) of every document.
+
+    ``version`` is the text's hash; ``n_links`` is the number of other documents linked with it.
+    """
     keyed = _keyed(docs)
     rows = written(_first_pass(keyed, k), "classes")
     docs_by_class = rows.where("seg is null").select("doc", "version", "hi", "lo", "n")
-    classes = docs_by_class.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.min("n").alias("n"))
+    classes = docs_by_class.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"))
     members = written(_to_hubs(keyed, k, percent, _sketch(rows)).join(classes, "hi"), "members")
     sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("m"))
-    pieces = members.join(sizes, "hub").withColumn("own", F.pmod("lo", F.col("m")))
+    hubs = members.groupBy("hi", "lo").agg(F.collect_set("hub").alias("hubs"))
+    pieces = members.join(sizes, "hub").join(hubs, ["hi", "lo"]).withColumn("own", F.pmod("lo", F.col("m")))
     pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other"))
-    pieces = pieces.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "hi", "lo", "rep")
-    shipped = keyed.join(pieces, keyed["doc"].eqNullSafe(pieces["rep"])).select("hub", "i", "j", "hi", "lo", "text")
+    pieces = pieces.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "hi", "lo", "rep", "size", "hubs")
+    shipped = keyed.join(pieces, keyed["doc"].eqNullSafe(pieces["rep"])).select("hub", "i", "j", "own", "hi", "lo", "size", "hubs", "text")
     groups = shipped.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    roots = components(_links(groups, k, percent), "links")
+    found = written(_links(groups, k, percent), "links")
+    roots = components(found.where("b is not null").select("a", "b"), "roots")
+    counts = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     node = F.concat(_bytes("hi"), _bytes("lo"))
-    named = classes.select("rep", "hi", "lo", node.alias("node")).join(roots, "node", "left").select("rep", "hi", "lo", F.coalesce("root", "node").alias("root"))
+    named = classes.select("rep", "hi", "lo", "size", node.alias("node")).join(roots, "node", "left").join(counts, "node", "left")
+    named = named.select("rep", "hi", "lo", F.coalesce("root", "node").alias("root"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     least = named.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root", "left").select("hi", "lo", F.coalesce("least", "rep").alias("least"))
+    named = named.join(least, "root", "left").select("hi", "lo", "links", F.coalesce("least", "rep").alias("least"))
     out = docs_by_class.join(named, ["hi", "lo"], "left")
-    return out.select(F.col("doc").alias("doc_id"), "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+    return out.select(F.col("doc").alias("doc_id"), "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("links")).otherwise(0).alias("n_links"))
 
 
 def _bytes(column: str):
@@ -343,7 +375,7 @@ def _bytes(column: str):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id by 3-word shingles at 90 of 100."""
+    """doc_id, n_shingles, component_id and n_links by 3-word shingles at 90 of 100."""
     return linked_components(docs, 3, 90).drop("version")
 
 
@@ -376,5 +408,6 @@ WITH RECURSIVE w AS (
 ), least_id AS (
   SELECT a AS k, min(doc_id) AS component_id FROM r JOIN w ON w.k = r.b GROUP BY a
 )
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM w JOIN least_id USING (k) LEFT JOIN n USING (k)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.c, 0)::BIGINT AS n_links
+FROM w JOIN least_id USING (k) LEFT JOIN n USING (k) LEFT JOIN (SELECT x AS k, count(*) AS c FROM e GROUP BY x) AS d USING (k)
 """

@@ -125,7 +125,7 @@ def sets_brute(rows, k):
 
 def components_brute(rows, k, percent):
     sets = sets_brute(rows, k)
-    label = list(range(len(rows)))
+    label, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while label[x] != x:
@@ -137,11 +137,12 @@ def components_brute(rows, k, percent):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
                 label[find(i)] = find(j)
+                links[i], links[j] = links[i] + 1, links[j] + 1
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(find(i), []).append(rows[i][0])
     least = {g: min((d for d in ids if d is not None), default=None) for g, ids in groups.items()}
-    return sorted([(rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0]) for i in range(len(rows))], key=repr)
+    return sorted([(rows[i][0], len(sets[i]), least[find(i)] if sets[i] else rows[i][0], links[i]) for i in range(len(rows))], key=repr)
 
 
 def near_copies(seed, groups=6, copies=12, size=120):
@@ -164,7 +165,7 @@ def near_copies(seed, groups=6, copies=12, size=120):
 def test_jaccard_components(spark, odd_rows, k, percent):
     for rows in (odd_rows, near_copies(k)):
         found = jaccard.linked_components(table(spark, rows), k, percent).collect()
-        assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found], key=repr) == components_brute(rows, k, percent)
+        assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found], key=repr) == components_brute(rows, k, percent)
 
 
 def test_jaccard_with_tiny_blocks_and_long_lists(spark, monkeypatch):
@@ -181,7 +182,7 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, odd_rows):
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
     want = components_brute(odd_rows, 5, 80)
-    assert ids == sorted({d for d, _, c in want if d is not None and d == c})
+    assert ids == sorted({d for d, _, c, _ in want if d is not None and d == c})
     assert jaccard.report(docs.limit(0)).count() == 0
 
 
@@ -189,7 +190,7 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, odd_rows):
 @settings(max_examples=80, deadline=None)
 def test_links_inside_a_group(sets, percent):
     arrays = sorted((np.array(sorted(s), np.uint64) for s in sets), key=len)
-    label = jaccard._links_in(arrays, percent).tolist()
+    label = jaccard._links_in(arrays, percent)[0].tolist()
     plain = [set(a.tolist()) for a in arrays]
     want = list(range(len(plain)))
     for _ in plain:
