@@ -36,7 +36,7 @@ from .text import LOWER, raw, release, slices, word_hashes, words
 CAPACITY = 4096
 END_ID = 2
 MAX_OPEN = 4096
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 _MARK = "<|endoftext|>"  # the library cuts a text at it before all else
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -228,6 +228,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                 release()
                 yield rows(found)
         yield rows(list(packer.flush()))
-        word_ids.cache_clear()  # a reused worker keeps no vocabulary for what comes next
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
