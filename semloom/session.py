@@ -6,7 +6,6 @@ from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .operators import relational, semantic
 from .operators.provider import LocalProvider, ModelProvider
@@ -175,6 +174,3 @@ def lower(spark: SparkSession, plan: PhysicalPlan, config: QueryProcessorConfig)
         if wrong:
             raise TypeError(f"columns {wrong} don't have their declared types")
     return Lowered(df, stages)
-
-
-EMPTY = T.StructType([])

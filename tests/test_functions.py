@@ -46,8 +46,8 @@ def test_chunk_columns_are_the_functions(spark):
 
 def test_top_chunks_keep_order():
     embed = lambda x: np.array([hashed_vector(t) for t in x])
-    text = "red red red " + "blue blue blue"[:12] + "red green red"
-    assert top_chunks(text, "red", 12, 2, embed) == "red red red ...red green red"
+    text = "red red red " + "blue blue blue"[:12] + "red green up"
+    assert top_chunks(text, "red", 12, 2, embed) == "red red red ...red green up"
     assert top_chunks("short", "red", 12, 2, embed) == "short"
 
 
