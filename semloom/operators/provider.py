@@ -47,9 +47,17 @@ class Request:
             "agg": "Give one JSON object with the field asked for, over all records.",
             "judge": "Give a score from 0 to 1.",
         }[self.verb]
+        step = {
+            "answer": "Answer from the record alone.",
+            "propose": "Propose an answer; others propose too, and one will combine them.",
+            "critique": "Name what is wrong or missing in the earlier answer, and how to mend it.",
+            "refine": "Give the answer anew, mended by the earlier criticism.",
+            "merge": "The earlier answers each saw a part of the record; combine them into one.",
+            "aggregate": "The earlier answers are by other models; weigh them and give the best one.",
+        }[self.stage]
         asked = "\n".join(f"- {n}: {d}" for n, d in self.fields)
         earlier = "\n".join(f"Earlier ({self.stage}): {p}" for p in self.prior)
-        return f"{self.instruction}\n{shape}\n{asked}\nRecord: {json.dumps(inputs, default=str, ensure_ascii=False)}\n{earlier}\nANSWER:"
+        return f"{self.instruction}\n{shape} {step}\n{asked}\nRecord: {json.dumps(inputs, default=str, ensure_ascii=False)}\n{earlier}\nANSWER:"
 
 
 @dataclass(frozen=True)

@@ -149,6 +149,8 @@ def test_large_index_gives_the_same(spark, sf, monkeypatch):
 def test_context_trim_and_cache():
     r = Request("filter", "x", {"a": "y" * 40_000, "b": "z"}, model="local-short")
     assert len(r.prompt()) < 25_000
+    prompts = {Request(v, "x", {"a": 1}, stage=s).prompt() for v in ("filter", "join", "map", "flat_map", "agg") for s in ("answer", "propose", "critique", "refine", "merge", "aggregate")}
+    assert len(prompts) == 30
     asked = []
 
     class Counting(ModelProvider):
