@@ -102,16 +102,10 @@ def load(spark: SparkSession, node: Node, config: QueryProcessorConfig) -> DataF
         raise KeyError(f"the source lacks fields {missing}")
     df = df.select(*[relational.col(n) for n in node.schema.names])
     if config.scan_start_idx or config.num_samples is not None:
-        # places are counted from the partitions' sizes: no sort and no single partition
-        sizes = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-        before, total = {}, 0
-        for p in sorted(sizes):
-            before[p], total = total, total + sizes[p]
-        starts = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n).cast("long"))]) if before else None
-        if starts is not None:
-            at = starts[F.spark_partition_id()] + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-            end = config.scan_start_idx + config.num_samples if config.num_samples is not None else total
-            df = df.withColumn("__at", at).where((F.col("__at") >= config.scan_start_idx) & (F.col("__at") < end)).drop("__at")
+        df = relational.with_places(df, "__at").where(F.col("__at") >= config.scan_start_idx)
+        if config.num_samples is not None:
+            df = df.where(F.col("__at") < config.scan_start_idx + config.num_samples)
+        df = df.drop("__at")
     return df
 
 

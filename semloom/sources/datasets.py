@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import types as S
 from ..dataset import Dataset
+from ..operators.relational import with_places
 from ..plans.logical import scan
 from .html_text import first_words, html_to_text
 from .udfs import read_workbook
@@ -42,6 +43,16 @@ class RootDataset(Dataset):
     def __init__(self, id: str, schema: T.StructType, load: Callable[[SparkSession], DataFrame]):
         super().__init__(scan(Source(id, load), schema), id)
 
+    def with_source_ids(self, name: str = "source_id") -> "RootDataset":
+        """The dataset with each record's origin, ``{dataset id}-{place}``, as a column that further verbs carry along."""
+        load = self.node["source"].load
+
+        def identified(spark: SparkSession) -> DataFrame:
+            df = with_places(load(spark), "__at")
+            return df.withColumn(name, F.concat(F.lit(f"{self.id}-"), F.col("__at"))).drop("__at")
+
+        return RootDataset(self.id, T.StructType([*self.schema.fields, S.field(name, str, "where the record comes from")]), identified)
+
 
 class FrameDataset(RootDataset):
     """Any DataFrame: parquet, CSV, JSON, JDBC, tables and streams all come in by Spark's readers."""

@@ -62,6 +62,13 @@ def test_memory_and_resolve(spark):
             sl.resolve_datasource("x", bad)
 
 
+def test_source_ids_follow_the_records(spark):
+    left = sl.MemoryDataset("l", [{"k": i} for i in range(6)]).with_source_ids()
+    right = sl.MemoryDataset("r", [{"k": i} for i in (1, 4)]).with_source_ids()
+    got = sorted(map(tuple, left.join(right, "k").run().df.collect()))
+    assert got == [(1, "l-1", "r-0"), (4, "l-4", "r-1")]
+
+
 class Squares(sl.IterDataset):
     def __init__(self, n):
         super().__init__("squares", [{"name": "i", "type": int, "desc": ""}, {"name": "sq", "type": int, "desc": ""}])
