@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.groupby import GroupBySig
 from ..types import union_schemas
@@ -38,11 +41,42 @@ def filter_rows(df: DataFrame, predicate, depends_on: tuple[str, ...] = ()) -> D
         return df.where(predicate)
     names = list(depends_on) or df.columns
 
-    def test(row):
-        return bool(predicate(row.asDict(recursive=True)))
+    def test(given: pa.Array) -> pa.Array:
+        return pa.array([bool(predicate(r)) for r in _dicts(given)], pa.bool_())
 
-    keep = F.udf(test, T.BooleanType()).asNondeterministic()
-    return df.where(keep(F.struct(*[col(n) for n in names])))
+    return df.where(F.arrow_udf(test, T.BooleanType()).asNondeterministic()(F.struct(*[col(n) for n in names])))
+
+
+def _dicts(given: pa.StructArray):
+    """The rows of a batch as dicts, read column by column."""
+    names = [f.name for f in given.type]
+    for values in zip(*(c.to_pylist(maps_as_pydicts="lossy") for c in given.flatten()), strict=True):
+        yield dict(zip(names, values, strict=True))
+
+
+def _fit(value, kind: pa.DataType):
+    """A value as the declared type; None if it isn't one."""
+    if value is None:
+        return None
+    try:
+        if pa.types.is_string(kind):
+            return str(value)
+        if pa.types.is_integer(kind):
+            return int(value) if int(value) == value else None
+        if pa.types.is_floating(kind):
+            return float(value)
+        if pa.types.is_list(kind):
+            return [_fit(x, kind.value_type) for x in value]
+        return pa.scalar(value, kind).as_py()
+    except (TypeError, ValueError, pa.ArrowException):
+        return None
+
+
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowException, TypeError, ValueError):
+        return pa.array([_fit(v, kind) for v in values], kind)
 
 
 def map_rows(df: DataFrame, function, fields: T.StructType, many: bool = False, depends_on: tuple[str, ...] = ()) -> DataFrame:
@@ -57,29 +91,41 @@ def map_rows(df: DataFrame, function, fields: T.StructType, many: bool = False,
         return df.select("*", *[function[f.name].cast(f.dataType).alias(f.name) for f in new])
     names = list(depends_on) or df.columns
     shape = T.StructType([T.StructField(f.name, f.dataType, True) for f in new])
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new]
 
     def one(row):
-        got = function(row.asDict(recursive=True))
-        if not new:
-            return ()
-        if not isinstance(got, dict):
+        got = function(row)
+        if new and not isinstance(got, dict):
             raise TypeError("a one-to-one function must return a dict")
-        return tuple(got[f.name] for f in new)
+        return got
 
     def several(row):
-        got = function(row.asDict(recursive=True))
+        got = function(row)
         if not isinstance(got, list):
             raise TypeError("a one-to-many function must return a list of dicts")
-        return [tuple(x.get(f.name) for f in new) for x in got]
+        return got
+
+    def ones(given: pa.Array) -> pa.Array:
+        got = [one(r) for r in _dicts(given)]
+        return pa.StructArray.from_arrays([_array([g[n] for g in got], k) for n, k in kinds], [n for n, _ in kinds])
+
+    def lists(given: pa.Array) -> pa.Array:
+        got = [several(r) for r in _dicts(given)]
+        flat = [x for g in got for x in g]
+        rows = pa.StructArray.from_arrays([_array([x.get(n) for x in flat], k) for n, k in kinds], [n for n, _ in kinds])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in got])), pa.int32()), rows)
+
+    def ran(given: pa.Array) -> pa.Array:
+        for r in _dicts(given):
+            function(r)
+        return pa.array([True] * len(given))
 
     given = F.struct(*[col(n) for n in names])
+    if not new:  # for its side effect
+        return df.where(F.arrow_udf(ran, T.BooleanType()).asNondeterministic()(given))
     if many:
-        made = F.udf(several, T.ArrayType(shape)).asNondeterministic()(given)
-        return df.select("*", F.inline_outer(made)) if new else df
-    if not new:
-        ran = F.udf(lambda row: bool(one(row)) or True, T.BooleanType()).asNondeterministic()
-        return df.where(ran(given))  # for its side effect; no columns
-    out = df.select("*", F.udf(one, shape).asNondeterministic()(given).alias("__made"))
+        return df.select("*", F.inline_outer(F.arrow_udf(lists, T.ArrayType(shape)).asNondeterministic()(given)))
+    out = df.select("*", F.arrow_udf(ones, shape).asNondeterministic()(given).alias("__made"))
     return out.select(*[col(c) for c in df.columns], *[F.col("__made")[f.name].alias(f.name) for f in new])
 
 

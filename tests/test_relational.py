@@ -48,6 +48,16 @@ def test_map_and_flat_map(spark):
     assert {r["y"] for r in missing.run()} == {None}
 
 
+def test_results_are_fitted_to_their_types(spark):
+    rows = sl.MemoryDataset("r", [{"v": 1}, {"v": 2}])
+    cols = [{"name": "i", "type": int, "desc": ""}, {"name": "s", "type": str, "desc": ""}, {"name": "l", "type": list[int], "desc": ""}]
+    got = rows.map(lambda r: {"i": 2.0 if r["v"] == 1 else "many", "s": r["v"], "l": [r["v"], 2.0]}, cols).run()
+    assert sorted(map(tuple, got.df.collect())) == [(1, 2, "1", [1, 2]), (2, None, "2", [2, 2])]
+    nested = spark.createDataFrame([(1, {"a": 1}, [("x", 2)])], "k long, m map<string,int>, s array<struct<n:string,c:int>>")
+    seen = sl.FrameDataset(nested).map(lambda r: {"i": r["m"]["a"] + r["s"][0]["c"], "s": "", "l": []}, cols).run().df.first()
+    assert seen["i"] == 3
+
+
 def test_joins(spark):
     orders = sl.MemoryDataset("orders", ORDERS).project(["order_id", "customer_id"])
     customers = sl.MemoryDataset("customers", [{"customer_id": c, "name": n} for c, n in ((101, "A"), (102, "B"), (103, "C"), (104, "D"), (105, "E"))])
