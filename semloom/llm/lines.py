@@ -1,12 +1,14 @@
-"""Line deduplication by content-defined line chunks.
-
-A text's lines (split at ``\\n``) are hashed, and a rolling hash over ``WINDOW``
-line hashes cuts the lines into chunks: a chunk ends where the rolling hash of
-its last lines is 0 modulo ``MODULUS`` (after ``MIN_LINES`` lines), or after
-``MAX_LINES``. The cut depends on nearby lines alone, so chunks line up again
-after inserted or missing lines. A chunk with two lines with words or more that
-occurs again anywhere is removed, except its first occurrence (least doc_id,
-first place in it). Chunks are equal only if their bytes are.
+"""Line deduplication: repeated runs of lines leave the texts, except where they first stand.
+
+A text's lines are split at ``\\n``. A chunk is two neighbouring lines with words,
+and the blank lines between them; one starts at every line with words but the
+last, so chunks overlap, and a run of two or more lines with words occurs again
+exactly if all its chunks do. A chunk that occurs again anywhere is removed,
+except its first occurrence (least doc_id, first place in it). So a line goes if
+and only if it stands in a run of two or more lines with words that an earlier
+document has, or the same document earlier without overlap; the first place of
+each line that is in a removed run always stays. Chunks are equal only if their
+bytes are.
 
 Only hashes are shuffled to find repeats. Their hashes go into a bitmap of fixed
 size (``BITMAP_BITS``), which is broadcast: the second pass ships bytes just for
@@ -16,7 +18,8 @@ task. Decisions go back to the rows by a join on doc_id and the text's hash.
 
 Defined cases: null text stays null; rows that share a doc_id are one document
 for the choice of the first occurrence, and each keeps its own first; a null
-doc_id comes after all others; single lines are never removed.
+doc_id comes after all others; single lines are never removed; blank lines before
+and after a removed run stay, unless no line with words is left in the text.
 """
 
 from __future__ import annotations
@@ -33,42 +36,42 @@ from pyspark.sql import functions as F
 from .store import bit_of, bitmap
 from .text import slices, texts
 
-WINDOW = 2
-MIN_LINES = 2
-MAX_LINES = 16
-MODULUS = 4
 _LAST = 2**63 - 1
 _MASK = 2**64 - 1
 
 
 def line_chunks(lines: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of lines, content-defined, that have two lines with words or more."""
-    n = len(lines)
-    if n < MIN_LINES:
-        return
-    h = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    start = 0
-    for i in range(1, n):
-        size = i - start + 1
-        rolled = 0
-        for x in h[i - WINDOW + 1 : i + 1]:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + x) & _MASK
-        rolled ^= rolled >> 29
-        if size >= MIN_LINES and (rolled % MODULUS == 0 or size == MAX_LINES or i == n - 1):
-            if sum(1 for x in lines[start : i + 1] if x.strip()) >= 2:
-                yield start, i + 1
-            start = i + 1
+    """Ranges of lines of the chunks: from each line with words to the next one."""
+    at = [i for i, x in enumerate(lines) if x.strip()]
+    for a, b in zip(at, at[1:], strict=False):
+        yield a, b + 1
 
 
 def repeatable(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """First line, number and bytes of each chunk that may be removed, in order."""
+    """Number, hash and lines of each chunk, in order; chunks of the same two lines share a hash."""
+    if b"\n" not in text:
+        return
     lines = text.split(b"\n")
+    before = 0
     for number, (a, b) in enumerate(line_chunks(lines)):
-        yield a, number, b"\n".join(lines[a:b])
+        this = before if number else _hash(lines[a])
+        before = _hash(lines[b - 1])
+        h = (this * 0x9E3779B97F4A7C15 + before) & _MASK
+        h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & _MASK
+        yield number, (h ^ h >> 32) - 2**63, lines[a:b]
+
+
+def _hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line, seed=7)
 
 
-def _hash(chunk: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(chunk, seed=7) - 2**63
+def _gone(numbers, lines: list[bytes]) -> np.ndarray:
+    """Which lines go with the chunks of these numbers."""
+    drop = np.zeros(len(lines), bool)
+    at = list(line_chunks(lines))
+    for number in numbers:
+        drop[slice(*at[number])] = True
+    return drop if any(x.strip() for x, d in zip(lines, drop, strict=True) if not d) else np.ones(len(lines), bool)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -81,9 +84,9 @@ def _hashes(keyed: DataFrame) -> DataFrame:
             for part in slices(batch):
                 doc, h = [], []
                 for d, t in zip(part.column(0).to_pylist(), texts(part.column(2)), strict=True):
-                    for _, _, chunk in repeatable(t):
+                    for _, x, _ in repeatable(t):
                         doc.append(d)
-                        h.append(_hash(chunk))
+                        h.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64())], ["h", "doc"])
 
     return keyed.mapInArrow(run, "h long, doc long")
@@ -98,17 +101,16 @@ def _candidates(keyed: DataFrame, shared, with_bytes: bool) -> DataFrame:
             for part in slices(batch):
                 rows = []
                 for d, v, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2)), strict=True):
-                    seen = set()
-                    for _, number, chunk in repeatable(t):
-                        h = _hash(chunk)
+                    seen = {}
+                    for number, h, chunk in repeatable(t):
                         at = bit_of(h)
                         if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                            chunk = b"\n".join(chunk)
                             if with_bytes:
                                 rows.append((h, d, chunk))
                             else:
                                 digest = hashlib.sha256(chunk).digest()
-                                rows.append((h, digest, d, v, number, digest in seen))
-                                seen.add(digest)
+                                rows.append((h, digest, d, v, number, number - seen.setdefault(digest, number) > 1))
                 kinds = [pa.int64(), pa.int64(), pa.binary()] if with_bytes else [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
                 names = ["h", "doc", "chunk"] if with_bytes else ["h", "digest", "doc", "version", "number", "again"]
                 columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
@@ -132,12 +134,7 @@ def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
     for t, gone in zip(text.to_pylist(), removed.to_pylist(), strict=True):
         lines = (t or "").encode().split(b"\n")
         n_lines.append(len(lines) if t else 0)
-        drop = np.zeros(len(lines), bool)
-        if gone:
-            gone = set(gone)
-            for number, (a, b) in enumerate(line_chunks(lines)):
-                if number in gone:
-                    drop[a:b] = True
+        drop = _gone(gone, lines) if gone else np.zeros(len(lines), bool)
         n_removed.append(int(drop.sum()))
         out.append(b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode() if drop.any() else t)
     return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_lines", "n_removed"])
@@ -170,22 +167,30 @@ def dedup_stage(docs: DataFrame) -> DataFrame:
 
 
 def report_brute(rows: list[tuple]) -> list[tuple]:
-    """The same by plain loops, for tests."""
-    first, times = {}, {}
-    for doc, text in rows:
-        for _, _, chunk in repeatable((text or "").encode()):
-            key = _LAST if doc is None else doc
-            first[chunk] = min(first.get(chunk, key), key)
-            times[chunk] = times.get(chunk, 0) + 1
+    """The same by extending every pair of equal lines to the longest equal run, for tests."""
+    texts_ = [((_LAST if doc is None else doc), (text or "").encode().split(b"\n")) for doc, text in rows]
+    places = {}
+    for r, (_, lines) in enumerate(texts_):
+        for n, i in enumerate(i for i, x in enumerate(lines) if x.strip()):
+            places.setdefault(lines[i], []).append((r, n, i))
+    drops = [[False] * len(lines) for _, lines in texts_]
+    for same in places.values():
+        for r, n, i in same:
+            for s, m, j in same:
+                mine, theirs = texts_[r][1], texts_[s][1]
+                if not (texts_[s][0] < texts_[r][0] or s == r and m + 1 < n):
+                    continue
+                size = 0
+                while i + size < len(mine) and j + size < len(theirs) and mine[i + size] == theirs[j + size]:
+                    size += 1
+                while not mine[i + size - 1].strip():
+                    size -= 1
+                if size > 1:
+                    drops[r][i : i + size] = [True] * size
     out = []
-    for doc, text in rows:
-        lines = (text or "").encode().split(b"\n")
-        drop, seen = [False] * len(lines), set()
-        for a, b in line_chunks(lines):
-            chunk = b"\n".join(lines[a:b])
-            if times[chunk] > 1 and (first[chunk] != (_LAST if doc is None else doc) or chunk in seen):
-                drop[a:b] = [True] * (b - a)
-            seen.add(chunk)
+    for (doc, text), (_, lines), drop in zip(rows, texts_, drops, strict=True):
+        if any(drop) and not any(x.strip() for x, d in zip(lines, drop, strict=True) if not d):
+            drop = [True] * len(lines)
         left = b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode() if any(drop) else text
         out.append((doc, len(lines) if text else 0, sum(drop), left))
     return out

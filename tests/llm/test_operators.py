@@ -454,6 +454,23 @@ def test_chunks_line_up_after_an_insertion():
     assert len(cut & again) >= 0.8 * len(cut)
 
 
+def test_short_repeated_runs_of_lines_leave(spark):
+    rng = random.Random(12)
+    runs = [[prose(rng, 9, 3000) for _ in range(2 + i % 7)] for i in range(28)]
+    rows, left = [], {}
+    for i, run in enumerate(runs):
+        own = [[prose(rng, 9, 3000) for _ in range(3)] for _ in range(4)]
+        rows += [(i, "\n".join(own[0] + run + own[1])), (100 + i, "\n".join(own[2] + run + own[3]))]
+        left |= {i: rows[-2][1], 100 + i: "\n".join(own[2] + own[3])}
+    a, b, c, d, e = (prose(rng, 9, 3000) for _ in range(5))
+    odd = [(200, f"{a}\n\n{b}\n{c}"), (201, f"{d}\n{a}\n\n{b}\n\n{e}"), (202, f"{b}\n{c}\n\n"), (203, f"{a}\n{b}"), (204, f"{e}\n" * 5), (205, f"{d}\n{e}\n{d}\n{e}\n{d}")]
+    rows += odd
+    left |= {200: odd[0][1], 201: f"{d}\n\n{e}", 202: "", 203: odd[3][1], 204: f"{e}\n{e}\n", 205: f"{d}\n{e}"}
+    found = lines.report(table(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == left
+    assert sorted((tuple(r) for r in found), key=repr) == sorted(lines.report_brute(rows), key=repr)
+
+
 # -- 9 toxicity --------------------------------------------------------------------------------
 
 
