@@ -69,7 +69,11 @@ N_FEATURES = _NUMERIC + 12
 KINDS = ("container", "sectioning", "list", "item", "text", "heading", "form", "inline", "other")
 _KIND = {"div": 0, "table": 0, "tr": 0, "td": 3, "th": 3, "section": 1, "article": 1, "main": 1, "header": 1, "footer": 1, "nav": 1, "aside": 1, "ul": 2, "ol": 2, "dl": 2, "menu": 2, "li": 3, "dt": 3, "dd": 3, "p": 4, "blockquote": 4, "pre": 4, "figure": 4, "figcaption": 4, "form": 6, "fieldset": 6, "label": 6, "button": 6, "select": 6, "option": 6, "textarea": 6, **{f"h{i}": 5 for i in range(1, 7)}}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTR = re.compile(r"""(class|id|role|%s)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""" % _LABEL, re.I)
+#: One attribute, as HTML reads it: a name, and a value in quotes of either kind or without.
+_ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*|(?=>)))?""")
+_ATTRS_END = re.compile(r"[\s/]*")
+_OPEN = re.compile(r"""\s*=\s*["']""")
+_KEPT = frozenset(("class", "id", "role", _LABEL))
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -102,14 +106,14 @@ class Page:
                     end = s.find(">", lt)
                     at = size if end < 0 else end + 1
             elif after == "/" and (m := _NAME.match(s, lt + 2)):
-                end = s.find(">", m.end())
+                end, _ = self._tag_end(s, m.end())
                 self._end(m[0].lower())
-                at = size if end < 0 else end + 1
+                at = min(size, end + 1)
             elif m := _NAME.match(s, lt + 1):
-                end = self._tag_end(s, m.end())
+                end, kept = self._tag_end(s, m.end())
                 name = m[0].lower()
                 attrs = s[m.end() : end]
-                self._start(name, attrs)
+                self._start(name, attrs, kept)
                 at = min(size, end + 1)
                 if name in RAW and not attrs.endswith("/"):
                     close = re.compile(f"</{re.escape(name)}", re.I).search(s, at)
@@ -122,18 +126,20 @@ class Page:
                 at = lt + 1
 
     @staticmethod
-    def _tag_end(s: str, at: int) -> int:
-        """The closing bracket outside quoted values; the first one if quotes never close."""
-        first = end = s.find(">", at)
-        for _ in range(16):
-            if end < 0:
-                break
-            if s.count('"', at, end) % 2 == 0 and s.count("'", at, end) % 2 == 0 or "=" not in s[at:end]:
-                return end
-            end = s.find(">", end + 1)
-        return first if first >= 0 else len(s)
-
-    def _start(self, name: str, attrs: str) -> None:
+    def _tag_end(s: str, at: int) -> tuple[int, dict[str, str]]:
+        """The tag's closing bracket outside quoted values, and the kept attributes; the next bracket if a quote never closes."""
+        kept = {}
+        while m := _ATTR.match(s, at):
+            name, value = m.groups()
+            if value is None and _OPEN.match(s, m.end()):  # a quote that never closes
+                end = s.find(">", m.end())
+                return (len(s) if end < 0 else end), kept
+            if value and (name := name.lower()) in _KEPT:
+                kept.setdefault(name, value[1:-1] if value[0] in "\"'" else value)
+            at = m.end()
+        return _ATTRS_END.match(s, at).end(), kept
+
+    def _start(self, name: str, attrs: str, kept: dict[str, str]) -> None:
         if name in CLOSES_P:
             self._close_if("p", SCOPES | {"td", "th", "button", "li"} - {"p"})
         for other in SIBLINGS.get(name, ()):
@@ -147,12 +153,9 @@ class Page:
         if name in VOID:
             return
         hints, label = (), None
-        if attrs:
-            found = {}
-            for k, v in _ATTR.findall(attrs):
-                found.setdefault(k.lower(), v.strip("\"'"))
-            label = found.pop(_LABEL, None)
-            hints = tuple(dict.fromkeys(h for v in found.values() for w in _SPLIT.findall(v) if (h := _WORD_HINT.get(w.lower()))))
+        if kept:
+            label = kept.pop(_LABEL, None)
+            hints = tuple(dict.fromkeys(h for v in kept.values() for w in _SPLIT.findall(v) if (h := _WORD_HINT.get(w.lower()))))
         node = self._stack[-1][1]
         if (not inline or hints or label is not None) and name not in ("html", "body") and name not in UNSEEN:
             self.tag.append(name)

@@ -414,6 +414,20 @@ def test_html_texts(spark):
     assert len(got) == len(rows) and html_pages.extract(df.limit(0)).count() == 0
 
 
+def test_html_quoted_values():
+    many = "&gt; <i>x</i> " + "a>b " * 40
+    tags = [
+        '<a title="it\'s">', "<a title='say \"hi'>", f'<a data-x="{many}">', f"<a data-x='{{\"k\": \"{many}\"}}' class=menu>", '<a x="1"y=\'>\'z>', "<a b=it's c=d>", '<a title = "it\'s >" />',
+        '<a "odd>', "<a x=>", '<a data-id="menu">', '<a title="class=menu">',
+    ]
+    for tag in tags:
+        for text in ("Hello don't go", 'say "no" to'):
+            page = html_pages.Page(f"<p>{tag}{text}</a title='>'> end</p>")
+            assert "".join(x[1] for x in page.pieces) == f"{text} end", tag
+            assert page.hints[2:] == ([("menu",)] if "class=menu>" in tag else []), tag
+    assert [x[1] for x in html_pages.Page("<p>a <b title='never>closes</b> end").pieces] == ["a ", "closes", " end"]
+
+
 def test_html_on_the_pages_table(spark, sf):
     """These pages hold their text in one article element."""
     import html
