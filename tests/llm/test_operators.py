@@ -231,6 +231,31 @@ def test_passages(spark):
     assert substring.passages(table(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_whose_parts_stand_in_different_documents(spark):
+    rng = random.Random(14)
+    rows, want = [], set()
+    for i in range(40):
+        parts = [prose(rng, 30, 3000) for _ in range(2 + i % 2)]
+        at = 10 * i
+        rows += [(at + j, f"{prose(rng, 40, 3000)} {x} {prose(rng, 40, 3000)}") for j, x in enumerate(parts)]
+        rows += [(at + j, f"{prose(rng, 40, 3000)} {' '.join(parts)} {prose(rng, 40, 3000)}") for j in (5, 6, 7)]
+        want |= {at + 6, at + 7}
+    found = substring.passages(table(spark, rows)).collect()
+    text = dict(rows)
+    whole = {r["doc_id"] for r in found if r["start_word"] == 40 and r["end_word"] == len(text[r["doc_id"]].split()) - 40}
+    assert {r["doc_id"] for r in found} == whole == want
+    for r in found:
+        a, b = (text[r[x]].split() for x in ("doc_id", "other_doc_id"))
+        assert a[r["start_word"] : r["end_word"]] == b[r["other_start_word"] : r["other_end_word"]]
+
+
+def test_long_keys():
+    h = np.random.default_rng(2).integers(0, 2**63, 300, dtype=np.uint64)
+    h[200:260] = h[20:80]
+    keys = substring.long_keys(h, np.arange(0, 252))
+    assert (keys[20:33] == keys[200:213]).all() and len(np.unique(keys)) == 252 - 13
+
+
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=2, max_size=25, unique=True))
 @settings(max_examples=150, deadline=None)
 def test_chains_reach_the_best_score(points):
