@@ -16,11 +16,11 @@ Documents with the same set form one class, and only classes are compared.
    of lists. Lists that the sketch marks as long are handled by a partial minimum
    and a skew join, never as one window.
 4. A hub's group is cut into blocks of bounded size, and each pair of blocks is
-   one piece of work. Inside, sets lie in order of size; blocks of the list whose
-   sizes can't reach the threshold are skipped by their position. A set's
-   intersections are derived from a pivot's: with the pivot's shared part as bits,
-   |x & y| = |x & y & p| + |x & y - p|, where both terms come from the sets'
-   differences from the pivot. Each piece gives a spanning forest of its links and
+   one piece of work. Inside, sets lie in order of size; blocks of sets whose
+   sizes can't reach the threshold are skipped. A pivot set only numbers the
+   columns: |x & y| = |x & y & p| + |x & y - p|, and both terms are computed for
+   each pair by products of 0/1 matrices; no answer of one set is derived from
+   another's. Each piece gives a spanning forest of its links and
    each class's number of links, not all pairs.
 5. Components of the links are found on small tables of class ids.
 
