@@ -136,6 +136,27 @@ def join_null_keys(spark, sf):
     return _run(FrameDataset(orders, "o").join(FrameDataset(customers, "c"), "nk"))
 
 
+@query("SELECT a.o_custkey, a.n, b.n AS n_right FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) b ON a.o_custkey = b.o_custkey WHERE a.n > 8 AND b.n < 12")
+def join_two_lambdas(spark, sf):
+    """Two branches of one dataset, told apart by the functions that filter them."""
+    counts = FrameDataset(spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
+    return _run(counts.filter(lambda r: r["n"] > 8, "n").join(counts.filter(lambda r: r["n"] < 12, "n"), "o_custkey"))
+
+
+@query("SELECT n_nationkey, n_nationkey + 1 AS x, n_nationkey + 2 AS x_right FROM nation")
+def join_two_maps(spark, sf):
+    nations, x = _t(spark, sf, "nation", "n_nationkey"), [{"name": "x", "type": int, "desc": ""}]
+    return _run(nations.map(lambda r: {"x": r["n_nationkey"] + 1}, x).join(nations.map(lambda r: {"x": r["n_nationkey"] + 2}, x), "n_nationkey"))
+
+
+@query("SELECT a.n_nationkey, a.n_name AS name, b.r_name AS name_right FROM nation a JOIN region b ON a.n_nationkey = b.r_regionkey")
+def join_two_frames(spark, sf):
+    """Two frames without ids."""
+    left = FrameDataset(spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", F.col("n_name").alias("name")))
+    right = FrameDataset(spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("name")))
+    return _run(left.join(right, "n_nationkey"))
+
+
 # -- aggregates --------------------------------------------------------------------
 
 
@@ -261,6 +282,13 @@ def sem_filter_contains(spark, sf):
     return _run(_t(spark, sf, "documents").sem_filter("the text speaks of the ing", depends_on="text").project(["doc_id", "lang"]), _semantic())
 
 
+@query("SELECT doc_id, string_split(text, ' ')[1] AS first, length(text) AS size, string_split(text, ' ')[1] AS first_right, length(text) AS size_right FROM documents")
+def sem_self_branch(spark, sf):
+    """A branch that a join uses twice is lowered once, so each record is asked for once."""
+    made = _t(spark, sf, "documents", "doc_id", "text").sem_map([{"name": "first", "type": str, "desc": "first word"}, {"name": "size", "type": int, "desc": "length"}], depends_on="text").project(["doc_id", "first", "size"])
+    return _run(made.join(made, "doc_id"), _semantic())
+
+
 @query("SELECT page_id FROM pages WHERE contains(lower(html), 'casino')")
 def sem_filter_quoted(spark, sf):
     return _run(_t(spark, sf, "pages").sem_filter("the page names 'casino'", depends_on="html").project(["page_id"]), _semantic())

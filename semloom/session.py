@@ -123,7 +123,19 @@ def lower(spark: SparkSession, plan: PhysicalPlan, config: QueryProcessorConfig)
     def spread(df: DataFrame) -> DataFrame:
         return df.repartition(config.max_workers) if config.max_workers else df
 
+    done: dict[tuple, DataFrame] = {}
+
+    def key_of(p: PhysicalPlan) -> tuple:
+        return p.node.plan_id, *(x.impl.key for x in p.walk())
+
     def go(p: PhysicalPlan) -> DataFrame:
+        """A branch that several operators use is lowered once, so its calls are made once."""
+        key = key_of(p)
+        if key not in done:
+            done[key] = make(p)
+        return done[key]
+
+    def make(p: PhysicalPlan) -> DataFrame:
         n, kids = p.node, [go(x) for x in p.inputs]
         first = kids[0] if kids else None
         reads = list(n.depends_on)
@@ -148,18 +160,18 @@ def lower(spark: SparkSession, plan: PhysicalPlan, config: QueryProcessorConfig)
         if n.kind == "topk":
             return sem_topk(first, n["index"], n["search_attr"], n["fields"], p.impl.get("k"), provider, search_func=n["search_func"])
         if n.kind == "sem_filter":
-            done = keep(p, semantic.sem_filter(spread(first), n["condition"], provider, p.impl, reads, batch))
-            return done.where("__passed").drop("__passed", "__stats")
+            made = keep(p, semantic.sem_filter(spread(first), n["condition"], provider, p.impl, reads, batch))
+            return made.where("__passed").drop("__passed", "__stats")
         if n.kind in ("sem_map", "sem_flat_map"):
-            done = keep(p, semantic.sem_map(spread(first), n["fields"], provider, p.impl, reads, n.kind == "sem_flat_map", n["desc"], batch))
-            return done.drop("__stats")
+            made = keep(p, semantic.sem_map(spread(first), n["fields"], provider, p.impl, reads, n.kind == "sem_flat_map", n["desc"], batch))
+            return made.drop("__stats")
         if n.kind == "sem_join":
             out, pairs = semantic.sem_join(kids[0], kids[1], n["condition"], n["how"], provider, p.impl, reads, batch=batch)
             stages.append((n.logical_op_id, p.impl.key, pairs))
             return out
         if n.kind == "sem_agg":
-            done = keep(p, semantic.sem_agg(first, n["fields"].fields[0], n["instruction"], provider, p.impl, reads))
-            return done.drop("__stats")
+            made = keep(p, semantic.sem_agg(first, n["fields"].fields[0], n["instruction"], provider, p.impl, reads))
+            return made.drop("__stats")
         raise ValueError(f"no lowering for {n.kind}")
 
     df = go(plan)

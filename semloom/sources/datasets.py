@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .. import types as S
 from ..dataset import Dataset
 from ..operators.relational import with_places
-from ..plans.logical import scan
+from ..plans.logical import scan, token
 from .html_text import first_words, html_to_text
 from .udfs import read_workbook
 
@@ -55,10 +55,10 @@ class RootDataset(Dataset):
 
 
 class FrameDataset(RootDataset):
-    """Any DataFrame: parquet, CSV, JSON, JDBC, tables and streams all come in by Spark's readers."""
+    """Any DataFrame: parquet, CSV, JSON, JDBC, tables and streams all come in by Spark's readers. Without an id it gets one of its own."""
 
-    def __init__(self, df: DataFrame, id: str = "frame"):
-        super().__init__(id, df.schema, lambda spark: df)
+    def __init__(self, df: DataFrame, id: str | None = None):
+        super().__init__(id or f"frame-{token(df)}", df.schema, lambda spark: df)
 
 
 def table(spark: SparkSession, path: str, name: str) -> FrameDataset:

@@ -162,3 +162,11 @@ def test_context_trim_and_cache():
     cached.complete([Request("filter", "x", {"a": 1})])
     cached.complete([Request("filter", "x", {"a": 1}), Request("filter", "x", {"a": 2})])
     assert len(asked) == 2
+
+
+def test_a_shared_branch_makes_each_call_once(spark, tmp_path):
+    path = tmp_path / "calls"
+    made = sl.MemoryDataset("a", [{"text": f"t{i}"} for i in range(6)]).sem_map([{"name": "kind", "type": str, "desc": "k"}], depends_on="text")
+    done = made.join(made, "text").run(config(Failing(str(path))))
+    assert len(done) == 6 and done.execution_stats.total_calls == 6
+    assert len(path.read_text().split()) == 6
