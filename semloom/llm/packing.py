@@ -7,16 +7,22 @@ the counts are one level array: taking level h to h + s changes the sum by
 2 * (N[h + s] - N[h] + 1), where a window that gets full counts as nothing, and
 opening a window by 2 * N[s] + 1. Ties take the fullest window.
 
-At a task's end (or at ``MAX_OPEN`` partial windows) the partial windows are laid
-end to end and cut into full ones; the rest, under one window, is cut into
-sequences whose lengths are powers of two. So no sequence needs padding.
+At a task's end the partial windows are settled: as many windows as their tokens
+can fill are kept, the fullest ones, with all that the rule put into them; the
+emptiest windows are given up, and their pieces, cut where need be, fill the kept
+windows' gaps. What is left, under one window, is cut into sequences whose lengths
+are powers of two. So no sequence needs padding. Open windows hold ids in memory;
+a task with more than ``MAX_OPEN`` of them settles them the same way and goes on.
 
 Tokens are the library's: its rules never join text across ASCII white space, so
 words are encoded once, remembered by each worker up to ``REMEMBER`` entries (by a
 64-bit hash), and their ids are strung together.
 
 Defined cases: null text is empty and packs as its end id alone; a null doc_id
-stays null; sequence ids hold the task's number in their upper half.
+stays null; repeated rows are packed each on its own; of equally good fill levels
+the fullest is taken; a text of any length is tokenised whole and cut into
+windows; an empty table gives no row; other columns of ``docs`` are not read,
+whatever their names; sequence ids hold the task's number in their upper half.
 """
 
 from __future__ import annotations
@@ -46,7 +52,9 @@ class WordIds:
 
     A unit is a word, ASCII lower-cased as the library does, without a full stop or
     comma that follows an ASCII letter; that is a unit of its own. The library
-    always cuts there and at white space. Units are remembered as sorted hashes
+    always cuts there and at white space. Words with ``<|`` stay as they are, as the
+    library looks for special tokens before it lower-cases, and so do words with
+    combining marks, which it composes before. Units are remembered as sorted hashes
     with ranges of one array of ids; a slice's distinct units are looked up and
     its ids gathered in numpy.
     """
@@ -95,8 +103,8 @@ class WordIds:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and each row's offsets in them."""
-        buf = LOWER[buf]
         starts, ends, row = words(buf, offs)
+        buf = _lowered(buf, starts, ends)
         last = buf[np.maximum(ends - 1, 0)] if len(ends) else np.zeros(0, np.uint8)
         before = buf[np.maximum(ends - 2, 0)] if len(ends) else last
         tail = ((last == 44) | (last == 46)) & (ends - starts > 1) & (before >= 97) & (before <= 122)
@@ -123,6 +131,22 @@ class WordIds:
         return ids, np.append(0, to)[np.searchsorted(row, np.arange(len(offs)))]
 
 
+def _lowered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, but not in words with ``<|`` or a combining mark (UTF-8's 0xCC leads all that compose with A-Z)."""
+    out = LOWER[buf]
+    odd = buf == 0xCC
+    odd[:-1] |= (buf[:-1] == 60) & (buf[1:] == 124)
+    at = np.flatnonzero(odd)
+    if len(at):
+        word = np.unique(np.searchsorted(starts, at, "right") - 1)
+        edge = np.zeros(len(buf) + 1, np.int8)
+        edge[starts[word]] += 1
+        edge[ends[word]] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        out[inside] = buf[inside]
+    return out
+
+
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -169,7 +193,7 @@ class SumOfSquares:
         self.level[at + size] += 1
         self.n_open += 1
         if self.n_open > self.max_open:
-            yield from self.flush(rest=False)
+            yield from self.settle(rest=False)
 
     def _close(self, window: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -178,26 +202,31 @@ class SumOfSquares:
             offset += len(ids) // 4
         self.next_id += 1
 
-    def flush(self, rest: bool = True) -> Iterator[tuple]:
-        """Cut the partial windows, laid end to end, into full ones; with ``rest``, what is left into powers of two."""
-        pieces = [p for at in sorted(self.open) for window in self.open[at] for p in window]
+    def settle(self, rest: bool = True) -> Iterator[tuple]:
+        """Fill the fullest partial windows with the pieces of the emptiest; with ``rest``, cut what is left into powers of two."""
+        windows = [(at, window) for at in sorted(self.open, reverse=True) for window in self.open[at]]
         self.open, self.n_open = {}, 0
         self.level[: self.capacity] = 0
-        left = sum(len(p[2]) // 4 for p in pieces)
-        pieces.reverse()
-        while left >= self.capacity or (rest and left):
-            room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            left -= room
-            window = []
+        full = sum(at for at, _ in windows) // self.capacity
+        spare = [p for _, window in windows[full:] for p in reversed(window)]  # taken from the end: the emptiest window first
+
+        def take(room: int) -> Iterator[tuple]:
             while room:
-                doc, start, ids, total = pieces.pop()
+                doc, start, ids, total = spare.pop()
                 n = min(room, len(ids) // 4)
-                window.append((doc, start, ids[: 4 * n], total))
+                yield doc, start, ids[: 4 * n], total
                 if 4 * n < len(ids):
-                    pieces.append((doc, start + n, ids[4 * n :], total))
+                    spare.append((doc, start + n, ids[4 * n :], total))
                 room -= n
-            yield from self._close(window)
-        for piece in reversed(pieces):
+
+        for at, window in windows[:full]:
+            yield from self._close([*window, *take(self.capacity - at)])
+        left = sum(len(p[2]) // 4 for p in spare)
+        while rest and left:
+            room = 1 << (left.bit_length() - 1)
+            yield from self._close(list(take(room)))
+            left -= room
+        for piece in reversed(spare):
             yield from self._place(piece)
 
 
@@ -227,6 +256,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                 del flat
                 release()
                 yield rows(found)
-        yield rows(list(packer.flush()))
+        yield rows(list(packer.settle()))
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)

@@ -322,6 +322,36 @@ def test_packing_round_trip(spark, odd_rows):
     assert packing.pack(table(spark, rows).limit(0)).count() == 0
 
 
+_ODD_PARTS = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|endoftext", "<|", "|>", "<", "H\u0331", "T\u0308", "E\u0301", "\u0338", "A", "Word", "word.", "X,", "don't", "İ", "ǅ", " ", "\n", "\u3000", "é", "7", ".", "漢"]
+
+
+@given(st.lists(st.sampled_from(_ODD_PARTS), max_size=25).map("".join) | st.text(max_size=40))
+@settings(max_examples=1500, deadline=None)
+def test_word_ids_are_the_librarys(text):
+    ids = packing.word_ids(tokens.model_path("word_bpe_49k.json"))
+    flat, at = ids.encode(*raw(pa.array([text, "Next <|ENDOFTEXT|>"], pa.string())))
+    assert flat[at[0] : at[1]].tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_settling_keeps_what_the_rule_placed():
+    """The fullest windows stay whole, the emptiest fill their gaps, and no token is padding."""
+    rng = random.Random(3)
+    packer = packing.SumOfSquares(100)
+    pieces = []
+    for i in range(200):
+        n = rng.randint(55, 95)  # no two fit together
+        pieces += packer.add(i, np.full(n, i, "<u4").tobytes())
+    kept = sorted(((at, w[0][0]) for at, ws in packer.open.items() for w in ws), reverse=True)
+    full = sum(at for at, _ in kept) // 100
+    settled = list(packer.settle())
+    whole = {p[0] for p in settled if p[1] == 0 and p[2] == p[4] and p[6] == 0}
+    assert {d for _, d in kept[:full]} <= whole | {d for at, d in kept if at == kept[full - 1][0]}
+    fill = {}
+    for p in settled:
+        fill[p[5]] = fill.get(p[5], 0) + p[2]
+    assert sum(f == 100 for f in fill.values()) >= full and all(f == 100 or f & (f - 1) == 0 for f in fill.values())
+
+
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=60))
 @settings(max_examples=80, deadline=None)
 def test_sum_of_squares_choice(sizes):
@@ -339,7 +369,7 @@ def test_sum_of_squares_choice(sizes):
                 squares[h] = (level[1:] ** 2).sum()
             assert squares[packer.choose(n)] == min(squares.values())
         pieces += packer.add(i, np.arange(n, dtype="<u4").tobytes())
-    pieces += packer.flush()
+    pieces += packer.settle()
     fill = {}
     for doc, start, length, _, total, seq, offset in pieces:
         assert total == sizes[doc] and offset == fill.get(seq, 0)
