@@ -12,12 +12,16 @@ The weights are trained by maximum likelihood (the same messages give the
 expectations) on labelled pages. No table has labels, so the labelled pages are
 composed here, from a seed: articles in many wrappers, with menus, headers,
 footers, sidebars, notices, adverts, forms, related links and comments around and
-inside them, every part labelled as it is made.
+inside them, every part labelled as it is made. Some articles stand right in the
+body, in one element without parts, or have paragraphs with misleading names.
 
 Defined cases: null or empty html gives empty text; script, style, head and other
 unseen elements are never text; unclosed and stray tags are handled as browsers
-do for the common cases; nesting beyond ``MAX_DEPTH`` counts as that depth; text
-is never dropped for its size.
+do for the common cases; no attribute of a page is read but class, id and role;
+nesting may be of any depth; pages of any length are read whole; a node with
+probability one half isn't content; repeated pages each get their row, and a null
+page_id or url stays null; an empty table gives no row; other columns of the
+table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +38,7 @@ from pyspark.sql import DataFrame
 
 from .text import map_text, texts
 
-MAX_DEPTH = 200
-TRAIN_PAGES = 400
+TRAIN_PAGES = 600
 TRAIN_SEED = 11
 _LABEL = "data-label"
 
@@ -64,7 +68,7 @@ _WORD_HINT = {w: h for h, ws in HINTS.items() for w in ws}
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _HINT_AT = {h: len(TAGS) + 1 + i for i, h in enumerate(HINTS)}
 _NUMERIC = len(TAGS) + 1 + len(HINTS)
-N_FEATURES = _NUMERIC + 12
+N_FEATURES = _NUMERIC + 18
 #: Kinds of parent-child potentials, by the child.
 KINDS = ("container", "sectioning", "list", "item", "text", "heading", "form", "inline", "other")
 _KIND = {"div": 0, "table": 0, "tr": 0, "td": 3, "th": 3, "section": 1, "article": 1, "main": 1, "header": 1, "footer": 1, "nav": 1, "aside": 1, "ul": 2, "ol": 2, "dl": 2, "menu": 2, "li": 3, "dt": 3, "dd": 3, "p": 4, "blockquote": 4, "pre": 4, "figure": 4, "figcaption": 4, "form": 6, "fieldset": 6, "label": 6, "button": 6, "select": 6, "option": 6, "textarea": 6, **{f"h{i}": 5 for i in range(1, 7)}}
@@ -78,9 +82,14 @@ _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """A page's nodes (parallel lists) and its pieces of text in order: (node, text, in a link, starts a block)."""
+    """A page's nodes (parallel lists) and its pieces of text in order: (node, text, in a link, starts a block).
 
-    def __init__(self, source: str):
+    ``labelled``: the page was composed here, and its marks give the nodes' labels.
+    """
+
+    def __init__(self, source: str, labelled: bool = False):
+        self._labelled = labelled
+        self._open: Counter[str] = Counter()
         self.tag, self.parent, self.depth, self.hints, self.label = ["html"], [-1], [0], [()], [None]
         self.pieces: list[tuple[int, str, bool, bool]] = []
         self._stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their nodes
@@ -155,24 +164,28 @@ class Page:
         hints, label = (), None
         if kept:
             label = kept.pop(_LABEL, None)
+            label = int(label) if self._labelled and label is not None else None
             hints = tuple(dict.fromkeys(h for v in kept.values() for w in _SPLIT.findall(v) if (h := _WORD_HINT.get(w.lower()))))
         node = self._stack[-1][1]
-        if (not inline or hints or label is not None) and name not in ("html", "body") and name not in UNSEEN:
+        if name in ("html", "body"):
+            self.label[0] = self.label[0] if label is None else label
+        elif (not inline or hints or label is not None) and name not in UNSEEN:
             self.tag.append(name)
             self.hints.append(hints)
-            self.label.append(self.label[node] if label is None else int(label))
-            up = node if self.depth[node] < MAX_DEPTH else self.parent[node]
-            self.parent.append(up)
-            self.depth.append(self.depth[up] + 1)
+            self.label.append(self.label[node] if label is None else label)
+            self.parent.append(node)
+            self.depth.append(self.depth[node] + 1)
             node = len(self.tag) - 1
         if attrs.endswith("/") and inline:
             return
         self._stack.append((name, node))
+        self._open[name] += 1
         self._links += name == "a"
         self._unseen += name in UNSEEN
 
     def _pop(self) -> None:
         name, _ = self._stack.pop()
+        self._open[name] -= 1
         self._links -= name == "a"
         self._unseen -= name in UNSEEN
         if name not in INLINE:
@@ -180,6 +193,8 @@ class Page:
 
     def _close_if(self, name: str, scope) -> None:
         """Close an open ``name`` and what is in it, unless a scope lies between."""
+        if not self._open[name]:
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == name:
                 while len(self._stack) > i:
@@ -194,7 +209,7 @@ class Page:
             return
         if name not in INLINE:
             self._fresh = True
-        if name in ("html", "body"):
+        if name in ("html", "body") or not self._open[name]:
             return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == name:
@@ -255,6 +270,20 @@ class Page:
         x[:, at + 9] = words == 0
         x[:, at + 10] = (own_link > 0.5) & (words > 0)
         x[:, at + 11] = np.minimum(np.array(self.depth) / 10, 2)
+        parent = np.array(self.parent)
+        main = np.array([t in ("article", "main") or "body" in hints for t, hints in zip(self.tag, self.hints, strict=True)])
+        within, over = main.copy(), main.copy()  # in such an element, and around one
+        for i in range(1, n):
+            within[i] |= within[parent[i]]
+        for i in range(n - 1, 0, -1):
+            over[parent[i]] |= over[i]
+        share = chars / max(1.0, all_chars[0])
+        x[:, at + 12] = share
+        x[:, at + 13] = share * (not main.any())
+        x[:, at + 14] = within
+        x[:, at + 15] = ~within & ~over & main.any()
+        x[:, at + 16] = (np.array([len(h) for h in self.hints]) > 0) & within
+        x[:, at + 17] = ~within & over & (words > 0)
         return x
 
     def kinds(self) -> np.ndarray:
@@ -283,7 +312,8 @@ class Trees:
         self.x = np.concatenate([p.features() for p in pages])
         self.kind = np.concatenate([p.kinds() for p in pages])
         depth = np.concatenate([np.array(p.depth) for p in pages])
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1)))[1:]
 
     def marginals(self, w: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of content of each node, and pair marginals (node, parent's label, own label)."""
@@ -393,6 +423,13 @@ class _Composer:
         return f'<{tag}{named} {_LABEL}="0">{body}</{tag}>'
 
     def paragraph(self) -> str:
+        """One or more blocks of an article; some have names that say nothing true of them."""
+        made = self._paragraph()
+        if self.r.random() < 0.12 and (m := re.match(r"<(p|div|h2|ul|blockquote|pre|figure|table)>", made)):
+            made = f"<{m[1]}{self.named(*HINTS)}>{made[m.end() :]}"
+        return made
+
+    def _paragraph(self) -> str:
         r = self.r
         t = self.some(*r.choice([(1, 3), (1, 3), (4, 12), (4, 12), (15, 60), (15, 60), (40, 120), (40, 120), (100, 600)]), r.random() < 0.75)
         kind = r.random()
@@ -416,8 +453,28 @@ class _Composer:
             return f"<div>{t}</div>"
         return f"<p>{t}</p>" if kind < 0.9 else f"<p>{t}"
 
+    def bare(self) -> str:
+        """An article's text without blocks of its own: plain, or with line breaks, links and emphasis."""
+        r = self.r
+        cut = [self.some(*r.choice([(1, 4), (4, 20), (15, 60), (40, 150)]), r.random() < 0.8) for _ in range(r.choice([1, 1, 1, 2, 4]))]
+        if r.random() < 0.3:
+            cut[0] += r.choice([f' <a href="/x">{self.some(1, 3)}</a>', f" <b>{self.some(1, 4)}</b>", f" <em>{self.some(1, 2)}</em>"])
+        return r.choice(["<br>", "<br><br>", "\n", " "]).join(cut)
+
     def page(self) -> str:
         r = self.r
+        shape = r.random()
+        if shape < 0.12:  # right in the body, or in a page without tags
+            text = self.bare() if r.random() < 0.6 else "".join(self.paragraph() for _ in range(r.choice([1, 2, 4])))
+            around = [self.boilerplate(k) for k in ("menu", "head", "ad") if r.random() < 0.25]
+            behind = [self.boilerplate(k) for k in ("side", "note", "foot") if r.random() < 0.25]
+            return f"<html><body {_LABEL}='1'>{''.join(around)}{text}{''.join(behind)}</body></html>"
+        if shape < 0.3:  # in one element without parts
+            tag = r.choice(["article", "article", "main", "div", "div", "p", "section", "td", "pre", "center"])
+            inside = f'<{tag}{self.maybe("body", chance=0.3)} {_LABEL}="1">{self.bare()}</{tag}>'
+            around = [self.boilerplate(k) for k in ("menu", "head", "ad", "form") if r.random() < 0.3]
+            behind = [self.boilerplate(k) for k in ("side", "note", "share", "foot") if r.random() < 0.3]
+            return f"<html><body {_LABEL}='0'>{''.join(around)}{inside}{''.join(behind)}</body></html>"
         tag = r.choice(["article", "article", "article", "main", "div", "section", "td"])
         named = self.maybe("body") if tag in ("article", "main") else self.named("body")
         inner = r.choice([f"<h1>{self.some(2, 10)}</h1>", f"<h1>{self.some(2, 10)}</h1>", f"<header><h1>{self.some(2, 10)}</h1></header>", ""])
@@ -445,7 +502,7 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[str]:
 
 @lru_cache(maxsize=1)
 def trained() -> tuple[np.ndarray, np.ndarray]:
-    return fit([Page(x) for x in labelled_pages()])
+    return fit([Page(x, labelled=True) for x in labelled_pages()])
 
 
 def main_texts(sources: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[str]:

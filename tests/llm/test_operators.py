@@ -433,7 +433,7 @@ def f1(want, got):
 
 
 def test_html_on_held_out_pages():
-    pages = [html_pages.Page(x) for x in html_pages.labelled_pages(80, seed=77)]
+    pages = [html_pages.Page(x, labelled=True) for x in html_pages.labelled_pages(120, seed=77)]
     trees = html_pages.Trees(pages)
     p, pair = trees.marginals(*html_pages.trained())
     want, got = [], []
@@ -469,6 +469,50 @@ def test_html_texts(spark):
     assert len(got) == len(rows) and html_pages.extract(df.limit(0)).count() == 0
 
 
+_W76 = " ".join(f"word{i}" for i in range(76))
+_SENTENCES = " ".join(f"Some words here number {i}." for i in range(20))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article>text</article>", "text"),
+        (f"<article>{_W76}</article>", _W76),
+        (f"<div>{_W76}</div>", _W76),
+        (_W76, _W76),
+        ("hello there", "hello there"),
+        (f"<p>{_W76}", _W76),
+        (f"<p>{_SENTENCES}<p>{_SENTENCES}", f"{_SENTENCES} {_SENTENCES}"),
+        (f"<nav><a href=/>Home</a> <a href=/x>News</a></nav><article><p>{_SENTENCES}</p><p class='more'>{_SENTENCES}</p></article>", f"{_SENTENCES} {_SENTENCES}"),
+        ("<nav>Home News</nav><article><p>First words here.</p><p class='more'>Second words there.</p></article>", "First words here. Second words there."),
+        (f"<header>Site <a href=/>home</a></header><main><h1>Title</h1>{_W76}</main><footer>2020</footer>", f"Title {_W76}"),
+        ('<table><tr><td data-label="Price">12 EUR, which is a good price for it.</td></tr></table>', "12 EUR, which is a good price for it."),
+        (f"<article data-label='0'>{_W76}</article>", _W76),
+    ],
+)
+def test_html_shapes(page, want):
+    assert html_pages.main_texts([page], html_pages.trained()) == [want]
+
+
+_NAMES = ["p", "div", "article", "nav", "td", "tr", "table", "li", "ul", "a", "b", "span", "br", "img", "script", "style", "textarea", "select", "option", "html", "body", "title", "x-y", "svg", "data"]
+_VALUES = ["1", "Price", "menu main", "it's", 'say "x"', "a>b", "", "é", "0x", "\x00", "-1"]
+_TAG = st.builds(lambda n, a, v, q, close, end: f"<{'/' * close}{n} {a}={q}{v}{q}{end}", st.sampled_from(_NAMES), st.sampled_from(["data-label", "class", "id", "role", "href", "data-x", "=", "'", "DATA-LABEL"]), st.sampled_from(_VALUES), st.sampled_from(['"', "'", ""]), st.booleans(), st.sampled_from([">", "/>", "", " >"]))
+
+
+@given(st.lists(_TAG | st.text(max_size=12) | st.sampled_from(["<!--", "-->", "<!x>", "&amp;", "&#0;", "&#x110000;", "<", "</", "<?"]), max_size=30).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_html_parser_takes_anything(page):
+    (got,) = html_pages.main_texts([page], html_pages.trained())
+    assert got == " ".join(got.split())
+
+
+def test_html_of_any_depth_and_length():
+    deep = "<div><b>" * 20_000 + "deep text here, and more of it than a few words" + "</b></div>" * 20_000
+    long = "<article>" + f"<p>{_SENTENCES}</p>" * 4000 + "</article>"  # 2 MB and more
+    assert html_pages.main_texts([deep], html_pages.trained()) == ["deep text here, and more of it than a few words"]
+    assert html_pages.main_texts([long], html_pages.trained()) == [" ".join([_SENTENCES] * 4000)]
+
+
 def test_html_quoted_values():
     many = "&gt; <i>x</i> " + "a>b " * 40
     tags = [
