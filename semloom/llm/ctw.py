@@ -8,22 +8,33 @@ estimates over all depths; a context never seen leaves the choice to the longest
 one that was. The result is a code length for each byte: score / n_bytes.
 
 Training counts all training texts: tasks count distinct (DEPTH + 1)-grams and
-words in bounded memory and emit partial counts, which one shuffle adds up. The
-block probability of a node depends on its counts alone, so the weights follow
-bottom-up from the summed counts: subtrees of the last two context bytes are
-weighted in parallel, the top two levels on the driver (65,536 nodes).
-
-The nodes go into a table of fixed size (``TABLE_BITS``: 4 bytes a slot; estimate,
-weight and a tag), which is broadcast; in a slot that two nodes want, the one with
-more counts stays and the other falls back to its shorter context. All texts are
-counted whatever the size; the table's bound alone is fixed.
-
-The base is an add-one unigram model of words. The ``TOP`` most frequent words (a
-bounded table) are looked up where a text is read; other words meet their counts
-in a shuffle join on their 64-bit hashes.
+words in bounded memory and emit partial counts, which one shuffle adds up. A
+gram's key has its context first, the last byte foremost, so the nodes of a
+subtree share a prefix. The block probability of a node depends on its counts
+alone, so the weights follow bottom-up from the summed counts.
+
+No node is left out, and no task holds them all:
+
+1. Shards go by the last three context bytes; a shard weighs its nodes of depth 3
+   and more, and passes sums on to the nodes of depths 0 to 2. Those (fewer than
+   2^24 whatever the input) are weighed on the driver and broadcast.
+2. Texts are cut into blocks of ``BLOCK_BYTES`` where they are read and written to
+   the shared folder, together with each block's distinct grams and words, by
+   shard: what the block asks for.
+3. Each shard meets its counts and all blocks' questions in one sorted stream,
+   weighs its nodes once, and answers with a value for each gram: the log
+   probability of its last byte after the others. Shards of words answer with counts.
+4. Answers and texts meet again by block, and each text's values are summed.
+
+So what the model gathers grows with the corpus, and a task holds one shard or one
+block's answers. The base is an add-one unigram model of words by the same counts.
 
 Defined cases: null text is empty (its end token alone); a null doc_id is not held
-out and trains; without training rows every bit has probability one half.
+out and trains; repeated rows each train and each get their row; without training
+rows every bit has probability one half; a text of any length is counted and
+scored whole (one longer than a block is a block of its own); an empty table gives
+no row; ties don't arise; other columns of ``docs`` are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -38,14 +49,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import LOWER, mix, raw, signed, slices, spans, word_hashes, words
+from .text import LOWER, mix, raw, release, signed, slices, word_hashes, words
 
 DEPTH = 5
-TABLE_BITS = 24
-SEGMENT_BITS = 18
-TOP = 200_000
+#: Depth from which on nodes belong to one shard; the nodes above are broadcast.
+SHARED_DEPTH = 3
+#: Bytes of text whose distinct grams and words are asked for together.
+BLOCK_BYTES = 32 << 20
+#: Distinct grams or words of a shard, on average.
+SHARD_KEYS = 250_000
 MERGE_AT = 3_000_000
-_CACHE_BITS = 21
 _END = np.uint64(0x5DEECE66D)  # stands for the end token among the word hashes
 _WORD, _GRAM = 0, 1
 _U = np.uint64
@@ -56,15 +69,19 @@ def held_out(doc_id: "F.Column") -> "F.Column":
 
 
 def stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all rows in order, and the rows' offsets in them (a row has its bytes and the end)."""
+    """Grams of all rows in order, and the rows' offsets in them (a row has its bytes and the end).
+
+    A gram is its context from the last byte back, then its own byte.
+    """
     size = np.diff(offs)
     at = np.cumsum(size + DEPTH + 1) - (size + DEPTH + 1)
     out = np.full(int((size + DEPTH + 1).sum()), 0xFF, np.uint8)
     out[np.arange(len(buf)) + np.repeat(at + DEPTH - offs[:-1], size)] = LOWER[buf]
     wide = out.astype(np.uint64)
-    g = np.zeros(max(0, len(out) - DEPTH), np.uint64)
-    for j in range(DEPTH + 1):
-        g = (g << _U(8)) | wide[j : len(out) - DEPTH + j]
+    n = max(0, len(out) - DEPTH)
+    g = wide[DEPTH : DEPTH + n].copy()
+    for j in range(DEPTH):
+        g |= wide[j : j + n] << _U(8 * (j + 1))
     keep = np.arange(int((size + 1).sum())) + np.repeat(at - (np.cumsum(size + 1) - (size + 1)), size + 1)
     return g[keep], np.append(0, np.cumsum(size + 1))
 
@@ -129,8 +146,14 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - 1.1447298858494002
 
 
-def _mask(depth: int) -> np.uint64:
-    return _U((1 << 8 * (depth + 1)) - 1)
+def shorter(keys: np.ndarray) -> np.ndarray:
+    """Keys of grams or nodes without their context's farthest byte."""
+    return ((keys >> _U(16)) << _U(8)) | (keys & _U(0xFF))
+
+
+def at_depth(grams: np.ndarray, depth: int) -> np.ndarray:
+    """Grams with the last ``depth`` bytes of their context."""
+    return ((grams >> _U(8 * (DEPTH + 1 - depth))) << _U(8)) | (grams & _U(0xFF))
 
 
 def level_nodes(keys: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,234 +165,318 @@ def level_nodes(keys: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray,
     return node[first], np.add.reduceat(n, first) - one, one
 
 
-def place(node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table slot and tag of nodes."""
-    h = mix(node | _U(depth << 56))
-    return (h >> _U(64 - TABLE_BITS)).astype(np.int64), (h & _U(0xFF)).astype(np.uint32)
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]  # of nodes: sorted keys, probability of a one, weight of stopping
 
 
-def packed(zeros: np.ndarray, ones: np.ndarray, gain: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Estimate (16 bits), weight of stopping as a logit (8 bits, 0 for an empty slot) and tag in one value."""
-    p = np.clip(np.round((ones + 0.5) / (zeros + ones + 1) * 65536 - 0.5), 0, 65535).astype(np.uint32)
-    w = np.clip(np.round(np.clip(gain, -7.9, 7.9) * 16) + 128, 1, 255).astype(np.uint32)
-    return (p << np.uint32(16)) | (w << np.uint32(8)) | tag
+def weighed(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, kids: np.ndarray | None) -> tuple[Level, np.ndarray]:
+    """A level of nodes, and the logs of their weighted block probabilities; ``kids`` has their children's (none: leaves)."""
+    own = log_kt(zeros.astype(float), ones.astype(float))
+    p = (ones + 0.5) / (zeros + ones + 1)
+    if kids is None:
+        return (node, p, np.ones(len(node))), own
+    return (node, p, 1 / (1 + np.exp(np.clip(kids - own, -700, 700)))), np.logaddexp(own, kids) - np.log(2)
 
 
-def subtrees(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted nodes of depth 2 and more, bottom-up: slots, values, counts; and what depth 1 gets: (c1, node) sums."""
-    slots, values, total = [], [], []
-    top = np.zeros((3, 65536))
-    by_depth = {DEPTH: (keys, n)}
-    for d in range(DEPTH - 1, 0, -1):
-        by_depth[d] = summed(by_depth[d + 1][0] & _mask(d), by_depth[d + 1][1])
+def subtrees(keys: np.ndarray, n: np.ndarray) -> tuple[list[list[Level]], tuple[np.ndarray, ...]]:
+    """From a shard's grams and counts: for each bit the levels from depth ``DEPTH`` up to ``SHARED_DEPTH``,
+    and for the nodes just above: their keys, zeros, ones and children's logs, as far as this shard knows."""
+    by_depth = [(keys, n)]
+    for _ in range(DEPTH - SHARED_DEPTH):
+        by_depth.append(summed(shorter(by_depth[-1][0]), by_depth[-1][1]))
+    levels, above = [], []
+    for bit in range(8):
+        of_bit, log_pw, below = [], None, None
+        for counted in by_depth:
+            node, zeros, ones = level_nodes(*counted, bit)
+            kids = None if below is None else np.bincount(np.searchsorted(node, shorter(below)), log_pw, len(node))
+            level, log_pw = weighed(node, zeros, ones, kids)
+            of_bit.append(level)
+            below = node
+        levels.append(of_bit)
+        up, back = np.unique(shorter(below), return_inverse=True)
+        above.append((up, *(np.bincount(back, x, len(up)) for x in (zeros, ones, log_pw))))
+    return levels, tuple(np.concatenate(x) for x in zip(*above, strict=True))
+
+
+def top_levels(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, kids: np.ndarray) -> list[Level]:
+    """The levels of depth 2, 1 and 0 from the sums for depth 2."""
+    out = []
+    order = np.argsort(node)
+    node, zeros, ones, kids = (x[order] for x in (node, zeros, ones, kids))
+    for depth in range(SHARED_DEPTH - 1, -1, -1):
+        level, log_pw = weighed(node, zeros, ones, kids)
+        out.append(level)
+        if depth:
+            node, back = np.unique(shorter(node), return_inverse=True)
+            zeros, ones, kids = (np.bincount(back, x, len(node)) for x in (zeros, ones, log_pw))
+    return out
+
+
+def log10_values(grams: np.ndarray, levels: list[list[Level]], top: list[Level]) -> np.ndarray:
+    """Log10 probability of each gram's last byte after the others; ``levels`` of its shard."""
+    total = np.zeros(len(grams))
+    byte = grams & _U(0xFF)
     for bit in range(8):
-        below = None
-        for d in range(DEPTH, 0, -1):
-            node, zeros, ones = level_nodes(*by_depth[d], bit)
-            kids = np.zeros(len(node))
-            if below is not None:
-                kids = np.bincount(np.searchsorted(node, below[0] & _mask(d)), below[1], len(node))
-            if d == 1:
-                at = node.astype(np.int64)
-                top[0, at], top[1, at], top[2, at] = zeros, ones, kids
-                break
-            own = log_kt(zeros.astype(float), ones.astype(float))
-            slot, tag = place(node, d)
-            gain = own - kids if d < DEPTH else np.full(len(node), 8.0)
-            slots.append(slot)
-            values.append(packed(zeros, ones, gain, tag))
-            total.append(zeros + ones)
-            below = node, own if d == DEPTH else np.logaddexp(own, kids) - np.log(2)
-    return np.concatenate(slots), np.concatenate(values), np.concatenate(total), top
-
-
-class Model:
-    """The node table and the dense nodes of depths 0 and 1."""
-
-    def __init__(self, table: np.ndarray, top: np.ndarray):
-        self.table = table
-        one, zero = top[1].reshape(256, 256), top[0].reshape(256, 256)
-        own1 = log_kt(top[0], top[1])
-        self.stop1 = np.where(top[0] + top[1] > 0, 1 / (1 + np.exp(np.clip(top[2] - own1, -500, 500))), 0.0)
-        self.p1, self.seen1 = (top[1] + 0.5) / (top[0] + top[1] + 1), top[0] + top[1] > 0
-        kids = np.where(self.seen1, np.logaddexp(own1, top[2]) - np.log(2), 0.0).reshape(256, 256).sum(0)
-        a, b = zero.sum(0), one.sum(0)
-        self.p0 = (b + 0.5) / (a + b + 1)
-        self.stop0 = 1 / (1 + np.exp(np.clip(kids - log_kt(a, b), -500, 500)))
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """Log10 probability of each gram's last byte after the others."""
-        total = np.zeros(len(grams))
-        byte = grams & _U(0xFF)
-        for bit in range(8):
-            node = _U(1 << bit) | (byte >> _U(8 - bit))
-            full = (grams & ~_U(0xFF)) | node
-            p, seen = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
-            for d in range(DEPTH, 1, -1):
-                slot, tag = place(full & _mask(d), d)
-                v = self.table[slot]
-                here = ((v & np.uint32(0xFF)) == tag) & ((v & np.uint32(0xFF00)) > 0)
-                own = ((v >> np.uint32(16)) + 0.5) / 65536
-                stop = 1 / (1 + np.exp((128.0 - ((v >> np.uint32(8)) & np.uint32(0xFF))) / 16))
-                p = np.where(here, np.where(seen, stop * own + (1 - stop) * p, own), p)
-                seen |= here
-            at = (full & _mask(1)).astype(np.int64)
-            own, stop, here = self.p1[at], self.stop1[at], self.seen1[at]
-            p = np.where(here, np.where(seen, stop * own + (1 - stop) * p, own), p)
+        step = _U(1 << bit) | (byte >> _U(8 - bit))
+        p, seen = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
+        for depth, (keys, own, stop) in zip(range(DEPTH, -1, -1), [*levels[bit], *top] if levels else [(np.zeros(0, np.uint64),) * 3] * (DEPTH + 1 - SHARED_DEPTH) + top, strict=True):
+            if not len(keys):
+                continue
+            node = (at_depth(grams, depth) & ~_U(0xFF)) | step
+            at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
+            here = keys[at] == node
+            p = np.where(here, np.where(seen, stop[at] * own[at] + (1 - stop[at]) * p, own[at]), p)
             seen |= here
-            own, stop = self.p0[node.astype(np.int64)], self.stop0[node.astype(np.int64)]
-            p = np.where(seen, stop * own + (1 - stop) * p, own)
-            one = (byte >> _U(7 - bit)) & _U(1) == 1
-            total += np.log10(np.where(one, p, 1 - p))
-        return total
-
-
-class Scorer:
-    """Scores grams, remembering results in a direct-mapped cache of fixed size."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.keys = np.zeros(1 << _CACHE_BITS, np.uint64)
-        self.values = np.zeros(1 << _CACHE_BITS, np.float32)
-
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        at = ((grams * _U(0x9E3779B97F4A7C15)) >> _U(64 - _CACHE_BITS)).astype(np.int64)
-        out = self.values[at].astype(float)
-        miss = np.flatnonzero(self.keys[at] != grams)
-        if len(miss):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            value = self.model.log10(new)
-            out[miss] = value[back]
-            at = ((new * _U(0x9E3779B97F4A7C15)) >> _U(64 - _CACHE_BITS)).astype(np.int64)
-            self.keys[at], self.values[at] = new, value
+        one = (byte >> _U(7 - bit)) & _U(1) == 1
+        total += np.log10(np.where(one, p, 1 - p))
+    return total
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys in few bytes: their differences, byte by byte of equal weight."""
+    step = np.diff(keys, prepend=_U(0)).astype("<u8")
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    return zlib.compress(bytes([width]) + step.view(np.uint8).reshape(-1, 8).T[:width].tobytes(), 1)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    step = np.zeros((planes.shape[1], 8), np.uint8)
+    step[:, : data[0]] = planes.T
+    return np.cumsum(step.reshape(-1).view("<u8")).astype(np.uint64)
+
+
+class Lookup:
+    """Places of keys among distinct ones, by an open table at most half full."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.table = np.full((1 << self.bits) + 1, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            lost = self.table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """Each one's place; a key that isn't there is an error."""
+        slot = self._slot(wanted)
+        out = self.table[slot]
+        left = np.flatnonzero(self.keys[out] != wanted) if len(self.keys) else np.arange(len(wanted))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.table[slot[left]]
+            if (out[left] < 0).any():
+                raise LookupError("a block asks for a key without an answer")
+            left = left[self.keys[out[left]] != wanted[left]]
         return out
 
 
-#: Distinct grams per task that weighs subtrees.
-GRAMS_A_TASK = 400_000
+def shard_of(kind: int, keys: np.ndarray, shards: tuple[int, int]) -> np.ndarray:
+    """Shards of words come first, then those of grams, which go by the last three context bytes."""
+    h = mix(keys) if kind == _WORD else mix(keys >> _U(8 * (DEPTH + 1 - SHARED_DEPTH)))
+    return ((h >> _U(1)).astype(np.int64) % shards[kind] + (shards[0] if kind == _GRAM else 0)).astype(np.int32)
+
+
+def _counted_by_shard(counted: DataFrame, shards: tuple[int, int]) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            kind, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            shard = np.where(kind == _WORD, shard_of(_WORD, key, shards), shard_of(_GRAM, key, shards))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(1), batch.column(2)], ["shard", "key", "n"])
 
+    return counted.where(F.col("kind") >= 0).select("kind", "key", "n").mapInArrow(run, "shard int, key long, n long")
 
-def build(counted: DataFrame) -> Model:
-    """Weigh the subtrees in parallel and gather the fixed-size table."""
-    width = 1 << SEGMENT_BITS
+
+def _top(counted: DataFrame, shards: tuple[int, int]) -> list[Level]:
+    """The levels above the shards: sums of all shards for depth ``SHARED_DEPTH`` - 1, weighed up to the root."""
 
     def weigh(batches):
-        keys, n = [], []
+        def done():
+            _, above = subtrees(*summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])))
+            return pa.RecordBatch.from_arrays([pa.array(above[0].astype(np.int32)), *(pa.array(x) for x in above[1:])], ["node", "zeros", "ones", "kids"])
+
+        now, held = None, []
         for batch in batches:
-            keys.append(batch.column(0).to_numpy().view(np.uint64))
-            n.append(batch.column(1).to_numpy())
-        if not sum(map(len, keys)):
-            return
-        slot, value, total, top = subtrees(*summed(np.concatenate(keys), np.concatenate(n)))
-        order = np.lexsort((total, slot))
-        slot, value, total = slot[order], value[order], total[order]
-        last = np.append(slot[1:] != slot[:-1], True)
-        slot, value, total = slot[last], value[last], total[last]
-        segs, data = [], []
-        edge = np.searchsorted(slot, np.arange(0, (1 << TABLE_BITS) + 1, width))
-        for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-            if b > a:
-                segs.append(i)
-                data.append((slot[a:b] - i * width).astype("<u4").tobytes() + value[a:b].astype("<u4").tobytes() + np.minimum(total[a:b], 2**32 - 1).astype("<u4").tobytes())
-        for c in np.flatnonzero((top[:2].sum(0) > 0).reshape(256, 256).any(1)).tolist():
-            segs.append(-1 - c)
-            data.append(top[:, 256 * c : 256 * (c + 1)].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int32()), pa.array(data, pa.binary())], ["seg", "data"])
-
-    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = key[0].as_py()
-        if seg < 0:
-            got = np.zeros((3, 256))
-            for batch in batches:
-                for x in batch.column(1).to_pylist():
-                    got += np.frombuffer(x).reshape(3, 256)
-        else:
-            got, best = np.zeros(width, "<u4"), np.zeros(width, np.int64)
-            for batch in batches:
-                for x in batch.column(1).to_pylist():
-                    slot, value, total = np.frombuffer(x, "<u4").reshape(3, -1)
-                    better = total > best[slot]
-                    got[slot[better]], best[slot[better]] = value[better], total[better]
-        yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([zlib.compress(got.tobytes(), 1)], pa.binary())], ["seg", "data"])
-
-    grams = counted.where(F.col("kind") == _GRAM).select("key", "n")
-    tasks = 8 + grams.count() // GRAMS_A_TASK
-    subtree = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    parts = grams.repartition(tasks, subtree).mapInArrow(weigh, "seg int, data binary")
-    table, top = np.zeros(1 << TABLE_BITS, np.uint32), np.zeros((3, 65536))
-    for r in parts.groupBy("seg").applyInArrow(join, "seg int, data binary").toLocalIterator():
-        data = zlib.decompress(bytes(r["data"]))
-        if r["seg"] < 0:
-            c = -1 - r["seg"]
-            top[:, 256 * c : 256 * (c + 1)] = np.frombuffer(data).reshape(3, 256)
+            shard = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+            for a, b in zip(edge, [*edge[1:], len(shard)], strict=True):
+                if shard[a] != now:
+                    if held:
+                        yield done()
+                    now, held = shard[a], []
+                held.append((batch.column(1).to_numpy()[a:b].view(np.uint64), batch.column(2).to_numpy()[a:b]))
+        if held:
+            yield done()
+
+    grams = _counted_by_shard(counted.where(F.col("kind") == _GRAM), shards)
+    parts = grams.repartitionById(shards[1], F.col("shard") - shards[0]).sortWithinPartitions("shard").mapInArrow(weigh, "node int, zeros double, ones double, kids double")
+    got = parts.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("kids").alias("kids")).toArrow()
+    return top_levels(got["node"].to_numpy().astype(np.uint64), *(got[c].to_numpy() for c in ("zeros", "ones", "kids")))
+
+
+def _in_blocks(docs: DataFrame, shards: tuple[int, int]) -> DataFrame:
+    """Texts (block, doc_id, text) and what each block asks for (block, shard, keys)."""
+    names = ["block", "doc_id", "text", "shard", "keys"]
+
+    def run(batches):
+        block, size = TaskContext.get().partitionId() << 32, 0
+        held: dict[int, list[np.ndarray]] = {_WORD: [], _GRAM: []}
+
+        def questions():
+            shard, keys = [], []
+            for kind in (_WORD, _GRAM):
+                asked = np.unique(np.concatenate(held[kind]))
+                of = shard_of(kind, asked, shards)
+                order = np.argsort(of, kind="stable")
+                found, first = np.unique(of[order], return_index=True)
+                for s, part in zip(found.tolist(), np.split(asked[order], first[1:]), strict=True):
+                    shard.append(s)
+                    keys.append(pack_keys(part))
+            n = len(shard)
+            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(shard, pa.int32()), pa.array(keys, pa.binary())], names)
+
+        for batch in batches:
+            for part in slices(batch):
+                buf, offs = raw(part.column(1))
+                if size and size + len(buf) > BLOCK_BYTES:
+                    yield questions()
+                    block, size, held = block + 1, 0, {_WORD: [], _GRAM: []}
+                size += len(buf) + part.num_rows
+                starts, ends, _ = words(buf, offs)
+                for kind, keys in ((_WORD, np.append(word_hashes(buf, starts, ends), _END)), (_GRAM, stream(buf, offs)[0])):
+                    held[kind].append(np.unique(keys))
+                    if sum(map(len, held[kind])) > MERGE_AT:
+                        held[kind] = [np.unique(np.concatenate(held[kind]))]
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column(0), part.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        if held[_GRAM]:
+            yield questions()
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "block long, doc_id long, text string, shard int, keys binary")
+
+
+class Shard:
+    """One shard's counts; it answers for words with counts and for grams with log10 probabilities, each worked out once."""
+
+    def __init__(self, kind: int, keys: np.ndarray, n: np.ndarray, top: list[Level]):
+        self.kind, self.top = kind, top
+        if kind == _WORD:
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], n[order].astype("<u8")
         else:
-            table[r["seg"] * width : (r["seg"] + 1) * width] = np.frombuffer(data, "<u4")
-    return Model(table, top)
+            self.levels = subtrees(*summed(keys, n))[0] if len(keys) else []
+            self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, "<f4")
 
+    def __call__(self, wanted: np.ndarray) -> bytes:
+        at = np.searchsorted(self.keys, wanted)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
+        if not known.all() and self.kind == _GRAM:
+            new = wanted[~known]
+            self.values = np.insert(self.values, at[~known], log10_values(new, self.levels, self.top).astype("<f4"))
+            self.keys = np.insert(self.keys, at[~known], new)
+            at, known = np.searchsorted(self.keys, wanted), np.ones(len(wanted), bool)
+        out = np.zeros(len(wanted), self.values.dtype)
+        out[known] = self.values[at[known]]
+        return out.tobytes()
 
-def _frequent_from(vocab: DataFrame) -> int:
-    """The least count from which on at most TOP words are as frequent, by a histogram of counts."""
-    level = F.floor(F.log2("n") * 8)
-    found = sorted(vocab.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect(), key=lambda r: -r["level"])
-    total, least = 0, 2**62
-    for r in found:
-        total += r["words"]
-        if total > TOP:
-            break
-        least = r["least"]
-    return least
+
+def _answers(counted: DataFrame, asked: DataFrame, shards: tuple[int, int], top) -> DataFrame:
+    """(block, shard, keys, found): the blocks' questions with their answers."""
+
+    def run(batches):
+        now, held, shard = None, [], None
+
+        def ready() -> Shard:
+            none = [np.zeros(0, np.int64)]
+            return Shard(int(now >= shards[0]), np.concatenate([x[0] for x in held] or none).view(np.uint64), np.concatenate([x[1] for x in held] or none), top.value)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            out = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
+                if ids[a] != now:
+                    now, held, shard = int(ids[a]), [], None
+                part = batch.slice(a, b - a)
+                counts_here = part.column(1).null_count
+                if counts_here:  # they come first
+                    held.append((part.column(2).slice(0, counts_here).to_numpy(), part.column(3).slice(0, counts_here).to_numpy()))
+                if counts_here < part.num_rows:
+                    shard = shard or ready()
+                    held = []
+                    for block, keys in zip(part.column(1).slice(counts_here).to_pylist(), part.column(4).slice(counts_here).to_pylist(), strict=True):
+                        out.append((block, now, keys, shard(unpack_keys(keys))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "shard", "keys", "found"])
+        release()
+
+    train = _counted_by_shard(counted, shards).select("shard", F.lit(None).cast("long").alias("block"), "key", "n", F.lit(None).cast("binary").alias("keys"))
+    both = train.unionByName(asked.select("shard", "block", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), "keys"))
+    met = both.repartitionById(sum(shards), F.col("shard")).sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+    return met.mapInArrow(run, "block long, shard int, keys binary, found binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of every document."""
     spark = docs.sparkSession
     counted = written(counts(docs), "counts")
-    vocab = counted.where(F.col("kind") == _WORD).select("key", "n")
-    total = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocab.where(F.col("n") >= _frequent_from(vocab)).toArrow()
-    keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], n[order]))
-    model = spark.sparkContext.broadcast(build(counted))
-    per_token = float(np.log10(total[0] + total[1] + 1))
+    size = {r["kind"]: r for r in counted.groupBy("kind").agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).collect()}
+    shards = tuple(1 + (size[k]["keys"] if k in size else 0) // SHARD_KEYS for k in (_WORD, _GRAM))
+    tokens, kinds = (size[_WORD]["n"], size[_WORD]["keys"]) if _WORD in size else (0, 0)
+    top = spark.sparkContext.broadcast(_top(counted, shards))
+    cut = written(_in_blocks(docs, shards), "blocks")
+    blocks = cut.agg(F.countDistinct("block")).first()[0]
+    answers = _answers(counted, cut.where("shard is not null").select("block", "shard", "keys"), shards, top)
+    per_token = float(np.log10(tokens + kinds + 1))
 
     def run(batches):
-        scorer, (keys, n) = Scorer(model.value), frequent.value
-        gain = np.log10(n + 1.0)
-        row_id = TaskContext.get().partitionId() << 33
+        now, answered, ready = None, [], None
+
+        def tables():
+            out = []
+            for kind, form in ((_WORD, "<u8"), (_GRAM, "<f4")):
+                mine = [x for x in answered if (x[0] >= shards[0]) == kind]
+                keys = [unpack_keys(x[1]) for x in mine] or [np.zeros(0, np.uint64)]
+                found = np.frombuffer(b"".join(x[2] for x in mine), form).astype(float)
+                out.append((Lookup(np.concatenate(keys)), found))
+            return out
+
         for batch in batches:
-            for part in slices(batch):
-                buf, offs = raw(part.column(1))
-                grams, at = stream(buf, offs)
-                upto = np.append(0.0, np.cumsum(scorer(grams)))
-                starts, ends, row = words(buf, offs)
-                h = np.append(word_hashes(buf, starts, ends), np.full(part.num_rows, _END))
-                row = np.append(row, np.arange(part.num_rows))
-                place = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                known = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                rows = part.num_rows
-                ids = row_id + np.arange(rows)
-                row_id += rows
-                base = np.bincount(row[known], gain[place[known]], rows) if known.any() else np.zeros(rows)
-                none = pa.nulls(rows, pa.int64())
-                names = ["doc_id", "row", "word", "n_bytes", "n_tokens", "n_known", "base", "score"]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), none, pa.array(np.diff(offs)), pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row[known], minlength=rows)), pa.array(base), pa.array(upto[at[1:]] - upto[at[:-1]])], names)
-                rare = np.flatnonzero(~known)
-                none = pa.nulls(len(rare), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(ids[row[rare]]), pa.array(signed(h[rare])), none, none, none, pa.nulls(len(rare), pa.float64()), pa.nulls(len(rare), pa.float64())], names)
-
-    got = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, row long, word long, n_bytes long, n_tokens long, n_known long, base double, score double")
-    got = written(got, "scores")
-    rare = got.where("word is not null").select("row", "word")
-    found = rare.join(vocab.select(F.col("key").alias("word"), "n"), "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("rare_known"))
-    out = got.where("word is null").drop("word").join(found, "row", "left")
-    return out.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(total[0])).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        "score",
-        "n_bytes",
-    )
+            ids = batch.column(0).to_numpy()
+            edge = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
+                if ids[a] != now:
+                    now, answered, ready = int(ids[a]), [], None
+                group = batch.slice(a, b - a)
+                first = group.num_rows - group.column(1).null_count
+                answered += zip(*(group.column(i).slice(0, first).to_pylist() for i in (1, 2, 3)), strict=True)
+                for part in slices(group.slice(first), "text"):
+                    if ready is None:
+                        ready, answered = tables(), []
+                    (word_at, times), (gram_at, value) = ready
+                    buf, offs = raw(part.column(5))
+                    grams, at = stream(buf, offs)
+                    upto = np.append(0.0, np.cumsum(value[gram_at(grams)]))
+                    starts, ends, row = words(buf, offs)
+                    n = part.num_rows
+                    c = times[word_at(np.append(word_hashes(buf, starts, ends), np.full(n, _END)))]
+                    row = np.append(row, np.arange(n))
+                    n_tokens = np.bincount(row, minlength=n)
+                    base = np.bincount(row, np.log10(c + 1), n) - n_tokens * per_token
+                    columns = [n_tokens, np.bincount(row[c > 0], minlength=n), base, upto[at[1:]] - upto[at[:-1]], np.diff(offs)]
+                    yield pa.RecordBatch.from_arrays([part.column(4), *(pa.array(x) for x in columns)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+
+    told = answers.select("block", "shard", "keys", "found", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    none = F.lit(None)
+    texts = cut.where("shard is null").select("block", none.cast("int").alias("shard"), none.cast("binary").alias("keys"), none.cast("binary").alias("found"), "doc_id", "text")
+    met = told.unionByName(texts).repartition(max(1, blocks), "block").sortWithinPartitions("block", F.col("shard").asc_nulls_last())
+    done = met.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,12 +16,19 @@ _SEGMENTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only a session that runs on this machine alone may leave it unset, as in tests; its
+    tables go to a folder of their own under the system's temporary one.
+    """
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir", "")
     if not given:
-        jsc = spark.sparkContext._jsc.sc()
+        jsc = context._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(f"{tempfile.gettempdir()}/semloom-checkpoints")
         given = jsc.getCheckpointDir().get()
     return given.rstrip("/")
 
@@ -38,16 +46,26 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8, rows: int = 4000) -
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lost executors recompute nothing above it."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lost executors recompute nothing above it.
+
+    The table goes when the driver's JVM ends, if ``discard`` hasn't deleted it before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/semloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._written_at = path
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def least_by_hash(df: DataFrame, column: str, n: int, total: int) -> DataFrame:
     """The ``n`` rows with the least hash of a column, of ``total`` rows.
 
@@ -63,8 +81,9 @@ def discard(df: DataFrame) -> None:
     """Delete the table that ``written`` made; nothing lazy may read it any more."""
     path = getattr(df, "_written_at", None)
     if path:
-        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        files, place = _files(df.sparkSession, path)
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
 
 
 def bit_of(h: int) -> int:

@@ -634,64 +634,103 @@ def test_grammar_marks_events():
 # -- 10 language model ------------------------------------------------------------------------------
 
 
-def test_ctw_against_a_plain_tree():
-    """Weights and mixtures of the table equal those of a recursive tree."""
-    rng = random.Random(13)
-    train = [("ab" * rng.randint(0, 4) + rng.choice(["c", "abc", ""])).encode() for _ in range(40)]
-    grams = np.concatenate([ctw.stream(*raw(pa.array([t.decode()], pa.string())))[0] for t in train])
-    keys, n = np.unique(grams, return_counts=True)
-    slot, value, total, top = ctw.subtrees(keys, n)
-    table_ = np.zeros(1 << ctw.TABLE_BITS, np.uint32)
-    table_[slot] = value
-    model = ctw.Model(table_, top)
-
-    def counts(suffix, prefix):
-        d = len(suffix)
-        z = [0, 0]
-        for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-            b = k.to_bytes(8, "big")[-(ctw.DEPTH + 1) :]
-            bits = f"{b[-1]:08b}"
-            if b[ctw.DEPTH - d : ctw.DEPTH] == suffix and bits.startswith(prefix):
-                z[int(bits[len(prefix)])] += c
-        return z
-
-    kt = lambda z: float(ctw.log_kt(np.array([float(z[0])]), np.array([float(z[1])]))[0])
-
-    def log_pw(suffix, prefix):
-        own = kt(counts(suffix, prefix))
-        if len(suffix) == ctw.DEPTH:
+class PlainTree:
+    """Context-tree weighting by recursion over dicts, from the module's definitions alone."""
+
+    def __init__(self, rows, depth=5):
+        from collections import defaultdict
+        from functools import lru_cache
+
+        self.depth = depth
+        self.counts = defaultdict(lambda: [0, 0])
+        self.kids = defaultdict(set)
+        for t in rows:
+            s = b"\xff" * depth + self.lower(t) + b"\xff"
+            for i in range(depth, len(s)):
+                bits = f"{s[i]:08b}"
+                for d in range(depth + 1):
+                    suffix = s[i - d : i]
+                    for j in range(8):
+                        self.counts[suffix, bits[:j]][int(bits[j])] += 1
+                        if d:
+                            self.kids[suffix[1:], bits[:j]].add(suffix)
+        self.log_pw = lru_cache(None)(self._log_pw)
+
+    @staticmethod
+    def lower(t):
+        return bytes(b + 32 if 65 <= b <= 90 else b for b in t)
+
+    @staticmethod
+    def kt(zeros, ones):
+        from math import lgamma, log, pi
+
+        return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1) - log(pi)
+
+    def _log_pw(self, suffix, prefix):
+        own = self.kt(*self.counts[suffix, prefix])
+        if len(suffix) == self.depth:
             return own
-        kids = sum(log_pw(bytes([c]) + suffix, prefix) for c in {k.to_bytes(8, "big")[-(len(suffix) + 2)] for k in keys.tolist() if k.to_bytes(8, "big")[-(len(suffix) + 1) : -1] == suffix} if sum(counts(bytes([c]) + suffix, prefix)))
-        return np.logaddexp(own, kids) - np.log(2)
-
-    def p_one(context, prefix, depth=0):
-        suffix = context[len(context) - depth :] if depth else b""
-        z = counts(suffix, prefix)
-        own = (z[1] + 0.5) / (sum(z) + 1)
-        if depth == ctw.DEPTH or not sum(counts(context[len(context) - depth - 1 :], prefix)):
+        return np.logaddexp(own, sum(self.log_pw(k, prefix) for k in self.kids[suffix, prefix])) - np.log(2)
+
+    def p_one(self, context, prefix, depth=0):
+        suffix = context[len(context) - depth :]
+        if (suffix, prefix) not in self.counts:
+            return 0.5
+        zeros, ones = self.counts[suffix, prefix]
+        own = (ones + 0.5) / (zeros + ones + 1)
+        if depth == self.depth or (context[len(context) - depth - 1 :], prefix) not in self.counts:
             return own
-        kids = 2 * np.exp(log_pw(suffix, prefix) - kt(z)) - 1  # the children's product over the own block
-        stop = 1 / (1 + kids)
-        return stop * own + (1 - stop) * p_one(context, prefix, depth + 1)
-
-    for g in keys.tolist()[:6]:
-        b = g.to_bytes(8, "big")[-(ctw.DEPTH + 1) :]
-        bits, want = f"{b[-1]:08b}", 0.0
-        for i in range(8):
-            p = p_one(b[:-1], bits[:i])
-            want += np.log10(p if bits[i] == "1" else 1 - p)
-        assert abs(float(model.log10(np.array([g], np.uint64))[0]) - want) < 0.02
+        kids = sum(self.log_pw(k, prefix) for k in self.kids[suffix, prefix])
+        stop = 1 / (1 + np.exp(np.clip(kids - self.kt(zeros, ones), -700, 700)))
+        return stop * own + (1 - stop) * self.p_one(context, prefix, depth + 1)
+
+    def score(self, t):
+        s, total = b"\xff" * self.depth + self.lower(t) + b"\xff", 0.0
+        for i in range(self.depth, len(s)):
+            bits = f"{s[i]:08b}"
+            for j in range(8):
+                p = self.p_one(s[i - self.depth : i], bits[:j])
+                total += np.log10(p if bits[j] == "1" else 1 - p)
+        return total
+
+
+@pytest.mark.parametrize(("shard", "block"), [(250_000, 32 << 20), (40, 150)])
+def test_ctw_scores_are_the_plain_trees(spark, monkeypatch, shard, block):
+    """Whole documents, trained on and held out, with one shard and block or many."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["Abba", "cab", "caba", "ö", "bac", "漢"]) for _ in range(rng.randint(0, 12)))) for i in range(50)] + [(60, None), (61, ""), (None, "abba cab"), (62, "never seen: xyz!"), (3, "abba cab"), (3, "abba cab")]
+    monkeypatch.setattr(ctw, "SHARD_KEYS", shard)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", block)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tree = PlainTree([(t or "").encode() for d, t in rows if not held(d)])
+    found = ctw.score(table(spark, rows)).collect()
+    want = sorted(((d, held(d), round(tree.score((t or "").encode()), 3)) for d, t in rows), key=repr)
+    got = sorted(((r["doc_id"], r["held_out"], round(r["score"], 3)) for r in found), key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 0.003 for a, b in zip(got, want, strict=True))
 
 
 def test_ctw_is_a_distribution():
     keys, n = np.unique(ctw.stream(*raw(pa.array(["some words and some more", "words"])))[0], return_counts=True)
-    slot, value, _, top = ctw.subtrees(keys, n)
-    table_ = np.zeros(1 << ctw.TABLE_BITS, np.uint32)
-    table_[slot] = value
-    model = ctw.Model(table_, top)
+    levels, above = ctw.subtrees(keys, n)
+    top = ctw.top_levels(*above)
     for context in (int(keys[3]) >> 8, 0x0102030405):
         grams = np.array([context << 8 | b for b in range(256)], np.uint64)
-        assert abs((10.0 ** model.log10(grams)).sum() - 1) < 1e-6
+        assert abs((10.0 ** ctw.log10_values(grams, levels, top)).sum() - 1) < 1e-9
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+@settings(max_examples=60, deadline=None)
+def test_keys_are_packed_and_found(some):
+    keys = np.array(sorted(some), np.uint64)
+    assert (ctw.unpack_keys(ctw.pack_keys(keys)) == keys).all()
+    look = ctw.Lookup(keys)
+    if len(keys):
+        assert (look(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+    absent = np.array([x for x in (1, 2, 3) if x not in some], np.uint64)
+    for x in absent:
+        with pytest.raises(LookupError):
+            look(np.array([x], np.uint64))
 
 
 def test_lm_scoring(spark, odd_rows, monkeypatch):
@@ -700,7 +739,7 @@ def test_lm_scoring(spark, odd_rows, monkeypatch):
 
     rng = random.Random(14)
     rows = odd_rows + [(600 + i, prose(rng, 60, 300)) for i in range(60)]
-    monkeypatch.setattr(ctw, "TOP", 50)  # most words go through the join
+    monkeypatch.setattr(ctw, "SHARD_KEYS", 50)
     found = ctw.score(table(spark, rows)).collect()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
