@@ -74,16 +74,28 @@ def stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     A gram is its context from the last byte back, then its own byte.
     """
     size = np.diff(offs)
-    at = np.cumsum(size + DEPTH + 1) - (size + DEPTH + 1)
-    out = np.full(int((size + DEPTH + 1).sum()), 0xFF, np.uint8)
-    out[np.arange(len(buf)) + np.repeat(at + DEPTH - offs[:-1], size)] = LOWER[buf]
+    end = np.cumsum(size + DEPTH + 1)  # a row is DEPTH begin marks, its bytes and the end mark
+    total = int(end[-1]) if len(end) else 0
+    marks = (end - size - DEPTH - 1)[:, None] + np.arange(DEPTH)
+    own = np.ones(total, bool)
+    own[marks] = False
+    own[end - 1] = False
+    out = np.full(total, 0xFF, np.uint8)
+    out[own] = LOWER[buf]
+    own[end - 1] = True
     wide = out.astype(np.uint64)
-    n = max(0, len(out) - DEPTH)
-    g = wide[DEPTH : DEPTH + n].copy()
-    for j in range(DEPTH):
-        g |= wide[j : j + n] << _U(8 * (j + 1))
-    keep = np.arange(int((size + 1).sum())) + np.repeat(at - (np.cumsum(size + 1) - (size + 1)), size + 1)
-    return g[keep], np.append(0, np.cumsum(size + 1))
+    two = wide[:-1] | (wide[1:] << _U(8))
+    n = max(0, total - DEPTH)
+    g = wide[DEPTH:] | (wide[DEPTH - 1 : DEPTH - 1 + n] << _U(8 * DEPTH))
+    for j in range(0, DEPTH - 1, 2):  # DEPTH is odd: what is left of a context is pairs of bytes
+        g |= two[j : j + n] << _U(8 * (j + 1))
+    return g[own[DEPTH:]], np.append(0, np.cumsum(size + 1))
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,7 +344,7 @@ def _in_blocks(docs: DataFrame, shards: tuple[int, int]) -> DataFrame:
         def questions():
             shard, keys = [], []
             for kind in (_WORD, _GRAM):
-                asked = np.unique(np.concatenate(held[kind]))
+                asked = distinct(np.concatenate(held[kind]))
                 of = shard_of(kind, asked, shards)
                 order = np.argsort(of, kind="stable")
                 found, first = np.unique(of[order], return_index=True)
@@ -351,9 +363,9 @@ def _in_blocks(docs: DataFrame, shards: tuple[int, int]) -> DataFrame:
                 size += len(buf) + part.num_rows
                 starts, ends, _ = words(buf, offs)
                 for kind, keys in ((_WORD, np.append(word_hashes(buf, starts, ends), _END)), (_GRAM, stream(buf, offs)[0])):
-                    held[kind].append(np.unique(keys))
+                    held[kind].append(distinct(keys))
                     if sum(map(len, held[kind])) > MERGE_AT:
-                        held[kind] = [np.unique(np.concatenate(held[kind]))]
+                        held[kind] = [distinct(np.concatenate(held[kind]))]
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column(0), part.column(1), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if held[_GRAM]:
