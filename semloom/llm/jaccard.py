@@ -9,27 +9,35 @@ Documents with the same set form one class, and only classes are compared.
    order all tasks share keeps the prefix filter exact.
 2. Each class posts the first ``n - ceil(t * n) + 1`` shingles of its set in that
    order, with their positions. Two sets over the threshold share a posted
-   shingle; in the list of their first one, their sizes and positions leave room
-   for the overlap, so members without such a partner leave the list.
+   shingle. An index list is cut into blocks of equal size and position: if the
+   list's shingle is the first that two sets have in common, what is left of both
+   from there on must hold the overlap. Blocks that no other block of the list (or
+   member of the same) leaves room for are skipped whole, and their members with them.
 3. The other classes of an index list go to the list's hub (its least class). Lists of
    near copies have the same hub, so a class goes there once, whatever the number
-   of lists. Lists that the sketch marks as long are handled by a partial minimum
-   and a skew join, never as one window.
-4. A hub's group is cut into blocks of bounded size, and each pair of blocks is
-   one piece of work. Inside, sets lie in order of size; blocks of sets whose
-   sizes can't reach the threshold are skipped. A pivot set only numbers the
-   columns: |x & y| = |x & y & p| + |x & y - p|, and both terms are computed for
-   each pair by products of 0/1 matrices; no answer of one set is derived from
-   another's. Each piece gives a spanning forest of its links and
+   of lists; a hub whose members all share a lesser hub is dropped. Lists that the
+   sketch marks as long are handled by a partial minimum and a skew join, never as
+   one window.
+4. A hub's group is one piece of work, or one for each pair of its blocks if it is
+   larger than a block. Inside, a set that has nobody like it is a leader; a set
+   like a leader is kept as its difference from it, what it lacks and what it has
+   beyond. Index lists hold leaders and differences, in order of set size. A
+   leader's overlaps with all sets are counted from the lists of its shingles; those
+   of a set like it start from the leader's and are corrected by the lists of the
+   shingles in which both differ. Each piece gives a spanning forest of its links and
    each class's number of links, not all pairs.
 5. Components of the links are found on small tables of class ids.
 
-Texts go once to the groups they belong to; nothing is dropped or capped.
+A class's text goes once to each block pair of its groups, from the rows of one
+doc_id and text; nothing is dropped or capped.
 
 Defined cases: null, empty and word-less texts have an empty set, link with
 nothing and are their own component; a text of fewer than ``k`` words has its
-whole sequence as one shingle; a null doc_id is no smallest doc_id unless a
-component has no other; repeated documents each get their row.
+whole sequence as one shingle; a text of any length is shingled whole; a null
+doc_id is no smallest doc_id unless a component has no other; repeated documents,
+and different texts of one doc_id, each get their row; a similarity of exactly
+the threshold links; an empty table gives no row; other columns are not read, and
+the stage hands them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,16 +52,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import written
-from .text import mix, raw, signed, slices, spans, windows, word_hashes, words
+from .store import discard, fresh_names, written
+from .text import mix, raw, release, signed, slices, spans, windows, word_hashes, words
 
 SKETCH_BITS = 20
 _SEGMENTS = 64
 #: A list longer than this (over the sketch's mean load) isn't handled as one stream.
 HOT = 2000
 #: Bounds of a block of a group: shingles and classes.
-BLOCK_SHINGLES = 1 << 20
-BLOCK_CLASSES = 256
+BLOCK_SHINGLES = 1 << 21
+BLOCK_CLASSES = 8192
+#: A set is kept as its difference from a leader if that has at most this share of its size.
+LIKE = 0.4
 _SEEN = 200_000
 
 
@@ -169,14 +179,29 @@ def _postings(keyed: DataFrame, k: int, percent: int, shared, hot: bool) -> Data
 
 
 def _may_link(hi: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
-    """Which members of one list have a partner by size and position (the list's token being the first in common)."""
-    if len(hi) > 64:  # by size alone, against the neighbours in size
-        new = np.append(True, (n[1:] != n[:-1]) | (hi[1:] != hi[:-1]))
-        near = np.append(False, 100 * n[:-1] >= percent * n[1:]) & new
-        return near | np.append(near[1:], False) | ~new
-    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
-    room = np.minimum((n - pos)[:, None], (n - pos)[None, :])
-    return ((room >= need) & (hi[:, None] != hi[None, :])).any(1)
+    """Which members of one list, in order of size and position, have a partner by both (the list's token being the first in common).
+
+    Members of the same size and position are one block, kept or skipped whole. A size's
+    best block stands for the others of that size, its second best where it is compared with itself.
+    """
+    edge = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])))
+    several = np.logical_or.reduceat(np.append(False, hi[1:] != hi[:-1]) & ~np.isin(np.arange(len(hi)), edge), edge)
+    size, room = n[edge], n[edge] - pos[edge]
+    best = np.flatnonzero(np.append(True, size[1:] != size[:-1]))  # blocks of one size: most room first
+    width, most = size[best], room[best]
+    second = np.where(np.append(best[1:], len(size)) - best > 1, room[np.minimum(best + 1, len(size) - 1)], 0)
+    second = np.where(several[best], most, second)
+    of = np.repeat(np.arange(len(best)), np.diff(np.append(best, len(size))))
+    kept = np.zeros(len(size), bool)
+    step = max(1, (1 << 20) // len(width))
+    for a in range(0, len(size), step):
+        b = slice(a, a + step)
+        need = -(-percent * (size[b, None] + width[None, :]) // (100 + percent))
+        other = np.repeat(most[None, :], need.shape[0], 0)
+        itself = np.isin(np.arange(a, a + need.shape[0]), best)
+        other[itself, of[b][itself]] = second[of[b][itself]]
+        kept[b] = ((room[b, None] >= need) & (other >= need)).any(1)
+    return np.repeat(kept, np.diff(np.append(edge, len(hi))))
 
 
 def _lists(postings: DataFrame, percent: int) -> DataFrame:
@@ -217,81 +242,111 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "at").mapInArrow(run, "hub long, hi long")
 
 
-def _to_hubs(keyed: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(hub, hi): the classes of each hub's lists, the hub itself among them."""
+def _to_hubs(keyed: DataFrame, k: int, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
+    """(hub, hi): the classes of each hub's lists, the hub itself among them; and the table that it reads, if any."""
     mean = float(counts.mean())
     level = np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
     long_list = counts > mean + 6 * mean**0.5 + HOT
     shared = keyed.sparkSession.sparkContext.broadcast((level, long_list))
-    out = _lists(_postings(keyed, k, percent, shared, False), percent)
+    out, posted = _lists(_postings(keyed, k, percent, shared, False), percent), None
     if long_list.any():
         posted = written(_postings(keyed, k, percent, shared, True), "postings")
         least = posted.groupBy("token").agg(F.min("hi").alias("hub"), F.max("hi").alias("top")).where("hub != top").drop("top")
         out = out.union(posted.join(least, "token").select("hub", "hi"))
-    return out.distinct()
-
-
-def _links_in(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of the sets' components by their links, and the matrix of links; sets are in order of size."""
-    g = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    if g == 2:
+    return out.distinct(), posted
+
+
+def _ranges(offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of the chosen lists' entries, one list after the other."""
+    size = offsets[chosen + 1] - offsets[chosen]
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(offsets[chosen] - end + size, size)
+
+
+class Overlaps:
+    """Overlaps of a group's sets (in order of size), most of them derived from those of a similar set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.at = np.append(0, np.cumsum(self.size))
+        vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids, self.width = ids.astype(np.int32), len(vocabulary)
+        self.leader = self._leaders()
+        self.lead = np.flatnonzero(self.leader == np.arange(len(sets)))
+        self.number = np.searchsorted(self.lead, self.leader)  # of each set's leader
+        self.plus, self.minus = [self.ids[:0]] * len(sets), [self.ids[:0]] * len(sets)
+        place = np.full(self.width, -1, np.int32)
+        for p in self.lead.tolist():
+            members = np.flatnonzero(self.leader == p)
+            own = self._set(p)
+            place[own] = np.arange(len(own))
+            for x in members[members != p].tolist():
+                mine = self._set(x)
+                there = place[mine]
+                lacks = np.ones(len(own), bool)
+                lacks[there[there >= 0]] = False
+                self.plus[x], self.minus[x] = mine[there < 0], own[lacks]
+            place[own] = -1
+        self.of_leaders = self._lists([self._set(p) for p in self.lead.tolist()])
+        self.with_more, self.with_less = self._lists(self.plus), self._lists(self.minus)
+
+    def _set(self, x: int) -> np.ndarray:
+        return self.ids[self.at[x] : self.at[x + 1]]
+
+    def _leaders(self) -> np.ndarray:
+        """Each set's leader, itself if none is like it; a leader takes all sets like it that have none yet."""
+        g = len(self.size)
+        leader, owner = np.full(g, -1), np.repeat(np.arange(g, dtype=np.int32), self.size)
+        mark = np.zeros(self.width, bool)
+        idle = 0
+        while idle < 4 and (left := np.flatnonzero(leader < 0)).size:
+            p = int(left[len(left) // 2])
+            own = self._set(p)
+            mark[own] = True
+            both = np.bincount(owner, mark[self.ids], g)
+            mark[own] = False
+            like = left[self.size[left] + len(own) - 2 * both[left] <= LIKE * self.size[left]]
+            leader[like] = p
+            idle = idle + 1 if len(like) < 3 else 0  # sets without likes: no use in looking on
+        return np.where(leader < 0, np.arange(g), leader)
+
+    def _lists(self, some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Index lists: for each shingle the places of the sets that hold it, ascending, and the lists' offsets."""
+        flat = np.concatenate(some) if some else self.ids[:0]
+        holder = np.repeat(np.arange(len(some), dtype=np.int32), [len(x) for x in some])[np.argsort(flat, kind="stable")]
+        return holder, np.append(0, np.cumsum(np.bincount(flat, minlength=self.width)))
+
+    def _count(self, lists, shingles: np.ndarray, n: int) -> np.ndarray:
+        holder, offsets = lists
+        return np.bincount(holder[_ranges(offsets, shingles)], minlength=n)
+
+    def _counts(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the shingles each leader has, and what to add for each set."""
+        g = len(self.size)
+        return self._count(self.of_leaders, shingles, len(self.lead)), self._count(self.with_more, shingles, g) - self._count(self.with_less, shingles, g)
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(set, its overlaps with all sets)."""
+        members = np.argsort(self.number, kind="stable")
+        for p, mine in zip(self.lead.tolist(), np.split(members, np.cumsum(np.bincount(self.number))[:-1]), strict=True):
+            leaders, more = self._counts(self._set(p))
+            yield p, leaders[self.number] + more
+            for x in mine[mine != p].tolist():
+                (a, b), (c, d) = self._counts(self.plus[x]), self._counts(self.minus[x])
+                yield x, (leaders + a - c)[self.number] + more + b - d
+
+
+def _links_in(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set with those behind it that it is linked with; sets are in order of size."""
+    size = np.array([len(x) for x in sets], np.int64)
+    if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        linked = 100 * both >= percent * (size.sum() - both)
-        return np.zeros(2, np.int64) if linked else np.arange(2), np.array([[False, linked], [linked, False]])
-    pivot = sets[g // 2]
-    inside, extras = [], []
-    for s in sets:
-        at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
-        same = pivot[at] == s
-        inside.append(at[same])
-        extras.append(s[~same])
-    owner = np.repeat(np.arange(g), [len(x) for x in extras])
-    _, other, times = np.unique(np.concatenate(extras), return_inverse=True, return_counts=True)
-    keep = times[other] > 1
-    _, other = np.unique(other[keep], return_inverse=True)
-    rows = np.concatenate([np.repeat(np.arange(g), [len(x) for x in inside]), owner[keep]])
-    cols = np.concatenate([np.concatenate(inside), other + len(pivot)])
-    by_col = np.argsort(cols, kind="stable")
-    rows, cols = rows[by_col], cols[by_col]
-    width = int(cols[-1]) + 1 if len(cols) else 0
-    both = np.zeros((g, g), np.float32)
-    step = 256
+        yield 0, np.arange(1, 2) if 100 * both >= percent * (size.sum() - both) else np.arange(0)
+        return
     far = np.searchsorted(size, size * 100 // percent, "right")  # where a set's partners end
-    for c in range(0, width, 2048):
-        a, b = np.searchsorted(cols, [c, c + 2048])
-        part = np.zeros((g, min(2048, width - c)), np.float32)
-        part[rows[a:b], cols[a:b] - c] = 1
-        for i in range(0, g, step):
-            to = int(far[min(i + step, g) - 1])
-            both[i : i + step, i:to] += part[i : i + step] @ part[i:to].T
-    both = both.astype(np.int64)
-    link = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
-    link |= link.T
-    label = np.full(g, -1, np.int64)
-    for i in range(g):
-        if label[i] < 0:
-            front = np.array([i])
-            label[i] = i
-            while len(front):
-                new = np.flatnonzero(link[front].any(0) & (label < 0))
-                label[new] = i
-                front = new
-    return label, link
-
-
-def _elsewhere(hub: int, hubs: list[list[int]]) -> np.ndarray:
-    """Pairs that meet in the group of a lesser hub too: their links are counted there."""
-    lesser: dict[int, list[int]] = {}
-    for i, own in enumerate(hubs):
-        for h in own:
-            if h < hub:
-                lesser.setdefault(h, []).append(i)
-    out = np.zeros((len(hubs), len(hubs)), bool)
-    for members in lesser.values():
-        if len(members) > 1:
-            out[np.ix_(members, members)] = True
-    return out
+    for x, both in Overlaps(sets):
+        part = slice(x + 1, int(far[x]))
+        yield x, x + 1 + np.flatnonzero(100 * both[part] >= percent * (size[x] + size[part] - both[part]))
 
 
 def _links(groups: DataFrame, k: int, percent: int) -> DataFrame:
@@ -299,27 +354,36 @@ def _links(groups: DataFrame, k: int, percent: int) -> DataFrame:
     documents each class is linked with by them (a, links). A pair of classes that meets in several pieces
     is counted in one: under its least hub, and of two blocks not inside either."""
 
-    def work(key: tuple[int, int, int], members: list[tuple]) -> Iterator[tuple]:
-        found = {}
-        for own, hi, lo, size, hubs, text in members:
-            if (hi, lo) not in found:
-                s = shingle_sets(pa.array([text], pa.string()), k)[0]
-                if class_of(s) == (hi, lo):  # rows that share a doc_id may have other texts
-                    found[hi, lo] = (s, own, size, hubs)
+    def work(key: tuple[int, int, int], found: dict) -> Iterator[tuple]:
         if len(found) < 2:
             return
         order = sorted(found, key=lambda x: len(found[x][0]))
         sets, own, size, hubs = zip(*(found[x] for x in order), strict=True)
-        label, link = _links_in(list(sets), percent)
+        own, size = np.array(own), np.array(size, np.int64)
+        lesser: dict[int, list[int]] = {}
+        for i, mine in enumerate(hubs):
+            for h in mine:
+                if h < key[0]:
+                    lesser.setdefault(h, []).append(i)
+        label, total = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+        for x, linked in _links_in(list(sets), percent):
+            if not len(linked):
+                continue
+            joined = np.unique(np.append(label[linked], label[x]))
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+            counted = linked if key[1] == key[2] else linked[own[linked] != own[x]]
+            if elsewhere := [h for h in hubs[x] if h < key[0]]:  # pairs that meet under a lesser hub too are counted there
+                there = np.zeros(len(sets), bool)
+                for h in elsewhere:
+                    there[lesser[h]] = True
+                counted = counted[~there[counted]]
+            total[counted] += size[x]
+            total[x] += size[counted].sum()
         node = [hi.to_bytes(8, "big", signed=True) + lo.to_bytes(8, "big", signed=True) for hi, lo in order]
         for i, j in enumerate(label.tolist()):
             if i != j:
                 yield node[i], node[j], None
-        counted = link & ~_elsewhere(key[0], list(hubs))
-        if key[1] != key[2]:
-            block = np.array(own)
-            counted &= block[:, None] != block[None, :]
-        total = counted @ np.array(size, np.int64)
         for i in np.flatnonzero(total).tolist():
             yield node[i], None, int(total[i])
 
@@ -327,20 +391,62 @@ def _links(groups: DataFrame, k: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary()), pa.array([x[2] for x in found], pa.int64())], ["a", "b", "links"])
 
     def run(batches):
-        key, members = None, []
+        key, found = None, {}
         for batch in batches:
             out = []
-            for hub, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for hub, i, j, own, hi, lo, size, hubs, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (hub, i, j) != key:
-                    out += work(key, members) if members else []
-                    key, members = (hub, i, j), []
-                members.append(member)
+                    out += work(key, found)
+                    key, found = (hub, i, j), {}
+                if (hi, lo) not in found:
+                    s = shingle_sets(pa.array([text], pa.string()), k)[0]
+                    if class_of(s) == (hi, lo):  # two texts of a doc_id may have the same hash
+                        found[hi, lo] = (s, own, size, hubs)
             yield rows(out)
-        yield rows(list(work(key, members)) if members else [])
+        yield rows(list(work(key, found)))
+        release()
 
     return groups.select("hub", "i", "j", "own", "hi", "lo", "size", "hubs", "text").mapInArrow(run, "a binary, b binary, links long")
 
 
+def _once_a_task(sent: DataFrame) -> DataFrame:
+    """Rows without those that a task sends to the same piece again for the same class, as far as a bounded memory tells."""
+    keys = ["hub", "i", "j", "hi", "lo"]
+
+    def run(batches):
+        seen: set[tuple] = set()
+        for batch in batches:
+            new = []
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in keys), strict=True)):
+                if row not in seen:
+                    new.append(i)
+                    if len(seen) < _SEEN:
+                        seen.add(row)
+            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
+    return sent.mapInArrow(run, sent.schema)
+
+
+def _pieces(members: DataFrame) -> DataFrame:
+    """Where each class goes: (hub, i, j, own, hi, lo, rep, at, size, hubs), the pieces of work of its groups that matter."""
+    told = members.join(members.groupBy("hi", "lo").agg(F.min("hub").alias("first")), ["hi", "lo"])
+    group = told.groupBy("hub").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("classes"))
+    group = group.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("hub")))  # else all members meet under the lesser hub
+    group = group.select("hub", F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("classes") / BLOCK_CLASSES)).alias("m"))
+    kept = members.join(group, "hub")
+    hubs = kept.groupBy("hi", "lo").agg(F.collect_set("hub").alias("hubs"))
+    pieces = kept.join(hubs, ["hi", "lo"]).withColumn("own", F.pmod("lo", F.col("m")))
+    pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other"))
+    return pieces.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "hi", "lo", "at", "size", "hubs")
+
+
+def shipped(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts of all pieces of work: one row for each piece that a class is in."""
+    pieces = _pieces(members)
+    same = keyed["doc"].eqNullSafe(pieces["at.doc"]) & (keyed["version"] == pieces["at.version"])
+    return _once_a_task(keyed.join(pieces, same).select("hub", "i", "j", "own", "hi", "lo", "size", "hubs", "text"))
+
+
 def linked_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, version, n_shingles, component_id, n_links) of every document.
 
@@ -349,16 +455,14 @@ def linked_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFra
     keyed = _keyed(docs)
     rows = written(_first_pass(keyed, k), "classes")
     docs_by_class = rows.where("seg is null").select("doc", "version", "hi", "lo", "n")
-    classes = docs_by_class.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("size"))
-    members = written(_to_hubs(keyed, k, percent, _sketch(rows)).join(classes, "hi"), "members")
-    sizes = members.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("m"))
-    hubs = members.groupBy("hi", "lo").agg(F.collect_set("hub").alias("hubs"))
-    pieces = members.join(sizes, "hub").join(hubs, ["hi", "lo"]).withColumn("own", F.pmod("lo", F.col("m")))
-    pieces = pieces.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other"))
-    pieces = pieces.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "hi", "lo", "rep", "size", "hubs")
-    shipped = keyed.join(pieces, keyed["doc"].eqNullSafe(pieces["rep"])).select("hub", "i", "j", "own", "hi", "lo", "size", "hubs", "text")
-    groups = shipped.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    at = F.min(F.when(F.col("version").isNotNull(), F.struct("version", "doc"))).alias("at")
+    classes = docs_by_class.where("n > 0").groupBy("hi", "lo").agg(F.min("doc").alias("rep"), at, F.min("n").alias("n"), F.count(F.lit(1)).alias("size"))
+    hubs, stored = _to_hubs(keyed, k, percent, _sketch(rows))
+    members = written(hubs.join(classes.select("hi", "lo", "at", "n", "size"), "hi"), "members")
+    groups = shipped(keyed, members).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     found = written(_links(groups, k, percent), "links")
+    for table in (members, stored):
+        discard(table)
     roots = components(found.where("b is not null").select("a", "b"), "roots")
     counts = found.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     node = F.concat(_bytes("hi"), _bytes("lo"))
@@ -382,12 +486,15 @@ def report(docs: DataFrame) -> DataFrame:
 def dedup_stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document with the least doc_id of each component, columns as they came; a row that repeats it goes too.
 
-    Of a component without any doc_id, each different text stays.
+    Of a component without any doc_id, each different text stays; so does each
+    different text of the least doc_id. Columns of any name come through unread.
     """
+    doc, version = fresh_names(docs, "doc", "version")
     first = linked_components(docs, k, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["_doc"]) & (F.xxhash64(docs["text"]) == first["_version"]), "left_semi")
-    return kept.withColumn("_version", F.xxhash64("text")).dropDuplicates(["doc_id", "_version"]).drop("_version")
+    first = first.select(F.col("doc_id").alias(doc), F.col("version").alias(version)).distinct()
+    keyed = docs.withColumns({version: F.xxhash64(docs["text"])})
+    kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first[doc]) & (keyed[version] == first[version]), "left_semi")
+    return kept.dropDuplicates(["doc_id", version]).drop(version)
 
 
 ORACLE_SQL = r"""

@@ -33,6 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def bounded_batches(spark: SparkSession, megabytes: int = 8, rows: int = 4000) -> None:
     """Hold the session's Arrow batches to a size that suits long texts, where they may be larger.
 
@@ -79,7 +89,7 @@ def least_by_hash(df: DataFrame, column: str, n: int, total: int) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table that ``written`` made; nothing lazy may read it any more."""
-    path = getattr(df, "_written_at", None)
+    path = getattr(df, "_written_at", None)  # None also for no table at all
     if path:
         files, place = _files(df.sparkSession, path)
         files.delete(place, True)

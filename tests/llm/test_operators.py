@@ -190,15 +190,66 @@ def test_jaccard_stage_keeps_one_of_each_group(spark, odd_rows):
 @settings(max_examples=80, deadline=None)
 def test_links_inside_a_group(sets, percent):
     arrays = sorted((np.array(sorted(s), np.uint64) for s in sets), key=len)
-    label = jaccard._links_in(arrays, percent)[0].tolist()
-    plain = [set(a.tolist()) for a in arrays]
-    want = list(range(len(plain)))
-    for _ in plain:
-        for i in range(len(plain)):
-            for j in range(len(plain)):
-                if 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j]):
-                    want[i] = want[j] = min(want[i], want[j])
-    assert [label.index(x) for x in label] == [want.index(x) for x in want]
+    plain = [set(x.tolist()) for x in arrays]
+    want = {(i, j) for j in range(len(plain)) for i in range(j) if 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j])}
+    assert {(i, int(j)) for i, js in jaccard._links_in(arrays, percent) for j in js} == want
+
+
+def test_overlaps_are_derived_from_a_similar_sets():
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 5000, 300)) for _ in range(3)]
+    sets = []
+    for i in range(120):
+        x = base[i % 3]
+        x = x[rng.random(len(x)) > 0.08]
+        sets.append(np.unique(np.append(x, rng.integers(0, 5000, 12))).astype(np.uint64))
+    sets += [np.unique(rng.integers(0, 5000, 200)).astype(np.uint64) for _ in range(20)]
+    sets.sort(key=len)
+    all_ = jaccard.Overlaps(sets)
+    assert 3 <= len(all_.lead) < 40  # the near copies have leaders
+    seen = 0
+    for x, both in all_:
+        assert both.tolist() == [len(np.intersect1d(sets[x], y)) for y in sets]
+        seen += 1
+    assert seen == len(sets)
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(1, 40), st.integers(0, 8)), min_size=2, max_size=90), st.sampled_from([50, 80, 90]))
+@settings(max_examples=200, deadline=None)
+def test_skipped_blocks_have_no_partner(some, percent):
+    size = {}
+    some = sorted({(n, min(p, n - 1), hi) for hi, n, p in some if size.setdefault(hi, n) == n})
+    n, pos, hi = (np.array(x, np.int64) for x in zip(*some, strict=True))
+    kept = jaccard._may_link(hi, n, pos, percent)
+    for i in range(len(some)):
+        partner = any(hi[j] != hi[i] and min(n[i] - pos[i], n[j] - pos[j]) * (100 + percent) >= percent * (n[i] + n[j]) for j in range(len(some)))
+        assert kept[i] >= partner
+
+
+@pytest.mark.parametrize("case", ["null ids", "equal ids", "near copies"])
+def test_texts_go_out_a_fixed_number_of_times(spark, monkeypatch, case):
+    rng = random.Random(21)
+    sent = []
+    plain = jaccard.shipped
+    monkeypatch.setattr(jaccard, "shipped", lambda *x: sent.append(out := plain(*x)) or out)
+    monkeypatch.setattr(jaccard, "discard", lambda table: None)
+    if case == "near copies":
+        base = prose(rng, 120, 3000).split()
+        rows = []
+        for i in range(1200):
+            w = list(base)
+            w[rng.randrange(120)] = rng.choice(VOCABULARY)
+            rows.append((i, " ".join(w)))
+    else:
+        texts_ = [prose(rng, 60, 3000) for _ in range(400)]
+        rows = [(None if case == "null ids" else 7, t) for x in texts_ for t in (x, x + " end")]
+    found = jaccard.report(table(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert sent[0].count() <= 6 * len(rows)
+    if case == "near copies":
+        assert {r["component_id"] for r in found} == {0}
+    else:
+        assert sum(r["n_links"] for r in found) >= 700
 
 
 def test_components_of_a_long_path(spark):
