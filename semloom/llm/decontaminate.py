@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh_names
 from .text import slices, texts, words
 
 WINDOW = 13
@@ -114,21 +115,22 @@ def char_spans(text: bytes, hit: np.ndarray) -> list[dict]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All of ``docs`` with ``_bench`` = (n_words, n_hit, items, spans, hits) added.
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "_bench") -> DataFrame:
+    """All of ``docs`` with the column ``name`` = (n_words, n_hit, items, spans, hits) added.
 
     ``items`` are the sorted item ids as strings, ``spans`` the hit code-point
     ranges, ``hits`` the hit ranges in words.
     """
+    benchmark = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item_id"), benchmark["text"].alias("text")).distinct()
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / block_bytes))
     columns = docs.columns
     out = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(SPAN).alias("hits"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     for block in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("text"), F.lit(n)) == block) if n > 1 else benchmark
-        items = [(r[0] or "", (r[1] or "").encode()) for r in part.select(F.col("item_id").cast("string"), F.col("text")).collect()]
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else benchmark
+        items = [(r[0], (r[1] or "").encode()) for r in part.collect()]
         out = _stage(out, docs.sparkSession.sparkContext.broadcast((items, window)), block == n - 1)
-    return out.select("row.*", F.struct("n_words", "n_hit", "items", "spans", "hits").alias("_bench"))
+    return out.select("row.*", F.struct("n_words", "n_hit", "items", "spans", "hits").alias(name))
 
 
 def _stage(df: DataFrame, shared, last: bool) -> DataFrame:
@@ -163,15 +165,15 @@ def _stage(df: DataFrame, shared, last: bool) -> DataFrame:
     return df.select("row", "items", "hits", "text").mapInArrow(run, schema)
 
 
-def contaminated() -> "F.Column":
-    """The contract's rule on ``_bench``: some hit, and at least 5 % of the words."""
-    return (F.col("_bench.n_hit") > 0) & (20 * F.col("_bench.n_hit") >= F.col("_bench.n_words"))
+def contaminated(name: str = "_bench") -> "F.Column":
+    """The contract's rule on the added column: some hit, and at least 5 % of the words."""
+    return (F.col(name)["n_hit"] > 0) & (20 * F.col(name)["n_hit"] >= F.col(name)["n_words"])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that the rule leaves, columns as they came."""
-    found = find_passages(docs, benchmark)
-    return found.where(~contaminated()).drop("_bench")
+    """The documents that the rule leaves, columns of any name as they came; null and empty texts stay, repeated rows each by themselves."""
+    (name,) = fresh_names(docs, "bench")
+    return find_passages(docs, benchmark, name=name).where(~contaminated(name)).drop(name)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ task. Decisions go back to the rows by a join on doc_id and the text's hash.
 
 Defined cases: null text stays null; rows that share a doc_id are one document
 for the choice of the first occurrence, and each keeps its own first; a null
-doc_id comes after all others; single lines are never removed; blank lines before
-and after a removed run stay, unless no line with words is left in the text.
+doc_id comes after all others, as the id 2^63 - 1 does; single lines are never removed; blank lines before
+and after a removed run stay, unless no line with words is left in the text; a
+text of any length is read whole; an empty table gives no row; other columns are
+handed on unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bit_of, bitmap
+from .store import bit_of, bitmap, fresh_names
 from .text import slices, texts
 
 _LAST = 2**63 - 1
@@ -140,15 +142,15 @@ def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["text", "n_lines", "n_removed"])
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``, repeated chunks taken out of ``text``, and ``_lines`` = (n_lines, n_removed)."""
+def without_repeats(docs: DataFrame, name: str = "_lines") -> DataFrame:
+    """All rows and columns of ``docs``, repeated chunks taken out of ``text``, and the column ``name`` = (n_lines, n_removed)."""
     repeats, shared = repeated_chunks(docs)
     found = _candidates(_keyed(docs), shared, False).join(repeats, ["h", "digest"]).where((F.col("doc") != F.col("first")) | F.col("again"))
     gone = found.groupBy("doc", "version").agg(F.collect_set("number").alias("removed"))
     columns = docs.columns
     left = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(docs["text"]).alias("version"))
     done = left.join(gone, ["doc", "version"], "left").select("row", F.arrow_udf(_without, "struct<text:string,n_lines:long,n_removed:long>")(F.col("row.text"), F.col("removed")).alias("_lines"))
-    return done.select(*[F.col("_lines.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns], F.struct(F.col("_lines.n_lines"), F.col("_lines.n_removed")).alias("_lines"))
+    return done.select(*[F.col("_lines.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns], F.struct(F.col("_lines.n_lines"), F.col("_lines.n_removed")).alias(name))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -158,9 +160,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """Documents without repeated chunks, columns as they came; one that lost all its words goes."""
-    done = without_repeats(docs)
-    kept = done.where((F.col("_lines.n_removed") == 0) | F.col("text").rlike("[^ \\t-\\r]"))
+    """Documents without repeated chunks, columns of any name as they came; one that lost all its words goes.
+
+    Null and empty texts have no chunk and stay; ``n_chars``, where there is one, follows the text.
+    """
+    (name,) = fresh_names(docs, "lines")
+    done = without_repeats(docs, name)
+    kept = done.where((F.col(name)["n_removed"] == 0) | F.col("text").rlike("[^ \\t-\\r]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

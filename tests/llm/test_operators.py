@@ -20,7 +20,7 @@ def table(spark, rows, partitions=3):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA).repartition(partitions)
-    for extra in ("kept", "n_words", "row", "items", "hits", "version", "hi", "doc", "_x"):
+    for extra in ("kept", "n_words", "row", "items", "hits", "version", "hi", "doc", "_x", "_bench", "_LINES", "_doc", "_version", "_lines_", "block", "shard", "keys"):
         df = df.withColumn(extra, F.lit("clash"))
     return df
 
