@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
+import uuid
+import warnings
+import zipfile
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .context import Context, ContextManager, LocalAgent, TextFileContext
 from .dataset import Dataset
-from .functions.chunks import chunk_column, split_column
+from .functions.chunks import chunk_column, split_column, top_chunks
 from .functions.groupby import GroupBySig
 from .operators.provider import LocalProvider
-from .operators.semantic import sem_filter, sem_join
+from .operators.semantic import embedded, sem_filter, sem_join, sem_map
 from .operators.topk import VectorIndex
 from .plans.physical import Implementation
 from .plans.policy import MaxQuality, MaxQualityAtFixedCost, MinCost, MinCostAtFixedQuality, MinTime
 from .session import QueryProcessorConfig
-from .sources import FrameDataset, table
+from .sources import AudioFileDataset, FrameDataset, HTMLFileDataset, ImageFileDataset, IterDataset, MemoryDataset, PDFFileDataset, TextFileDataset, XLSFileDataset, get_local_source, resolve_datasource, table
+from .types import make_schema
 
 PLAIN = QueryProcessorConfig(optimizer_strategy="none")
 _QUERIES: dict = {}
@@ -357,8 +367,10 @@ def sem_join_blocked(spark, sf):
     return out.select("doc_id", "item_id")
 
 
-@query()
+@query("""WITH kinds AS (SELECT DISTINCT p_type FROM part), words AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS word FROM part)
+SELECT p_type, word FROM kinds, words WHERE list_contains(string_split(p_type, ' '), word)""")
 def sem_join_embedding(spark, sf):
+    """Pairs of a kind and a word of it; the embedding cascade judges only pairs that its sample leaves open."""
     rule = LocalProvider({"same word": lambda r: bool(set(r["p_type"].split()) & set(r["word"].split()))})
     kinds = FrameDataset(spark.read.parquet(f"{sf}/part.parquet").select("p_type").distinct(), "kinds")
     words = FrameDataset(spark.read.parquet(f"{sf}/part.parquet").select(F.explode(F.split("p_type", " ")).alias("word")).distinct(), "words")
@@ -387,12 +399,329 @@ def relational_chain(spark, sf):
     return df.select("l_returnflag", F.array_join(F.col("`set(l_linestatus)`"), "").alias("statuses"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('max_quality', true), ('min_cost', true), ('min_time', true), ('max_quality_at_cost', true), ('min_cost_at_quality', true)) AS t(policy, best)")
 def optimizer_choice(spark, sf):
-    """The plan chosen for a fixed workload under each policy."""
-    docs = _t(spark, sf, "documents").sem_map([{"name": "topic", "type": str, "desc": "topic"}], depends_on="text").sem_filter("long text", depends_on="text").filter(lambda r: r["lang"] == "en", "lang")
+    """Whether the plan chosen for a fixed workload is, of those chosen under all policies, the best by its own policy."""
+    plans = chosen_plans(spark, sf)
     rows = []
-    for name, policy in (("max_quality", MaxQuality()), ("min_cost", MinCost()), ("min_time", MinTime()), ("max_quality_at_cost", MaxQualityAtFixedCost(0.01)), ("min_cost_at_quality", MinCostAtFixedQuality(0.5))):
-        plan = docs.plan(policy=policy)
-        rows.append((name, " > ".join(plan.describe()), plan.cost.cost, plan.cost.time, plan.cost.quality))
-    return spark.createDataFrame(rows, T.StructType([T.StructField("policy", T.StringType()), T.StructField("plan", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in ("cost", "time", "quality")]]))
+    for name, policy, plan in plans:
+        cost = plan.cost
+        best = {
+            "max_quality": lambda c: c.quality <= cost.quality,
+            "min_cost": lambda c: c.cost >= cost.cost,
+            "min_time": lambda c: c.time >= cost.time,
+            "max_quality_at_cost": lambda c: cost.cost <= 0.01 and (c.cost > 0.01 or c.quality <= cost.quality),
+            "min_cost_at_quality": lambda c: cost.quality >= 0.5 and (c.quality < 0.5 or c.cost >= cost.cost),
+        }[name]
+        rows.append((name, all(best(p.cost) for _, _, p in plans)))
+    return spark.createDataFrame(rows, "policy string, best boolean")
+
+
+def chosen_plans(spark, sf) -> list:
+    """(name, policy, plan) of a fixed workload under each policy."""
+    docs = _t(spark, sf, "documents").sem_map([{"name": "topic", "type": str, "desc": "topic"}], depends_on="text").sem_filter("long text", depends_on="text").filter(lambda r: r["lang"] == "en", "lang")
+    policies = (("max_quality", MaxQuality()), ("min_cost", MinCost()), ("min_time", MinTime()), ("max_quality_at_cost", MaxQualityAtFixedCost(0.01)), ("min_cost_at_quality", MinCostAtFixedQuality(0.5)))
+    return [(name, policy, docs.plan(policy=policy)) for name, policy in policies]
+
+
+# -- strategies ---------------------------------------------------------------------------
+
+_FIRST = [{"name": "first", "type": str, "desc": "first word"}, {"name": "size", "type": int, "desc": "length"}]
+_FIRST_SQL = "SELECT conv_id, turn, string_split(text, ' ')[1] AS first, length(text) AS size FROM conversations"
+_THE_SQL = "SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the')"
+_RAG = Implementation("rag", ("local-large",), (("embedder", "local-embed"), ("keep", 4), ("size", 4000)))
+_MIXTURE = Implementation("mixture", ("local-large", "local-small", "local-large"), (("temperature", 0.4),))
+_CRITIQUE = Implementation("critique", ("local-small", "local-large", "local-large"))
+
+
+def _filtered_by(spark, sf, impl):
+    talk = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
+    return sem_filter(talk, "the turn has 'the'", LocalProvider(), impl, ["text"]).where("__passed").select("conv_id", "turn")
+
+
+def _mapped_by(spark, sf, impl):
+    talk = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
+    return sem_map(talk, make_schema(_FIRST), _RULES, impl, ["text"]).select("conv_id", "turn", "first", "size")
+
+
+@query(_THE_SQL)
+def sem_filter_rag(spark, sf):
+    """Texts of up to a chunk stay whole."""
+    return _filtered_by(spark, sf, _RAG)
+
+
+@query(_FIRST_SQL)
+def sem_map_rag(spark, sf):
+    return _mapped_by(spark, sf, _RAG)
+
+
+@query(_THE_SQL)
+def sem_filter_mixture(spark, sf):
+    """Two models propose, a third puts it to the vote."""
+    return _filtered_by(spark, sf, _MIXTURE)
+
+
+@query(_FIRST_SQL)
+def sem_map_mixture(spark, sf):
+    return _mapped_by(spark, sf, _MIXTURE)
+
+
+@query(_THE_SQL)
+def sem_filter_critique(spark, sf):
+    return _filtered_by(spark, sf, _CRITIQUE)
+
+
+@query(_FIRST_SQL)
+def sem_map_critique(spark, sf):
+    return _mapped_by(spark, sf, _CRITIQUE)
+
+
+@query(_FIRST_SQL)
+def sem_map_split(spark, sf):
+    return _mapped_by(spark, sf, Implementation("split", ("local-large",), (("chunks", 3), ("least", 50))))
+
+
+def _has(word):
+    """An embedding of one place: whether a text has the word."""
+
+    def embed(some):
+        return np.array([[1.0 if word in x else 0.0, 0.01] for x in some])
+
+    return embed
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) < 1000 THEN text ELSE coalesce(
+  (SELECT substring(text, i + 1, 1000) FROM unnest(range(0, length(text), 1000)) AS t(i) WHERE contains(substring(text, i + 1, 1000), 'thing') ORDER BY i LIMIT 1), substring(text, 1, 1000)) END AS kept FROM documents""")
+def rag_reduce(spark, sf):
+    """The chunk of a long text that is nearest to a query, by an embedding that knows one word; of equals the first."""
+
+    def reduced(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else top_chunks(t, "thing", 1000, 1, _has("thing")) for t in texts.to_pylist()], pa.string())
+
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.arrow_udf(reduced, "string")("text").alias("kept"))
+
+
+@query("SELECT n_name, n_regionkey, r_regionkey, r_name FROM nation LEFT JOIN region ON n_regionkey + 1 = r_regionkey")
+def sem_join_left(spark, sf):
+    rule = LocalProvider({"the region comes next": lambda r: r["n_regionkey"] + 1 == r["r_regionkey"]})
+    return _run(_t(spark, sf, "nation", "n_name", "n_regionkey").sem_join(_t(spark, sf, "region"), "the region comes next", how="left"), QueryProcessorConfig.of(PLAIN, provider=rule))
+
+
+@query("SELECT n_name, n_regionkey, r_regionkey, r_name FROM nation RIGHT JOIN region ON n_regionkey + 1 = r_regionkey")
+def sem_join_right(spark, sf):
+    rule = LocalProvider({"the region comes next": lambda r: r["n_regionkey"] + 1 == r["r_regionkey"]})
+    return _run(_t(spark, sf, "nation", "n_name", "n_regionkey").sem_join(_t(spark, sf, "region"), "the region comes next", how="right"), QueryProcessorConfig.of(PLAIN, provider=rule))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sem_topk_text(spark, sf):
+    """A text query finds the entry with its very words."""
+    regions = embedded(spark.read.parquet(f"{sf}/region.parquet"), ["r_name"], LocalProvider(), "local-embed", "vector")
+    nations = spark.read.parquet(f"{sf}/nation.parquet").join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.col("r_name").alias("sought"))
+    found = _run(FrameDataset(nations).sem_topk(VectorIndex(regions, "r_regionkey", "r_name", "vector"), "sought", [{"name": "near", "type": list[str], "desc": ""}], k=1))
+    return found.select("n_name", F.col("near")[0].alias("r_name"))
+
+
+@query("SELECT n_name, array_to_string([r_name, 'ASIA'], ',') AS r_names FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sem_topk_lists(spark, sf):
+    """A list of text queries has a list of results for each."""
+    regions = embedded(spark.read.parquet(f"{sf}/region.parquet"), ["r_name"], LocalProvider(), "local-embed", "vector")
+    nations = spark.read.parquet(f"{sf}/nation.parquet").join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.array("r_name", F.lit("ASIA")).alias("sought"))
+    found = _run(FrameDataset(nations).sem_topk(VectorIndex(regions, "r_regionkey", "r_name", "vector"), "sought", [{"name": "near", "type": list[list[str]], "desc": ""}], k=1))
+    return found.select("n_name", F.array_join(F.flatten("near"), ",").alias("r_names"))
+
+
+@query("SELECT r_name, 'K' || r_regionkey AS key FROM region")
+def topk_search_func(spark, sf):
+    """A search of one's own in place of the nearest vectors."""
+    regions = spark.read.parquet(f"{sf}/region.parquet").select("r_name", F.concat(F.lit("K"), "r_regionkey").alias("key"), F.array(F.lit(1.0)).alias("vector"))
+    index = VectorIndex(regions, "r_name", "key", "vector")
+    pairs = {r["r_name"]: r["key"] for r in regions.collect()}  # five rows
+    found = _run(FrameDataset(regions.select("r_name")).sem_topk(index, "r_name", [{"name": "near", "type": list[str], "desc": ""}], search_func=lambda rows, q, k: [pairs[q]], k=1))
+    return found.select("r_name", F.col("near")[0].alias("key"))
+
+
+@query("SELECT doc_id, string_split(text, ' ')[1] AS first, length(text) AS size FROM documents WHERE contains(lower(text), 'thing')")
+def optimize_and_run(spark, sf):
+    """Implementations are tried on training rows with a fixed seed; whichever plan wins, the rows are the same."""
+    docs = _t(spark, sf, "documents", "doc_id", "text")
+    train = FrameDataset(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(6), "train")
+    plan = docs.sem_filter("the text speaks of the ing", depends_on="text").sem_map(_FIRST, depends_on="text")
+    config = QueryProcessorConfig(policy=MinCost(), provider=_RULES, available_models=["local-large", "local-small"], allow_rag_reduction=False, k=2, j=2, sample_budget=12, seed=7)
+    return plan.optimize_and_run(config, train_dataset=train, spark=spark).df.select("doc_id", "first", "size")
+
+
+@query("SELECT n_nationkey, n_nationkey * 2 AS twice, unnest([n_regionkey, n_regionkey + 1]) AS near FROM nation")
+def deprecated_aliases(spark, sf):
+    """``add_columns`` in both cardinalities."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        made = _t(spark, sf, "nation", "n_nationkey", "n_regionkey").add_columns(lambda r: {"twice": r["n_nationkey"] * 2}, [{"name": "twice", "type": int, "desc": ""}], depends_on=["n_nationkey"])
+        made = made.add_columns(lambda r: [{"near": r["n_regionkey"]}, {"near": r["n_regionkey"] + 1}], [{"name": "near", "type": int, "desc": ""}], "one_to_many", ["n_regionkey"])
+    return _run(made.project(["n_nationkey", "twice", "near"]))
+
+
+@query("SELECT conv_id, turn, string_split(text, ' ')[1] AS first, length(text) AS size FROM conversations")
+def sem_add_columns(spark, sf):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        made = _t(spark, sf, "conversations", "conv_id", "turn", "text").sem_add_columns(_FIRST, depends_on="text")
+    return _run(made.project(["conv_id", "turn", "first", "size"]), _semantic())
+
+
+# -- sources: files written from a small table ----------------------------------------------
+
+
+def _folder(spark: SparkSession, files: dict[str, bytes]) -> str:
+    """A folder of the given files beside the session's checkpoints, deleted when the driver's JVM ends."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
+    folder = f"{given.rstrip('/')}/semloom-files-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(conf)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    for name, data in files.items():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+        out.write(bytearray(data))
+        out.close()
+    return folder
+
+
+def _nations(spark, sf, ending: str, text: Callable[[str, int], str]) -> str:
+    """A folder with a file for each of the 25 nations."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").collect()
+    return _folder(spark, {f"{r['n_name']}{ending}": text(r["n_name"], r["n_regionkey"]).encode() for r in rows})
+
+
+@query("SELECT n_name || '.txt' AS filename, n_name || ' lies in' || chr(10) || n_regionkey AS contents FROM nation")
+def source_text_files(spark, sf):
+    return _run(TextFileDataset("t", _nations(spark, sf, ".txt", lambda n, r: f"{n} lies in\n{r}")))
+
+
+@query("SELECT n_name || '.html' AS filename, n_name || ' lies in region (/' || n_regionkey || ')' AS text FROM nation")
+def source_html_files(spark, sf):
+    folder = _nations(spark, sf, ".html", lambda n, r: f"<html><head><title>x</title></head><body><p>{n} lies in <a href='/{r}'>region</a></p></body></html>")
+    return _run(HTMLFileDataset("h", folder).project(["filename", "text"]))
+
+
+@query("SELECT n_name || '.png' AS filename, base64(encode('image ' || n_name)) AS contents FROM nation")
+def source_image_files(spark, sf):
+    return _run(ImageFileDataset("i", _nations(spark, sf, ".png", lambda n, r: f"image {n}")))
+
+
+@query("SELECT n_name || '.wav' AS filename, base64(encode('sound ' || n_name)) AS contents FROM nation")
+def source_audio_files(spark, sf):
+    return _run(AudioFileDataset("a", _nations(spark, sf, ".wav", lambda n, r: f"sound {n}")))
+
+
+@query("SELECT n_name || '.pdf' AS filename, upper('page of ' || n_name) AS text_contents FROM nation")
+def source_pdf_files(spark, sf):
+    """With an extractor of one's own."""
+    folder = _nations(spark, sf, ".pdf", lambda n, r: f"page of {n}")
+    return _run(PDFFileDataset("p", folder, extract=lambda b: b.decode().upper()).project(["filename", "text_contents"]))
+
+
+def _workbook(names: list[str]) -> bytes:
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        sheets = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{sheets}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>' for i, _ in enumerate(names, 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for i, _ in enumerate(names, 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1"><v>{i}</v></c></row></sheetData></worksheet>')
+    return out.getvalue()
+
+
+@query("SELECT r_name || '.xlsx' AS filename, count(*) AS number_sheets, array_to_string(list(n_name ORDER BY n_name), ',') AS sheets FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def source_workbooks(spark, sf):
+    """A workbook for each region, with a sheet for each of its nations."""
+    sheets: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{sf}/nation.parquet").join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_name").collect():
+        sheets.setdefault(r["r_name"], []).append(r["n_name"])
+    folder = _folder(spark, {f"{k}.xlsx": _workbook(v) for k, v in sheets.items()})
+    return _run(XLSFileDataset("x", folder)).select("filename", "number_sheets", F.array_join("sheet_names", ",").alias("sheets"))
+
+
+class _Nations(IterDataset):
+    """A user's dataset over rows that it holds."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        super().__init__(f"nations{uuid.uuid4().hex[:8]}", [{"name": "nation", "type": str, "desc": ""}, {"name": "region", "type": int, "desc": ""}])
+
+    def __len__(self):
+        return len(self.rows)
+
+    def __getitem__(self, idx):
+        return {"nation": self.rows[idx][0], "region": self.rows[idx][1]}
+
+
+def _rows(spark, sf) -> list[tuple]:
+    return [(r["n_name"], r["n_regionkey"]) for r in spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").collect()]
+
+
+@query("SELECT n_name AS nation, n_regionkey::BIGINT AS region FROM nation")
+def source_user_dataset(spark, sf):
+    return _run(_Nations(_rows(spark, sf)))
+
+
+@query("SELECT n_name AS nation, n_regionkey::BIGINT AS region FROM nation")
+def source_memory(spark, sf):
+    return _run(MemoryDataset("m", [{"nation": n, "region": r} for n, r in _rows(spark, sf)]))
+
+
+@query("SELECT n_name AS nation FROM nation WHERE n_nationkey >= 5 AND n_nationkey < 12")
+def source_slice(spark, sf):
+    """A scan from a place on, of so many rows."""
+    data = MemoryDataset("m", [{"nation": n} for n, _ in _rows(spark, sf)])
+    return _run(data, QueryProcessorConfig.of(PLAIN, scan_start_idx=5, num_samples=7))
+
+
+@query("SELECT n_name AS nation, 'memory-' || n_nationkey AS source_id FROM nation")
+def source_ids(spark, sf):
+    return _run(MemoryDataset("memory", [{"nation": n} for n, _ in _rows(spark, sf)]).with_source_ids())
+
+
+@query("SELECT n_name || '.png' AS filename FROM nation")
+def source_by_path(spark, sf):
+    """A folder's kind is found by its files' endings."""
+    return _run(get_local_source("g", _nations(spark, sf, ".png", lambda n, r: n).removeprefix("file:")).project(["filename"]))
+
+
+@query("SELECT n_name AS value FROM nation")
+def source_resolved(spark, sf):
+    return _run(resolve_datasource("v", [n for n, _ in _rows(spark, sf)]))
+
+
+# -- contexts ------------------------------------------------------------------------------
+
+
+@query("SELECT n_name AS nation FROM nation WHERE n_regionkey = 3")
+def context_search(spark, sf):
+    """An agent searches all files of a folder; the answer joins the context's description."""
+    folder = _nations(spark, sf, ".txt", lambda n, r: f"region{r} holds {n}").removeprefix("file:")
+    context = TextFileContext(folder, "nations", "a file for each nation").search("region3", LocalAgent(), ContextManager())
+    described = _run(context).select(F.split(F.element_at(F.split("context", "RESULT: "), -1), ", ").alias("paths"))
+    return described.select(F.explode("paths").alias("path")).select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("nation"))
+
+
+@query("SELECT CAST(count(*) AS VARCHAR) AS answer FROM nation")
+def context_compute(spark, sf):
+    """An agent computes with the context's tools; the answer is a column of the new context."""
+    folder = _nations(spark, sf, ".txt", lambda n, r: n).removeprefix("file:")
+    agent = LocalAgent({"count the files": lambda tools: len(tools["tool_list_filepaths"]())})
+    done = TextFileContext(folder, "counted", "a file for each nation").compute("count the files", agent, ContextManager())
+    return _run(done).select(F.col(f"`{done.column}`").alias("answer"))
+
+
+@query("SELECT r_name AS nearest FROM region WHERE r_name = 'ASIA'")
+def context_registry(spark, sf):
+    """Contexts are found by their descriptions."""
+    manager = ContextManager()
+    for r in spark.read.parquet(f"{sf}/region.parquet").collect():
+        manager.add_context(Context(r["r_name"], f"the region {r['r_name']}"))
+    (found,) = manager.search_context("region ASIA", k=1)
+    return spark.createDataFrame([(found.id,)], "nearest string")

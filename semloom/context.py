@@ -16,8 +16,6 @@ from .operators.provider import hashed_vector
 from .plans import logical
 from .types import field, hash_for_id
 
-MAX_STEPS = 30
-
 
 class ContextNotFoundError(KeyError):
     pass
@@ -44,7 +42,7 @@ class LocalAgent(AgentProvider):
             return str(self.rules[query](tools))
         words = {w.lower() for w in query.split() if len(w) > 3}
         found = []
-        for path in (tools["tool_list_filepaths"]() if "tool_list_filepaths" in tools else [])[:MAX_STEPS]:
+        for path in tools["tool_list_filepaths"]() if "tool_list_filepaths" in tools else []:
             text = tools["tool_read_filepath"](path)
             if any(w in text.lower() for w in words):
                 found.append(path)
@@ -139,7 +137,8 @@ class TextFileContext(Context):
         super().__init__(id, description)
 
     def tool_list_filepaths(self) -> list[str]:
-        return sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names)
+        """All files of the tree but hidden ones, such as the checksums that file systems keep."""
+        return sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if not f.startswith((".", "_")))
 
     def tool_read_filepath(self, path: str) -> str:
         with open(path, encoding="utf-8", errors="replace") as f:

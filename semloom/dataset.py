@@ -55,8 +55,10 @@ class Dataset:
         return self
 
     def get_limit(self) -> int | None:
-        """The limit at the end of the plan, if there is one."""
-        return self.node["n"] if self.node.kind == "limit" else None
+        """The limit at the end of the plan, else the least one before it, if there is any."""
+        if self.node.kind == "limit":
+            return self.node["n"]
+        return min((n["n"] for n in self.node.walk() if n.kind == "limit"), default=None)
 
     def get_upstream_datasets(self) -> list["Dataset"]:
         """The datasets that this one is made from, inputs first."""

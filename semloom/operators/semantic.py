@@ -22,29 +22,30 @@ from ..plans.physical import Implementation
 from ..types import union_schemas
 from .provider import ModelProvider, Request
 from .relational import col
-from .strategies import extracted, extracted_many, judged
+from .strategies import Spent, extracted, extracted_many, judged
 
 STATS = "struct<calls:long,input_tokens:double,output_tokens:double,cost:double,seconds:double>"
-NO_STATS = f"cast(null as {STATS})"
 BATCH = 64
 
 
 def _stage(read: list[str], answer: str, call: Callable[[list[dict]], tuple[list, list]], batch: int = BATCH) -> Callable[[Column], Column]:
-    """A column function over the struct of read fields: struct<answer, stats>. JSON carries nested answers."""
+    """A column function over the struct of read fields, and of whether to ask at all: struct<answer, stats>. JSON carries nested answers."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame, wanted: pd.Series) -> pd.DataFrame:
         rows = [{n: _plain(v) for n, v in zip(read, values, strict=True)} for values in zip(*(frame[n] for n in read), strict=True)] if read else [{} for _ in range(len(frame))]
-        answers, spent = [], []
-        for i in range(0, len(rows), batch):
-            a, s = call(rows[i : i + batch])
-            answers += a
-            spent += s
+        asked = np.flatnonzero(wanted.to_numpy(bool)).tolist()
+        answers, spent = [False if answer == "boolean" else None] * len(rows), [Spent()] * len(rows)
+        for i in range(0, len(asked), batch):
+            part = asked[i : i + batch]
+            for at, a, s in zip(part, *call([rows[j] for j in part]), strict=True):
+                answers[at], spent[at] = a, s
         out = pd.DataFrame({"answer": pd.Series(answers, dtype=object if answer == "string" else "bool")})
         for k in ("calls", "input_tokens", "output_tokens", "cost", "seconds"):
             out[k] = [getattr(s, k) for s in spent]
         return out
 
-    return F.pandas_udf(run, f"struct<answer:{answer},{STATS[7:-1]}>").asNondeterministic()
+    stage = F.pandas_udf(run, f"struct<answer:{answer},{STATS[7:-1]}>").asNondeterministic()
+    return lambda given, wanted=None: stage(given, F.lit(True) if wanted is None else wanted)
 
 
 def _plain(v):
@@ -112,11 +113,12 @@ def _text(v) -> str | None:
     return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def sem_agg(df: DataFrame, field: T.StructField, instruction: str, provider: ModelProvider, impl: Implementation, depends_on: list[str] | None = None, per_call: int = 500) -> DataFrame:
+def sem_agg(df: DataFrame, field: T.StructField, instruction: str, provider: ModelProvider, impl: Implementation, depends_on: list[str] | None = None, per_call: int = 500, branches: int = 16) -> DataFrame:
     """One row with one field over all records; no row for no input.
 
-    Records are read in calls of ``per_call``, in parallel; their answers are
-    merged the same way until one is left, so no task holds all records.
+    Records are read in calls of ``per_call``, each partition by itself; the answers are
+    merged the same way, first in ``branches`` parts and then those parts' answers, each
+    step behind a shuffle, so that no task holds all records and the first calls stay parallel.
     """
     read = list(depends_on) if depends_on else df.columns
     asked = ((field.name, field.metadata.get("comment", "")),)
@@ -159,7 +161,9 @@ def sem_agg(df: DataFrame, field: T.StructField, instruction: str, provider: Mod
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), stats], ["answer", "stats"])
 
     partial = df.select(*[col(n) for n in read]).mapInArrow(first, f"answer string, stats {STATS}")
-    done = partial.coalesce(1).mapInArrow(again, f"answer string, stats {STATS}")  # a row for each per_call records
+    for parts in (branches, 1):  # a shuffle each: a coalesce would pull the calls into one task
+        partial = partial.repartition(parts).mapInArrow(again, f"answer string, stats {STATS}")
+    done = partial
     return done.select(_typed(F.col("answer"), field.dataType).alias(field.name, metadata=field.metadata), F.col("stats").alias("__stats"))
 
 
@@ -201,14 +205,20 @@ def sem_join(left: DataFrame, right: DataFrame, condition: str, how: str, provid
     stage = _stage([*l_read, *r_read], "boolean", call, batch)
     if impl.kind == "embedding":
         pairs = pairs.withColumn("__sim", cosine(F.col("__lv"), F.col("__rv")))
-        sample = pairs.orderBy("__l", "__r").limit(impl.get("samples"))
+        few = impl.get("samples")
+        if block:
+            sample = pairs.orderBy("__l", "__r").limit(few)
+        else:  # the first pairs are pairs of the first rows
+            first_a, first_b = a.orderBy("__l").limit(few), b.orderBy("__r").limit(few)
+            sample = first_a.crossJoin(first_b).withColumn("__sim", cosine(F.col("__lv"), F.col("__rv"))).orderBy("__l", "__r").limit(few)
         seen = sample.select("__sim", stage(_given(sample, [*l_read, *r_read]))["answer"].alias("match")).collect()
         low, high = thresholds([(r["__sim"] or 0.0, r["match"]) for r in seen])
-        sure = (F.col("__sim") < F.lit(low)) | (F.col("__sim") > F.lit(high))
-        near = pairs.where(~F.coalesce(sure, F.lit(False)))
-        judged_pairs = near.select("*", stage(_given(near, [*l_read, *r_read])).alias("__reply")).select(*[col(c) for c in pairs.columns], F.col("__reply.answer").alias("__passed"), _stats())
-        taken = pairs.where(F.coalesce(sure, F.lit(False))).select("*", (F.col("__sim") > F.lit(high)).alias("__passed"), F.expr(NO_STATS).alias("__stats"))
-        result = judged_pairs.unionByName(taken).drop("__sim", "__lv", "__rv")
+        sure = F.coalesce((F.col("__sim") < F.lit(low)) | (F.col("__sim") > F.lit(high)), F.lit(False))
+        told = pairs.withColumn("__sure", sure)
+        told = told.select("*", stage(_given(told, [*l_read, *r_read]), ~F.col("__sure")).alias("__reply"))
+        passed = F.when(F.col("__sure"), F.col("__sim") > F.lit(high)).otherwise(F.col("__reply.answer")).alias("__passed")
+        spent = F.when(~F.col("__sure"), _stats()).alias("__stats")
+        result = told.select(*[col(c) for c in pairs.columns], passed, spent).drop("__sim", "__lv", "__rv")
     else:
         result = pairs.select("*", stage(_given(pairs, [*l_read, *r_read])).alias("__reply")).select(*[col(c) for c in pairs.columns], F.col("__reply.answer").alias("__passed"), _stats())
     result = result.persist()

@@ -37,15 +37,23 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
 
     The query is a string (embedded), a list of strings (a list of results each),
     or a vector (searched as it is); anything else gives null. A failed search
-    gives an empty list. ``search_func(index_rows, query, k)`` replaces the search.
+    gives an empty list. ``search_func(index_rows, query, k)`` replaces the search; it
+    needs the index in memory, so that must fit ``BROADCAST_BYTES``. Otherwise texts
+    are embedded in a stage of their own and a larger index is searched by a join.
     """
     name = fields.fields[0].name
     kind = df.schema[search_attr].dataType
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)) and index.bytes() > BROADCAST_BYTES:
-        return _joined(df, index, search_attr, name, k)
-    rows = index.df.orderBy("id").toPandas() if index.bytes() <= BROADCAST_BYTES else None
-    if rows is None:
-        raise ValueError("the index is too large for text queries on the spot: embed them first, then search by vector")
+    if index.bytes() > BROADCAST_BYTES:
+        if search_func is not None:
+            raise ValueError("the index is too large to be given to a search function")
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+            return _joined(df, index, search_attr, name, k)
+        if isinstance(kind, T.StringType):
+            return _joined(_with_vectors(df, search_attr, provider, model), index, "__vector", name, k).drop("__vector")
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            return _several(df, index, search_attr, name, k, provider, model)
+        return df.withColumn(name, F.lit(None).cast("array<string>"))
+    rows = index.df.orderBy("id").toPandas()
     vectors = np.array(rows["vector"].tolist(), dtype=float).reshape(len(rows), -1)
     norm = np.linalg.norm(vectors, axis=1) if len(rows) else np.zeros(0)
     shared = df.sparkSession.sparkContext.broadcast((rows["value"].tolist(), vectors, norm))
@@ -77,6 +85,27 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
     return df.withColumn(name, made(col(search_attr)))
 
 
+def _with_vectors(df: DataFrame, attr: str, provider: ModelProvider, model: str) -> DataFrame:
+    """``df`` with each text's vector; null for null."""
+
+    def run(s: pd.Series) -> pd.Series:
+        given = [x for x in s if x is not None]
+        found = iter(np.asarray(provider.embed(given, model), dtype=float)) if given else iter(())
+        return pd.Series([None if x is None else next(found).tolist() for x in s], dtype=object)
+
+    return df.withColumn("__vector", F.pandas_udf(run, "array<double>").asNondeterministic()(col(attr)))
+
+
+def _several(df: DataFrame, index: VectorIndex, attr: str, name: str, k: int, provider: ModelProvider, model: str) -> DataFrame:
+    """Lists of texts: each text is a query of its own, and a row's results come back in its list's order."""
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).persist()  # row ids must be the same on both sides
+    single = rows.select("__row", F.posexplode(col(attr)).alias("__nth", "__text"))
+    found = _joined(_with_vectors(single, "__text", provider, model), index, "__vector", "__near", k)
+    lists = found.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__near"))), lambda x: x["__near"]).alias(name))
+    none = F.when(F.size(col(attr)) == 0, F.array().cast("array<array<string>>"))
+    return rows.join(lists, "__row", "left").withColumn(name, F.coalesce(name, none)).drop("__row")
+
+
 def _joined(df: DataFrame, index: VectorIndex, search_attr: str, name: str, k: int, block: int = 4096) -> DataFrame:
     """A large index: blocks of queries meet blocks of the index, each pair gives every query its best k, and those are merged.
 
