@@ -1,16 +1,21 @@
 """Quality rules: counts of each text, and a calibrated n-gram logistic regression.
 
-The model sees hashed word 1- and 2-grams and hashed byte 2-, 3- and 4-grams as
-means over a text (so a text's length does not matter). It is trained on a
-bounded sample of labelled rows, ``PER_CLASS`` of either label, those with the
-least hash of doc_id; a fifth of the sample is held back to calibrate the
-probability (Platt scaling, weighted to the label shares of the whole table).
-The sample's features are made on the executors; the fit runs on the driver in
-memory set by the bound. Scoring maps Arrow batches without a shuffle.
-
-Defined cases: null text is empty; labels other than 0 and 1 are left out; with
-no label or a single one there is no model and its probability is 1; repeated
-documents each get their row.
+The model sees hashed word 1- and 2-grams and hashed character 2-, 3- and 4-grams
+(of code points) as means over a text (so a text's length does not matter). It is
+trained on a bounded sample of labelled rows, ``PER_CLASS`` of either label, those
+with the least hash of doc_id; a third of the sample is held back to calibrate the
+probability, weighted to the label shares of the whole table. Calibration is a
+logistic curve between two floors: labels that are wrong by chance keep even the
+surest rows from probability 0 and 1. The sample is written once, its features are
+made on the executors, and the fit runs on the driver in memory set by the bound.
+Scoring maps Arrow batches without a shuffle.
+
+Defined cases: null text is empty; labels other than 0 and 1 are left out, as are
+those without a doc_id; of several labels or texts of one doc_id the fit takes one;
+with no label or a single one there is no model and its probability is 1; a
+probability of just the threshold keeps; a text of any length is read whole;
+repeated documents each get their row; an empty table gives no row; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import least_by_hash
+from .store import discard, least_by_hash, written
 from .text import map_text, mix, raw, release, slices, spans, texts, windows, word_hashes, words
 
 #: Labelled rows of either class that the fit may use.
@@ -78,19 +83,29 @@ def gram_slots(buf: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.n
     out = [(h >> shift, spans(row, n_rows))]
     win, first = windows(h, row, 2)
     out.append((win >> shift, spans(row[first], n_rows)))
-    code = buf.astype(np.uint32)
+    code, places = _points(buf, offs)
     for n in (2, 3, 4):
         if len(code) < n:
             out.append((np.zeros(0, np.uint32), np.zeros(n_rows + 1, np.int64)))
             continue
         g = code[: len(code) - n + 1].copy()
         for j in range(1, n):
-            g = (g << np.uint32(8)) | code[j : len(code) - n + 1 + j]
+            g = g * np.uint32(0x01000193) + code[j : len(code) - n + 1 + j]
         slot = (g * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        out.append((slot, offs))
+        out.append((slot, places))
     return out
 
 
+def _points(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all rows, and the rows' offsets in them."""
+    try:
+        code = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+        return code, np.append(0, np.cumsum((buf & 0xC0) != 0x80))[offs]
+    except UnicodeDecodeError:  # bytes that are no text are replaced, row by row
+        rows = [np.frombuffer(buf[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+
+
 def _sparse(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids and mean values of one text."""
     ids, values = [], []
@@ -117,29 +132,52 @@ def fit_logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarra
     return w, b
 
 
-def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that calibrate scores, by Newton steps on smoothed targets."""
-    n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.stack([z, np.ones(len(z))], 1)
-    p = np.array([1.0, 0.0])
-    for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        grad = x.T @ (weight * (q - t)) + 1e-3 * (p - [1, 0])
-        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
-        p = p - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return float(p[0]), float(p[1])
+#: Chances of a wrong label among bad and good rows that calibration tries.
+FLOORS = (0.0, 0.005, 0.01, 0.02, 0.03, 0.04, 0.06, 0.08, 0.12)
+
+
+def calibrated(z: np.ndarray, curve: tuple[float, float, float, float]) -> np.ndarray:
+    """Probability by a logistic curve of slope and offset between a floor and a ceiling."""
+    slope, offset, low, high = curve
+    return low + (high - low) / (1 + np.exp(-np.clip(slope * z + offset, -30, 30)))
+
+
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float, float]:
+    """The likeliest curve: for each pair of floors, slope and offset by damped Newton steps with a weak prior."""
+    centre, scale = float(z.mean()), float(z.std()) or 1.0
+    x = np.stack([(z - centre) / scale, np.ones(len(z))], 1)
+    weight = weight * len(weight) / weight.sum()
+    best = None
+    for low in FLOORS:
+        for high in FLOORS:
+            a = np.array([2.0, 0.0])
+            for _ in range(25):
+                s = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+                q = np.clip(low + (1 - high - low) * s, 1e-6, 1 - 1e-6)
+                d = (1 - high - low) * s * (1 - s)
+                grad = x.T @ (weight * (q - y) * d / (q * (1 - q))) + 0.02 * (a - [2, 0])
+                hess = (x * (weight * d * d / (q * (1 - q)))[:, None]).T @ x + 0.02 * np.eye(2)
+                a = a - np.clip(np.linalg.solve(hess, grad), -1, 1)
+            q = np.clip(low + (1 - high - low) / (1 + np.exp(-np.clip(x @ a, -30, 30))), 1e-6, 1 - 1e-6)
+            fit = float((weight * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum()) - 0.01 * float(((a - [2, 0]) ** 2).sum())
+            if best is None or fit > best[0] + 1e-9:
+                best = fit, (float(a[0] / scale), float(a[1] - a[0] * centre / scale), low, 1 - high)
+    return best[1]
+
+
+Model = tuple[np.ndarray, float, tuple[float, float, float, float]]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float] | None:
-    """Calibrated weights (a row for each feature type) and offset; None without both labels."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+    """Weights (a row for each feature type), offset and calibration curve; None without both labels."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     shares = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(shares) < 2:
         return None
     picked = [least_by_hash(known.where(F.col("y") == c), "doc_id", per_class, shares[c]) for c in (0, 1)]
     picked = picked[0].union(picked[1])
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = written(found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")), "quality")
 
     def features(batches):
         for batch in batches:
@@ -150,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["doc_id", "y", "ids", "vals"])
 
     got = sample.mapInArrow(features, "doc_id long, y int, ids binary, vals binary").toArrow()
+    discard(sample)
     doc, y = got["doc_id"].to_numpy(), got["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return None
@@ -157,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     col = np.frombuffer(b"".join(x.as_buffer() for x in got["ids"]), np.int32)
     val = np.frombuffer(b"".join(x.as_buffer() for x in got["vals"]), np.float32)
     del got
-    back = mix(doc.astype(np.uint64)) % np.uint64(5) == 0
+    back = mix(doc.astype(np.uint64)) % np.uint64(3) == 0
     if min(y[~back].sum(), (1 - y[~back]).sum(), y[back].sum(), (1 - y[back]).sum()) < 1:
         back = np.zeros(len(y), bool)  # too few rows to hold any back
     used = ~back[row]
@@ -169,15 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     release()
     yc = y[cal]
     share = {c: shares[c] / sum(shares.values()) / max(1e-9, (yc == c).mean()) for c in (0, 1)}
-    slope, offset = platt(z, yc, np.where(yc == 1, share[1], share[0]))
-    return (slope * w).reshape(TYPES, -1), slope * b + offset
+    return w.reshape(TYPES, -1), float(b), calibrate(z, yc, np.where(yc == 1, share[1], share[0]))
 
 
 def probabilities(part_text: pa.Array, model) -> np.ndarray:
     buf, offs = raw(part_text)
     if model is None:
         return np.ones(len(offs) - 1)
-    w, b = model
+    w, b, curve = model
     z = np.full(len(offs) - 1, float(b))
     for t, (slot, at) in enumerate(gram_slots(buf, offs)):
         n = t if t >= 2 else 1
@@ -186,7 +224,7 @@ def probabilities(part_text: pa.Array, model) -> np.ndarray:
         hi = at[1:] if t < 2 else np.maximum(lo, at[1:] - n + 1)
         lo, hi = np.minimum(lo, len(slot)), np.minimum(hi, len(slot))
         z += (upto[hi] - upto[lo]) / np.maximum(1, hi - lo)
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return calibrated(z, curve)
 
 
 def score(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:

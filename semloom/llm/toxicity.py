@@ -25,8 +25,12 @@ least hash of doc_id. Neither labels, lang, source nor doc_id enter a score. Onl
 texts with a hit of the lexicon's automaton are parsed; all are scanned whole.
 
 Defined cases: null and empty texts score as texts without events; a null doc_id
-is not held out; labels other than 0 and 1 are left out; without both labels the
-weights are ``PRIOR`` and only the fixed word lists count.
+is not held out; labels other than 0 and 1 are left out, as are those without a
+doc_id; a doc_id with several labels counts as toxic if one says so, and one with
+several texts trains by one of them; without both labels the weights are ``PRIOR``
+and only the fixed word lists count; a score of just the threshold is predicted 1;
+a text of any length is read whole; repeated rows each get their row; an empty
+table gives no row; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import least_by_hash
+from .store import discard, least_by_hash, written
 from .text import map_text, slices, texts
 
 TOXIC_ROWS = 4000
@@ -66,7 +70,8 @@ SURE = 4.0
 #: Strength of the pull towards the prior weights.
 PULL = 0.1
 #: What a negated or a reported event keeps of its strength before labels say more.
-RELIEF = np.array([(0.5 if k & 2 else 1.0) * (0.6 if k & 4 else 1.0) for k in range(KINDS)])
+NEGATED, REPORTED = 0.5, 0.6
+RELIEF = np.array([(NEGATED if k & 2 else 1.0) * (REPORTED if k & 4 else 1.0) for k in range(KINDS)])
 #: Prior weights of the event kinds' sums, of the strongest event and of the log of all weights.
 PRIOR = np.array([(0.2 if not k & 1 else 0.1) * RELIEF[k] + (0.05 if k & 8 else 0) for k in range(KINDS)] + [0.3, 0.3, 2.0, 0.5])
 #: Weight of a listed insult or threat that the labels say nothing about.
@@ -84,7 +89,10 @@ def clauses(text: bytes) -> list[bytes]:
 
 
 class Transducer:
-    """A deterministic transducer: ``step(state, symbol, event)`` gives the next state and the event passed on."""
+    """A deterministic weighted transducer: ``step(state, symbol, event)`` gives the next state, the event passed on, and the arc's weight.
+
+    Weights multiply along a path, so those of composed machines do too.
+    """
 
     def __init__(self, start, step):
         self.start, self.step = start, step
@@ -93,50 +101,53 @@ class Transducer:
         """Composition: ``then`` reads what this one passes on."""
 
         def step(state, symbol, event):
-            a, event = self.step(state[0], symbol, event)
-            b, event = then.step(state[1], symbol, event)
-            return (a, b), event
+            a, event, v = self.step(state[0], symbol, event)
+            b, event, w = then.step(state[1], symbol, event)
+            return (a, b), event, v * w
 
         return Transducer((self.start, then.start), step)
 
-    def run(self, symbols: list[int]) -> list[int]:
+    def run(self, symbols: list[int]) -> list[tuple[int, float]]:
+        """The events of a clause, each with the product of its arcs' weights."""
         state, out = self.start, []
         for s in symbols:
-            state, event = self.step(state, s, None)
+            state, event, weight = self.step(state, s, None)
             if event is not None:
-                out.append(event)
+                out.append((event, weight))
         return out
 
 
 def _event(state, symbol, event):
-    return state, {INSULT: 0, THREAT: 1}.get(symbol, event)
+    return state, {INSULT: 0, THREAT: 1}.get(symbol, event), 1.0
 
 
 def _negation(left, symbol, event):
     if symbol == NEGATION:
-        return REACH, event
-    return max(0, left - 1), event | 2 if event is not None and left else event
+        return REACH, event, 1.0
+    hit = event is not None and left > 0
+    return max(0, left - 1), event | 2 if hit else event, NEGATED if hit else 1.0
 
 
 def _report(said, symbol, event):
-    return said or symbol == REPORT, event | 4 if event is not None and said else event
+    hit = event is not None and said
+    return said or symbol == REPORT, event | 4 if hit else event, REPORTED if hit else 1.0
 
 
 def _target(left, symbol, event):
     if symbol == TARGET:
-        return REACH, event
-    return max(0, left - 1), event | 8 if event is not None and left else event
+        return REACH, event, 1.0
+    return max(0, left - 1), event | 8 if event is not None and left else event, 1.0
 
 
 GRAMMAR = Transducer(0, _event) @ Transducer(0, _negation) @ Transducer(False, _report) @ Transducer(0, _target)
 _REVERSED = Transducer(0, _event) @ Transducer(0, _target)
 
 
-def clause_events(symbols: list[int]) -> list[int]:
-    """Event kinds of a clause; a target also counts when it follows."""
+def clause_events(symbols: list[int]) -> list[tuple[int, float]]:
+    """Event kinds of a clause with their weights; a target also counts when it follows."""
     events = GRAMMAR.run(symbols)
     behind = _REVERSED.run(symbols[::-1])[::-1]
-    return [e | (b & 8) for e, b in zip(events, behind, strict=True)]
+    return [(e | (b & 8), w) for (e, w), (b, _) in zip(events, behind, strict=True)]
 
 
 class Lexicon:
@@ -173,10 +184,10 @@ class Lexicon:
             read = [self.symbol(w) for w in c.split()]
             weights = [w for _, w in read if w]
             if weights:
-                for e, w in zip(clause_events([k for k, _ in read]), weights, strict=True):
+                for (e, arcs), w in zip(clause_events([k for k, _ in read]), weights, strict=True):
                     out[e] += w
-                    out[KINDS] = max(out[KINDS], w * RELIEF[e])
-                    sure += w * RELIEF[e] >= SURE
+                    out[KINDS] = max(out[KINDS], w * arcs)
+                    sure += w * arcs >= SURE
         out[KINDS + 1 :] = math.log1p(out[:KINDS] @ RELIEF), sure > 0, math.log1p(sure)
         return out
 
@@ -186,11 +197,12 @@ def held_out(doc_id: "F.Column") -> "F.Column":
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = (CLEAN_ROWS, TOXIC_ROWS)) -> DataFrame:
-    """(doc_id, y, text) of the bounded sample of training rows."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    """(doc_id, y, text) of the bounded sample of training rows, one for each doc_id, written once."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     total = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     picked = [least_by_hash(known.where(F.col("y") == c), "doc_id", rows[c], total.get(c, 0)) for c in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "y", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    return written(found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")), "toxicity")
 
 
 def _log_tail(n: int, k: int, r: float) -> float:
@@ -284,6 +296,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     fits = [_features(sample.where(half == 1 - h), induce_stems(sample.where(half == h))) for h in (0, 1)]
     y, x = np.concatenate([f[0] for f in fits]), np.concatenate([f[1] for f in fits])
     stems = induce_stems(sample)
+    discard(sample)
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("toxic").count().collect()
     share = {int(r[0]): r[1] for r in known}
     if not len(y) or y.min() == y.max():

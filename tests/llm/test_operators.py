@@ -104,7 +104,7 @@ def test_quality_without_labels(spark):
 
 def test_probability_does_not_depend_on_the_slice():
     rng = np.random.default_rng(0)
-    model = (rng.normal(size=(quality.TYPES, 1 << quality.BITS)), 0.1)
+    model = (rng.normal(size=(quality.TYPES, 1 << quality.BITS)), 0.1, (1.0, 0.0, 0.01, 0.98))
     rows = ["some text here", "", "other\nwords !!", "x"]
     whole = quality.probabilities(pa.array(rows), model)
     alone = [quality.probabilities(pa.array([t]), model)[0] for t in rows]
@@ -673,15 +673,57 @@ def test_toxicity_learns_stems(spark):
 
 def test_grammar_marks_events():
     t = toxicity
-    assert t.clause_events([t.INSULT]) == [0]
-    assert t.clause_events([t.NEGATION, t.OTHER, t.INSULT]) == [2]
-    assert t.clause_events([t.REPORT] + [t.OTHER] * 9 + [t.INSULT]) == [4]
-    assert t.clause_events([t.TARGET, t.OTHER, t.THREAT]) == [9]
-    assert t.clause_events([t.INSULT, t.TARGET]) == [8]
-    assert t.clause_events([t.NEGATION] + [t.OTHER] * 9 + [t.INSULT]) == [0]
+    assert t.clause_events([t.INSULT]) == [(0, 1.0)]
+    assert t.clause_events([t.NEGATION, t.OTHER, t.INSULT]) == [(2, t.NEGATED)]
+    assert t.clause_events([t.REPORT] + [t.OTHER] * 9 + [t.INSULT]) == [(4, t.REPORTED)]
+    assert t.clause_events([t.TARGET, t.OTHER, t.THREAT]) == [(9, 1.0)]
+    assert t.clause_events([t.INSULT, t.TARGET]) == [(8, 1.0)]
+    assert t.clause_events([t.NEGATION] + [t.OTHER] * 9 + [t.INSULT]) == [(0, 1.0)]
     assert t.clauses("You Ärger! He said: no".encode()) == [b"you \xc3\xa4rger", b" he said", b" no"]
 
 
+@given(st.lists(st.integers(0, 5), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_the_composed_grammar_reads_as_its_rules_say(symbols):
+    t = toxicity
+    want = []
+    for i, s in enumerate(symbols):
+        if s in (t.INSULT, t.THREAT):
+            near = range(max(0, i - t.REACH), i)
+            kind = int(s == t.THREAT)
+            negated = any(symbols[j] == t.NEGATION for j in near)
+            reported = t.REPORT in symbols[:i]
+            targeted = any(symbols[j] == t.TARGET for j in near) or any(x == t.TARGET for x in symbols[i + 1 : i + 1 + t.REACH])
+            want.append((kind | 2 * negated | 4 * reported | 8 * targeted, (t.NEGATED if negated else 1.0) * (t.REPORTED if reported else 1.0)))
+    assert t.clause_events(symbols) == want
+
+
+def test_samples_hold_one_row_a_doc_id(spark):
+    rng = random.Random(5)
+    docs = table(spark, [(3, prose(rng, 60))] * 40 + [(i, prose(rng, 60)) for i in range(40)])
+    labels = spark.createDataFrame([(3, 1, 1)] * 50 + [(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels)
+    assert sample.count() == sample.select("doc_id").distinct().count() > 10
+    assert quality.train(docs, labels) is not None
+
+
+def test_calibration_knows_wrong_labels():
+    rng = np.random.default_rng(4)
+    true = rng.random(3000) < 0.8
+    z = np.where(true, 6.0, -6.0) + rng.normal(size=3000)
+    y = (true ^ (rng.random(3000) < 0.05)).astype(float)
+    p = quality.calibrated(z, quality.calibrate(z, y, np.ones(3000)))
+    for part in (z > 3, z < -3):
+        assert abs(p[part].mean() - y[part].mean()) < 0.02
+    q = 1 / (1 + np.exp(-rng.normal(size=3000) * 2))
+    y = (rng.random(3000) < q).astype(float)
+    z = np.log(q / (1 - q)) * 3 + 1
+    p = quality.calibrated(z, quality.calibrate(z, y, np.ones(3000)))
+    for low in np.arange(0, 1, 0.2):
+        part = (p >= low) & (p < low + 0.2)
+        assert part.sum() < 30 or abs(p[part].mean() - y[part].mean()) < 0.06
+
+
 # -- 10 language model ------------------------------------------------------------------------------
 
 
