@@ -10,6 +10,7 @@
 from .context import AgentProvider, Context, ContextManager, LocalAgent, TextFileContext
 from .dataset import Cardinality, DataRecordCollection, Dataset
 from .functions.groupby import GroupBySig
+from .operators.http_provider import HTTPProvider
 from .operators.provider import CachedProvider, Completion, LocalProvider, ModelProvider, Request
 from .operators.topk import VectorIndex
 from .plans.models import Model, ModelCard, register
@@ -21,7 +22,7 @@ from .types import AudioBase64, AudioFilepath, ImageBase64, ImageFilepath, Image
 
 __all__ = [
     "AgentProvider", "AudioBase64", "AudioFileDataset", "AudioFilepath", "CachedProvider", "Cardinality", "Completion", "Context", "ContextManager", "DataRecordCollection",
-    "Dataset", "FrameDataset", "GroupBySig", "HTMLFileDataset", "ImageBase64", "ImageFileDataset", "ImageFilepath", "ImageURL", "IterDataset", "LocalAgent", "LocalProvider",
+    "Dataset", "FrameDataset", "GroupBySig", "HTMLFileDataset", "HTTPProvider", "ImageBase64", "ImageFileDataset", "ImageFilepath", "ImageURL", "IterDataset", "LocalAgent", "LocalProvider",
     "MaxQuality", "MaxQualityAtFixedCost", "MaxQualityAtFixedTime", "MemoryDataset", "MinCost", "MinCostAtFixedQuality", "MinTime", "MinTimeAtFixedQuality", "Model", "ModelCard",
     "ModelProvider", "PDFFileDataset", "PlanCost", "Policy", "QueryProcessorConfig", "Request", "SchemaBuilder", "TextFileContext", "TextFileDataset", "Validator", "VectorIndex",
     "XLSFileDataset", "get_local_source", "register", "resolve_datasource",
