@@ -61,6 +61,7 @@ SHARD_KEYS = 250_000
 MERGE_AT = 3_000_000
 _END = np.uint64(0x5DEECE66D)  # stands for the end token among the word hashes
 _WORD, _GRAM = 0, 1
+_STEP = 1 << 19
 _U = np.uint64
 
 
@@ -83,18 +84,21 @@ def stream(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(total, 0xFF, np.uint8)
     out[own] = LOWER[buf]
     own[end - 1] = True
-    wide = out.astype(np.uint64)
-    two = wide[:-1] | (wide[1:] << _U(8))
+    two = out[:-1].astype(np.uint16)
+    two |= out[1:].astype(np.uint16) << np.uint16(8)
     n = max(0, total - DEPTH)
-    g = wide[DEPTH:] | (wide[DEPTH - 1 : DEPTH - 1 + n] << _U(8 * DEPTH))
-    for j in range(0, DEPTH - 1, 2):  # DEPTH is odd: what is left of a context is pairs of bytes
-        g |= two[j : j + n] << _U(8 * (j + 1))
+    g = out[DEPTH:].astype(np.uint64)
+    for j in range(0, DEPTH, 2):  # DEPTH is odd: a context is pairs of bytes and the nearest one
+        part = (two[j : j + n] if j < DEPTH - 1 else out[j : j + n]).astype(np.uint64)
+        part <<= _U(8 * (j + 1))
+        g |= part
+    del two
     return g[own[DEPTH:]], np.append(0, np.cumsum(size + 1))
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys."""
-    keys = np.sort(keys)
+    """Sorted distinct keys; the given array is sorted in its place."""
+    keys.sort()
     return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
@@ -362,8 +366,8 @@ def _in_blocks(docs: DataFrame, shards: tuple[int, int]) -> DataFrame:
                     block, size, held = block + 1, 0, {_WORD: [], _GRAM: []}
                 size += len(buf) + part.num_rows
                 starts, ends, _ = words(buf, offs)
-                for kind, keys in ((_WORD, np.append(word_hashes(buf, starts, ends), _END)), (_GRAM, stream(buf, offs)[0])):
-                    held[kind].append(distinct(keys))
+                for kind in (_WORD, _GRAM):
+                    held[kind].append(distinct(np.append(word_hashes(buf, starts, ends), _END) if kind == _WORD else stream(buf, offs)[0]))
                     if sum(map(len, held[kind])) > MERGE_AT:
                         held[kind] = [distinct(np.concatenate(held[kind]))]
                 n = part.num_rows
@@ -476,7 +480,11 @@ def score(docs: DataFrame) -> DataFrame:
                     (word_at, times), (gram_at, value) = ready
                     buf, offs = raw(part.column(5))
                     grams, at = stream(buf, offs)
-                    upto = np.append(0.0, np.cumsum(value[gram_at(grams)]))
+                    upto = np.zeros(len(grams) + 1)
+                    for i in range(0, len(grams), _STEP):
+                        upto[i + 1 : i + 1 + _STEP] = value[gram_at(grams[i : i + _STEP])]
+                    np.cumsum(upto, out=upto)
+                    del grams
                     starts, ends, row = words(buf, offs)
                     n = part.num_rows
                     c = times[word_at(np.append(word_hashes(buf, starts, ends), np.full(n, _END)))]
