@@ -27,10 +27,10 @@ BOOKS = (".xls", ".xlsx")
 
 
 class Source:
-    """What a scan node holds: an id, and how to load the frame."""
+    """What a scan node holds: an id, and how to load the frame. Sources of equal ``content`` are the same one."""
 
-    def __init__(self, id: str, load: Callable[[SparkSession], DataFrame]):
-        self.id, self._load = id, load
+    def __init__(self, id: str, load: Callable[[SparkSession], DataFrame], content: str = ""):
+        self.id, self._load, self.content = id, load, content
 
     def load(self, spark: SparkSession) -> DataFrame:
         return self._load(spark)
@@ -40,8 +40,8 @@ class Source:
 
 
 class RootDataset(Dataset):
-    def __init__(self, id: str, schema: T.StructType, load: Callable[[SparkSession], DataFrame]):
-        super().__init__(scan(Source(id, load), schema), id)
+    def __init__(self, id: str, schema: T.StructType, load: Callable[[SparkSession], DataFrame], content: str = ""):
+        super().__init__(scan(Source(id, load, content), schema), id)
 
     def with_source_ids(self, name: str = "source_id") -> "RootDataset":
         """The dataset with each record's origin, ``{dataset id}-{place}``, as a column that further verbs carry along."""
@@ -82,7 +82,7 @@ class MemoryDataset(RootDataset):
         else:
             shape = S.make_schema(schema) if schema is not None else _guess([{"value": v} for v in vals], None) if vals else S.DefaultSchema
             rows = [(v,) for v in vals]
-        super().__init__(id, shape, lambda spark: spark.createDataFrame(rows, shape, verifySchema=False))
+        super().__init__(id, shape, lambda spark: spark.createDataFrame(rows, shape, verifySchema=False), f"{id}-{S.hash_for_id(repr((shape, rows)), 32)}")
         self.rows = rows
 
     def __len__(self) -> int:
