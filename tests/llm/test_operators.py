@@ -300,6 +300,32 @@ def test_passages_whose_parts_stand_in_different_documents(spark):
         assert a[r["start_word"] : r["end_word"]] == b[r["other_start_word"] : r["other_end_word"]]
 
 
+@pytest.mark.parametrize("block", [300, substring.BLOCK])
+def test_all_occurrences_meet_the_first_two_holders_of_all(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(31)
+    hot, warm = prose(rng, 60, 3000), [prose(rng, 55, 3000) for _ in range(6)]
+    rows = [(i, f"{prose(rng, 30, 3000)} {hot if i % 3 == 0 else warm[i % 6]} {prose(rng, 30, 3000)}") for i in range(120)]
+    rows += [(200, f"{hot} {prose(rng, 20, 3000)} {hot}"), (201, f"{hot} {prose(rng, 9, 3000)} {hot} {hot}"), (202, None), (203, "again " * 200), (204, "again " * 150)]
+    held = {}
+    for doc, text in rows:
+        seeds, _, places = substring.text_seeds(pa.array([text], pa.string()))
+        for seed, place in sorted(zip(seeds.tolist(), places.tolist(), strict=True)):
+            held.setdefault(seed, {}).setdefault(doc, []).append(place)
+    want = set()
+    for by_doc in held.values():
+        order = sorted(by_doc)
+        for other in order[:2]:
+            want |= {(doc, other, place, by_doc[other][min(n, len(by_doc[other]) - 1)]) for doc in order if doc > other for n, place in enumerate(by_doc[doc])}
+    results = []
+    for partitions in (1, 3, 16):
+        keyed = table(spark, rows, partitions).selectExpr("doc_id doc", "text")
+        assert {tuple(r) for r in substring._meetings(keyed)[0].collect()} == want
+        results.append(sorted(tuple(r) for r in substring.passages(table(spark, rows, partitions)).collect()))
+    assert results[0] == results[1] == results[2]
+    assert {r[0] for r in results[0]} == {3, *range(6, 120), 200, 201, 204}
+
+
 def test_long_keys():
     h = np.random.default_rng(2).integers(0, 2**63, 300, dtype=np.uint64)
     h[200:260] = h[20:80]
