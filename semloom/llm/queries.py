@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, html_pages, jaccard, lines, packing, quality, substring, tokens, toxicity
+from . import chat, ctw, decontaminate, html_pages, jaccard, lines, negatives, packing, quality, spelling, substring, tokens, toxicity
 from .store import bounded_batches
 
 
@@ -53,9 +53,27 @@ def op10_lm_scoring(spark, sf_dir):
     return ctw.score(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.report(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_formatting(spark, sf_dir):
+    return chat.report(_read(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op2_jaccard_join": jaccard.ORACLE_SQL,
+        "op6_decontamination": decontaminate.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL,
+        "op12_chat_formatting": chat.ORACLE_SQL,
+        "op13_spelling_variants": spelling.ORACLE_SQL,
+    }
