@@ -621,13 +621,43 @@ def test_html_on_the_pages_table(spark, sf):
 # -- 8 lines ---------------------------------------------------------------------------------
 
 
+def lines_brute(rows: list[tuple]) -> list[tuple]:
+    """The same by extending every pair of equal lines to the longest equal run, as a plain version."""
+    texts_ = [((2**63 - 1 if doc is None else doc), (text or "").encode().split(b"\n")) for doc, text in rows]
+    places = {}
+    for r, (_, lines) in enumerate(texts_):
+        for n, i in enumerate(i for i, x in enumerate(lines) if x.strip()):
+            places.setdefault(lines[i], []).append((r, n, i))
+    drops = [[False] * len(lines) for _, lines in texts_]
+    for same in places.values():
+        for r, n, i in same:
+            for s, m, j in same:
+                mine, theirs = texts_[r][1], texts_[s][1]
+                if not (texts_[s][0] < texts_[r][0] or s == r and m + 1 < n):
+                    continue
+                size = 0
+                while i + size < len(mine) and j + size < len(theirs) and mine[i + size] == theirs[j + size]:
+                    size += 1
+                while not mine[i + size - 1].strip():
+                    size -= 1
+                if size > 1:
+                    drops[r][i : i + size] = [True] * size
+    out = []
+    for (doc, text), (_, lines), drop in zip(rows, texts_, drops, strict=True):
+        if any(drop) and not any(x.strip() for x, d in zip(lines, drop, strict=True) if not d):
+            drop = [True] * len(lines)
+        left = b"\n".join(x for x, d in zip(lines, drop, strict=True) if not d).decode() if any(drop) else text
+        out.append((doc, len(lines) if text else 0, sum(drop), left))
+    return out
+
+
 def test_line_dedup(spark, odd_rows):
     rng = random.Random(10)
     block = [prose(rng, 8, 3000) for _ in range(40)]
     rows = odd_rows + [(400 + i, "\n".join([prose(rng, 6, 3000), *block[i % 3 :], prose(rng, 6, 3000)])) for i in range(6)] + [(450, "\n".join(block * 2)), (451, "\n\n\n\n"), (400, "other\nrow\nof the id"), (None, "\n".join(block))]
     docs = table(spark, rows)
     found = [tuple(r) for r in lines.report(docs).collect()]
-    assert sorted(found, key=repr) == sorted(lines.report_brute(rows), key=repr)
+    assert sorted(found, key=repr) == sorted(lines_brute(rows), key=repr)
     assert sum(r[2] for r in found) > 20
     stage = lines.dedup_stage(docs)
     assert stage.columns == docs.columns
@@ -637,11 +667,50 @@ def test_line_dedup(spark, odd_rows):
 
 def test_chunks_line_up_after_an_insertion():
     rng = random.Random(11)
-    base = [prose(rng, 6, 3000).encode() for _ in range(60)]
-    cut = {b"\n".join(base[a:b]) for a, b in lines.line_chunks(base)}
-    moved = [b"new line", b"another"] + base
-    again = {b"\n".join(moved[a:b]) for a, b in lines.line_chunks(moved)}
-    assert len(cut & again) >= 0.8 * len(cut)
+    base = [prose(rng, 6, 3000).encode() for _ in range(400)]
+    moved = base[:150] + [b"new line"] + base[150:]
+
+    def cut(rows, ranges):
+        return [b"\n".join(rows[a:b]) for a, b in ranges]
+
+    def defined(rows):
+        return cut(rows, lines.chunks([lines.line_hash(x) for x in rows]))
+
+    def fixed(rows):
+        return cut(rows, [(i, min(i + 4, len(rows))) for i in range(0, len(rows), 4)])
+
+    def two_lines(rows):
+        return cut(rows, [(i, i + 2) for i in range(len(rows) - 1)])
+
+    def realigned(way):
+        """Chunks cover each line once, some have more than two lines, and all but two come back."""
+        one, other = way(base), way(moved)
+        sizes = [x.count(b"\n") + 1 for x in one]
+        return sum(sizes) == len(base) and max(sizes) > 4 and len(set(one) - set(other)) <= 2
+
+    assert realigned(defined) and not realigned(fixed) and not realigned(two_lines)
+    assert 60 < len(defined(base)) < 140  # one boundary in four places, on average
+
+
+@given(st.lists(st.integers(0, 5), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_boundaries_by_a_plain_loop(kinds):
+    rows = [f"line {k}".encode() for k in kinds]
+    hashes = [lines.line_hash(x) for x in rows]
+    want, now = [], []
+    for i, row in enumerate(rows):
+        now.append(row)
+        if i + 1 < len(rows):
+            h = (hashes[i] * 11400714819323198485 + hashes[i + 1]) % 2**64
+            h = ((h ^ (h >> 29)) * 13787848793156543929) % 2**64
+            if (h ^ (h >> 32)) % 4:
+                continue
+        want.append(now)
+        now = []
+    assert [rows[a:b] for a, b in lines.chunks(hashes)] == want
+    whole = {i for a, b in lines.chunks(hashes) for i in range(a, b - 1)}
+    assert sorted(lines.pairs(hashes, set())) == list(range(len(rows) - 1))
+    assert set(lines.pairs(hashes, set(range(len(want))))) == set(range(len(rows) - 1)) - whole
 
 
 def test_short_repeated_runs_of_lines_leave(spark):
@@ -658,7 +727,7 @@ def test_short_repeated_runs_of_lines_leave(spark):
     left |= {200: odd[0][1], 201: f"{d}\n\n{e}", 202: "", 203: odd[3][1], 204: f"{e}\n{e}\n", 205: f"{d}\n{e}"}
     found = lines.report(table(spark, rows)).collect()
     assert {r["doc_id"]: r["text"] for r in found} == left
-    assert sorted((tuple(r) for r in found), key=repr) == sorted(lines.report_brute(rows), key=repr)
+    assert sorted((tuple(r) for r in found), key=repr) == sorted(lines_brute(rows), key=repr)
 
 
 # -- 9 toxicity --------------------------------------------------------------------------------
