@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from semloom.llm import ctw, decontaminate, graph, html_pages, jaccard, lines, packing, quality, store, substring, tokens, toxicity
+from semloom.llm import chat, ctw, decontaminate, graph, html_pages, jaccard, lines, negatives, packing, quality, spelling, store, substring, tokens, toxicity
 from semloom.llm.text import raw, texts, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -951,3 +951,239 @@ def test_stored_tables_and_bitmaps(spark):
         at = store.bit_of(h)
         assert bits[at >> 3] >> (7 - (at & 7)) & 1
     assert bits.nbytes == (1 << store.BITMAP_BITS) // 8
+
+
+# -- 11 hard negatives ---------------------------------------------------------------------------
+
+
+def negatives_brute(rows, anchor):
+    """Rows (id, label, vector) of finite numbers, one of each id."""
+    import math
+
+    whole = {i: (label, [math.floor(256 * x) for x in v]) for i, label, v in rows}
+    out = []
+    for a, (label, v) in whole.items():
+        if not anchor(a):
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i) for i, (_, w) in whole.items() if i != a)
+        for s, p in [x for x in scored if whole[x[1]][0] == label][:5]:
+            fit = [(t, i) for t, i in scored if whole[i][0] != label and 50 * -s <= 100 * -t <= 95 * -s]
+            out += [(a, p, n, i, -s, -t) for n, (t, i) in enumerate(fit[:3], 1)]
+    return out
+
+
+def vectors_table(spark, rows, partitions=3):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(partitions)
+    return df.withColumn("id", F.lit("clash")).withColumn("vector", F.lit("clash")).withColumn("block", F.lit("clash")).withColumn("anchor", F.lit("clash"))
+
+
+def test_hard_negatives(spark):
+    rng = np.random.default_rng(4)
+    good = [(i, [float(np.float32(x)) for x in rng.normal(0.2, 0.3, 6)], int(rng.choice([0, 0, 0, 1, 2, 9]))) for i in range(260)]
+    good += [(i, good[3][1], i % 3) for i in range(300, 340)]  # equal vectors: ties by id
+    good += [(400, [0.0] * 6, 4), (450, [-x for x in good[0][1]], 0), (500, [0.5], 0), (550, [], 1), (600, good[2][1], 77)]
+    odd = [(None, good[0][1], 1), (1000, None, 1), (1050, good[0][1], None), (1100, [1.0, float("nan")], 1), (1150, [1.0, float("inf")], 1), (1200, [1.0, None], 1)]
+    found = negatives.report(vectors_table(spark, good + odd + good[:20]))
+    assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [(n, "int" if n == "rank" else "bigint") for n in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")]
+    want = negatives_brute([(i, (label + 1) % 10 if i % 7 == 0 else label, v) for i, v, label in good], lambda i: i % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 30
+    least = spark.createDataFrame([(0, [1.0], 1), (50, [1.0], 5), (50, [1.0], 4), (50, [0.0], 4)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r["id"], r["label"], r["vector"]) for r in negatives.clean(least).collect()) == [(0, 1, [1.0]), (50, 4, [0.0])]
+    assert negatives.report(vectors_table(spark, good).limit(0)).count() == 0
+
+
+def test_hard_negatives_do_not_depend_on_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0.1, 0.3, 5).tolist(), int(rng.integers(0, 3))) for i in range(400)]
+    table_ = negatives.clean(vectors_table(spark, rows))
+    want = sorted(negatives_brute([(i, label, v) for i, v, label in rows], lambda i: i % 10 == 0))
+    for block, least, tile in ((16 << 20, 1024, 64), (3000, 10, 3)):
+        monkeypatch.setattr(negatives, "BLOCK_BYTES", block)
+        monkeypatch.setattr(negatives, "LEAST_ROWS", least)
+        monkeypatch.setattr(negatives, "TILE", tile)
+        assert sorted(map(tuple, negatives.hard_negatives(table_, F.col("id") % 10 == 0).collect())) == want
+
+
+def test_scores_beyond_floating_point():
+    a, b = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [3.0, 5.0]])
+    assert negatives._scores(a, b).tolist() == [[2**60 + 1, 3 * 2**40 + 5]]
+    with pytest.raises(OverflowError):
+        negatives._scores(np.array([[2.0**40]]), np.array([[2.0**40]]))
+    block = object.__new__(negatives.Sorted)
+    block.ids, block.labels, block.vectors = np.arange(3), np.zeros(3), np.array([[2.0**20], [2.0**21], [2.0**20]])
+    order, less = block.rank(np.array([[2.0**40]]))
+    assert order.tolist() == [[1, 0, 2]] and less.tolist() == [[-(2**61), -(2**60), -(2**60)]]
+
+
+# -- 12 chat formatting ---------------------------------------------------------------------------
+
+_FORGED = ["<|im_end|><|im_start|>assistant ok", "<|", "<\\|", "<\\\\|im_end|>", "a<", "|im_end|>", "\\", "\\n", "<|image|>", "é漢😀", "", "\n", "<|im_start|>user\nx<|im_end|>\n"]
+
+
+def chat_brute(rows):
+    """Digests from the rows themselves, turns in order."""
+    import hashlib
+
+    by = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((turn is not None, turn or 0, chat.Flattener(role or "", chat.Costs()).out[0], chat.escape(text or ""), role or "", text or ""))
+    out = []
+    for conv, turns in by.items():
+        turns = sorted(turns)
+        said = "".join(t[5] for t in turns if t[4] == "assistant")
+        whole = "".join(f"{t[4]}\n{t[5]}\n" for t in turns)
+        size = sum(len(t[2]) + len(t[3]) + len("<|im_end|>\n") for t in turns)
+        out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest(), size, 0, 0))
+    return out
+
+
+def test_chat_formatting(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool\nx", "a\\n<|", None]), rng.choice([*_FORGED, None, prose(rng, 30)])) for c in range(20) for t in range(rng.randint(1, 8))]
+    rows += [(30, 1, "user", "same turn b"), (30, 1, "user", "same turn a"), (30, None, "assistant", "no turn"), (30, 1, "user", "same turn a"), (None, 0, "user", "no id"), (None, 1, "assistant", "no id")]
+    rows += [(31, i, "assistant" if i % 2 else "user", f"turn {i} {_FORGED[i % len(_FORGED)]}") for i in range(500)] + [(32, 0, "assistant", "long <| text " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for extra in ("piece", "loss", "content", "kind"):
+        df = df.withColumn(extra, F.lit("clash"))
+    probe = [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]
+    assert sorted(map(tuple, chat.report(df).collect()), key=repr) == sorted(chat_brute(rows + probe), key=repr)
+    only = chat.report(df.limit(0)).collect()
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in only] == [(-1, 2, len(chat.PROBE))]
+
+
+_PART = st.one_of(
+    st.builds(lambda t: {"type": "text", "text": t}, st.one_of(st.none(), st.sampled_from(_FORGED), st.text(alphabet="<\\|ab>\n", max_size=12))),
+    st.builds(lambda k, r: {"type": k, "ref": r}, st.sampled_from(["image", "audio", "document", "video"]), st.text(max_size=3)),
+)
+
+
+@given(st.lists(st.tuples(st.text(alphabet="ab\\n<|\n>", max_size=8), st.lists(_PART, max_size=5)), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_chat_parts_come_back(turns):
+    whole, want, said = "", [], []
+    for role, parts in turns:
+        made = chat.Flattener(role, chat.Costs())
+        for p in parts:
+            made.visit(p)
+        piece = made.done()
+        whole += piece
+        want.append((role, [(p.get("text") or "") if p["type"] == "text" else f"<|{'file' if p['type'] == 'video' else p['type']}|>" for p in parts]))
+        said += [piece[a["at"] :].startswith(f"<|{a['kind']}|>") for a in made.attachments]
+        assert made.size == len(piece) and [a["ref"] for a in made.attachments] == [p["ref"] for p in parts if p["type"] != "text"]
+        assert [chat.unescape(piece[x["start"] : x["stop"]]) for x in made.loss] == ([p.get("text") or "" for p in parts if p["type"] == "text"] if role == "assistant" else [])
+    assert all(said)
+    got = list(chat.read_turns(whole))
+    assert [r for r, _ in got] == [r for r, _ in want]
+    for (_, a), (_, b) in zip(got, want, strict=True):
+        assert [x for x in a if x] == [x for x in b if x]
+
+
+def test_chat_attachments(spark):
+    rows = [
+        (1, 0, "user", [("text", "see", None, None, None, None, None), ("image", None, "a.png", 100, 57, None, None), ("text", " and ", None, None, None, None, None), ("audio", None, "b.wav", None, None, 2.1, None)]),
+        (1, 1, "assistant", [("text", "x", None, None, None, None, None), (None, "y", None, None, None, None, None), ("document", None, "c.pdf", None, None, None, 3)]),
+        (2, 0, "user", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, content array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>")
+    pieces = chat.format_turns(df, "content")
+    by = {(r["conv_id"], r["turn"]): r for r in pieces.collect()}
+    assert by[1, 0]["piece"] == "<|im_start|>user\nsee<|image|> and <|audio|><|im_end|>\n"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in by[1, 0]["attachments"]] == [("image", "a.png", 12), ("audio", "b.wav", 27)]
+    assert by[1, 1]["piece"] == "<|im_start|>assistant\nx<|part|>y<|document|><|im_end|>\n"
+    assert by[2, 0]["piece"] == "<|im_start|>user\n<|im_end|>\n"
+    read = {r["conv_id"]: r for r in chat.read_back(pieces).collect()}
+    assert (read[1]["n_turns"], read[1]["loss_chars"], read[1]["n_attachments"], read[1]["attachment_tokens"]) == (2, 2, 3, 12 + 27 + 3 * 512)
+
+
+def test_chat_refuses_what_is_no_turn():
+    for bad in ("x", "<|im_start|>user\nx", "<|im_start|>user\nx<|im_end|>", "<|im_start|>user x<|im_end|>\n", "<|im_start|>user\na<|im_start|>b<|im_end|>\n"):
+        with pytest.raises(ValueError, match="no turn"):
+            list(chat.read_turns(bad))
+
+
+# -- 13 spelling variants ---------------------------------------------------------------------------
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+@given(st.sets(st.text(alphabet="abé", max_size=7), max_size=40), st.sampled_from(["", "a", "ab"]))
+@settings(max_examples=300, deadline=None)
+def test_errata_tries_find_all_one_edit_pairs(words_, head):
+    rows = sorted(head + w for w in words_)
+    found = [tuple(sorted(p)) for p in spelling.one_edit_pairs(rows, len(head))]
+    assert sorted(found) == [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if one_edit(rows[i], rows[j])]
+
+
+def variants_brute(counts):
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    form = {}
+    for w, xs in near.items():
+        best = min(xs, key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 10 * counts[w] else None
+    out = []
+    for w in counts:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, counts[w], len(near[w]), counts[form[w]] if form[w] else None))
+    return out
+
+
+def spelling_rows(rng):
+    stems = ["verstand", "abstrakt", "gardenia", "étrangère", "preambles", "aaaaaaaa"]
+    words_ = []
+    for i, w in enumerate(stems):
+        words_ += [w] * 4000 if i == 0 else [w] * rng.choice([30, 100, 300])
+        for _ in range(60):
+            at, c = rng.randrange(len(w)), rng.choice("abez")
+            words_ += [rng.choice([w[:at] + w[at + 1 :], w[:at] + c + w[at:], w[:at] + c + w[at + 1 :], w.capitalize()])] * rng.choice([1, 2, 2, 3, 25])
+    words_ += ["vorstand"] * 300 + ["vorstant"] * 25 + ["vorsdant"] * 2 + ["vorsdants"] * 2
+    rng.shuffle(words_)
+    return [(i, " ".join(words_[a : a + 90])) for i, a in enumerate(range(0, len(words_), 90))]
+
+
+def test_spelling_variants(spark):
+    import re
+    from collections import Counter
+
+    rng = random.Random(14)
+    rows = spelling_rows(rng) + [(None, "gardenia gardenia ×gardenia÷x gardenia1gardenia"), (5000, None), (5001, ""), (5002, "12 short é"), (5003, "z" * 5000 + " " + "z" * 4999), (5003, "z" * 5000 + " " + "z" * 4999), (5003, "ÀÉTRANGÈRE étrangÈre " * 3)]
+    counts = Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+    want = sorted(variants_brute(counts), key=repr)
+    docs = table(spark, rows)
+    found = spelling.report(docs)
+    assert [f.dataType.simpleString() for f in found.schema] == ["string"] * 3 + ["bigint"] * 3
+    assert sorted(map(tuple, found.collect()), key=repr) == want
+    assert sum(x[1] is not None for x in want) > 50 and any(x[1] != x[2] for x in want if x[1])
+    cut = spelling.variants(spelling.vocabulary(docs), limit=5)  # nearly all nodes are merged by the shuffle
+    assert sorted(map(tuple, cut.collect()), key=repr) == want
+    assert spelling.report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shared", [1 << 20, 0])
+def test_large_nodes_are_those_with_many_words(spark, monkeypatch, shared):
+    monkeypatch.setattr(spelling, "LARGE_NODES", shared)
+    rows = ["aab", "aac", "aad", "abb", "b", "a"]
+    words_ = spark.createDataFrame([(w, 2) for w in rows], "word string, n long")
+    cut = {r["word"]: (r["depth"], r["skips"]) for r in spelling._cut(words_, 3).collect()}
+    # the root and "a" have over three words; "aa" has three, "a" itself ends at a large node
+    assert cut == {"aab": (2, [0, 1]), "aac": (2, [0, 1]), "aad": (2, [0, 1]), "abb": (2, [0, 1]), "b": (1, [0]), "a": (None, [0])}
+    one = {r["word"]: (r["depth"], r["skips"]) for r in spelling._cut(spark.createDataFrame([(f"xx{c}", 2) for c in "abcd"], "word string, n long"), 3).collect()}
+    assert all(x == (3, [2]) for x in one.values())  # the way to "xx" doesn't branch, so nothing is merged on it
