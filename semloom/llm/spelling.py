@@ -34,6 +34,8 @@ from .store import discard, written
 LETTERS = "a-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LIMIT = 8192
+#: Large nodes (16 bytes each) up to which every task gets all of them.
+LARGE_NODES = 1 << 20
 MIN_LENGTH = 7
 MIN_COUNT = 2
 RATIO = 10
@@ -227,7 +229,9 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
 def _cut(words: DataFrame, limit: int) -> DataFrame:
     """(word, n, depth, skips): the depth of the word's first node of at most ``limit`` words (null: none), and the depths of larger nodes at which its way branches."""
     heads = words.select("word", "n", F.expr("posexplode(transform(sequence(0, length(word)), i -> xxhash64(i, substring(word, 1, i))))").alias("at", "head"))
-    large = heads.groupBy("head").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit)
+    large = written(heads.groupBy("head").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit), "spelling-large")
+    if large.count() <= LARGE_NODES:  # all words share the root, so a join by key would send them to one task
+        large = F.broadcast(large)
     ways = heads.join(large, "head").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("way"))
     depth = F.size("way")
     skips = F.expr("transform(filter(way, x -> x.at < length(word) and (x.at + 1 >= size(way) or x.size > way[x.at + 1].size)), x -> x.at)")
