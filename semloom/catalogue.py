@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import warnings
 import zipfile
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +16,15 @@ from .context import Context, ContextManager, LocalAgent, TextFileContext
 from .dataset import Dataset
 from .functions.chunks import chunk_column, split_column, top_chunks
 from .functions.groupby import GroupBySig
+from .operators.cells import nearest, pairs_over
 from .operators.provider import LocalProvider
 from .operators.semantic import embedded, sem_filter, sem_join, sem_map
+from .operators.semantic import sem_agg as aggregate_by_calls
 from .operators.topk import VectorIndex
 from .plans.physical import Implementation
 from .plans.policy import MaxQuality, MaxQualityAtFixedCost, MinCost, MinCostAtFixedQuality, MinTime
 from .session import QueryProcessorConfig
+from .shared import fresh_path
 from .sources import AudioFileDataset, FrameDataset, HTMLFileDataset, ImageFileDataset, IterDataset, MemoryDataset, PDFFileDataset, TextFileDataset, XLSFileDataset, get_local_source, resolve_datasource, table
 from .types import make_schema
 
@@ -346,6 +347,67 @@ def sem_filter_split(spark, sf):
     return done.where("__passed").select("doc_id")
 
 
+@query("SELECT least(5, count(*)) AS n, true AS all_fit, true AS few_calls FROM documents WHERE contains(lower(text), 'thing')")
+def sem_filter_limit(spark, sf):
+    """A limit over a semantic filter stops the calls: how many rows came out, whether all fit, and whether few calls were made."""
+    docs = _t(spark, sf, "documents", "doc_id", "text")
+    done = docs.sem_filter("the text speaks of the ing", depends_on="text").limit(5).run(_semantic())
+    calls, total = done.execution_stats.total_calls, docs.count().run(PLAIN).df.first()[0]
+    return done.df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.every(F.contains(F.lower("text"), F.lit("thing"))), F.lit(True)).alias("all_fit")).withColumn("few_calls", F.lit(calls <= max(64, total // 4)))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag, (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS calls FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+def sem_filter_repeats(spark, sf):
+    """Rows with equal inputs share a request, so there are as many calls as flags."""
+    rule = LocalProvider({"accepted or returned": lambda r: r["l_returnflag"] in ("A", "R")})
+    done = _t(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").sem_filter("accepted or returned", depends_on="l_returnflag").run(QueryProcessorConfig.of(PLAIN, provider=rule))
+    return done.df.withColumn("calls", F.lit(done.execution_stats.total_calls).cast("long"))
+
+
+@query("SELECT l_linenumber, l_returnflag, l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_linenumber, l_returnflag ORDER BY n) AS k FROM (SELECT *, row_number() OVER () AS n FROM lineitem)) WHERE k = 1")
+def distinct_first(spark, sf):
+    """The first row of each line number and flag by its place in the file, however the rows are dealt."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").repartition(13)
+    return _run(FrameDataset(rows).project(["l_linenumber", "l_returnflag", "l_orderkey", "l_quantity"]).distinct(["l_linenumber", "l_returnflag"]))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1:2]::DOUBLE[] AS v FROM embeddings), g AS (SELECT vec_id, [CASE WHEN v[1] > 0 THEN 1.0 ELSE -1.0 END, CASE WHEN v[2] > 0 THEN 1.0 ELSE -1.0 END] AS v FROM e)
+SELECT q.vec_id AS vec_id, array_to_string(list(i.vec_id ORDER BY round(list_cosine_similarity(q.v, i.v), 9) DESC, i.vec_id)[1:4], ',') AS nearest FROM g q, g i GROUP BY q.vec_id""")
+def sem_topk_ties(spark, sf):
+    """Vectors of signs have very many ties, which go by id."""
+    sign = F.transform(F.slice("embedding", 1, 2), lambda x: F.when(x > 0, 1.0).otherwise(-1.0))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", sign.alias("v"))
+    df = _run(FrameDataset(vectors, "v").sem_topk(VectorIndex(vectors, "vec_id", "vec_id", "v"), "v", [{"name": "near", "type": list[str], "desc": ""}], k=4))
+    return df.select("vec_id", F.array_join("near", ",").alias("nearest"))
+
+
+@query("""SELECT q.vec_id AS vec_id, array_to_string(list(i.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) DESC, i.vec_id)[1:5], ',') AS nearest
+FROM embeddings q, embeddings i GROUP BY q.vec_id""")
+def sem_topk_cells(spark, sf):
+    """The search of a large index: its cells are opened as far as an exact bound asks."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("value"), F.col("embedding").cast("array<double>").alias("vector"))
+    hits = nearest(vectors.select(F.col("id").alias("q"), "vector"), vectors, 5).groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "id"))).alias("hits"))
+    return hits.select(F.col("q").alias("vec_id"), F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("nearest"))
+
+
+@query("SELECT a.vec_id AS vec_id, b.vec_id AS other FROM embeddings a JOIN embeddings b ON list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85")
+def similar_pairs(spark, sf):
+    """The embedding join's candidates: pairs over a similarity, without forming all pairs."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").cast("binary").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = pairs_over(vectors.withColumnRenamed("key", "__l"), vectors.withColumnRenamed("key", "__r"), 0.85)
+    return found.select(F.col("__l").cast("string").cast("long").alias("vec_id"), F.col("__r").cast("string").cast("long").alias("other"))
+
+
+@query("SELECT CAST(sum(l_orderkey) AS BIGINT) AS total, true AS bounded FROM lineitem")
+def sem_agg_tree(spark, sf):
+    """All line items in calls of fifty, whose answers merge level by level; a call never takes more."""
+    rule = LocalProvider({"total": lambda r: sum(x["l_orderkey"] for x in r["records"]) if "records" in r else sum(int(x) for x in r["partial"])})
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey")
+    out, spent = aggregate_by_calls(rows, make_schema([{"name": "total", "type": int, "desc": "total"}]).fields[0], "sum of the orders", rule, Implementation("single", ("local-large",)), per_call=50)
+    calls, n = spent.agg(F.sum("calls")).first()[0], rows.count()
+    return out.withColumn("bounded", F.lit(calls >= n / 50))
+
+
 @query("SELECT n_name, n_regionkey, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def sem_join_nested(spark, sf):
     rule = LocalProvider({"the nation is in the region": lambda r: r["n_regionkey"] == r["r_regionkey"]})
@@ -399,22 +461,27 @@ def relational_chain(spark, sf):
     return df.select("l_returnflag", F.array_join(F.col("`set(l_linestatus)`"), "").alias("statuses"))
 
 
-@query("SELECT * FROM (VALUES ('max_quality', true), ('min_cost', true), ('min_time', true), ('max_quality_at_cost', true), ('min_cost_at_quality', true)) AS t(policy, best)")
+@query("""WITH m(name, i, o, q) AS (VALUES ('local-large', 5e-6, 2e-5, 85.0 / 100), ('local-medium', 1e-6, 4e-6, 74.0 / 100), ('local-small', 1e-7, 4e-7, 60.0 / 100)),
+plans AS (
+  SELECT 'sem_filter: ' || f.name || ', sem_map: ' || g.name AS plan, (1000 * f.i + 1.25 * f.o) + 0.5 * (1000 * g.i + 100 * g.o) AS cost, f.q * g.q AS quality FROM m f, m g
+  UNION ALL SELECT 'sem_map: ' || g.name || ', sem_filter: ' || f.name, (1000 * g.i + 100 * g.o) + (1000 * f.i + 1.25 * f.o), f.q * g.q FROM m f, m g),
+ranked AS (
+  SELECT n_nationkey, plan, cost, row_number() OVER (PARTITION BY n_nationkey ORDER BY
+    CASE WHEN n_nationkey % 2 = 0 THEN cost < 0.0002 + n_nationkey * 0.0006 ELSE quality > 0.3 + n_nationkey * 0.02 END DESC,
+    CASE WHEN n_nationkey % 2 = 0 THEN -quality ELSE cost END, CASE WHEN n_nationkey % 2 = 0 THEN cost ELSE -quality END) AS place
+  FROM plans, nation)
+SELECT n_nationkey, plan, round(cost, 9) AS cost FROM ranked WHERE place = 1""")
 def optimizer_choice(spark, sf):
-    """Whether the plan chosen for a fixed workload is, of those chosen under all policies, the best by its own policy."""
-    plans = chosen_plans(spark, sf)
+    """The plan chosen under each nation's budget or least quality; the SQL goes through all orders and models."""
+    docs = _t(spark, sf, "documents").sem_map([{"name": "topic", "type": str, "desc": "topic"}], depends_on="text").sem_filter("long text", depends_on="text")
+    options = {"available_models": ["local-large", "local-medium", "local-small"], "allow_rag_reduction": False, "allow_critic": False, "allow_mixtures": False}
     rows = []
-    for name, policy, plan in plans:
-        cost = plan.cost
-        best = {
-            "max_quality": lambda c: c.quality <= cost.quality,
-            "min_cost": lambda c: c.cost >= cost.cost,
-            "min_time": lambda c: c.time >= cost.time,
-            "max_quality_at_cost": lambda c: cost.cost <= 0.01 and (c.cost > 0.01 or c.quality <= cost.quality),
-            "min_cost_at_quality": lambda c: cost.quality >= 0.5 and (c.quality < 0.5 or c.cost >= cost.cost),
-        }[name]
-        rows.append((name, all(best(p.cost) for _, _, p in plans)))
-    return spark.createDataFrame(rows, "policy string, best boolean")
+    for (key,) in spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey").collect():  # 25 rows; planning is the driver's work
+        policy = MaxQualityAtFixedCost(0.0002 + key * 0.0006) if key % 2 == 0 else MinCostAtFixedQuality(0.3 + key * 0.02)
+        plan = docs.plan(policy=policy, **options)
+        steps = [f"{p.node.kind}: {p.impl.models[0]}" for p in plan.walk() if p.node.is_semantic]
+        rows.append((key, ", ".join(steps), round(plan.cost.cost, 9)))
+    return spark.createDataFrame(rows, "n_nationkey long, plan string, cost double")
 
 
 def chosen_plans(spark, sf) -> list:
@@ -569,56 +636,58 @@ def sem_add_columns(spark, sf):
     return _run(made.project(["conv_id", "turn", "first", "size"]), _semantic())
 
 
-# -- sources: files written from a small table ----------------------------------------------
+# -- sources: files that an executor stage writes from a table --------------------------------
 
 
-def _folder(spark: SparkSession, files: dict[str, bytes]) -> str:
-    """A folder of the given files beside the session's checkpoints, deleted when the driver's JVM ends."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    folder = f"{given.rstrip('/')}/semloom-files-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = place.getFileSystem(conf)
-    fs.mkdirs(place)
-    fs.deleteOnExit(place)
-    for name, data in files.items():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
-        out.write(bytearray(data))
-        out.close()
+def _folder(files: DataFrame) -> str:
+    """A folder of files (name string, data binary) in the shared folder, written where the rows are; it goes with the driver's JVM."""
+    folder = fresh_path(files.sparkSession, "files")
+
+    def write(batches):
+        from pyarrow import fs as filesystems
+
+        fs, place = filesystems.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs.create_dir(place, recursive=True)
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with fs.open_output_stream(f"{place}/{name}") as out:
+                    out.write(data)
+            yield b.select([0])
+
+    files.select("name", F.col("data").cast("binary").alias("data")).mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
     return folder
 
 
-def _nations(spark, sf, ending: str, text: Callable[[str, int], str]) -> str:
-    """A folder with a file for each of the 25 nations."""
-    rows = spark.read.parquet(f"{sf}/nation.parquet").collect()
-    return _folder(spark, {f"{r['n_name']}{ending}": text(r["n_name"], r["n_regionkey"]).encode() for r in rows})
+def _pages(spark, sf, ending: str, data: str) -> str:
+    """A folder with a file for each page, of what the SQL expression ``data`` makes of its row."""
+    return _folder(spark.read.parquet(f"{sf}/pages.parquet").select(F.concat("page_id", F.lit(ending)).alias("name"), F.expr(data).alias("data")))
 
 
-@query("SELECT n_name || '.txt' AS filename, n_name || ' lies in' || chr(10) || n_regionkey AS contents FROM nation")
+@query("SELECT page_id || '.txt' AS filename, url || ' has' || chr(10) || length(html) AS contents FROM pages")
 def source_text_files(spark, sf):
-    return _run(TextFileDataset("t", _nations(spark, sf, ".txt", lambda n, r: f"{n} lies in\n{r}")))
+    return _run(TextFileDataset("t", _pages(spark, sf, ".txt", r"concat(url, ' has\n', length(html))")))
 
 
-@query("SELECT n_name || '.html' AS filename, n_name || ' lies in region (/' || n_regionkey || ')' AS text FROM nation")
+@query("SELECT page_id || '.html' AS filename, page_id || ' lies in place (' || url || ')' AS text FROM pages")
 def source_html_files(spark, sf):
-    folder = _nations(spark, sf, ".html", lambda n, r: f"<html><head><title>x</title></head><body><p>{n} lies in <a href='/{r}'>region</a></p></body></html>")
-    return _run(HTMLFileDataset("h", folder).project(["filename", "text"]))
+    folder = _pages(spark, sf, ".html", "concat('<html><head><title>x</title></head><body><p>', page_id, ' lies in <a href=\"', url, '\">place</a></p></body></html>')")
+    return _run(HTMLFileDataset("h", folder, max_words=None).project(["filename", "text"]))
 
 
-@query("SELECT n_name || '.png' AS filename, base64(encode('image ' || n_name)) AS contents FROM nation")
+@query("SELECT page_id || '.png' AS filename, base64(encode('image ' || url)) AS contents FROM pages")
 def source_image_files(spark, sf):
-    return _run(ImageFileDataset("i", _nations(spark, sf, ".png", lambda n, r: f"image {n}")))
+    return _run(ImageFileDataset("i", _pages(spark, sf, ".png", "concat('image ', url)")))
 
 
-@query("SELECT n_name || '.wav' AS filename, base64(encode('sound ' || n_name)) AS contents FROM nation")
+@query("SELECT page_id || '.wav' AS filename, base64(encode('sound ' || url)) AS contents FROM pages")
 def source_audio_files(spark, sf):
-    return _run(AudioFileDataset("a", _nations(spark, sf, ".wav", lambda n, r: f"sound {n}")))
+    return _run(AudioFileDataset("a", _pages(spark, sf, ".wav", "concat('sound ', url)")))
 
 
-@query("SELECT n_name || '.pdf' AS filename, upper('page of ' || n_name) AS text_contents FROM nation")
+@query("SELECT page_id || '.pdf' AS filename, upper('page of ' || url) AS text_contents FROM pages")
 def source_pdf_files(spark, sf):
-    """With an extractor of one's own."""
-    folder = _nations(spark, sf, ".pdf", lambda n, r: f"page of {n}")
+    """With an extractor of one's own; the files hold plain text."""
+    folder = _pages(spark, sf, ".pdf", "concat('page of ', url)")
     return _run(PDFFileDataset("p", folder, extract=lambda b: b.decode().upper()).project(["filename", "text_contents"]))
 
 
@@ -635,13 +704,16 @@ def _workbook(names: list[str]) -> bytes:
     return out.getvalue()
 
 
-@query("SELECT r_name || '.xlsx' AS filename, count(*) AS number_sheets, array_to_string(list(n_name ORDER BY n_name), ',') AS sheets FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("SELECT (page_id % 20) || '.xlsx' AS filename, count(*) AS number_sheets, array_to_string(list('p' || page_id ORDER BY page_id), ',') AS sheets FROM pages GROUP BY page_id % 20")
 def source_workbooks(spark, sf):
-    """A workbook for each region, with a sheet for each of its nations."""
-    sheets: dict[str, list[str]] = {}
-    for r in spark.read.parquet(f"{sf}/nation.parquet").join(spark.read.parquet(f"{sf}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_name").collect():
-        sheets.setdefault(r["r_name"], []).append(r["n_name"])
-    folder = _folder(spark, {f"{k}.xlsx": _workbook(v) for k, v in sheets.items()})
+    """Twenty workbooks, with a sheet for each of their pages."""
+
+    def book(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_workbook(x) for x in b.column(1).to_pylist()], pa.binary())], ["name", "data"])
+
+    sheets = spark.read.parquet(f"{sf}/pages.parquet").groupBy((F.col("page_id") % 20).alias("book")).agg(F.transform(F.array_sort(F.collect_list("page_id")), lambda x: F.concat(F.lit("p"), x)).alias("names"))
+    folder = _folder(sheets.select(F.concat("book", F.lit(".xlsx")).alias("name"), "names").mapInArrow(book, "name string, data binary"))
     return _run(XLSFileDataset("x", folder)).select("filename", "number_sheets", F.array_join("sheet_names", ",").alias("sheets"))
 
 
@@ -685,10 +757,10 @@ def source_ids(spark, sf):
     return _run(MemoryDataset("memory", [{"nation": n} for n, _ in _rows(spark, sf)]).with_source_ids())
 
 
-@query("SELECT n_name || '.png' AS filename FROM nation")
+@query("SELECT page_id || '.png' AS filename FROM pages")
 def source_by_path(spark, sf):
     """A folder's kind is found by its files' endings."""
-    return _run(get_local_source("g", _nations(spark, sf, ".png", lambda n, r: n).removeprefix("file:")).project(["filename"]))
+    return _run(get_local_source("g", _pages(spark, sf, ".png", "url").removeprefix("file:")).project(["filename"]))
 
 
 @query("SELECT n_name AS value FROM nation")
@@ -699,22 +771,22 @@ def source_resolved(spark, sf):
 # -- contexts ------------------------------------------------------------------------------
 
 
-@query("SELECT n_name AS nation FROM nation WHERE n_regionkey = 3")
+@query("SELECT CAST(page_id AS VARCHAR) AS page FROM pages WHERE page_id % 7 = 3")
 def context_search(spark, sf):
-    """An agent searches all files of a folder; the answer joins the context's description."""
-    folder = _nations(spark, sf, ".txt", lambda n, r: f"region{r} holds {n}").removeprefix("file:")
-    context = TextFileContext(folder, "nations", "a file for each nation").search("region3", LocalAgent(), ContextManager())
+    """An agent searches all files of a folder; the answer joins the context's description when the plan runs."""
+    folder = _pages(spark, sf, ".txt", "concat('shelf', page_id % 7, ' holds ', url)")
+    context = TextFileContext(folder, "pages", "a file for each page").search("shelf3", LocalAgent(), ContextManager())
     described = _run(context).select(F.split(F.element_at(F.split("context", "RESULT: "), -1), ", ").alias("paths"))
-    return described.select(F.explode("paths").alias("path")).select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("nation"))
+    return described.select(F.explode("paths").alias("path")).select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("page"))
 
 
-@query("SELECT CAST(count(*) AS VARCHAR) AS answer FROM nation")
+@query("SELECT CAST(count(*) AS VARCHAR) AS answer FROM pages")
 def context_compute(spark, sf):
-    """An agent computes with the context's tools; the answer is a column of the new context."""
-    folder = _nations(spark, sf, ".txt", lambda n, r: n).removeprefix("file:")
+    """An agent computes with the context's tools; the answer is a column of the new context, and a filter reads it on."""
+    folder = _pages(spark, sf, ".txt", "url")
     agent = LocalAgent({"count the files": lambda tools: len(tools["tool_list_filepaths"]())})
-    done = TextFileContext(folder, "counted", "a file for each nation").compute("count the files", agent, ContextManager())
-    return _run(done).select(F.col(f"`{done.column}`").alias("answer"))
+    done = TextFileContext(folder, "counted", "a file for each page").compute("count the files", agent, ContextManager())
+    return _run(done.sem_filter("speaks of 'each page'", depends_on="context")).select(F.col(f"`{done.column}`").alias("answer"))
 
 
 @query("SELECT r_name AS nearest FROM region WHERE r_name = 'ASIA'")

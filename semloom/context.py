@@ -1,14 +1,23 @@
-"""Contexts: described data that agents search and compute over, and the registry that keeps their results."""
+"""Contexts: described data that agents search and compute over, and the registry that keeps their results.
+
+``search`` and ``compute`` are plan nodes like any other: the agent is asked when a plan with them runs,
+once for each context, and what it answered joins the context's description and the registry.
+Before a computation is planned, the registry is searched for earlier contexts that may help it.
+"""
 
 from __future__ import annotations
 
+import functools
 import os
 import pickle
+import re
+import urllib.parse
 from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dataset import Dataset
@@ -30,6 +39,10 @@ class AgentProvider:
     def compute(self, description: str, tools: dict[str, Callable], instruction: str, additional_contexts: list["Context"]) -> str:
         raise NotImplementedError
 
+    def lookup(self, instruction: str) -> str:
+        """What to search the registry for before this computation."""
+        return instruction
+
 
 class LocalAgent(AgentProvider):
     """Deterministic: the passages of listed files with a query's words, or the answer of a rule for the instruction."""
@@ -40,12 +53,8 @@ class LocalAgent(AgentProvider):
     def search(self, description, tools, query):
         if query in self.rules:
             return str(self.rules[query](tools))
-        words = {w.lower() for w in query.split() if len(w) > 3}
-        found = []
-        for path in tools["tool_list_filepaths"]() if "tool_list_filepaths" in tools else []:
-            text = tools["tool_read_filepath"](path)
-            if any(w in text.lower() for w in words):
-                found.append(path)
+        words = sorted({w.lower() for w in query.split() if len(w) > 3})
+        found = tools["tool_find_filepaths"](words) if words and "tool_find_filepaths" in tools else []
         return ", ".join(found) or "nothing found"
 
     def compute(self, description, tools, instruction, additional_contexts):
@@ -57,12 +66,12 @@ class LocalAgent(AgentProvider):
 class Context(Dataset):
     """A root dataset of one row: what the data is. Methods named ``tool_*`` are what agents may use."""
 
-    def __init__(self, id: str, description: str, schema: T.StructType | None = None, materialized: bool = False, parent: "Context | None" = None):
+    def __init__(self, id: str, description: str, schema: T.StructType | None = None, materialized: bool = False, parent: "Context | None" = None, node: logical.Node | None = None):
         self._description, self._materialized = description, materialized
         self.parent = parent
         self.history: list[tuple[str, str]] = list(parent.history) if parent else []
         shape = schema or T.StructType([field("context", str, "the context's description")])
-        super().__init__(logical.make("context_scan", (), shape, source=_ContextSource(self, id)), id)
+        super().__init__(node or logical.make("context_scan", (), shape, source=_ContextSource(self, id)), id)
 
     @property
     def description(self) -> str:
@@ -86,23 +95,16 @@ class Context(Dataset):
         return {"context": self.description}
 
     def search(self, query: str, agent: AgentProvider | None = None, manager: "ContextManager | None" = None) -> "Context":
-        """A context whose description has the answer appended."""
-        answer = (agent or LocalAgent()).search(self.description, self.tools(), query)
-        out = Context(hash_for_id(f"{self.id}|search|{query}"), f"{self.description}\n\nRESULT: {answer}", None, True, self)
-        out.history.append((f"search: {query}", answer))
-        (manager or ContextManager.shared()).add_context(out, update=True)
-        return out
+        """A context whose description has the answer appended once it ran."""
+        return _Asked("search", self, query, agent, manager)
 
     def compute(self, instruction: str, agent: AgentProvider | None = None, manager: "ContextManager | None" = None) -> "Context":
         """A context with a new column ``result-{id}``; the nearest earlier context is given to the agent too."""
-        manager = manager or ContextManager.shared()
-        others = [c for c in manager.search_context(instruction, k=1, where={"materialized": True}) if c.id != self.id]
-        answer = (agent or LocalAgent()).compute(self.description, self.tools(), instruction, others)
-        id = hash_for_id(f"{self.id}|compute|{instruction}")
-        out = _Computed(id, f"{self.description}\n\nRESULT: {answer}", self, f"result-{id}", answer)
-        out.history.append((f"compute: {instruction}", answer))
-        manager.add_context(out, update=True)
-        return out
+        return _Asked("compute", self, instruction, agent, manager)
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        values = self.values()
+        return spark.createDataFrame([tuple(values.get(n) for n in self.schema.names)], self.schema)
 
     def __str__(self) -> str:
         return f"Context({self.id}, {self.description[:60]!r}, materialized={self.materialized})"
@@ -113,20 +115,50 @@ class _ContextSource:
         self.context, self.id = context, id
 
     def load(self, spark: SparkSession) -> DataFrame:
-        values = self.context.values()
-        return spark.createDataFrame([tuple(values.get(n) for n in self.context.schema.names)], self.context.schema)
+        return self.context.load(spark)
 
     def __repr__(self) -> str:
         return f"ContextSource({self.id})"
 
 
-class _Computed(Context):
-    def __init__(self, id: str, description: str, parent: Context, column: str, answer: str):
-        self.column, self.answer = column, answer
-        super().__init__(id, description, T.StructType([*parent.schema.fields, field(column, str, "the agent's answer")]), True, parent)
+class _Asked(Context):
+    """A search or computation over a context: not asked before a plan with it runs, and then once."""
+
+    def __init__(self, kind: str, parent: Context, asked: str, agent: AgentProvider | None, manager: "ContextManager | None"):
+        self.kind, self.asked, self.agent = kind, asked, agent or LocalAgent()
+        self.manager = manager or ContextManager.shared()
+        self.answer: str | None = None
+        id = hash_for_id(f"{parent.id}|{kind}|{asked}")
+        self.column = f"result-{id}"
+        shape = parent.schema if kind == "search" else T.StructType([*parent.schema.fields, field(self.column, str, "the agent's answer")])
+        super().__init__(id, parent.description, shape, False, parent, logical.make(kind, (parent.node,), shape, context=self, context_id=parent.id, asked=asked))
+
+    def related(self, k: int = 1) -> list[Context]:
+        """Earlier contexts that may help, by what the agent would look up."""
+        found = self.manager.search_context(self.agent.lookup(self.asked), k=k + 2, where={"materialized": True})
+        return [c for c in found if c.id not in (self.id, self.parent.id)][:k]
+
+    def evaluate(self, related: list[Context]) -> None:
+        """Ask the agent, unless it was asked before; the parent has been."""
+        if self.answer is not None:
+            return
+        if self.kind == "search":
+            self.answer = self.agent.search(self.parent.description, self.parent.tools(), self.asked)
+        else:
+            self.answer = self.agent.compute(self.parent.description, self.parent.tools(), self.asked, related)
+        self.set_description(f"{self.parent.description}\n\nRESULT: {self.answer}")
+        self.set_materialized(True)
+        self.history = [*self.parent.history, (f"{self.kind}: {self.asked}", self.answer)]
+        self.manager.add_context(self, update=True)
 
     def values(self):
-        return (self.parent.values() if self.parent else {}) | {self.column: self.answer}
+        own = {"context": self.description}
+        return self.parent.values() | (own if self.kind == "search" else {self.column: self.answer})
+
+
+def _plain(path: str) -> str:
+    """A file's path without the scheme that stands for this machine."""
+    return re.sub(r"^file:/+", "/", path)
 
 
 class TextFileContext(Context):
@@ -136,13 +168,30 @@ class TextFileContext(Context):
         self.path = path
         super().__init__(id, description)
 
+    def _spark(self) -> SparkSession:
+        return SparkSession.builder.getOrCreate()
+
     def tool_list_filepaths(self) -> list[str]:
-        """All files of the tree but hidden ones, such as the checksums that file systems keep."""
-        return sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if not f.startswith((".", "_")))
+        """All files of the tree but hidden ones, such as the checksums that file systems keep; names only, by the path's own file system."""
+        spark = self._spark()
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
+        out = []
+        while files.hasNext():
+            path = files.next().getPath()
+            if not path.getName().startswith((".", "_")):
+                out.append(_plain(path.toString()))
+        return sorted(out)
 
     def tool_read_filepath(self, path: str) -> str:
-        with open(path, encoding="utf-8", errors="replace") as f:
-            return f.read()
+        return self._spark().read.text(path, wholetext=True).first()[0]
+
+    def tool_find_filepaths(self, words: list[str]) -> list[str]:
+        """Files with any of the lower-case words, found by a job over all of them."""
+        files = self._spark().read.option("recursiveFileLookup", "true").text(self.path, wholetext=True)
+        text = F.lower("value")
+        hit = functools.reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+        return sorted(_plain(urllib.parse.unquote(r[0])) for r in files.where(hit).select("_metadata.file_path").collect())
 
     def tool_execute_semantic_operators(self, instruction: str, provider=None) -> list[str]:
         """Names of the files that meet an instruction."""

@@ -236,11 +236,9 @@ class DataRecordCollection:
 
     @property
     def execution_stats(self) -> ExecutionStats:
-        """Calls, tokens and cost, from the stages' persisted rows."""
+        """Calls, tokens and cost, from the log of the requests that this run made."""
         if not self._counted:
-            if self._lowered.stages:
-                self.df.count()  # fills the stages, so that they count what the result needs
-            self._stats.operators = [stage_stats(*s) for s in self._lowered.stages]
+            self._stats.operators = [stage_stats(s) for s in self._lowered.stages]
             self._counted = True
         return self._stats
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import random
@@ -16,8 +17,42 @@ import numpy as np
 from .provider import Completion, ModelProvider, Request
 
 
+#: First bytes of the image formats that interfaces take, and their names.
+_IMAGES = ((b"\x89PNG", "image/png"), (b"\xff\xd8", "image/jpeg"), (b"GIF8", "image/gif"), (b"RIFF", "image/webp"))
+
+
+def _base64_of(form: str, value: str) -> str:
+    """A file's bytes, or what is encoded already, as base64; files are read where the call is made."""
+    if form == "base64":
+        return value
+    if "://" in value or value.startswith("file:"):
+        from pyarrow import fs
+
+        files, place = fs.FileSystem.from_uri(value)
+        with files.open_input_stream(place) as f:
+            return base64.b64encode(f.read()).decode()
+    with open(value, "rb") as f:
+        return base64.b64encode(f.read()).decode()
+
+
+def content(request: Request) -> str | list[dict]:
+    """The message's content: the prompt alone, or typed parts with it and all images and clips."""
+    parts = []
+    for _, kind, form, value in request.attached():
+        if kind == "audio":
+            parts.append({"type": "input_audio", "input_audio": {"data": _base64_of(form, value), "format": "wav"}})
+        elif form == "url":
+            parts.append({"type": "image_url", "image_url": {"url": value}})
+        else:
+            data = _base64_of(form, value)
+            first = base64.b64decode(data[:16])
+            name = next((n for mark, n in _IMAGES if first.startswith(mark)), "image/jpeg")
+            parts.append({"type": "image_url", "image_url": {"url": f"data:{name};base64,{data}"}})
+    return [{"type": "text", "text": request.prompt()}, *parts] if parts else request.prompt()
+
+
 class HTTPProvider(ModelProvider):
-    """Posts each request's prompt to ``{base_url}/chat/completions``, and texts to ``{base_url}/embeddings``.
+    """Posts each request's prompt, with its images and clips as typed parts, to ``{base_url}/chat/completions``, and texts to ``{base_url}/embeddings``.
 
     ``names`` maps our model cards to the server's model names. Answers 408, 409, 429
     and 5xx and broken connections are tried again up to ``retries`` times, after the
@@ -77,17 +112,32 @@ class HTTPProvider(ModelProvider):
 
     def _one(self, request: Request) -> Completion:
         began = time.monotonic()
-        body = {"model": self.names.get(request.model, request.model), "messages": [{"role": "user", "content": request.prompt()}], "temperature": request.temperature}
+        body = {"model": self.names.get(request.model, request.model), "messages": [{"role": "user", "content": content(request)}], "temperature": request.temperature}
         reply = self._post("chat/completions", body)
         usage = reply.get("usage") or {}
         text = reply["choices"][0]["message"].get("content") or ""
-        return Completion(text, float(usage.get("prompt_tokens") or 0), float(usage.get("completion_tokens") or 0), time.monotonic() - began)
+        details = usage.get("prompt_tokens_details") or {}
+        image, audio = (float(details.get(k) or 0) for k in ("image_tokens", "audio_tokens"))
+        return Completion(text, float(usage.get("prompt_tokens") or 0), float(usage.get("completion_tokens") or 0), time.monotonic() - began, image, audio)
 
-    def complete(self, requests: list[Request]) -> list[Completion]:
+    def _tried(self, request: Request) -> Completion | Exception:
+        try:
+            return self._one(request)
+        except Exception as e:  # another request's answer is still worth having
+            return e
+
+    def complete_each(self, requests: list[Request]) -> list[Completion | Exception]:
         if len(requests) == 1:
-            return [self._one(requests[0])]
+            return [self._tried(requests[0])]
         with ThreadPoolExecutor(self.parallel) as pool:
-            return list(pool.map(self._one, requests))
+            return list(pool.map(self._tried, requests))
+
+    def complete(self, requests: list[Request]) -> list[Completion]:
+        done = self.complete_each(requests)
+        for c in done:
+            if isinstance(c, Exception):
+                raise c
+        return done
 
     def embed(self, texts: list[str], model: str) -> np.ndarray:
         out: list[list[float]] = []

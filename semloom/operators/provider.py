@@ -30,10 +30,20 @@ class Request:
     stage: str = "answer"  # answer, propose, critique, refine, merge, aggregate
     prior: tuple[str, ...] = ()
     temperature: float = 0.0
+    media: tuple[tuple[str, str, str], ...] = ()  # name, kind (image, audio) and form (path, base64, url) of the inputs that aren't text
+
+    def attached(self) -> list[tuple[str, str, str, str]]:
+        """Name, kind, form and value of each image and clip, in the fields' order; a field may hold several."""
+        out = []
+        for name, kind, form in self.media:
+            value = self.inputs.get(name)
+            out += [(name, kind, form, v) for v in (value if isinstance(value, list) else [value]) if v]
+        return out
 
     def prompt(self) -> str:
-        """The request as a prompt, for providers that take text; trimmed to the model's context."""
-        inputs = dict(self.inputs)
+        """The request as a prompt, trimmed to the model's context; images and clips are only named, since they are sent beside it."""
+        inputs = {k: v for k, v in self.inputs.items() if k not in {m[0] for m in self.media}}
+        inputs |= {name: f"[{kind} {sum(a[0] == name for a in self.attached())} attached]" for name, kind, _ in self.media}
         limit = get_model(self.model).context_chars if self.model else None
         while limit and sum(len(str(v)) for v in inputs.values()) > limit:
             longest = max(inputs, key=lambda k: len(str(inputs[k])))
@@ -66,18 +76,39 @@ class Completion:
     input_tokens: float = 0.0
     output_tokens: float = 0.0
     seconds: float = 0.0
+    image_tokens: float = 0.0  # of the input tokens
+    audio_tokens: float = 0.0
 
     def cost(self, model: str) -> float:
         card = get_model(model)
-        return self.input_tokens * card.usd_per_input_token + self.output_tokens * card.usd_per_output_token
+        text = self.input_tokens - self.image_tokens - self.audio_tokens
+        image, audio = (card.usd_per_input_token if x is None else x for x in (card.usd_per_image_token, card.usd_per_audio_token))
+        return text * card.usd_per_input_token + self.image_tokens * image + self.audio_tokens * audio + self.output_tokens * card.usd_per_output_token
 
 
 class ModelProvider:
-    """Answers batches of requests, and embeds texts."""
+    """Answers batches of requests, and embeds texts.
+
+    ``complete`` answers all requests or raises. Operators call ``complete_each``, which gives
+    an exception in the place of each request that failed; as it stands, it hands on requests one by
+    one, so that none is repeated because of another one's failure. Override it where several calls can run at once.
+    """
+
+    #: Tells providers apart in a request log that outlives a session; change it when answers would differ.
+    log_name = ""
 
     def complete(self, requests: list[Request]) -> list[Completion]:
         raise NotImplementedError
 
+    def complete_each(self, requests: list[Request]) -> list[Completion | Exception]:
+        out: list[Completion | Exception] = []
+        for r in requests:
+            try:
+                out += self.complete([r])
+            except Exception as e:
+                out.append(e)
+        return out
+
     def embed(self, texts: list[str], model: str) -> np.ndarray:
         raise NotImplementedError
 
@@ -179,8 +210,12 @@ class CachedProvider(ModelProvider):
     def __setstate__(self, state):
         self.inner, self.size, self._known = state["inner"], state["size"], {}
 
+    @staticmethod
+    def _key(r: Request) -> str:
+        return json.dumps([r.verb, r.instruction, r.inputs, r.fields, r.model, r.stage, r.prior, r.temperature], default=str, sort_keys=True)
+
     def complete(self, requests: list[Request]) -> list[Completion]:
-        keys = [json.dumps([r.verb, r.instruction, r.inputs, r.fields, r.model, r.stage, r.prior, r.temperature], default=str, sort_keys=True) for r in requests]
+        keys = [self._key(r) for r in requests]
         new = {k: r for k, r in zip(keys, requests, strict=True) if k not in self._known}
         if len(self._known) + len(new) > self.size:
             self._known.clear()
@@ -188,6 +223,16 @@ class CachedProvider(ModelProvider):
         self._known.update(zip(new, self.inner.complete(list(new.values())), strict=True))
         return [self._known[k] for k in keys]
 
+    def complete_each(self, requests: list[Request]) -> list[Completion | Exception]:
+        keys = [self._key(r) for r in requests]
+        new = {k: r for k, r in zip(keys, requests, strict=True) if k not in self._known}
+        if len(self._known) + len(new) > self.size:
+            self._known.clear()
+            new = dict(zip(keys, requests, strict=True))
+        found = dict(zip(new, self.inner.complete_each(list(new.values())), strict=True))
+        self._known.update({k: c for k, c in found.items() if not isinstance(c, Exception)})
+        return [self._known[k] if k in self._known else found[k] for k in keys]
+
     def embed(self, texts: list[str], model: str) -> np.ndarray:
         return self.inner.embed(texts, model)
 

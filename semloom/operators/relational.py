@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,15 +18,13 @@ def col(name: str) -> Column:
 
 
 def with_places(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with each row's place from 0, counted from the partitions' sizes: no sort, no single partition."""
-    sizes = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    starts = F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n).cast("long"))])
-    return df.withColumn(name, starts[F.spark_partition_id()] + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    """``df`` with each row's place from 0, counted from the partitions' sizes: no sort, and one row a partition is broadcast."""
+    part = "__part"
+    numbered = df.withColumn(part, F.spark_partition_id()).withColumn(name, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = df.groupBy(F.spark_partition_id().alias(part)).agg(F.count(F.lit(1)).alias("__size"))
+    starts = sizes.select(part, (F.sum("__size").over(Window.orderBy(part)) - F.col("__size")).alias("__start"))
+    placed = numbered.join(F.broadcast(starts), part)
+    return placed.select(*[col(c) for c in df.columns], (F.col("__start") + col(name)).alias(name))
 
 
 def project(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -201,13 +199,27 @@ def group_by(df: DataFrame, sig: GroupBySig) -> DataFrame:
 
 
 def distinct(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One whole row per distinct value of the columns: the first by place in the input."""
+    """Whole rows once each, or one row for each value of the columns (see ``first_rows``)."""
     for c in cols or ():
         if c not in df.columns:
             raise ValueError(f"no column {c} to tell rows apart")
-    rest = [c for c in df.columns if cols and c not in cols]
+    return first_rows(df, cols, None) if cols else df.distinct()
+
+
+def first_rows(df: DataFrame, cols: list[str], ordinal: str | None) -> DataFrame:
+    """One whole row for each value of the columns: the first by the ``ordinal`` column, which goes.
+
+    A frame has no order of its own once it is shuffled, so without an ordinal the row with the least
+    other values is taken, column by column: the same one however rows are dealt.
+    """
+    rest = [c for c in df.columns if c not in cols and c != ordinal]
     if not rest:
-        return df.distinct()
-    first = F.min_by(F.struct(*[col(c) for c in rest]), F.col("__place")).alias("__first")
-    kept = df.withColumn("__place", F.monotonically_increasing_id()).groupBy(*[col(c).alias(c) for c in cols]).agg(first)
-    return kept.select(*[col(c) if c in cols else F.col("__first")[c].alias(c) for c in df.columns])
+        return df.select(*[col(c) for c in df.columns if c != ordinal]).distinct()
+    order = col(ordinal) if ordinal else F.struct(*[_orderable(df, c) for c in rest])
+    kept = df.groupBy(*[col(c).alias(c) for c in cols]).agg(F.min_by(F.struct(*[col(c) for c in rest]), order).alias("__first"))
+    return kept.select(*[col(c) if c in cols else F.col("__first")[c].alias(c) for c in df.columns if c != ordinal])
+
+
+def _orderable(df: DataFrame, name: str) -> Column:
+    """A column as it can be compared; maps by their text."""
+    return (F.to_json(col(name)) if "map<" in df.schema[name].dataType.simpleString() else col(name)).alias(name)

@@ -14,13 +14,17 @@ from .provider import Completion, ModelProvider, Request
 
 @dataclass
 class Spent:
-    """Calls, tokens, cost and seconds of one row."""
+    """Calls, tokens, cost, seconds, failed calls and the first error of one row."""
 
     calls: int = 0
     input_tokens: float = 0.0
     output_tokens: float = 0.0
     cost: float = 0.0
     seconds: float = 0.0
+    image_tokens: float = 0.0
+    audio_tokens: float = 0.0
+    failures: int = 0
+    error: str | None = None
 
     def add(self, c: Completion, model: str) -> None:
         self.calls += 1
@@ -28,23 +32,20 @@ class Spent:
         self.output_tokens += c.output_tokens
         self.cost += c.cost(model)
         self.seconds += c.seconds
+        self.image_tokens += c.image_tokens
+        self.audio_tokens += c.audio_tokens
 
 
 def _ask(provider: ModelProvider, requests: list[Request], spent: list[Spent]) -> list[str | None]:
-    """Replies in order; a provider error leaves a row without a reply."""
-    try:
-        done = provider.complete(requests)
-    except Exception:
-        done = []
-        for r in requests:  # one by one, so that one row's failure stays its own
-            try:
-                done += provider.complete([r])
-            except Exception:
-                done.append(None)
+    """Replies in order; a failed request has none, and the others aren't asked again for it."""
+    done = provider.complete_each(requests)
     for c, r, s in zip(done, requests, spent, strict=True):
-        if c is not None:
+        if isinstance(c, Exception):
+            s.failures += 1
+            s.error = s.error or f"{type(c).__name__}: {c}"[:500]
+        else:
             s.add(c, r.model)
-    return [c.text if c is not None else None for c in done]
+    return [None if isinstance(c, Exception) else c.text for c in done]
 
 
 def _query(r: Request) -> str:
@@ -87,10 +88,16 @@ def replies(provider: ModelProvider, impl: Implementation, requests: list[Reques
     raise ValueError(f"no strategy {impl.kind!r}")
 
 
+def verdicts(provider: ModelProvider, impl: Implementation, requests: list[Request]) -> tuple[list[bool | None], list[Spent]]:
+    """True where the reply says so, None without a reply."""
+    said, spent = replies(provider, impl, requests)
+    return [None if x is None else bool(parse_boolean(x)) for x in said], spent
+
+
 def judged(provider: ModelProvider, impl: Implementation, requests: list[Request]) -> tuple[list[bool], list[Spent]]:
     """True where the reply says so; a failure is False."""
-    said, spent = replies(provider, impl, requests)
-    return [bool(parse_boolean(x)) for x in said], spent
+    said, spent = verdicts(provider, impl, requests)
+    return [bool(x) for x in said], spent
 
 
 def extracted(provider: ModelProvider, impl: Implementation, requests: list[Request]) -> tuple[list[dict], list[Spent]]:

@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import written
+from .cells import cosines, matrix, nearest
 from .provider import ModelProvider
 from .relational import col
 
-#: Index bytes up to which each task searches a broadcast copy; a larger index is searched by a distributed join.
+#: Index bytes up to which each task searches a broadcast copy; a larger index is searched in cells.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -22,7 +23,7 @@ class VectorIndex:
     """A frame of (id, value, vector); ``search`` results are ordered by cosine, ties by id."""
 
     def __init__(self, df: DataFrame, id_col: str, value_col: str, vector_col: str):
-        self.df = df.select(col(id_col).alias("id"), col(value_col).cast("string").alias("value"), col(vector_col).cast("array<double>").alias("vector"))
+        self.df = df.select(col(id_col).alias("id"), col(value_col).cast("string").alias("value"), col(vector_col).cast("array<double>").alias("vector"))  # ids keep their type, which orders ties
 
     def bytes(self) -> int:
         return self.df.agg(F.coalesce(F.sum(F.size("vector") * 8 + F.octet_length("value") + 16), F.lit(0))).first()[0]
@@ -37,9 +38,9 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
 
     The query is a string (embedded), a list of strings (a list of results each),
     or a vector (searched as it is); anything else gives null. A failed search
-    gives an empty list. ``search_func(index_rows, query, k)`` replaces the search; it
+    gives an empty list, a faulty search function raises. ``search_func(index_rows, query, k)`` replaces the search; it
     needs the index in memory, so that must fit ``BROADCAST_BYTES``. Otherwise texts
-    are embedded in a stage of their own and a larger index is searched by a join.
+    are embedded in a stage of their own and a larger index is searched in cells, with the same result.
     """
     name = fields.fields[0].name
     kind = df.schema[search_attr].dataType
@@ -53,15 +54,14 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
             return _several(df, index, search_attr, name, k, provider, model)
         return df.withColumn(name, F.lit(None).cast("array<string>"))
-    rows = index.df.orderBy("id").toPandas()
-    vectors = np.array(rows["vector"].tolist(), dtype=float).reshape(len(rows), -1)
-    norm = np.linalg.norm(vectors, axis=1) if len(rows) else np.zeros(0)
-    shared = df.sparkSession.sparkContext.broadcast((rows["value"].tolist(), vectors, norm))
+    rows = index.df.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).orderBy("id").toPandas()
+    vectors = matrix(rows["vector"])
+    shared = df.sparkSession.sparkContext.broadcast((rows["value"].tolist(), vectors))
     many = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType)
 
     def nearest(q: np.ndarray) -> list:
-        values, v, n = shared.value
-        sim = v @ q / np.maximum(n * np.linalg.norm(q), 1e-12)
+        values, v = shared.value
+        sim = cosines(q.reshape(1, -1), v)[0] if len(values) else np.zeros(0)
         return [values[i] for i in np.argsort(-sim, kind="stable")[:k]]
 
     def search(q):
@@ -75,6 +75,8 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
             if many:
                 return [nearest(x) for x in np.asarray(provider.embed(list(q), model))]
             return nearest(np.asarray(q, dtype=float))
+        except (NameError, AttributeError, TypeError, ImportError):  # a fault of the code, not of this search
+            raise
         except Exception:
             return []
 
@@ -98,7 +100,7 @@ def _with_vectors(df: DataFrame, attr: str, provider: ModelProvider, model: str)
 
 def _several(df: DataFrame, index: VectorIndex, attr: str, name: str, k: int, provider: ModelProvider, model: str) -> DataFrame:
     """Lists of texts: each text is a query of its own, and a row's results come back in its list's order."""
-    rows = df.withColumn("__row", F.monotonically_increasing_id()).persist()  # row ids must be the same on both sides
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "topk-rows")  # row ids must be the same on both sides
     single = rows.select("__row", F.posexplode(col(attr)).alias("__nth", "__text"))
     found = _joined(_with_vectors(single, "__text", provider, model), index, "__vector", "__near", k)
     lists = found.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__near"))), lambda x: x["__near"]).alias(name))
@@ -106,43 +108,11 @@ def _several(df: DataFrame, index: VectorIndex, attr: str, name: str, k: int, pr
     return rows.join(lists, "__row", "left").withColumn(name, F.coalesce(name, none)).drop("__row")
 
 
-def _joined(df: DataFrame, index: VectorIndex, search_attr: str, name: str, k: int, block: int = 4096) -> DataFrame:
-    """A large index: blocks of queries meet blocks of the index, each pair gives every query its best k, and those are merged.
-
-    Both sides are packed into rows of ``block`` vectors first, so a pair of rows is one
-    matrix product and no task holds more than two blocks.
-    """
-    queries = df.withColumn("__q", F.monotonically_increasing_id()).persist()
-    left = _packed(queries.select(F.col("__q").alias("id"), F.lit("").alias("value"), col(search_attr).cast("array<double>").alias("vector")), block).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors")])
-    right = _packed(index.df.select(F.col("id").cast("string").alias("id"), "value", "vector"), block)
-
-    def best(batches):
-        for b in batches:
-            for q_ids, q_vectors, ids, values, vectors in zip(*(b.column(n).to_pylist() for n in ("q_ids", "q_vectors", "ids", "values", "vectors")), strict=True):
-                q, v = _matrix(q_vectors, len(q_ids)), _matrix(vectors, len(ids))
-                sim = q @ v.T / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-12)
-                order = np.lexsort((np.broadcast_to(np.array(ids), sim.shape), -sim))[:, :k]
-                rows = [(int(i), float(sim[r, c]), ids[c], values[c]) for r, i in enumerate(q_ids) for c in order[r].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([-x[1] for x in rows]), pa.array([x[2] for x in rows], pa.string()), pa.array([x[3] for x in rows], pa.string())], ["__q", "d", "id", "value"])
-
-    hits = left.crossJoin(right).mapInArrow(best, "__q long, d double, id string, value string")
-    merged = hits.groupBy("__q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "value"))), 1, k).alias("hits"))
-    return queries.join(merged.select("__q", F.transform("hits", lambda h: h["value"]).alias(name)), "__q", "left").drop("__q")
-
-
-def _matrix(data: bytes, rows: int) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(rows, -1)
-
-
-def _packed(df: DataFrame, block: int) -> DataFrame:
-    """Rows (id, value, vector) as rows of up to ``block`` of them; rows without a vector are left out."""
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, block):
-                rows = [r for r in b.slice(at, block).to_pylist() if r["vector"]]
-                if rows:
-                    data = np.array([r["vector"] for r in rows], np.float64).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([[str(r["id"]) for r in rows]], pa.list_(pa.string())), pa.array([[r["value"] for r in rows]], pa.list_(pa.string())), pa.array([data], pa.binary())], ["ids", "values", "vectors"])
-
-    return df.mapInArrow(run, "ids array<string>, values array<string>, vectors binary")
+def _joined(df: DataFrame, index: VectorIndex, search_attr: str, name: str, k: int, probes: int | None = None) -> DataFrame:
+    """A large index is searched in cells (see ``cells``); a query without a direction gets what the small search gives it."""
+    queries = df.withColumn("__q", F.monotonically_increasing_id())
+    queries = written(queries, "topk-queries")  # ids must be the same in the search and in the join
+    asked = queries.select(F.col("__q").alias("q"), col(search_attr).cast("array<double>").alias("vector"))
+    hits = nearest(asked, index.df, k, probes)
+    merged = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "id", "value"))).alias("hits"))  # k rows a query at most
+    return queries.join(merged.select(F.col("q").alias("__q"), F.transform("hits", lambda h: h["value"]).alias(name)), "__q", "left").drop("__q")

@@ -18,6 +18,8 @@ class ModelCard:
     embeds: bool = False
     context_chars: int | None = None
     aggregates: bool = True
+    usd_per_image_token: float | None = None  # None: as text
+    usd_per_audio_token: float | None = None
 
     def __str__(self) -> str:
         return self.name
@@ -32,6 +34,11 @@ def register(card: ModelCard) -> ModelCard:
     return card
 
 
+def registered() -> tuple[ModelCard, ...]:
+    """All cards, for a stage's function to take along: workers know only the bundled ones."""
+    return tuple(CARDS.values())
+
+
 class Model:
     """Names of the bundled cards."""
 

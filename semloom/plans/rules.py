@@ -2,7 +2,8 @@
 
 ``push_filters`` moves each filter below joins on whose side all its fields are,
 and below operators that don't make its fields. ``orders`` gives the legal orders
-of a run of filters and one-to-one maps, for the search to cost.
+of a run of filters and one-to-one maps, for the search to cost. ``push_limits`` spares
+the calls for rows that a limit drops.
 """
 
 from __future__ import annotations
@@ -37,6 +38,20 @@ def push_filters(node: Node) -> Node:
     return node
 
 
+def push_limits(node: Node) -> Node:
+    """A limit goes below verbs that give one row for one; below those that give one or more it stands as well."""
+    children = tuple(push_limits(c) for c in node.children)
+    node = node.over(*children) if children != node.children else node
+    if node.kind != "limit":
+        return node
+    below = node.children[0]
+    if below.kind in ("map", "sem_map", "topk", "project"):
+        return below.over(push_limits(node.over(below.children[0])))
+    if below.kind in ("flat_map", "sem_flat_map") and below.children[0].kind != "limit":
+        return node.over(below.over(push_limits(node.over(below.children[0]))))
+    return node
+
+
 def movable_run(node: Node) -> tuple[list[Node], Node]:
     """The run of filters and one-to-one maps at the top of a plan, bottom first, and what is below."""
     run = []

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import relational, semantic
+from .operators.ledger import STATS, RequestLog
 from .operators.provider import LocalProvider, ModelProvider
 from .operators.topk import sem_topk
 from .plans.logical import Node
@@ -16,6 +18,13 @@ from .plans.optimizer import PhysicalPlan
 from .plans.physical import Options
 from .plans.policy import MaxQuality, Policy
 
+#: Verbs that give rows from one row each, and those of them that ask a model.
+ROW_WISE = ("filter", "map", "flat_map", "project", "topk", "sem_filter", "sem_map", "sem_flat_map")
+ASKING = ("sem_filter", "sem_map", "sem_flat_map")
+#: Rows that a limit's first round may take through the driver, how much each later round grows, and hash values that rounds are cut by.
+FIRST_ROWS, GROWTH, HASHES = 2048, 4, 1 << 20
+ORDINAL = "__ordinal"
+
 
 @dataclass
 class QueryProcessorConfig:
@@ -32,7 +41,8 @@ class QueryProcessorConfig:
     scan_start_idx: int = 0
     num_samples: int | None = None
     batch_size: int | None = None
-    max_workers: int | None = None  # partitions of a semantic stage's input
+    max_workers: int | None = None  # tasks that a semantic stage's requests are dealt over
+    request_log: str | None = None  # a folder whose answers later runs reuse; else each run has its own
     allow_model_selection: bool = True
     allow_bonded_query: bool = True
     allow_rag_reduction: bool = True
@@ -82,16 +92,28 @@ class QueryProcessorConfig:
         return self.provider or LocalProvider()
 
 
+@dataclass
+class Stage:
+    """A semantic operator as it ran: the rows that came out of it, and the requests made for it."""
+
+    op_id: str
+    implementation: str
+    rows: DataFrame
+    calls: DataFrame
+
+
 @dataclass
 class Lowered:
-    """The frame of a plan, and the persisted frames of its semantic stages with their ``__stats``."""
+    """The frame of a plan, its semantic stages, and the log with the answers that the frame reads."""
 
     df: DataFrame
-    stages: list[tuple[str, str, DataFrame]] = field(default_factory=list)
+    stages: list[Stage] = field(default_factory=list)
+    log: RequestLog | None = None
 
     def release(self) -> None:
-        for _, _, stage in self.stages:
-            stage.unpersist()
+        """Delete the answers of this run, after which the frame can't be computed any more."""
+        if self.log is not None:
+            self.log.release()
 
 
 def load(spark: SparkSession, node: Node, config: QueryProcessorConfig) -> DataFrame:
@@ -109,38 +131,68 @@ def load(spark: SparkSession, node: Node, config: QueryProcessorConfig) -> DataF
     return df
 
 
-def lower(spark: SparkSession, plan: PhysicalPlan, config: QueryProcessorConfig) -> Lowered:
-    """One lazy DataFrame for a physical plan; semantic stages are persisted, so that no call is made twice."""
-    stages: list[tuple[str, str, DataFrame]] = []
-    provider = config.model_provider()
-    batch = config.batch_size or semantic.BATCH
+def lower(spark: SparkSession, plan: PhysicalPlan, config: QueryProcessorConfig, in_place: bool = False) -> Lowered:
+    """One DataFrame for a physical plan.
+
+    Semantic stages make their calls now, once for each distinct input, and the frame reads
+    their answers from the log; ``in_place`` makes the calls part of the frame instead, as streams need.
+    """
+    return _Lowering(spark, config, in_place).run(plan)
 
-    def keep(p: PhysicalPlan, df: DataFrame) -> DataFrame:
-        df = df.persist()
-        stages.append((p.node.logical_op_id, p.impl.key, df))
-        return df
 
-    def spread(df: DataFrame) -> DataFrame:
-        return df.repartition(config.max_workers) if config.max_workers else df
+class _Lowering:
+    def __init__(self, spark: SparkSession, config: QueryProcessorConfig, in_place: bool):
+        self.spark, self.config, self.in_place = spark, config, in_place
+        self.provider = config.model_provider()
+        self.batch = config.batch_size or semantic.BATCH
+        self.log: RequestLog | None = None
+        self.stages: dict[tuple, Stage] = {}
+        self.done: dict[tuple, DataFrame] = {}
 
-    done: dict[tuple, DataFrame] = {}
+    def run(self, plan: PhysicalPlan) -> Lowered:
+        df = self.go(plan)
+        if self.config.enforce_types:
+            wrong = [f.name for f in plan.node.schema.fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType]
+            if wrong:
+                raise TypeError(f"columns {wrong} don't have their declared types")
+        return Lowered(df, list(self.stages.values()), self.log)
 
-    def key_of(p: PhysicalPlan) -> tuple:
-        return p.node.plan_id, *(x.impl.key for x in p.walk())
+    def go(self, p: PhysicalPlan) -> DataFrame:
+        """A branch that several operators use is lowered once."""
+        key = (p.node.plan_id, *(x.impl.key for x in p.walk()))
+        if key not in self.done:
+            if p.node.kind == "limit" and not self.in_place:
+                self.done[key] = self.limited(p)
+            elif p.node.kind == "distinct" and p.node["cols"]:
+                self.done[key] = self.distinct(p)
+            else:
+                self.done[key] = self.apply(p, [self.go(x) for x in p.inputs])
+        return self.done[key]
 
-    def go(p: PhysicalPlan) -> DataFrame:
-        """A branch that several operators use is lowered once, so its calls are made once."""
-        key = key_of(p)
-        if key not in done:
-            done[key] = make(p)
-        return done[key]
+    def logged(self, p: PhysicalPlan) -> dict:
+        """Where the operator's requests go."""
+        if self.in_place:
+            return {}
+        if self.log is None:
+            self.log = RequestLog(self.spark, self.config.request_log)
+        told = self.provider.log_name or type(self.provider).__qualname__
+        return {"log": self.log, "stage": self.log.stage(p.node.logical_op_id, p.impl.key, p.node.generated, told), "workers": self.config.max_workers}
 
-    def make(p: PhysicalPlan) -> DataFrame:
-        n, kids = p.node, [go(x) for x in p.inputs]
-        first = kids[0] if kids else None
-        reads = list(n.depends_on)
+    def observed(self, p: PhysicalPlan, made: DataFrame) -> DataFrame:
+        """In place, what the calls took is a metric of the query."""
+        if not self.in_place:
+            return made
+        return made.observe(f"{p.node.kind}-{p.node.logical_op_id}", F.count(F.lit(1)).alias("rows"), *[F.sum(f"__stats.{k}").alias(k) for k in STATS])
+
+    def keep(self, p: PhysicalPlan, rows: DataFrame, calls: DataFrame | None) -> None:
+        if calls is not None:
+            self.stages[p.node.plan_id, p.impl.key] = Stage(p.node.logical_op_id, p.impl.key, rows, calls)
+
+    def apply(self, p: PhysicalPlan, kids: list[DataFrame]) -> DataFrame:
+        """One operator over its inputs' frames."""
+        n, first, reads = p.node, kids[0] if kids else None, list(p.node.depends_on)
         if n.kind in ("scan", "context_scan"):
-            return load(spark, n, config)
+            return load(self.spark, n, self.config)
         if n.kind == "filter":
             return relational.filter_rows(first, n["predicate"], n.depends_on)
         if n.kind in ("map", "flat_map"):
@@ -158,25 +210,89 @@ def lower(spark: SparkSession, plan: PhysicalPlan, config: QueryProcessorConfig)
         if n.kind == "groupby":
             return relational.group_by(first, n["sig"])
         if n.kind == "topk":
-            return sem_topk(first, n["index"], n["search_attr"], n["fields"], p.impl.get("k"), provider, search_func=n["search_func"])
+            return sem_topk(first, n["index"], n["search_attr"], n["fields"], p.impl.get("k"), self.provider, search_func=n["search_func"])
+        if n.kind in ("search", "compute"):  # one row; its input has been lowered, so its parent has been asked
+            context = n["context"]
+            context.evaluate([context.manager.get_context(i) for i in p.impl.get("contexts", ())])
+            return context.load(self.spark)
+        where = self.logged(p)
+        calls = (lambda: where["log"].calls(where["stage"])) if where else (lambda: None)
         if n.kind == "sem_filter":
-            made = keep(p, semantic.sem_filter(spread(first), n["condition"], provider, p.impl, reads, batch))
-            return made.where("__passed").drop("__passed", "__stats")
+            made = semantic.sem_filter(first, n["condition"], self.provider, p.impl, reads, self.batch, **where)
+            self.keep(p, made, calls())
+            return self.observed(p, made).where("__passed").drop("__passed", "__stats")
         if n.kind in ("sem_map", "sem_flat_map"):
-            made = keep(p, semantic.sem_map(spread(first), n["fields"], provider, p.impl, reads, n.kind == "sem_flat_map", n["desc"], batch))
-            return made.drop("__stats")
+            made = semantic.sem_map(first, n["fields"], self.provider, p.impl, reads, n.kind == "sem_flat_map", n["desc"], self.batch, **where)
+            self.keep(p, made, calls())
+            return self.observed(p, made).drop("__stats")
         if n.kind == "sem_join":
-            out, pairs = semantic.sem_join(kids[0], kids[1], n["condition"], n["how"], provider, p.impl, reads, batch=batch)
-            stages.append((n.logical_op_id, p.impl.key, pairs))
+            out, asked = semantic.sem_join(kids[0], kids[1], n["condition"], n["how"], self.provider, p.impl, reads, batch=self.batch, **where)
+            self.keep(p, out, asked)
             return out
         if n.kind == "sem_agg":
-            made = keep(p, semantic.sem_agg(first, n["fields"].fields[0], n["instruction"], provider, p.impl, reads))
-            return made.drop("__stats")
+            made, asked = semantic.sem_agg(first, n["fields"].fields[0], n["instruction"], self.provider, p.impl, reads)
+            self.keep(p, made, asked)
+            return made
         raise ValueError(f"no lowering for {n.kind}")
 
-    df = go(plan)
-    if config.enforce_types:
-        wrong = [f.name for f in plan.node.schema.fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType]
-        if wrong:
-            raise TypeError(f"columns {wrong} don't have their declared types")
-    return Lowered(df, stages)
+    def limited(self, p: PhysicalPlan) -> DataFrame:
+        """A limit over semantic verbs, in rounds over growing parts of their input until enough rows came out.
+
+        The first round takes rows as Spark's own limit does, from as few partitions as hold them; later
+        ones take all rows whose hash lies under a growing share, to the whole input. A round's
+        requests that an earlier one made are in the log, so nothing is asked twice. Under an inner semantic join both
+        sides grow. Only what is deterministic lies below the first semantic verb, so parts are the same each time.
+        """
+        n, chain, q = p.node["n"], [], p.inputs[0]
+        while q.node.kind in ROW_WISE:
+            chain.insert(0, q)
+            q = q.inputs[0]
+        joined = q.node.kind == "sem_join" and q.node["how"] == "inner" and q.impl.kind == "nested"
+        if not joined:
+            asks = [i for i, x in enumerate(chain) if x.node.kind in ASKING]
+            if not asks or n <= 0:
+                return self.apply(p, [self.go(p.inputs[0])])
+            q, chain = chain[asks[0]].inputs[0], chain[asks[0] :]
+        sides = [self.go(x) for x in (q.inputs if joined else (q,))]
+
+        def over(parts: list[DataFrame]) -> DataFrame:
+            df = self.apply(q, parts) if joined else parts[0]
+            for x in chain:
+                df = self.apply(x, [df])
+            return df.limit(n)
+
+        want = max(self.batch, 2 * n)
+        want = math.isqrt(want - 1) + 1 if joined else want
+        if want <= FIRST_ROWS:
+            taken = [s.limit(want).collect() for s in sides]
+            out = over([self.spark.createDataFrame(t, s.schema) for t, s in zip(taken, sides, strict=True)])
+            if all(len(t) < want for t in taken) or out.count() >= n:
+                return out
+            want *= GROWTH
+        shares = [min(1.0, want / max(1, s.count())) for s in sides]
+        while True:
+            out = over([s if x >= 1 else s.where(F.pmod(F.xxhash64(semantic.content_key(s, s.columns)), F.lit(HASHES)) < int(x * HASHES) + 1) for s, x in zip(sides, shares, strict=True)])
+            if min(shares) >= 1 or out.count() >= n:
+                return out
+            shares = [min(1.0, x * GROWTH) for x in shares]
+
+    def distinct(self, p: PhysicalPlan) -> DataFrame:
+        """The first row of each value, by the source's own order where there is one (see ``relational.first_rows``)."""
+        below, chain = p.inputs[0], []
+        while below.node.kind in ("filter", "project", "map"):
+            chain.insert(0, below)
+            below = below.inputs[0]
+        cols = list(p.node["cols"])
+        source = below.node["source"] if below.node.kind == "scan" else None
+        df = source.ordered(self.spark, ORDINAL) if hasattr(source, "ordered") else None
+        if df is None or self.config.scan_start_idx or self.config.num_samples is not None:
+            return relational.first_rows(self.go(p.inputs[0]), cols, None)
+        df = df.select(*[relational.col(n) for n in below.node.schema.names], ORDINAL)
+        for x in chain:
+            if x.node.kind == "project":
+                df = df.select(*[relational.col(c) for c in relational.project(df.drop(ORDINAL), list(x.node["cols"])).columns], ORDINAL)
+            elif x.node.kind == "filter":
+                df = relational.filter_rows(df, x.node["predicate"], x.node.depends_on or tuple(c for c in df.columns if c != ORDINAL))
+            else:
+                df = relational.map_rows(df, x.node["udf"], x.node["fields"], False, x.node.depends_on or tuple(c for c in df.columns if c != ORDINAL))
+        return relational.first_rows(df, cols, ORDINAL)

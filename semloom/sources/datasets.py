@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ from .. import types as S
 from ..dataset import Dataset
 from ..operators.relational import with_places
 from ..plans.logical import scan, token
-from .html_text import first_words, html_to_text
+from .html_text import MAX_WORDS, first_words, html_to_text
 from .udfs import read_workbook
 
 IMAGES = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff")
@@ -29,19 +30,23 @@ BOOKS = (".xls", ".xlsx")
 class Source:
     """What a scan node holds: an id, and how to load the frame. Sources of equal ``content`` are the same one."""
 
-    def __init__(self, id: str, load: Callable[[SparkSession], DataFrame], content: str = ""):
-        self.id, self._load, self.content = id, load, content
+    def __init__(self, id: str, load: Callable[[SparkSession], DataFrame], content: str = "", ordered: Callable[[SparkSession, str], DataFrame | None] | None = None):
+        self.id, self._load, self.content, self._ordered = id, load, content, ordered
 
     def load(self, spark: SparkSession) -> DataFrame:
         return self._load(spark)
 
+    def ordered(self, spark: SparkSession, name: str) -> DataFrame | None:
+        """The frame with a column that tells the records' own order however they are dealt, if the source has one."""
+        return self._ordered(spark, name) if self._ordered else None
+
     def __repr__(self) -> str:
         return f"Source({self.id})"
 
 
 class RootDataset(Dataset):
-    def __init__(self, id: str, schema: T.StructType, load: Callable[[SparkSession], DataFrame], content: str = ""):
-        super().__init__(scan(Source(id, load, content), schema), id)
+    def __init__(self, id: str, schema: T.StructType, load: Callable[[SparkSession], DataFrame], content: str = "", ordered: Callable[[SparkSession, str], DataFrame | None] | None = None):
+        super().__init__(scan(Source(id, load, content, ordered), schema), id)
 
     def with_source_ids(self, name: str = "source_id") -> "RootDataset":
         """The dataset with each record's origin, ``{dataset id}-{place}``, as a column that further verbs carry along."""
@@ -58,7 +63,15 @@ class FrameDataset(RootDataset):
     """Any DataFrame: parquet, CSV, JSON, JDBC, tables and streams all come in by Spark's readers. Without an id it gets one of its own."""
 
     def __init__(self, df: DataFrame, id: str | None = None):
-        super().__init__(id or f"frame-{token(df)}", df.schema, lambda spark: df)
+        super().__init__(id or f"frame-{token(df)}", df.schema, lambda spark: df, "", lambda spark, name: _file_order(df, name))
+
+
+def _file_order(df: DataFrame, name: str) -> DataFrame | None:
+    """``df`` with each row's file and place in it, which Spark's readers of row-numbered files tell."""
+    try:
+        return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:  # not read from such files, or no longer known after what was done to it
+        return None
 
 
 def table(spark: SparkSession, path: str, name: str) -> FrameDataset:
@@ -82,7 +95,7 @@ class MemoryDataset(RootDataset):
         else:
             shape = S.make_schema(schema) if schema is not None else _guess([{"value": v} for v in vals], None) if vals else S.DefaultSchema
             rows = [(v,) for v in vals]
-        super().__init__(id, shape, lambda spark: spark.createDataFrame(rows, shape, verifySchema=False), f"{id}-{S.hash_for_id(repr((shape, rows)), 32)}")
+        super().__init__(id, shape, lambda spark: spark.createDataFrame(rows, shape, verifySchema=False), f"{id}-{S.hash_for_id(repr((shape, rows)), 32)}", lambda spark, name: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([*shape.fields, T.StructField(name, T.LongType())]), verifySchema=False))
         self.rows = rows
 
     def __len__(self) -> int:
@@ -122,7 +135,8 @@ class IterDataset(RootDataset):
     The object is pickled to the executors, so it must open what it reads there.
     """
 
-    PARTITIONS = 8
+    #: Tasks at least, and items that a task reads at most.
+    PARTITIONS, TASK_ITEMS = 8, 10_000
 
     def __init__(self, id: str, schema: list[dict] | T.StructType):
         super().__init__(id, S.make_schema(schema), self._frame)
@@ -137,7 +151,7 @@ class IterDataset(RootDataset):
         return {k: v for k, v in self.__dict__.items() if k != "node"}
 
     def _frame(self, spark: SparkSession) -> DataFrame:
-        items, shape, parts = self, self.schema, self.PARTITIONS
+        items, shape, parts = self, self.schema, max(self.PARTITIONS, -(-len(self) // self.TASK_ITEMS))
 
         class Items(DataSource):
             @classmethod
@@ -186,12 +200,12 @@ class TextFileDataset(RootDataset):
 
 
 class HTMLFileDataset(RootDataset):
-    """HTML files: the page and its text, both as their first 10,000 words; links are written ``text (href)``."""
+    """HTML files: the page and its text, both as their first ``max_words`` words (None: all); links are written ``text (href)``."""
 
-    def __init__(self, id: str, path: str):
+    def __init__(self, id: str, path: str, max_words: int | None = MAX_WORDS):
         def load(spark):
-            text = F.pandas_udf(lambda s: s.map(html_to_text), "string")
-            words = F.pandas_udf(lambda s: s.map(first_words), "string")
+            text = F.pandas_udf(lambda s: s.map(lambda page: html_to_text(page, max_words)), "string")
+            words = F.pandas_udf(lambda s: s.map(lambda page: first_words(page, max_words)), "string")
             page = F.decode("content", "UTF-8")
             return _binary(spark, path, PAGES).select("filename", words(page).alias("html"), text(page).alias("text"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
 

@@ -35,13 +35,14 @@ class _Reader(HTMLParser):
             self.out.append(data)
 
 
-def first_words(text: str, n: int = MAX_WORDS) -> str:
-    return " ".join(text.split(None, n)[:n])
+def first_words(text: str, n: int | None = MAX_WORDS) -> str:
+    """The first ``n`` words, or all of them, with single spaces between."""
+    return " ".join(text.split() if n is None else text.split(None, n)[:n])
 
 
-def html_to_text(page: str) -> str:
-    """The first 10,000 words, each link as ``text (href)``."""
+def html_to_text(page: str, words: int | None = MAX_WORDS) -> str:
+    """The first ``words`` words, each link as ``text (href)``."""
     reader = _Reader()
     reader.feed(page)
     reader.close()
-    return first_words("".join(reader.out))
+    return first_words("".join(reader.out), words)

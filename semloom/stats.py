@@ -1,4 +1,4 @@
-"""Execution statistics, summed from the persisted semantic stages (accumulators would count retries twice)."""
+"""Execution statistics, summed from the request log (accumulators would count retries twice)."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ class OperatorStats:
     output_tokens: float = 0.0
     cost: float = 0.0
     seconds: float = 0.0
+    failures: int = 0
+    image_tokens: float = 0.0
+    audio_tokens: float = 0.0
 
 
 @dataclass
@@ -54,9 +57,9 @@ class ExecutionStats:
         return text
 
 
-def stage_stats(op_id: str, impl: str, stage) -> OperatorStats:
-    r = stage.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(f"__stats.{k}"), F.lit(0)).alias(k) for k in ("calls", "input_tokens", "output_tokens", "cost", "seconds")],
-    ).first()
-    return OperatorStats(op_id, impl, r["rows"], int(r["calls"]), r["input_tokens"], r["output_tokens"], r["cost"], r["seconds"])
+def stage_stats(stage) -> OperatorStats:
+    """A stage's rows, counted once more without calls, and what its requests took."""
+    from .operators.ledger import STATS
+
+    r = stage.calls.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in STATS]).first()
+    return OperatorStats(stage.op_id, stage.implementation, stage.rows.count(), int(r["calls"]), r["input_tokens"], r["output_tokens"], r["cost"], r["seconds"], int(r["failures"]), r["image_tokens"], r["audio_tokens"])

@@ -2,7 +2,8 @@
 
 Row-wise verbs (filter, map, flat_map, project, sem_filter, sem_map, sem_flat_map,
 topk and joins with a static side) work on a streaming frame as they are; they
-keep no state. Aggregates, distinct, limit and sem_agg need the whole input, so
+keep no state. Semantic verbs make their calls in place, and what they took is observed: a query's
+progress has it as ``observedMetrics``, under the verb's name and its operator's id. Aggregates, distinct, limit and sem_agg need the whole input, so
 they run on each micro-batch or not at all.
 """
 
@@ -26,14 +27,12 @@ def stateless(dataset: Dataset) -> bool:
 
 
 def streamed(dataset: Dataset, config: QueryProcessorConfig | None = None) -> DataFrame:
-    """The streaming frame of a relational row-wise plan whose source is a stream."""
+    """The streaming frame of a row-wise plan whose source is a stream."""
     if not stateless(dataset):
         raise ValueError("this plan needs its whole input: use each_batch")
-    if any(n.is_semantic for n in dataset.node.walk()):
-        raise ValueError("semantic stages are persisted, which streams can't be: use each_batch")
     config = QueryProcessorConfig.of(config)
     spark = SparkSession.builder.getOrCreate()
-    return lower(spark, dataset._optimizer(config).optimize(dataset.node), config).df
+    return lower(spark, dataset._optimizer(config).optimize(dataset.node), config, in_place=True).df
 
 
 def each_batch(stream: DataFrame, build: Callable[[Dataset], Dataset], write: Callable[[DataFrame, int], None], config: QueryProcessorConfig | None = None, **options: str) -> StreamingQuery:

@@ -51,8 +51,9 @@ def spark_type(kind: Any) -> T.DataType:
 
 def field(name: str, kind: Any, desc: str = "") -> T.StructField:
     meta = {"comment": desc} if desc else {}
-    if isinstance(kind, Modality):
-        meta["modality"], meta["form"] = kind.split(":")
+    inner = typing.get_args(kind)[0] if typing.get_origin(kind) is list and typing.get_args(kind) else kind
+    if isinstance(inner, Modality):  # one, or a list of them
+        meta["modality"], meta["form"] = inner.split(":")
     return T.StructField(name, spark_type(kind), True, meta)
 
 

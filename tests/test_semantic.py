@@ -83,8 +83,8 @@ def test_embedding_join_judges_fewer_pairs(spark):
     left, right = spark.createDataFrame(ANIMALS, "text string, age long"), spark.createDataFrame(OTHERS, "animal string")
     impl = Implementation("embedding", ("local-large",), (("embedder", "local-embed"), ("samples", 8)))
     out, pairs = sem_join(left, right, "same animal", "inner", SAME, impl, ["text", "animal"])
-    assert out.count() == 3 and pairs.count() == 16
-    assert pairs.where("__stats.calls is not null").count() <= 16
+    assert out.count() == 3
+    assert 8 <= pairs.count() <= 12 and pairs.agg({"calls": "max"}).first()[0] == 1  # three different texts on the left, four on the right
 
 
 @given(st.lists(st.tuples(st.floats(-1, 1), st.booleans()), max_size=12))
@@ -115,9 +115,9 @@ def test_missing_fields_are_asked_again():
 def test_sem_agg_merges_calls(spark):
     rules = LocalProvider({"total": lambda r: sum(x["v"] for x in r["records"]) if "records" in r else sum(int(x) for x in r["partial"])})
     df = spark.createDataFrame([(i,) for i in range(100)], "v long").repartition(4)
-    out = sem_agg(df, field("total", int, "total"), "sum", rules, SINGLE, per_call=7)
-    assert out.first()["total"] == 4950
-    assert sem_agg(df.limit(0), field("total", int, "total"), "sum", rules, SINGLE).count() == 0
+    out, spent = sem_agg(df, field("total", int, "total"), "sum", rules, SINGLE, per_call=7)
+    assert out.first()["total"] == 4950 and spent.where("calls = 1").count() >= 15 + 3 + 1
+    assert sem_agg(df.limit(0), field("total", int, "total"), "sum", rules, SINGLE)[0].count() == 0
     with pytest.raises(ValueError, match="one field"):
         sl.MemoryDataset("n", [1]).sem_agg(field("a", int) and sl.MemoryDataset("m", [{"a": 1, "b": 2}]).schema, "x")
 
@@ -133,6 +133,9 @@ def test_topk(spark):
     assert many.run(config(LocalProvider())).df.first()["near"] == [["blue sky"], ["red car"]]
     own = sl.MemoryDataset("q", [{"q": "x"}]).sem_topk(index, "q", [{"name": "near", "type": list[str], "desc": ""}], search_func=lambda rows, q, k: 1 / 0, k=1)
     assert own.run(config(LocalProvider())).df.first()["near"] == []
+    wrong = sl.MemoryDataset("q", [{"q": "x"}]).sem_topk(index, "q", [{"name": "near", "type": list[str], "desc": ""}], search_func=lambda rows, q, k: rows.no_such_thing(q), k=1)
+    with pytest.raises(Exception, match="no_such_thing"):
+        wrong.run(config(LocalProvider())).df.collect()
 
 
 def test_large_index_gives_the_same(spark, sf, monkeypatch):

@@ -93,6 +93,8 @@ def test_contexts(spark, tmp_path):
     manager = sl.ContextManager()
     context = sl.TextFileContext(str(tmp_path), "files", "two notes")
     found = context.search("where is the budget", manager=manager)
+    assert "RESULT" not in found.description and not found.materialized  # not asked before it runs
+    found.run()
     assert "a.txt" in found.description and "RESULT" in found.description and found.materialized
     agent = sl.LocalAgent({"add": lambda tools: len(tools["tool_list_filepaths"]())})
     done = found.compute("add", agent, manager)
