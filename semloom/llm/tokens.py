@@ -4,21 +4,22 @@ The model's pieces hold the word mark only at their start, so a text (with the
 mark put before it and in place of spaces) falls into pre-tokens that never merge
 with each other: a run of marks and what follows up to the next mark. Distinct
 pre-tokens are kept as one ragged numpy array of symbols; in each round every
-sequence merges its leftmost pair of least rank, all sequences at once, until no
+sequence merges its pairs of least rank, from the left where they overlap, all sequences at once, until no
 pair is left, and the surviving symbols are counted. A symbol outside the
-vocabulary costs its UTF-8 bytes (byte fallback). One pair per sequence and round
-gives exactly the library's order, also where a longer piece has the better rank.
-A pre-token of more than ``LONG`` characters is merged with a heap instead, in
-n log n steps. Counts of pre-tokens are remembered by each worker, up to
-``REMEMBER`` entries, then forgotten.
+vocabulary costs its UTF-8 bytes (byte fallback). This is the library's order, as long as
+all pairs with the new symbol rank after those that make it; where a longer piece has the better
+rank, a sequence merges its leftmost pair alone in that round. Pre-tokens of any
+length go this way; rounds grow with the number of different ranks in a sequence, not with its length. Counts of
+pre-tokens are remembered by each worker, up to ``REMEMBER`` entries, then forgotten.
 
 Defined cases: null text is empty and has 0 tokens; special strings in a text are
-plain text, as the library takes them.
+plain text, as the library takes them; texts of any length are counted whole, one of more than a
+slice by itself; just ``LIMIT`` tokens aren't over the limit; repeated rows are counted
+each; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -29,7 +30,6 @@ from pyspark.sql import DataFrame
 from .text import map_text, texts
 
 LIMIT = 4096
-LONG = 200
 REMEMBER = 1_000_000
 _MARK = "▁"
 _RUN = re.compile(rb" +[^ ]*")
@@ -66,7 +66,7 @@ class RankedMerges:
         self.keys = np.array(keys, np.int64)[order]
         self.ranks = np.array(ranks, np.int64)[order]
         self.made = np.array(made, np.int64)[order]
-        self.pair = {k: (r, m) for k, r, m in zip(keys, ranks, made, strict=True)}
+        self.settled = _settled(self.keys, self.ranks, self.made, len(self.symbol))
         self.memory: dict[bytes, int] = {}
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ class RankedMerges:
         return np.where(found, self.ranks[at], _NONE), self.made[at]
 
     def count(self, tokens: list[str]) -> np.ndarray:
-        """Surviving symbols of each pre-token (all short), merged in step."""
+        """Surviving symbols of each pre-token, merged in step."""
         total = np.zeros(len(tokens), np.int64)
         size = np.array([len(t) for t in tokens], np.int64)
         get = self.symbol.get
@@ -98,7 +98,11 @@ class RankedMerges:
             if not going.any():
                 return total
             hit = np.flatnonzero(keep & (rank == np.repeat(least, length)))
-            hit = hit[np.append(True, seq[hit[1:]] != seq[hit[:-1]])]  # the leftmost of each sequence
+            lead = np.append(True, seq[hit[1:]] != seq[hit[:-1]])
+            start = np.append(True, (hit[1:] != hit[:-1] + 1) | lead[1:])  # of each run of overlapping pairs, of which every second one merges
+            odd = (hit - hit[start][np.cumsum(start) - 1]) % 2
+            alone = np.logical_or.reduceat(~self.settled[made[hit]], np.flatnonzero(lead))[np.cumsum(lead) - 1]
+            hit = hit[lead | ((odd == 0) & ~alone)]
             sym[hit] = made[hit]
             keep[hit + 1] = False
             sym, seq = sym[keep], seq[keep]
@@ -108,32 +112,6 @@ class RankedMerges:
     def _costs(self, sym: np.ndarray) -> np.ndarray:
         return np.where(sym >= 0, self.cost[np.maximum(sym, 0)], -sym)
 
-    def count_long(self, token: str) -> int:
-        """The same count for one long pre-token, with a heap of pairs."""
-        sym = [self.symbol.get(c, -len(c.encode())) for c in token]
-        n = len(sym)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (found := self.pair.get(sym[i] << 32 | sym[j])):
-                heapq.heappush(heap, (found[0], i, j, sym[i], sym[j], found[1]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if not (alive[i] and alive[j] and after[i] == j and sym[i] == a and sym[j] == b):
-                continue
-            sym[i], alive[j], after[i] = made, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return int(sum(int(self.cost[s]) if s >= 0 else -s for s, ok in zip(sym, alive, strict=True) if ok))
-
     def pre_tokens(self, text: bytes) -> list[bytes]:
         """Pre-tokens without their first mark."""
         if not text:
@@ -150,13 +128,8 @@ class RankedMerges:
             self.memory.clear()
         new = list(tokens) if not self.memory else [t for t in tokens if t not in self.memory]
         text = [(_MARK + t.decode("utf-8", "replace")).replace(" ", _MARK) for t in new]
-        short = [i for i, t in enumerate(text) if len(t) <= LONG]
-        for at in range(0, len(short), 50_000):
-            part = short[at : at + 50_000]
-            self.memory.update(zip([new[i] for i in part], self.count([text[i] for i in part]).tolist(), strict=True))
-        for i, t in enumerate(text):
-            if len(t) > LONG:
-                self.memory[new[i]] = self.count_long(t)
+        for at in range(0, len(text), 50_000):
+            self.memory.update(zip(new[at : at + 50_000], self.count(text[at : at + 50_000]).tolist(), strict=True))
 
     def counts(self, many: list[bytes]) -> list[int]:
         cut = [self.pre_tokens(t) for t in many]
@@ -165,6 +138,15 @@ class RankedMerges:
         return [sum(map(get, c)) for c in cut]
 
 
+def _settled(keys: np.ndarray, ranks: np.ndarray, made: np.ndarray, symbols: int) -> np.ndarray:
+    """For each symbol, whether all pairs with it rank after all pairs that make it."""
+    most, least = np.full(symbols, -1, np.int64), np.full(symbols, _NONE)
+    np.maximum.at(most, made, ranks)
+    np.minimum.at(least, keys >> 32, ranks)
+    np.minimum.at(least, keys & 0xFFFFFFFF, ranks)
+    return least > most
+
+
 @lru_cache(maxsize=1)
 def merges(path: str) -> RankedMerges:
     return RankedMerges(path)

@@ -469,11 +469,50 @@ def test_token_counts_are_the_librarys(spark, odd_rows):
     assert found == {(d, len((t or "").encode()), (n := len(library.encode(t or ""))), n > 4096) for d, t in rows}
 
 
-def test_heap_and_rounds_agree():
+def test_long_and_short_pre_tokens_go_one_way():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokens.model_path())
     table_ = tokens.merges(tokens.model_path())
     rng = random.Random(8)
-    some = ["▁" + "".join(rng.choice("the ingtionésx漢".replace(" ", "")) for _ in range(rng.randint(0, 60))) for _ in range(200)]
-    assert table_.count(some).tolist() == [table_.count_long(t) for t in some]
+    some = ["".join(rng.choice("theingtionésx漢") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    some += ["".join(rng.choice("theingtion") for _ in range(20_000)), "ab" * 5000, "a" * 4097, "ing" * 3000 + "é漢" * 500, "aaab" * 2000]
+    assert table_.count(["▁" + t for t in some]).tolist() == [len(library.encode(t)) for t in some]
+
+
+def merges_brute(table_, text):
+    """One pair at a time, the leftmost of least rank."""
+    rank = {int(k): (int(r), int(m)) for k, r, m in zip(table_.keys, table_.ranks, table_.made, strict=True)}
+    sym = [table_.symbol.get(c, -len(c.encode())) for c in text]
+    while True:
+        found = [(rank[a << 32 | b][0], i) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if a >= 0 and b >= 0 and a << 32 | b in rank]
+        if not found:
+            return sum(int(table_.cost[x]) if x >= 0 else -x for x in sym)
+        _, i = min(found)
+        sym[i : i + 2] = [rank[sym[i] << 32 | sym[i + 1]][1]]
+
+
+@given(st.lists(st.text(alphabet="abcé", min_size=1, max_size=14), min_size=1, max_size=6), st.permutations(["ab", "bc", "aa", "abc", "aab", "abab", "bca", "cb"]), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_rounds_in_any_order_of_ranks(texts_, pieces, shared):
+    """Also where longer pieces rank before those that they are made of, and where ranks are shared."""
+    table_ = object.__new__(tokens.RankedMerges)
+    table_.symbol = {p: i for i, p in enumerate([*pieces, *"abc"])}
+    table_.cost = np.ones(len(table_.symbol), np.int64)
+    rows = sorted((table_.symbol[p[:i]] << 32 | table_.symbol[p[i:]], n // 2 if shared else n, table_.symbol[p]) for n, p in enumerate(pieces) for i in range(1, len(p)) if p[:i] in table_.symbol and p[i:] in table_.symbol)
+    table_.keys, table_.ranks, table_.made = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    table_.settled = tokens._settled(table_.keys, table_.ranks, table_.made, len(table_.symbol))
+    assert table_.count(texts_).tolist() == [merges_brute(table_, t) for t in texts_]
+
+
+def test_token_counts_of_no_rows_and_at_the_limit(spark):
+    docs = table(spark, [(1, "a " * 4096), (2, "a " * 4095), (3, "x" * (3 << 20))])
+    assert tokens.token_counts(docs.limit(0)).count() == 0
+    found = {r["doc_id"]: (r["n_tokens"], r["over_limit"]) for r in tokens.token_counts(docs).collect()}
+    assert found[3][1] and all(n <= 4096 or over for n, over in found.values()) and not found[2][1]
+    exact = next(n for n in range(4080, 4110) if n and tokens.merges(tokens.model_path()).counts([b"a " * n])[0] == 4096)
+    at = {r["doc_id"]: r["over_limit"] for r in tokens.token_counts(table(spark, [(1, "a " * exact), (2, "a " * (exact + 1))])).collect()}
+    assert at == {1: False, 2: True}
 
 
 # -- 6 decontamination --------------------------------------------------------------------
