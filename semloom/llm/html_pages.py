@@ -29,7 +29,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -44,9 +44,10 @@ _LABEL = "data-label"
 
 # Element classes of HTML, natural order.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video".split())
+UNSEEN = frozenset("annotation annotation-xml script style head title noscript template iframe object svg canvas audio video".split())
+MATH = "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 RAW = frozenset("script style title textarea noscript iframe xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split() + MATH)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "thead": ("tr", "td", "th")}
 SCOPES = frozenset("ul ol menu dl table select".split())
@@ -64,6 +65,10 @@ HINTS = {
     "share": "share sharing social follow related recommended recommendations more popular trending tags tag meta author byline read".split(),
     "body": "article content post entry story main body text articlebody page prose markdown maintext".split(),
 }
+#: Headings over readers' comments, with or without their number.
+COMMENT_HEADINGS = "comment comments reply replies response responses discussion kommentar kommentare antworten commentaire commentaires réponses comentario comentarios respuestas commenti".split()
+_COMMENTS = re.compile(rf"\W*(?:\d+\W+)?(?:(?:{'|'.join(COMMENT_HEADINGS)})|(?:leave|post|write|add) a (?:comment|reply))\W*\d*\W*", re.IGNORECASE)
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _WORD_HINT = {w: h for h, ws in HINTS.items() for w in ws}
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _HINT_AT = {h: len(TAGS) + 1 + i for i, h in enumerate(HINTS)}
@@ -89,13 +94,30 @@ class Page:
 
     def __init__(self, source: str, labelled: bool = False):
         self._labelled = labelled
-        self._open: Counter[str] = Counter()
+        self._at: defaultdict[str, list[int]] = defaultdict(list)  # places of open elements on the stack, by name
+        self._blocks = [0]  # places of those that aren't inline
         self.tag, self.parent, self.depth, self.hints, self.label = ["html"], [-1], [0], [()], [None]
         self.pieces: list[tuple[int, str, bool, bool]] = []
         self._stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their nodes
         self._links = self._unseen = 0
         self._fresh = True
         self._parse(source)
+        self._comment_headings()
+
+    def _comment_headings(self) -> None:
+        """What a heading such as "3 Comments" stands over is hinted at as comments: its part, or what follows it in the main part."""
+        said: dict[int, list[str]] = {}
+        for node, text, _, _ in self.pieces:
+            if self.tag[node] in _HEADINGS:
+                said.setdefault(node, []).append(text)
+        for node in [n for n, t in said.items() if len(t) < 9 and _COMMENTS.fullmatch("".join(t).strip())]:
+            over = self.parent[node]
+            if self.tag[over] in ("html", "article", "main") or "body" in self.hints[over]:
+                meant = [node] + [n for n in range(node + 1, len(self.tag)) if self.parent[n] == over and self.tag[n] not in ("p", *_HEADINGS)][:1]
+            else:
+                meant = [over]
+            for n in meant:
+                self.hints[n] = tuple(dict.fromkeys([*self.hints[n], "comment"]))
 
     def _parse(self, s: str) -> None:
         at, size = 0, len(s)
@@ -178,14 +200,18 @@ class Page:
             node = len(self.tag) - 1
         if attrs.endswith("/") and inline:
             return
+        self._at[name].append(len(self._stack))
+        if not inline:
+            self._blocks.append(len(self._stack))
         self._stack.append((name, node))
-        self._open[name] += 1
         self._links += name == "a"
         self._unseen += name in UNSEEN
 
     def _pop(self) -> None:
         name, _ = self._stack.pop()
-        self._open[name] -= 1
+        self._at[name].pop()
+        if self._blocks[-1] == len(self._stack):
+            self._blocks.pop()
         self._links -= name == "a"
         self._unseen -= name in UNSEEN
         if name not in INLINE:
@@ -193,15 +219,13 @@ class Page:
 
     def _close_if(self, name: str, scope) -> None:
         """Close an open ``name`` and what is in it, unless a scope lies between."""
-        if not self._open[name]:
-            return
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == name:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if self._stack[i][0] in scope:
-                return
+        if at := self._at[name]:
+            if not any(self._at[x] and self._at[x][-1] > at[-1] for x in scope if x != name):
+                self._pop_to(at[-1])
+
+    def _pop_to(self, at: int) -> None:
+        while len(self._stack) > at:
+            self._pop()
 
     def _end(self, name: str) -> None:
         if name == "br":
@@ -209,15 +233,10 @@ class Page:
             return
         if name not in INLINE:
             self._fresh = True
-        if name in ("html", "body") or not self._open[name]:
+        if name in ("html", "body") or not self._at[name]:
             return
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == name:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if name in INLINE and self._stack[i][0] not in INLINE:
-                return
+        if name not in INLINE or self._blocks[-1] < self._at[name][-1]:  # an inline element ends in its own block alone
+            self._pop_to(self._at[name][-1])
 
     def _text(self, text: str) -> None:
         if not self._unseen:
@@ -418,6 +437,9 @@ class _Composer:
             each = "li" if tag in ("ol", "ul") else r.choice(["div", "article", "p"])
             body = "".join(f"<{each}{self.maybe('comment', chance=0.7)}>{r.choice(['', f'<b>{self.some(1, 2)}</b> '])}{self.some(4, 60, True)}</{each}>" for _ in range(r.randint(1, 6)))
             body, named = r.choice(["", f"<h3>{self.some(1, 3)}</h3>"]) * (tag not in ("ol", "ul")) + body, self.named("comment")
+            if r.random() < 0.25:  # nothing but a heading tells
+                items = "".join(f"<li>{self.some(4, 60, True)}</li>" for _ in range(r.randint(1, 6)))
+                tag, named, body = r.choice(["section", "div"]), "", f"<h3>{r.choice(['', f'{r.randint(1, 40)} '])}{r.choice(COMMENT_HEADINGS).capitalize()}</h3><ul>{items}</ul>"
         else:
             tag, body, named = r.choice(["div", "div", "aside", "p", "section"]), self.blurb(3, 45), self.named(kind)
         return f'<{tag}{named} {_LABEL}="0">{body}</{tag}>'
@@ -484,6 +506,9 @@ class _Composer:
                 inner += self.boilerplate(r.choice(["ad", "form", "share", "note", "side"]))
         if r.random() < 0.15:
             inner += self.boilerplate(r.choice(["comment", "share"]))
+        if r.random() < 0.08:  # comments right behind the paragraphs, under a heading
+            remarks = "".join(f"<li>{self.some(4, 60, True)}</li>" for _ in range(r.randint(1, 5)))
+            inner += f"<h3 {_LABEL}='0'>{r.choice([*COMMENT_HEADINGS, 'leave a reply', 'post a comment']).capitalize()}</h3><{(at := r.choice(['ul', 'div', 'ol']))} {_LABEL}='0'>{remarks}</{at}>"
         body = f'<{tag}{named} {_LABEL}="1">{inner}</{tag}>'
         if tag == "td":
             body = f"<table><tr>{body}</tr></table>"

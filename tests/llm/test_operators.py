@@ -643,6 +643,31 @@ def test_html_quoted_values():
     assert [x[1] for x in html_pages.Page("<p>a <b title='never>closes</b> end").pieces] == ["a ", "closes", " end"]
 
 
+def test_html_stray_end_tags_take_linear_time():
+    import time
+
+    n = 60_000
+    for page in ("<i><p>" + "<b>" * n + "</i>" * n + "end", "<p>" + "<i>" * n + "</b></i>" * n + "end", "<ul>" + "<li><div>" * n + "</li>" * n + "end", "<table>" + "<tr><td>" * n + "</tr>" * n + "end", "<b>" * n + "<p></b>" * n + "end"):
+        began = time.process_time()
+        assert "".join(x[1] for x in html_pages.Page(page).pieces) == "end"
+        assert time.process_time() - began < 4
+
+
+def test_html_mathematics_and_unnamed_comments():
+    body = f"<p>{_SENTENCES}</p><p>The sum <math><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup></math> is small here and stays.</p><p>{_SENTENCES}</p>"
+    want = f"{_SENTENCES} The sum a+b2 is small here and stays. {_SENTENCES}"
+    remarks = "<ul>" + "".join(f"<li>I think that the {w} is right here. It was good to read.</li>" for w in ("first", "second", "third")) + "</ul>"
+    pages = [
+        f"<html><body><article>{body}</article></body></html>",
+        f"<html><body><article>{body}</article><section><h3>3 Comments</h3>{remarks}</section></body></html>",
+        f"<html><body><article>{body}<section><h2>Kommentare (3)</h2>{remarks}</section></article></body></html>",
+        f"<html><body><article>{body}<h3>Leave a reply</h3><div>{remarks}</div></article></body></html>",
+    ]
+    assert html_pages.main_texts(pages, html_pages.trained()) == [want] * 4
+    kept = f"<html><body><article>{body}<section><h2>Comments on the law</h2><p>{_SENTENCES}</p></section></article></body></html>"
+    assert html_pages.main_texts([kept], html_pages.trained()) == [f"{want} Comments on the law {_SENTENCES}"]
+
+
 def test_html_on_the_pages_table(spark, sf):
     """These pages hold their text in one article element."""
     import html
