@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -51,8 +52,17 @@ class Dataset:
         return Dataset(self.node, self.id)
 
     def relax_types(self) -> "Dataset":
-        """Types are relaxed anyway: values that don't fit their declared type become null."""
-        return self
+        """The same plan with all fields that functions and models make as text, so that a value which doesn't fit its declared type is kept instead of null."""
+
+        def relaxed(node: logical.Node) -> logical.Node:
+            if not node.children:
+                return node
+            params = {k: v for k, v in node.params}
+            if node.kind in ("map", "flat_map", "sem_map", "sem_flat_map") and not isinstance(params.get("udf"), dict):
+                params["fields"] = T.StructType([T.StructField(f.name, T.StringType(), True, f.metadata) for f in params["fields"].fields])
+            return replace(node, params=tuple(sorted(params.items()))).over(*(relaxed(c) for c in node.children))
+
+        return Dataset(relaxed(self.node), self.id)
 
     def get_limit(self) -> int | None:
         """The limit at the end of the plan, else the least one before it, if there is any."""

@@ -173,3 +173,14 @@ def test_a_shared_branch_makes_each_call_once(spark, tmp_path):
     done = made.join(made, "text").run(config(Failing(str(path))))
     assert len(done) == 6 and done.execution_stats.total_calls == 6
     assert len(path.read_text().split()) == 6
+
+
+def test_relaxed_types_keep_values_that_do_not_fit(spark):
+    rules = LocalProvider({"n": lambda r: r["age"] if r["age"] < 2 else "many"})
+    data = sl.MemoryDataset("a", ANIMALS).sem_map([{"name": "n", "type": int, "desc": "a number"}]).map(lambda r: {"m": [r["age"]] if r["age"] else 7}, [{"name": "m", "type": int, "desc": ""}], "age").filter(lambda r: r["age"] != 1, "age")
+    strict, loose = (d.run(config(rules)).df for d in (data, data.relax_types()))
+    assert sorted((r["age"], r["n"], r["m"]) for r in strict.collect()) == [(0, 0, 7), (2, None, None), (3, None, None)]
+    assert sorted((r["age"], r["n"], r["m"]) for r in loose.collect()) == [(0, "0", "7"), (2, "many", "[2]"), (3, "many", "[3]")]
+    assert data.relax_types().schema["n"].dataType.simpleString() == "string" and data.schema["n"].dataType.simpleString() == "bigint"
+    joined = data.join(data, "text").relax_types()
+    assert joined.schema["n_right"].dataType.simpleString() == "string"
