@@ -70,7 +70,8 @@ def _fit(value, kind: pa.DataType):
         return None
 
 
-def _array(values: list, kind: pa.DataType) -> pa.Array:
+def fitted(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as an array of the declared type; null where one isn't of it."""
     try:
         return pa.array(values, kind)
     except (pa.ArrowException, TypeError, ValueError):
@@ -105,12 +106,12 @@ def map_rows(df: DataFrame, function, fields: T.StructType, many: bool = False,
 
     def ones(given: pa.Array) -> pa.Array:
         got = [one(r) for r in _dicts(given)]
-        return pa.StructArray.from_arrays([_array([g[n] for g in got], k) for n, k in kinds], [n for n, _ in kinds])
+        return pa.StructArray.from_arrays([fitted([g[n] for g in got], k) for n, k in kinds], [n for n, _ in kinds])
 
     def lists(given: pa.Array) -> pa.Array:
         got = [several(r) for r in _dicts(given)]
         flat = [x for g in got for x in g]
-        rows = pa.StructArray.from_arrays([_array([x.get(n) for x in flat], k) for n, k in kinds], [n for n, _ in kinds])
+        rows = pa.StructArray.from_arrays([fitted([x.get(n) for x in flat], k) for n, k in kinds], [n for n, _ in kinds])
         return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(g) for g in got])), pa.int32()), rows)
 
     def ran(given: pa.Array) -> pa.Array:

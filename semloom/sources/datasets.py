@@ -7,15 +7,16 @@ from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import types as S
 from ..dataset import Dataset
-from ..operators.relational import with_places
+from ..operators.relational import fitted, with_places
 from ..plans.logical import scan, token
 from .html_text import MAX_WORDS, first_words, html_to_text
 from .udfs import read_workbook
@@ -139,7 +140,7 @@ class IterDataset(RootDataset):
     PARTITIONS, TASK_ITEMS = 8, 10_000
 
     def __init__(self, id: str, schema: list[dict] | T.StructType):
-        super().__init__(id, S.make_schema(schema), self._frame)
+        super().__init__(id, S.make_schema(schema), self._frame, "", self._frame)
 
     def __len__(self) -> int:
         raise NotImplementedError
@@ -150,36 +151,22 @@ class IterDataset(RootDataset):
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "node"}
 
-    def _frame(self, spark: SparkSession) -> DataFrame:
-        items, shape, parts = self, self.schema, max(self.PARTITIONS, -(-len(self) // self.TASK_ITEMS))
-
-        class Items(DataSource):
-            @classmethod
-            def name(cls):
-                return f"items_{items.id}"
-
-            def schema(self):
-                return shape
-
-            def reader(self, schema):
-                return _ItemReader(items, shape, parts)
-
-        spark.dataSource.register(Items)
-        return spark.read.format(f"items_{self.id}").load()
-
-
-class _ItemReader(DataSourceReader):
-    def __init__(self, items, shape: T.StructType, parts: int):
-        self.items, self.names, self.size = items, shape.names, len(items)
-        self.step = max(1, -(-self.size // parts))
-
-    def partitions(self):
-        return [InputPartition((i, min(self.size, i + self.step))) for i in range(0, self.size, self.step)] or [InputPartition((0, 0))]
-
-    def read(self, partition):
-        for i in range(*partition.value):
-            item = self.items[i]
-            yield tuple(item[n] for n in self.names)
+    def _frame(self, spark: SparkSession, ordinal: str | None = None) -> DataFrame:
+        """Ranges of indexes, mapped to their items where they are; on demand with the index."""
+        items, size = self, len(self)
+        kinds = [(f.name, to_arrow_type(f.dataType)) for f in self.schema.fields]
+        shape = T.StructType([*self.schema.fields, *([T.StructField(ordinal, T.LongType())] if ordinal else [])])
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    part = b.slice(at, 1000).column(0)
+                    found = [items[i] for i in part.to_pylist()]
+                    columns = [fitted([x[n] for x in found], k) for n, k in kinds]
+                    yield pa.RecordBatch.from_arrays([*columns, *([part] if ordinal else [])], shape.names)
+
+        parts = max(self.PARTITIONS, -(-size // self.TASK_ITEMS))
+        return spark.range(0, size, 1, parts).mapInArrow(run, shape)
 
 
 def _binary(spark: SparkSession, path: str, endings: tuple[str, ...] | None, deep: bool = False) -> DataFrame:

@@ -6,6 +6,19 @@ from pyspark.sql import functions as F
 import semloom as sl
 from semloom.operators.relational import with_places
 
+
+
+class Falling(sl.IterDataset):
+    def __init__(self):
+        super().__init__("falling", [{"name": "id", "type": int, "desc": ""}, {"name": "k", "type": int, "desc": ""}])
+
+    def __len__(self):
+        return 2000
+
+    def __getitem__(self, i):
+        return {"id": 1999 - i, "k": i % 5}
+
+
 PLAIN = sl.QueryProcessorConfig(optimizer_strategy="none")
 
 
@@ -19,6 +32,7 @@ def test_first_rows(spark, tmp_path, partitions):
     assert kept(sl.FrameDataset(df.repartition(partitions), f"f{partitions}")) == [(i, i) for i in range(5)]
     falling = [{"id": 1999 - i, "k": i % 5} for i in range(2000)]
     assert kept(sl.MemoryDataset("m", falling)) == [(i, 1999 - i) for i in range(5)]
+    assert kept(Falling()) == [(i, 1999 - i) for i in range(5)]
     path = f"{tmp_path}/t"
     spark.createDataFrame([(r["id"], r["k"]) for r in falling], "id long, k long").coalesce(1).write.parquet(path)
     filed = spark.read.parquet(path)
