@@ -1251,3 +1251,65 @@ def test_large_nodes_are_those_with_many_words(spark, monkeypatch, shared):
     assert cut == {"aab": (2, [0, 1]), "aac": (2, [0, 1]), "aad": (2, [0, 1]), "abb": (2, [0, 1]), "b": (1, [0]), "a": (None, [0])}
     one = {r["word"]: (r["depth"], r["skips"]) for r in spelling._cut(spark.createDataFrame([(f"xx{c}", 2) for c in "abcd"], "word string, n long"), 3).collect()}
     assert all(x == (3, [2]) for x in one.values())  # the way to "xx" doesn't branch, so nothing is merged on it
+
+
+# -- texts of more than a slice, ties and empty tables -----------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    rng = random.Random(31)
+    long = prose(rng, 700_000, 3000)
+    assert len(long) > 3 << 20  # of a slice of 2 MB
+    some = long.split()
+    return [(1, long), (2, prose(rng, 80, 3000)), (3, " ".join(some[650_000:650_090]) + " " + prose(rng, 60, 3000)), (4, long[:200])]
+
+
+def test_very_long_texts(spark, long_rows):
+    from tokenizers import Tokenizer
+
+    docs = table(spark, long_rows, 2)
+    words_of = {d: t.split() for d, t in long_rows}
+    near = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.report(docs).collect()}
+    assert near == {d: (len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}), d) for d, w in words_of.items()}
+    found = [tuple(r)[:6] for r in substring.passages(docs).collect()]
+    assert any(d == 3 and o == 1 and b - a >= 85 and oa >= 649_990 for d, a, b, o, oa, _ in found)
+    library = Tokenizer.from_file(tokens.model_path("word_bpe_49k.json"))
+    check_packing(long_rows, packing.pack(docs).collect(), lambda t: library.encode(t, add_special_tokens=False).ids)
+    lined = [(d, t.replace(" ", "\n") if d == 1 else t) for d, t in long_rows[:2]]
+    short = [(7, "\n".join(words_of[1][600_000:600_040])), *lined]
+    left = {r["doc_id"]: r["n_removed"] for r in lines.report(table(spark, short, 2)).collect()}
+    assert left[1] > 0 and left[7] == 0 or left[7] == 40
+    score = {r["doc_id"]: r for r in ctw.score(docs).collect()}
+    assert {d: r["n_tokens"] for d, r in score.items()} == {d: len(w) + 1 for d, w in words_of.items()}
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in score.values())
+    items = spark.createDataFrame([(5, " ".join(words_of[1][690_000:690_020]))], "item_id long, text string")
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.report(docs, items).collect()}
+    assert hits[1] == (700_000, 20, False) and hits[2][1] == 0
+
+
+def test_hits_in_just_a_twentieth_contaminate(spark):
+    rng = random.Random(32)
+    item = prose(rng, 13, 3000)
+    other = " ".join(f"zz{i}" for i in range(13 * 19))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r["contaminated"] for r in decontaminate.report(table(spark, [(1, f"{item} {other}"), (2, f"{item} {other} more")]), items).collect()}
+    assert found == {1: True, 2: False}
+    assert decontaminate.report(table(spark, [(1, item)]).limit(0), items).count() == 0
+
+
+def test_equal_chains_are_taken_in_order():
+    pos, other = np.array([0, 10, 100, 110]), np.array([0, 10, 100, 110])
+    far = np.array([0, 10, 1000, 1010])
+    found = substring.chains(far, other)
+    assert [c.tolist() for c in found] == [[0, 1], [2, 3]]
+    assert [c.tolist() for c in substring.chains(pos, pos[::-1].copy())] == []
+
+
+def test_toxicity_of_no_documents_and_at_the_threshold(spark):
+    rows, labels = toxic_rows(random.Random(33), 120)
+    docs = table(spark, rows)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, known)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in toxicity.score(docs, model).collect())
