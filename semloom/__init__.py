@@ -13,7 +13,7 @@ from .functions.groupby import GroupBySig
 from .operators.http_provider import HTTPProvider
 from .operators.provider import CachedProvider, Completion, LocalProvider, ModelProvider, Request
 from .operators.topk import VectorIndex
-from .plans.models import Model, ModelCard, register
+from .plans.models import Model, ModelCard, register, register_cards
 from .plans.policy import MaxQuality, MaxQualityAtFixedCost, MaxQualityAtFixedTime, MinCost, MinCostAtFixedQuality, MinTime, MinTimeAtFixedQuality, PlanCost, Policy
 from .sampling import Validator
 from .session import QueryProcessorConfig
@@ -25,5 +25,5 @@ __all__ = [
     "Dataset", "FrameDataset", "GroupBySig", "HTMLFileDataset", "HTTPProvider", "ImageBase64", "ImageFileDataset", "ImageFilepath", "ImageURL", "IterDataset", "LocalAgent", "LocalProvider",
     "MaxQuality", "MaxQualityAtFixedCost", "MaxQualityAtFixedTime", "MemoryDataset", "MinCost", "MinCostAtFixedQuality", "MinTime", "MinTimeAtFixedQuality", "Model", "ModelCard",
     "ModelProvider", "PDFFileDataset", "PlanCost", "Policy", "QueryProcessorConfig", "Request", "SchemaBuilder", "TextFileContext", "TextFileDataset", "Validator", "VectorIndex",
-    "XLSFileDataset", "get_local_source", "register", "resolve_datasource",
+    "XLSFileDataset", "get_local_source", "register", "register_cards", "resolve_datasource",
 ]

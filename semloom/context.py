@@ -7,9 +7,8 @@ Before a computation is planned, the registry is searched for earlier contexts t
 
 from __future__ import annotations
 
+import datetime
 import functools
-import os
-import pickle
 import re
 import urllib.parse
 from collections.abc import Callable
@@ -23,6 +22,7 @@ from pyspark.sql import types as T
 from .dataset import Dataset
 from .operators.provider import hashed_vector
 from .plans import logical
+from .shared import exists
 from .types import field, hash_for_id
 
 
@@ -200,13 +200,20 @@ class TextFileContext(Context):
         return [r["filename"] for r in TextFileDataset(self.id, self.path).sem_filter(instruction).run(provider=provider)]
 
 
+_STORED = "id string, description string, materialized boolean, vector array<double>, written timestamp"
+
+
 class ContextManager:
-    """Contexts by id, with a vector of each description; kept in a folder if one is given."""
+    """Contexts by id, with a vector of each description; with a folder, they are a table there that other sessions read.
+
+    A changed context is a further row of the table, and the last one counts. Searches are one job over the
+    table, of which the k nearest rows come back, beside this session's own contexts.
+    """
 
     _shared: "ContextManager | None" = None
 
     def __init__(self, folder: str | None = None):
-        self.folder = folder
+        self.table = f"{folder.rstrip('/')}/contexts" if folder else None
         self.contexts: dict[str, Context] = {}
         self.vectors: dict[str, np.ndarray] = {}
 
@@ -220,9 +227,9 @@ class ContextManager:
             return
         self.contexts[context.id] = context
         self.vectors[context.id] = hashed_vector(context.description)
-        if self.folder:
-            with open(os.path.join(self.folder, f"{context.id}.pkl"), "wb") as f:
-                pickle.dump({"id": context.id, "description": context.description, "materialized": context.materialized}, f)
+        if self.table:
+            row = (context.id, context.description, context.materialized, self.vectors[context.id].tolist(), datetime.datetime.now())
+            SparkSession.builder.getOrCreate().createDataFrame([row], _STORED).coalesce(1).write.mode("append").parquet(self.table)
 
     def update_context(self, id: str, description: str, materialized: bool = True) -> None:
         context = self.get_context(id)
@@ -230,20 +237,38 @@ class ContextManager:
         context.set_materialized(materialized)
         self.add_context(context, update=True)
 
+    def _stored(self) -> DataFrame | None:
+        """The table's last row of each id that this session doesn't hold."""
+        spark = SparkSession.builder.getOrCreate()
+        if not self.table or not exists(spark, self.table):
+            return None
+        rows = spark.read.schema(_STORED).parquet(self.table)
+        last = rows.groupBy("id").agg(F.max_by(F.struct("description", "materialized", "vector"), "written").alias("last")).select("id", "last.*")
+        return last.where(~F.col("id").isin(list(self.contexts))) if self.contexts else last
+
+    def _restored(self, row) -> Context:
+        context = Context(row["id"], row["description"], None, row["materialized"])
+        self.contexts[context.id], self.vectors[context.id] = context, hashed_vector(context.description)
+        return context
+
     def get_context(self, id: str) -> Context:
         if id in self.contexts:
             return self.contexts[id]
-        path = os.path.join(self.folder, f"{id}.pkl") if self.folder else ""
-        if path and os.path.exists(path):
-            with open(path, "rb") as f:
-                kept = pickle.load(f)  # noqa: S301  (written by this class)
-            context = Context(kept["id"], kept["description"], None, kept["materialized"])
-            self.contexts[id], self.vectors[id] = context, hashed_vector(context.description)
-            return context
-        raise ContextNotFoundError(id)
+        stored = self._stored()
+        row = stored.where(F.col("id") == id).first() if stored is not None else None
+        if row is None:
+            raise ContextNotFoundError(id)
+        return self._restored(row)
 
     def search_context(self, query: str, k: int = 1, where: dict | None = None) -> list[Context]:
         """The k contexts whose descriptions are nearest to the query, of those with the given properties."""
         q = hashed_vector(query)
+        stored = self._stored()
+        if stored is not None:
+            for name, value in (where or {}).items():
+                stored = stored.where(F.col(name) == value)
+            like = F.aggregate(F.zip_with("vector", F.array(*map(F.lit, q.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+            for row in stored.orderBy(like.desc(), "id").limit(k).collect():
+                self._restored(row)
         fitting = [c for c in self.contexts.values() if all(getattr(c, n) == v for n, v in (where or {}).items())]
         return sorted(fitting, key=lambda c: (-float(self.vectors[c.id] @ q), c.id))[:k]

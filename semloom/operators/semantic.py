@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.models import CARDS, registered
+from ..plans.models import register, registered
 from ..plans.physical import Implementation
 from ..shared import written
 from ..types import union_schemas
@@ -38,7 +38,8 @@ def _stage(read: list[str], call: Callable[[list[dict]], tuple[list, list]], bat
     cards = registered()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        CARDS.update((c.name, c) for c in cards)
+        for c in cards:
+            register(c)
         rows = [{n: _plain(v) for n, v in zip(read, values, strict=True)} for values in zip(*(frame[n] for n in read), strict=True)] if read else [{} for _ in range(len(frame))]
         answers, spent = [], []
         for i in range(0, len(rows), batch):
@@ -153,7 +154,8 @@ def sem_agg(df: DataFrame, field: T.StructField, instruction: str, provider: Mod
     schema = f"answer string, {SPENT}"
 
     def answer(requests: list[Request]) -> pa.RecordBatch:
-        CARDS.update((c.name, c) for c in cards)
+        for c in cards:
+            register(c)
         found, spent = extracted(provider, impl, requests)
         return pa.RecordBatch.from_arrays([pa.array([_text(f[field.name]) for f in found], pa.string()), *[pa.array([getattr(s, k) for s in spent], pa.int64() if k in ("calls", "failures") else pa.float64()) for k in STATS]], names)
 

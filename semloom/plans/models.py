@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, fields
 
 from .policy import Policy
 
@@ -34,6 +35,18 @@ def register(card: ModelCard) -> ModelCard:
     return card
 
 
+def register_cards(rows: Iterable) -> list[ModelCard]:
+    """Cards from a table's rows (or dicts): the card's fields by name, ``reads`` as a list; fields that are missing or null keep their defaults."""
+    out = []
+    for row in rows:
+        given = {k: v for k, v in (row.asDict() if hasattr(row, "asDict") else dict(row)).items() if v is not None}
+        unknown = set(given) - {f.name for f in fields(ModelCard)}
+        if unknown:
+            raise ValueError(f"a model card has no {sorted(unknown)}")
+        out.append(register(ModelCard(**given | ({"reads": frozenset(given["reads"])} if "reads" in given else {}))))
+    return out
+
+
 def registered() -> tuple[ModelCard, ...]:
     """All cards, for a stage's function to take along: workers know only the bundled ones."""
     return tuple(CARDS.values())

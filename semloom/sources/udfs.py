@@ -57,9 +57,9 @@ def file_to_xls(record: dict) -> dict:
     return {"number_sheets": len(sheets), "sheet_names": [n for n, _ in sheets]}
 
 
-def xls_to_tables(record: dict) -> list[dict]:
-    """A table for each sheet: its header and its first rows."""
+def xls_to_tables(record: dict, max_rows: int | None = MAX_ROWS) -> list[dict]:
+    """A table for each sheet: its header and its first ``max_rows`` rows (None: all)."""
     out = []
-    for name, rows in read_workbook(bytes(record["contents"]), MAX_ROWS + 1):
-        out.append({"name": f"{record['filename'].rsplit('/', 1)[-1]}_{name}", "header": rows[0] if rows else [], "rows": rows[1 : MAX_ROWS + 1]})
+    for name, rows in read_workbook(bytes(record["contents"]), None if max_rows is None else max_rows + 1):
+        out.append({"name": f"{record['filename'].rsplit('/', 1)[-1]}_{name}", "header": rows[0] if rows else [], "rows": rows[1:]})
     return out

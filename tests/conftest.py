@@ -29,3 +29,14 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def own_cards():
+    """Model cards that a test registers go with it."""
+    from semloom.plans.models import CARDS
+
+    kept = dict(CARDS)
+    yield
+    CARDS.clear()
+    CARDS.update(kept)

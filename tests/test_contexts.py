@@ -58,3 +58,15 @@ def test_files_are_found_by_a_job(spark, tmp_path):
     assert context.tool_read_filepath(f"{tmp_path}/in/deep/c.txt") == "more"
     found = context.search("where is the budget", manager=sl.ContextManager())
     assert found.run(PLAIN).df.first()["context"].endswith(f"RESULT: {tmp_path}/in/a b.txt")
+
+
+def test_the_registry_is_a_table_for_other_sessions(spark, tmp_path):
+    first = sl.ContextManager(str(tmp_path))
+    for name, text in (("a", "numbers of the budget"), ("b", "sightings of birds"), ("c", "the weather of today")):
+        first.add_context(sl.Context(name, text, materialized=name != "c"))
+    first.update_context("b", "budget numbers of birds")
+    second = sl.ContextManager(str(tmp_path))
+    assert [c.id for c in second.search_context("numbers of the budget", k=2)] == ["a", "b"]
+    assert second.get_context("b").description == "budget numbers of birds" and second.get_context("b").materialized
+    assert second.search_context("weather", where={"materialized": False})[0].id == "c"
+    assert sl.ContextManager(str(tmp_path / "none")).search_context("weather") == []

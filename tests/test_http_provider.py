@@ -103,7 +103,7 @@ def test_a_query_over_http(spark, server):
 PNG, JPEG, WAV = b"\x89PNG\r\n\x1a\n rest", b"\xff\xd8\xff rest of it", b"RIFF0000WAVE"
 
 
-def test_images_and_clips_are_sent_as_parts(spark, server, tmp_path):
+def test_images_and_clips_are_sent_as_parts(own_cards, spark, server, tmp_path):
     """All five forms: images by path, encoded and by address; clips by path and encoded."""
     import base64
 

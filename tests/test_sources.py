@@ -110,6 +110,27 @@ def test_contexts(spark, tmp_path):
     assert sl.ContextManager(str(tmp_path)).get_context("c").description == "kept words"
 
 
+def test_results_as_pandas_and_statistics_as_json(spark, tmp_path):
+    import json
+
+    done = sl.MemoryDataset("a", [{"t": f"word {i}", "i": i} for i in range(6)]).sem_filter("has 'word'", depends_on="t").run(provider=sl.LocalProvider(), optimizer_strategy="none")
+    frame = done.to_df(["i"])
+    assert list(frame.columns) == ["i"] and sorted(frame.i) == list(range(6)) and len(done.to_df().columns) == 2
+    told = json.loads(done.execution_stats.to_json(str(tmp_path / "s.json")))
+    assert json.loads((tmp_path / "s.json").read_text()) == told
+    assert told["operators"][0]["calls"] == 6 and told["total_execution_cost"] > 0
+    done.release()
+
+
+def test_tables_of_workbooks():
+    from semloom.catalogue import _workbook
+    from semloom.sources import udfs
+
+    assert udfs.file_to_xls({"contents": _workbook(["a", "b"])}) == {"number_sheets": 2, "sheet_names": ["a", "b"]}
+    (table,) = udfs.xls_to_tables({"contents": _workbook(["s"]), "filename": "x/y.xlsx"}, None)
+    assert table == {"name": "y.xlsx_s", "header": ["1"], "rows": []}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.range(10).write.mode("append").parquet(str(tmp_path / "in"))
