@@ -23,6 +23,8 @@ score, give no row; so do a table without rows and anchors without positives; sc
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -86,6 +88,12 @@ class Sorted:
         self.ids, self.labels = table["id"].to_numpy()[order], table["label"].to_numpy()[order]
         self.vectors = _vectors(table["vector"], width)[order]
 
+    def where(self, rows: np.ndarray) -> "Sorted":
+        """The block's chosen rows."""
+        out = copy.copy(self)
+        out.ids, out.labels, out.vectors = self.ids[rows], self.labels[rows], self.vectors[rows]
+        return out
+
     def rank(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each anchor the rows' places in order, and their negated scores, which rise."""
         less = -_scores(anchors, self.vectors)
@@ -102,9 +110,7 @@ def _positives(block: Sorted, anchors: pa.Table, width: int, k: int) -> list[tup
     out, labels = [], anchors["label"].to_numpy()
     ids, vectors = anchors["id"].to_numpy(), _vectors(anchors["vector"], width)
     for label in np.unique(labels):
-        same = block.labels == label
-        mine = object.__new__(Sorted)
-        mine.ids, mine.labels, mine.vectors = block.ids[same], block.labels[same], block.vectors[same]
+        mine = block.where(block.labels == label)
         at = np.flatnonzero(labels == label)
         for lo in range(0, len(at) if len(mine.ids) else 0, TILE):
             tile = at[lo : lo + TILE]
@@ -157,7 +163,7 @@ def hard_negatives(rows: DataFrame, anchors, positives: int = POSITIVES, negativ
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
     found = _met(rows, chosen, shape, _positives, positives, "anchor long, score long, id long").withColumn("place", F.row_number().over(best)).where(F.col("place") <= positives)
     wanted = found.groupBy("anchor").agg(F.collect_list(F.struct("id", "score")).alias("positives"))
-    asking = chosen.select(F.col("id").alias("anchor"), F.col("label").alias("of"), F.col("vector").alias("at")).join(wanted, "anchor").select(F.col("anchor").alias("id"), F.col("of").alias("label"), F.col("at").alias("vector"), "positives")
+    asking = wanted.withColumnRenamed("anchor", "id").join(chosen, "id").select("id", "label", "vector", "positives")
     last = _met(rows, asking, shape, _negatives, negatives, "anchor_id long, positive_id long, positive_score long, negative_score long, negative_id long")
     first = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     ranked = last.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives)
