@@ -20,7 +20,6 @@ names, are handed on unread.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
 from functools import lru_cache
@@ -191,25 +190,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def report_brute(docs: list[tuple], benchmark: list[tuple]) -> list[tuple]:
-    """The same by plain loops, for tests."""
-    items = [(str(i) if i is not None else "", normal_words((t or "").encode())) for i, t in benchmark]
-    out = []
-    for doc, text in docs:
-        w = normal_words((text or "").encode())
-        hit, found = [False] * len(w), set()
-        for item, v in items:
-            n = min(WINDOW, len(v))
-            for i in range(len(v) - n + 1 if n else 0):
-                for j in range(len(w) - n + 1):
-                    if w[j : j + n] == v[i : i + n]:
-                        found.add(item)
-                        hit[j : j + n] = [True] * n
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out.append((doc, len(w), sum(hit), len(found), digest, sum(hit) > 0 and 20 * sum(hit) >= len(w)))
-    return out
-
-
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

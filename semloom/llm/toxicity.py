@@ -335,17 +335,3 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray, float], th
 
     done = map_text(docs, ["doc_id", "text"], make, "doc_id long, score double, predicted int, event_weight double")
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "event_weight")
-
-
-def area_under_curve(y: list[int], score: list[float]) -> float:
-    """The chance that a toxic row scores higher than another, ties as half."""
-    order = np.argsort(score, kind="stable")
-    rank = np.empty(len(order))
-    s = np.asarray(score)[order]
-    at = np.searchsorted(s, s, "left"), np.searchsorted(s, s, "right")
-    rank[order] = (at[0] + at[1] + 1) / 2
-    y = np.asarray(y)
-    n1, n0 = y.sum(), (1 - y).sum()
-    return float((rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
-
-

@@ -1,5 +1,6 @@
 """Each corpus operator against a plain version, on small tables with nulls, empty and long texts, ties and repeats."""
 
+import hashlib
 import random
 import zlib
 
@@ -518,13 +519,32 @@ def test_token_counts_of_no_rows_and_at_the_limit(spark):
 # -- 6 decontamination --------------------------------------------------------------------
 
 
+def decontamination_brute(docs: list[tuple], benchmark: list[tuple]) -> list[tuple]:
+    """The same by plain loops, for tests."""
+    items = [(str(i) if i is not None else "", decontaminate.normal_words((t or "").encode())) for i, t in benchmark]
+    out = []
+    for doc, text in docs:
+        w = decontaminate.normal_words((text or "").encode())
+        hit, found = [False] * len(w), set()
+        for item, v in items:
+            n = min(decontaminate.WINDOW, len(v))
+            for i in range(len(v) - n + 1 if n else 0):
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == v[i : i + n]:
+                        found.add(item)
+                        hit[j : j + n] = [True] * n
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc, len(w), sum(hit), len(found), digest, sum(hit) > 0 and 20 * sum(hit) >= len(w)))
+    return out
+
+
 def test_decontamination(spark, odd_rows):
     rng = random.Random(9)
     items = [(i, prose(rng, n, 3000)) for i, n in enumerate((30, 13, 5, 1, 40))] + [(7, None), (8, "--"), (None, prose(rng, 14, 3000)), (0, prose(rng, 20, 3000))]
     rows = odd_rows + [(300, "Intro: " + items[0][1].upper().replace(" ", ", ") + " more " * 30), (301, prose(rng, 400, 3000) + " " + " ".join(items[4][1].split()[3:20])), (302, items[2][1]), (303, f"a {items[3][1]}! b"), (304, items[7][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, rows)
-    want = sorted(decontaminate.report_brute(rows, items), key=repr)
+    want = sorted(decontamination_brute(rows, items), key=repr)
     assert sorted([tuple(r) for r in decontaminate.report(docs, bench).collect()], key=repr) == want
     assert sum(r[5] for r in want) >= 3
     many = decontaminate.find_passages(docs.select("doc_id", "text"), bench, block_bytes=100).collect()  # several automata in a row
@@ -797,6 +817,18 @@ def test_short_repeated_runs_of_lines_leave(spark):
 # -- 9 toxicity --------------------------------------------------------------------------------
 
 
+def area_under_curve(y: list[int], score: list[float]) -> float:
+    """The chance that a toxic row scores higher than another, ties as half."""
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(order))
+    s = np.asarray(score)[order]
+    at = np.searchsorted(s, s, "left"), np.searchsorted(s, s, "right")
+    rank[order] = (at[0] + at[1] + 1) / 2
+    y = np.asarray(y)
+    n1, n0 = y.sum(), (1 - y).sum()
+    return float((rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
+
+
 def toxic_rows(rng, n, share=0.3):
     stems = ["zurko", "blemp"]
     rows, labels = [], []
@@ -823,7 +855,7 @@ def test_toxicity_learns_stems(spark):
     by = {r["doc_id"]: r for r in found}
     assert all(by[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d, _ in rows)
     held = [(y, by[d]) for d, _, y in marks if by[d]["held_out"]]
-    assert toxicity.area_under_curve([y for y, _ in held], [r["score"] for _, r in held]) > 0.98
+    assert area_under_curve([y for y, _ in held], [r["score"] for _, r in held]) > 0.98
     assert np.mean([r["predicted"] == y for y, r in held]) > 0.95
     assert by[10_000]["predicted"] == 0 and by[None]["held_out"] is False
     none = labels.limit(0)

@@ -6,8 +6,8 @@ import pytest
 
 import corpus_pipeline
 from compare import same
-from semloom.llm import decontaminate, quality, queries, tokens
-from test_operators import VOCABULARY, check_packing, components_brute, lines_brute, prose
+from semloom.llm import quality, queries, tokens
+from test_operators import VOCABULARY, check_packing, components_brute, decontamination_brute, lines_brute, prose
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +66,7 @@ def test_stages_and_result(spark, folder):
     assert not kept & set(range(100, 106))
 
     four = stages["benchmark_decontamination"](spark, three, path)
-    bad = {r[0] for r in decontaminate.report_brute(want, items) if r[5]}
+    bad = {r[0] for r in decontamination_brute(want, items) if r[5]}
     want = [(d, t) for d, t in want if d not in bad]
     assert bad == {300, 301, 302} and four.columns == docs.columns and read(four) == want
 
