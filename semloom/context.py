@@ -172,16 +172,9 @@ class TextFileContext(Context):
         return SparkSession.builder.getOrCreate()
 
     def tool_list_filepaths(self) -> list[str]:
-        """All files of the tree but hidden ones, such as the checksums that file systems keep; names only, by the path's own file system."""
-        spark = self._spark()
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
-        out = []
-        while files.hasNext():
-            path = files.next().getPath()
-            if not path.getName().startswith((".", "_")):
-                out.append(_plain(path.toString()))
-        return sorted(out)
+        """All files of the tree but hidden ones, such as the checksums that file systems keep; names only, listed by Spark."""
+        files = self._spark().read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
+        return sorted(_plain(r[0]) for r in files.select("path").collect())
 
     def tool_read_filepath(self, path: str) -> str:
         return self._spark().read.text(path, wholetext=True).first()[0]
