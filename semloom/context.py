@@ -174,7 +174,7 @@ class TextFileContext(Context):
     def tool_list_filepaths(self) -> list[str]:
         """All files of the tree but hidden ones, such as the checksums that file systems keep; names only, listed by Spark."""
         files = self._spark().read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
-        return sorted(_plain(r[0]) for r in files.select("path").collect())
+        return sorted(_plain(urllib.parse.unquote(f)) for f in files.inputFiles())
 
     def tool_read_filepath(self, path: str) -> str:
         return self._spark().read.text(path, wholetext=True).first()[0]
