@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import written
-from .cells import cosines, matrix, nearest
+from .cells import Best, matrix, nearest, unit
 from .provider import ModelProvider
 from .relational import col
 
 #: Index bytes up to which each task searches a broadcast copy; a larger index is searched in cells.
 BROADCAST_BYTES = 64 << 20
+#: Index rows from which queries are dealt to all cores, and queries searched and rows met at once.
+DEAL_ROWS = 4096
+QUERIES, ROWS = 4096, 16384
 
 
 class VectorIndex:
@@ -54,39 +57,86 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
             return _several(df, index, search_attr, name, k, provider, model)
         return df.withColumn(name, F.lit(None).cast("array<string>"))
-    rows = index.df.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).orderBy("id").toPandas()
-    vectors = matrix(rows["vector"])
-    shared = df.sparkSession.sparkContext.broadcast((rows["value"].tolist(), vectors))
+    rows = index.df.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).orderBy("id").select("value", "vector").toArrow()  # under the limit
+    values, vectors = rows["value"].to_pylist(), matrix(rows["vector"].to_numpy())
+    if search_func is None:
+        kept = _first_copies(vectors, k)
+        values, vectors = [values[i] for i in kept.tolist()], vectors[kept]
+    shared = df.sparkSession.sparkContext.broadcast((values, vectors))
     many = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType)
 
-    def nearest(q: np.ndarray) -> list:
-        values, v = shared.value
-        sim = cosines(q.reshape(1, -1), v)[0] if len(values) else np.zeros(0)
-        return [values[i] for i in np.argsort(-sim, kind="stable")[:k]]
-
-    def search(q):
+    def asked(q):
+        """The vectors that a query asks with; a failed one gives an empty list, no query null."""
         if q is None or not isinstance(q, (str, list, np.ndarray)):
             return None
         try:
             if search_func is not None:
                 return list(search_func(shared.value, q, k))[:k]
             if isinstance(q, str):
-                return nearest(np.asarray(provider.embed([q], model))[0])
+                return [np.asarray(provider.embed([q], model), float)[0]]
             if many:
-                return [nearest(x) for x in np.asarray(provider.embed(list(q), model))]
-            return nearest(np.asarray(q, dtype=float))
+                return list(np.asarray(provider.embed(list(q), model), float))
+            return [np.asarray(q, dtype=float)]
         except (NameError, AttributeError, TypeError, ImportError):  # a fault of the code, not of this search
             raise
         except Exception:
             return []
 
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([search(q) for q in s], dtype=object)
-
+        given = [asked(q) for q in s]
+        if search_func is not None:
+            return pd.Series(given, dtype=object)
+        width = shared.value[1].shape[1] if len(shared.value[0]) else None
+        given = [[] if vectors and width and any(v.shape != (width,) for v in vectors) else vectors for vectors in given]
+        found = iter(_searched([v for vectors in given for v in vectors or []], *shared.value, k))
+        lists = [None if vectors is None else [next(found) for _ in vectors] for vectors in given]
+        return pd.Series([x if many or not x else x[0] for x in lists], dtype=object)
+
+    if len(values) >= DEAL_ROWS:
+        df = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
     made = F.pandas_udf(run, "array<array<string>>" if many else "array<string>").asNondeterministic()
     return df.withColumn(name, made(col(search_attr)))
 
 
+def _equal(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row's index of each group of equal rows, and each row's group."""
+    rows = np.ascontiguousarray(vectors + 0.0)
+    return np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)[1:]
+
+
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Indexes, in order, of the first k rows of each group of equal vectors: no query's first k hold others."""
+    if k < 0 or not len(vectors):
+        return np.arange(len(vectors))
+    group = _equal(vectors)[1]
+    order = np.argsort(group, kind="stable")
+    nth = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return np.sort(order[nth < k])
+
+
+def _searched(queries: list, values: list, vectors: np.ndarray, k: int) -> list[list]:
+    """The k nearest values of each query vector, ties by place; equal queries are searched once."""
+    k = min(k, len(values)) if k >= 0 else max(0, len(values) + k)
+    if not queries or not k:
+        return [[] for _ in queries]
+    one, group = _equal(np.stack(queries))
+    found = []
+    for lo in range(0, len(one), QUERIES):
+        top = Best(_directions(np.stack([queries[i] for i in one[lo : lo + QUERIES]])), k)
+        for at in range(0, len(vectors), ROWS):
+            rows = _directions(vectors[at : at + ROWS])
+            top.meet(rows, rows.astype(np.float32), np.arange(at, at + len(rows)), np.arange(len(top.x)))
+            top.cut()
+        at, place, _ = top.cut()
+        found += [[values[i] for i in x.tolist()] for x in np.split(place, np.searchsorted(at, np.arange(1, len(top.x))))]
+    return [found[g] for g in group.tolist()]
+
+
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; zeros where there is no direction."""
+    return unit(np.where(np.isfinite(vectors).all(1, keepdims=True), vectors, 0.0))
+
+
 def _with_vectors(df: DataFrame, attr: str, provider: ModelProvider, model: str) -> DataFrame:
     """``df`` with each text's vector; null for null."""
 

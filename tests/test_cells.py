@@ -72,3 +72,65 @@ def test_ties_are_the_same_on_both_sides_of_the_size_limit(spark, monkeypatch):
     monkeypatch.setattr(topk, "BROADCAST_BYTES", 0)
     assert {k: run(k) for k in (1, 3, 50)} == small
     assert data.sem_topk(VectorIndex(index.df.where(F.lit(False)), "id", "value", "vector"), "e", NEAR, k=2).run(config).df.where("near is not null and size(near) > 0").count() == 0
+
+
+def test_a_broadcast_index_is_searched_for_many_queries_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(700, 8))
+    v[3], v[4], v[5] = 0.0, np.nan, v[6]
+    queries = [*v[::7], np.zeros(8), v[0], v[0]]
+    monkeypatch.setattr(topk, "QUERIES", 40)
+    monkeypatch.setattr(topk, "ROWS", 90)
+    products = []
+    monkeypatch.setattr(topk, "_directions", lambda x, own=topk._directions: products.append(len(x)) or own(x))
+    sim = cells.cosines(np.nan_to_num(np.array(queries)), np.where(np.isfinite(v), v, 0.0))
+    found = topk._searched(queries, list(range(700)), v, 6)
+    assert found == [np.lexsort((np.arange(700), -s))[:6].tolist() for s in sim]
+    assert len(products) < 40  # 101 distinct queries in three blocks meet eight blocks of rows
+
+
+def test_equal_vectors_are_searched_once(monkeypatch):
+    sign = np.where(np.random.default_rng(6).normal(size=(20000, 2)) > 0, 1.0, -1.0)
+    kept = topk._first_copies(sign, 4)
+    assert len(kept) == 16
+    scored = []
+    monkeypatch.setattr(cells, "exact", lambda a, b, own=cells.exact: scored.append(len(a)) or own(a, b))
+    found = topk._searched(list(sign), kept.tolist(), sign[kept], 4)
+    assert all(found[i] == np.flatnonzero((sign == sign[i]).all(1))[:4].tolist() for i in range(0, 20000, 97))
+    assert sum(scored) <= 4 * 16
+
+
+def rows_written(monkeypatch):
+    sizes = []
+
+    def counted(df, name, own=cells.written):
+        out = own(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "written", counted)
+    return sizes
+
+
+def test_a_search_copies_no_query_for_each_cell(spark, monkeypatch):
+    sizes = rows_written(monkeypatch)
+    monkeypatch.setattr(cells, "BLOCK", 100)
+    v = np.random.default_rng(3).normal(size=(900, 16))  # bounds rule nothing out
+    index = spark.createDataFrame([(i, str(i), x) for i, x in enumerate(v.tolist())], "id long, value string, vector array<double>")
+    got = {}
+    for r in cells.nearest(index.selectExpr("id as q", "vector"), index, 4).collect():
+        got.setdefault(r["q"], []).append((-r["sim"], r["id"]))
+    sim = cells.cosines(v, v)
+    for i in range(900):
+        assert [x for _, x in sorted(got[i])] == np.lexsort((np.arange(900), -sim[i]))[:4].tolist()
+    assert max(sizes) <= 4 * 900
+
+
+def test_pairs_copy_no_row_for_each_cell(spark, monkeypatch):
+    sizes = rows_written(monkeypatch)
+    monkeypatch.setattr(cells, "BLOCK", 100)
+    v = np.random.default_rng(4).normal(size=(900, 16))
+    l = spark.createDataFrame([(f"{i}".encode(), x) for i, x in enumerate(v.tolist())], "__l binary, vector array<double>")
+    found = {(int(r["__l"]), int(r["__r"])) for r in cells.pairs_over(l, l.withColumnRenamed("__l", "__r"), 0.5).collect()}
+    assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(cells.cosines(v, v) >= 0.5), strict=True)}
+    assert max(sizes) <= 900
