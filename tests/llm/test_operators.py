@@ -389,6 +389,38 @@ def check_packing(rows, found, encode):
         assert at == 4096 or (at < 4096 and at & (at - 1) == 0)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pairs_of_one_diagonal_are_chained_at_once(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    n, one = 400, substring._LONG
+    doc, other = rng.integers(-3, 30, n), rng.integers(0, 3, n)
+    order = np.lexsort((other, doc))
+    doc, other = doc[order], other[order]
+    kind, gap, place = rng.integers(0, 4, n), rng.integers(12, 45, n), rng.integers(0, 40 if seed % 3 else 300, n)
+    shift = np.where((doc % 5 == 0) & (seed % 2 == 1), rng.choice([0, 7], n), 0)
+    add = np.where(kind == 1, one, np.where(kind == 2, one * (1 + gap), 0))
+    pos, opos = place + add, place + 50 + shift + add
+    want, several = [], 0
+    for d, o in sorted(set(zip(doc.tolist(), other.tolist(), strict=True))):
+        mine, met = (doc == d) & (other == o), set()
+        for p, q in zip(pos[mine].tolist(), opos[mine].tolist(), strict=True):
+            k, a, b = p // one - 1, p % one, q % one
+            met |= {(a, b)} if k < 0 else {(a + i, b + i) for i in (0, 21, 43)} if k == 0 else {(a, b), (a + k, b + k)}
+        places = np.array(sorted(met))
+        step = np.diff(places, axis=0)
+        several += len(places) > 1 and not ((step[:, 0] == step[:, 1]).all() and (step[:, 0] > 0).all() and step.max() * 2 * substring.GAP <= substring.GAIN)
+        for c in substring.chains(places[:, 0], places[:, 1]):
+            path = places[c]
+            if len(set((path[:, 0] - path[:, 1]).tolist())) == 1:
+                path = path[[0, -1]]
+            want.append((d, o, *(int(path[i, j]) for i, j in ((0, 0), (-1, 0), (0, 1), (-1, 1))), path.astype("<i4").tobytes()))
+    calls = []
+    monkeypatch.setattr(substring, "chains", lambda a, b, own=substring.chains: calls.append(1) or own(a, b))
+    found = substring._chains_of(doc, other, pos, opos).to_pylist()
+    assert sorted(tuple(r[x] for x in ("doc", "other", "start", "end", "other_start", "other_end", "path")) for r in found) == sorted(want)
+    assert len(calls) == several
+
+
 def test_packing_round_trip(spark, odd_rows):
     from tokenizers import Tokenizer
 
