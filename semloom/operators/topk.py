@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +44,22 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
     The query is a string (embedded), a list of strings (a list of results each),
     or a vector (searched as it is); anything else gives null. A failed search
     gives an empty list, a faulty search function raises. ``search_func(index_rows, query, k)`` replaces the search; it
-    needs the index in memory, so that must fit ``BROADCAST_BYTES``. Otherwise texts
-    are embedded in a stage of their own and a larger index is searched in cells, with the same result.
+    needs the index in memory, so that must fit ``BROADCAST_BYTES``. Otherwise only the first k rows of equal vectors
+    count, texts are embedded in a stage of their own and a larger index is searched in cells, with the same result.
     """
     name = fields.fields[0].name
     kind = df.schema[search_attr].dataType
-    if index.bytes() > BROADCAST_BYTES:
-        if search_func is not None:
-            raise ValueError("the index is too large to be given to a search function")
+    held, large = index.df.where(F.col("vector").isNotNull() & (F.size("vector") > 0)), index.bytes() > BROADCAST_BYTES
+    if large and search_func is not None:
+        raise ValueError("the index is too large to be given to a search function")
+    if search_func is None and k >= 0:
+        held = _thinned(held, k)
+    if large and k >= 0:
+        copies = Window.partitionBy("vector").orderBy("id")
+        held = written(held.withColumn("__n", F.row_number().over(copies)).where(F.col("__n") <= k).drop("__n"), "topk-index")
+        index = VectorIndex(held, "id", "value", "vector")
+        large = index.bytes() > BROADCAST_BYTES
+    if large:
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
             return _joined(df, index, search_attr, name, k)
         if isinstance(kind, T.StringType):
@@ -57,7 +67,7 @@ def sem_topk(df: DataFrame, index: VectorIndex, search_attr: str, fields: T.Stru
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
             return _several(df, index, search_attr, name, k, provider, model)
         return df.withColumn(name, F.lit(None).cast("array<string>"))
-    rows = index.df.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).orderBy("id").select("value", "vector").toArrow()  # under the limit
+    rows = held.orderBy("id").select("value", "vector").toArrow()  # under the limit
     values, vectors = rows["value"].to_pylist(), matrix(rows["vector"].to_numpy())
     if search_func is None:
         kept = _first_copies(vectors, k)
@@ -114,6 +124,21 @@ def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[nth < k])
 
 
+def _thinned(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` (id, value, vector) without those that have k rows of the same vector and lesser ids in their batch: what equal rows leave is little."""
+
+    def run(batches):
+        for batch in batches:
+            vectors = batch.column("vector")
+            width = pc.list_value_length(vectors)
+            if batch.num_rows and pc.min_max(width)["min"] == pc.min_max(width)["max"]:
+                flat = pc.fill_null(vectors.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+                batch = batch.take(pa.array(_first_copies(flat.reshape(batch.num_rows, -1), k)))
+            yield batch
+
+    return rows.sortWithinPartitions("id").mapInArrow(run, rows.schema)
+
+
 def _searched(queries: list, values: list, vectors: np.ndarray, k: int) -> list[list]:
     """The k nearest values of each query vector, ties by place; equal queries are searched once."""
     k = min(k, len(values)) if k >= 0 else max(0, len(values) + k)

@@ -100,6 +100,22 @@ def test_equal_vectors_are_searched_once(monkeypatch):
     assert sum(scored) <= 4 * 16
 
 
+def test_a_large_index_of_few_vectors_is_thinned_and_broadcast(spark, monkeypatch):
+    kinds = [[1.0, 1.0], [1.0, -1.0], [-1.0, 1.0], [0.0, 0.0], [1.0, None]]
+    rows = spark.createDataFrame([((i * 7919) % 3000, kinds[i % 5]) for i in range(3000)], "id long, e array<double>").repartition(5)
+    assert topk._thinned(VectorIndex(rows, "id", "id", "e").df, 2).count() <= 5 * len(kinds) * 2
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(topk, "nearest", lambda *_: 1 / 0)
+    index = VectorIndex(rows, "id", "id", "e")
+    found = sl.FrameDataset(rows, "rows").sem_topk(index, "e", NEAR, k=4).run(sl.QueryProcessorConfig(optimizer_strategy="none")).df.collect()
+    of = {}
+    for r in sorted(rows.collect()):
+        of.setdefault(str(r["e"]), []).append(str(r["id"]))
+    assert len(found) == 3000 and index.df.count() == 3000
+    assert all(r["near"] == of[str(r["e"])][:4] for r in found if r["e"] in kinds[:3])
+    assert all(r["near"] == [str(i) for i in range(4)] for r in found if r["e"] not in kinds[:3])  # no direction: all are as near
+
+
 def rows_written(monkeypatch):
     sizes = []
 
