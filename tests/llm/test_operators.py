@@ -327,6 +327,31 @@ def test_all_occurrences_meet_the_first_two_holders_of_all(spark, monkeypatch, b
     assert {r[0] for r in results[0]} == {3, *range(6, 120), 200, 201, 204}
 
 
+def test_passages_that_only_later_holders_share(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(12):
+        a, b, c = (prose(rng, 16, 3000) for _ in range(3))
+        texts = [f"{a} {prose(rng, 1, 3000)} {b}"] * 2 + [f"{b} {prose(rng, 1, 3000)} {c}"] * 2 + [f"{a} {prose(rng, 18, 3000)} {c}" for _ in range(2)]
+        texts += [f"{a} {prose(rng, 1, 3000)} {b} {prose(rng, 1, 3000)} {c}" for _ in range(3)]
+        rows += [(10 * i + j, f"{prose(rng, 40, 3000)} {x} {prose(rng, 40, 3000)}") for j, x in enumerate(texts)]
+        want |= {(10 * i + 7, 10 * i + 6), (10 * i + 8, 10 * i + 6), (10 * i + 8, 10 * i + 7)}
+    for piece in (substring.PIECE, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring, "PIECE", piece)
+            found = substring.passages(table(spark, rows, 3)).collect()
+        assert {(r["doc_id"], r["other_doc_id"]) for r in found} == want
+        assert all(r["end_word"] - r["start_word"] >= 50 and r["start_word"] <= 40 and r["equal_words"] >= 48 for r in found)
+
+
+def test_chains_of_many_documents_with_one_have_ids_of_their_own():
+    doc = np.arange(4096)
+    low = int(substring.mix(np.array([7], np.uint64))[0]) & 4095
+    b = ((doc ^ 77) - low) & 4095
+    found = substring._chains_of(np.repeat(doc, 2), np.full(8192, 7), np.tile([3, 9], 4096), np.stack([b, b + 6], 1).ravel())
+    assert found.num_rows == 4096 == len(set(found.column("cid").to_pylist()))
+
+
 def test_long_keys():
     h = np.random.default_rng(2).integers(0, 2**63, 300, dtype=np.uint64)
     h[200:260] = h[20:80]
