@@ -327,6 +327,38 @@ def test_all_occurrences_meet_the_first_two_holders_of_all(spark, monkeypatch, b
     assert {r[0] for r in results[0]} == {3, *range(6, 120), 200, 201, 204}
 
 
+def test_runs_of_one_word_meet_the_longest_earlier_one(spark):
+    rng = random.Random(8)
+    size = [60, 70, 130, 75, 400, 90, 300, 80, 220, 399, 65, 701]
+    rows = [(i, f"{prose(rng, 20, 3000)} {'ha ' * n}{prose(rng, 20, 3000)}") for i, n in enumerate(size)]
+    found = substring.passages(table(spark, rows, 3)).collect()
+    for i, n in list(enumerate(size))[2:]:
+        mine = [r for r in found if r["doc_id"] == i]
+        assert len(set(range(20, 20 + n)) - {x for r in mine for x in range(r["start_word"], r["end_word"])}) < substring.SEED
+        assert len({r["other_doc_id"] for r in mine}) <= 3  # the first two holders and the longest run
+
+
+def test_runs_met_are_linear(spark):
+    size = np.random.default_rng(3).integers(48, 400, 500)
+    first, end = np.zeros(500, np.int64), size - 8
+    rows = [np.full(1000, 5), np.repeat(np.arange(500), 2), np.stack([first, end], 1).ravel(), np.repeat(np.arange(500), 2), np.zeros(1000, bool), np.stack([first, end], 1).ravel(), np.tile([99, 8], 500)]
+    found, longest = substring._runs_met(rows, {}), 0
+    assert len({x[:2] for x in found}) == 499
+    for d in range(500):
+        if d:
+            at = {x[2] + k for x in found if x[0] == d for k in range(substring.SPAN)}
+            assert all(size[x[1]] == longest and x[3] + substring.SEED <= longest for x in found if x[0] == d) and at >= set(range(size[d]))
+        longest = max(longest, int(size[d]))
+
+
+def test_alignment_falls_back_to_its_longest_good_stretch():
+    a = np.concatenate([np.arange(100, 129), np.arange(200, 229), np.arange(900, 933)]).astype("<u4")
+    b = np.concatenate([np.arange(100, 129), np.arange(300, 306), np.arange(200, 229), np.arange(400, 406), np.arange(800, 804)]).astype("<u4")
+    path = np.array([[0, 0], [24, 24], [29, 35], [53, 59], [86, 66]])
+    start, end, other, other_end, equal, columns = substring.align(a, b, path)
+    assert (start, other, equal) == (0, 0, 58) and (end, other_end) == (58, 64) and columns == 64
+
+
 def test_passages_that_only_later_holders_share(spark):
     rng = random.Random(5)
     rows, want = [], set()
